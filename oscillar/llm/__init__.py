@@ -1,14 +1,15 @@
 """Operators for training-data corpora, their queries and SQL."""
 
-from oscillar.llm.exact_dedup import SQL as _SQL5
-from oscillar.llm.exact_dedup import op5_exact_dedup
-from oscillar.llm.mixing import SQL as _SQL7
-from oscillar.llm.mixing import op7_mix_sources
-from oscillar.llm.sharding import op8_shard
+from oscillar.llm import exact_dedup, mixing, sharding, substring_dedup
 
 QUERIES = {
-    "op5_exact_dedup": op5_exact_dedup,
-    "op7_mix_sources": op7_mix_sources,
-    "op8_shard": op8_shard,
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_shard": sharding.op8_shard,
+}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op7_mix_sources": mixing.SQL,
 }
-ORACLE_SQL = {"op5_exact_dedup": _SQL5, "op7_mix_sources": _SQL7}

@@ -118,3 +118,54 @@ def window_hashes(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     if size < width:
         cur = pair_hash(cur[: len(cur) - (width - size)], cur[width - size :], salt + 1)
     return cur[:n]
+
+
+def sliced(batches, column: str = "content", most_bytes: int = 4 << 20):
+    """Record batches cut so that a slice holds a few MB of text, or one row; bounds what a task holds."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def packed(texts: pa.Array, level: int = 3) -> pa.Array:
+    """Each text as a Zstandard frame, for texts that have to cross a shuffle."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=level)
+    return pa.array([squeeze.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())
+
+
+def unpacked(frames: pa.Array) -> list[bytes]:
+    import zstandard
+
+    loose = zstandard.ZstdDecompressor()
+    return [loose.decompress(f) for f in frames.to_pylist()]
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, content (null: empty), and d with th: a key of the row that is never null.
+
+    Rows that share id and text share the key; what is derived from the text alone may be handed around by it.
+    """
+    from pyspark.sql import functions as F
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
+    return rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(2**63))), "th": F.hash("content")})
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """d, th, frame: the texts of identified() rows, compressed before they are shuffled."""
+
+    def squeeze(batches):
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("th"), packed(b.column("content"))], names=["d", "th", "frame"])
+
+    return rows.select("d", "th", "content").mapInArrow(squeeze, "d long, th int, frame binary")
