@@ -1,15 +1,17 @@
 """Operators for training-data corpora, their queries and SQL."""
 
-from oscillar.llm import exact_dedup, mixing, sharding, substring_dedup
+from oscillar.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_decontaminate": decontamination.op3_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_shard": sharding.op8_shard,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op3_decontaminate": decontamination.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
 }
