@@ -1,9 +1,10 @@
 """Operators for training-data corpora, their queries and SQL."""
 
-from oscillar.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup
+from oscillar.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_warc": warc.SQL,
     "op3_decontaminate": decontamination.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
