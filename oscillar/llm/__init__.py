@@ -1,6 +1,6 @@
 """Operators for training-data corpora, their queries and SQL."""
 
-from oscillar.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup, warc
+from oscillar.llm import decontamination, exact_dedup, jaccard_join, mixing, sharding, substring_dedup, token_output, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -9,6 +9,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_shard": sharding.op8_shard,
+    "op9_token_output": token_output.op9_token_output,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
