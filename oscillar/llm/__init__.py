@@ -1,12 +1,14 @@
 """Operators for training-data corpora, their queries and SQL."""
 
-from oscillar.llm import decontamination, exact_dedup, jaccard_join, mixing, sharding, substring_dedup, token_output, warc
+from oscillar.llm import decontamination, exact_dedup, html_text, jaccard_join, mixing, sharding, substring_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_warc": warc.op2_warc,
     "op3_decontaminate": decontamination.op3_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_html_text": html_text.op6_html_text,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_shard": sharding.op8_shard,
     "op9_token_output": token_output.op9_token_output,
