@@ -29,7 +29,9 @@ LONGEST = 20  # letters of a segment; longer ones are cut into windows that over
 FLOOR = -4.0  # the value of a text without segments
 #: bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS, POSITIVES, NEGATIVES, LANDMARKS = 1500, 4000, 600, 20_000, 96
-STEMS = (5, 6, 7)
+STEMS = (4, 5, 6, 7)
+#: a unit in so many of the toxic texts, and so much rarer in clean ones, tells by itself.
+STRONG_SHARE, STRONG_ODDS = 0.04, 50
 CACHE = 600_000
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
@@ -263,8 +265,19 @@ def cover(found, n_toxic: int, n_clean: int) -> list[str]:
     texts = {u: set(g) for u, g in found.groupby("unit")["doc_id"]}
     clean = found.groupby("unit")["c"].first().to_dict()
     least, out = least_texts(n_toxic), []
+    worth = lambda u: (len(texts[u]) - 2 * clean[u] * n_toxic / n_clean, not u.endswith("*"), len(u), u)
+    odds = {u: (len(t) + 0.5) / (n_toxic + 1) / ((clean[u] + 0.5) / (n_clean + 1)) for u, t in texts.items()}
+    held: list[tuple[str, set]] = []
+    for u in sorted((u for u in texts if odds[u] >= STRONG_ODDS and len(texts[u]) >= max(least, STRONG_SHARE * n_toxic)), key=worth, reverse=True):
+        stem = u.rstrip("*")
+        kin = [t for v, t in held if v.startswith(stem) or stem.startswith(v)]
+        if not any(len(texts[u] - t) < 0.1 * len(texts[u]) for t in kin):  # else a longer or shorter form of one that is held
+            held.append((stem, texts[u]))
+            out.append(u)
+    for _, gone in held:
+        texts = {u: left for u, t in texts.items() if len(left := t - gone) >= least}
     while texts:
-        best = max(texts, key=lambda u: (len(texts[u]) - 2 * clean[u] * n_toxic / n_clean, not u.endswith("*"), len(u), u))
+        best = max(texts, key=worth)
         gone = texts.pop(best)
         out.append(best)
         texts = {u: left for u, t in texts.items() if len(left := t - gone) >= least}
@@ -293,10 +306,10 @@ def fit(positives: list[tuple[bytes, int, float]], picks: list[str], negatives:
             x += [v, v]
             y += [1.0, -1.0]
             cost += [t * share, c * share]
-    scale = 4000 / sum(cost)
+    scale = 60_000 / sum(cost)
     x += negatives
     y += [-1.0] * len(negatives)
-    cost = [k * scale for k in cost] + [8000 / len(negatives)] * len(negatives)
+    cost = [k * scale for k in cost] + [120_000 / len(negatives)] * len(negatives)
     w = squared_hinge(projected(x, basis), np.array(y), np.array(cost))
     return Model(basis @ w[:-1], float(w[-1]))
 
