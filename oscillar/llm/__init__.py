@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op3_decontaminate": decontamination.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
 }

@@ -104,12 +104,12 @@ def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
-def set_rows(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def set_rows(rows: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
     """doc_id, d, th, n, fp (128-bit fingerprint of the set; null without words), node (64 bits of it), sigs."""
 
     def run(batches):
         for b in sliced(batches):
-            grams, at = ngram_sets(b.column("content"))
+            grams, at = ngram_sets(b.column("content"), words)
             n = np.diff(at)
             fps, nodes, sigs = [], [], []
             for i in range(b.num_rows):
@@ -175,7 +175,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+def block_links(blocks: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
     """a, b, links: edges (b not null) and for each class its number of linked rows in the block pair (b null).
 
     Input: rows of root, p, q (a block pair of a cluster), side (0: of block p), fp, copies, frame, sorted by root, p, q.
@@ -197,7 +197,7 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches):
         key, held, out = None, [], []
         for b in sliced(batches, "frame", 1 << 20):
-            grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()))
+            grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
             cols = [b.column(c).to_pylist() for c in ("root", "p", "q", "side", "fp", "copies")]
             for k, (root, p, q, side, fp, copies) in enumerate(zip(*cols, strict=True)):
                 if (root, p, q) != key:
@@ -216,7 +216,7 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     return blocks.mapInArrow(run, "a binary, b binary, links long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row.
 
     A null text counts as empty; rows without words have no set, no links and are components of their own. component_id is
@@ -225,7 +225,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored, whatever their names.
     """
     rows = identified(docs, id_col, text_col)
-    sets = written(set_rows(rows, percent), "jaccard-sets")
+    sets = written(set_rows(rows, percent, words), "jaccard-sets")
     classes = sets.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "th")).alias("one"), F.min("node").alias("node"))
     classes = written(classes, "jaccard-classes")
     signed = sets.filter("fp IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
@@ -242,7 +242,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side"), "fp", "copies", "frame"
     )
     dealt = pairs.repartition(F.col("root"), F.col("p"), F.col("q")).sortWithinPartitions("root", "p", "q")
-    links = written(block_links(dealt, percent), "jaccard-links")
+    links = written(block_links(dealt, percent, words), "jaccard-links")
     roots = components(links.filter("b IS NOT NULL").select("a", "b"), "binary")
     counts = links.filter("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
     known = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(counts, "fp", "left")
@@ -256,3 +256,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 2], ' ') AS g FROM texts, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS r(s) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * o >= 90 * (a.n + b.n - o)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS node, x AS seen FROM both_ways UNION SELECT node, y FROM reach JOIN both_ways ON seen = x),
+comps AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+degrees AS (SELECT x, count(*) AS n_links FROM both_ways GROUP BY x)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, t.doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN sizes s ON t.doc_id = s.doc_id LEFT JOIN comps ON node = t.doc_id LEFT JOIN degrees ON x = t.doc_id
+"""

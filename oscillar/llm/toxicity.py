@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import identified, sliced, table, written
+from oscillar.llm.common import sliced, table, written
 
 LETTERS = 27  # a to z, and one for all others
 DECAY = 0.6
@@ -332,18 +332,24 @@ def calibrated(value: np.ndarray, toxic: np.ndarray, scale: float) -> tuple[floa
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; a null text is scored as an empty one. Only the text is looked at."""
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; a null text is scored as an empty one. Only the text is looked at.
+
+    keep: columns of the input to carry along instead of doc_id and held_out.
+    """
     key = (float(model.offset), float(model.weights.sum()), model.slope, model.shift)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LETTERS ** 3 weights
 
     def run(batches):
-        for b in sliced(batches):
-            p = shared.value.probability(text_values(b.column("content").cast(pa.large_string()), shared.value, key))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    rows = identified(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "content")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+        for b in sliced(batches, "scored_content"):
+            p = shared.value.probability(text_values(b.column("scored_content").cast(pa.large_string()), shared.value, key))
+            columns = [c for c in b.schema.names if c != "scored_content"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+
+    carried = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out")]
+    rows = docs.select(*carried, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("scored_content"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "scored_content")
+    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
