@@ -8,8 +8,10 @@ file touches only the pages it needs. Files are named anew by every attempt; the
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import filesystem, identified, packed_texts, shared_dir, sliced, table, unpacked, written
+from oscillar.llm.common import filesystem, identified, shared_dir, sliced, table, written
 
 SEQUENCE = 1024
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
-#: pre-tokens that a Python worker remembers.
-CACHE = 400_000
+#: words, and parts of words, that a Python worker remembers.
+CACHE = 600_000
 
 
 def byte_alphabet() -> str:
@@ -52,40 +54,58 @@ class WordEncoder:
         self.table = {b: c for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.plain = regex.compile("[\x21-\x7eÀ-įı-ɏ]+")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         self.parts: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {"": []}
 
     def word(self, word: str) -> list[int]:
-        if "<|" in word or not self.plain.fullmatch(word):
+        if "<|" in word:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        parts, out = self.split.findall(word.lower()), []
+        if word.isascii() and word.isprintable():
+            word = word.lower()
+            parts = [word] if word.isalpha() else self.split_ascii(word)
+        elif self.plain.fullmatch(word):
+            parts = self.split.findall(word.lower())
+        else:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(parts) == 1:
+            return self.part(parts[0])
+        out: list[int] = []
         for p in parts:
-            ids = self.parts.get(p)
-            if ids is None:
-                mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.table)
-                ids = self.parts[p] = [t.id for t in self.model.tokenize(mapped)]
-            out += ids
+            out += self.part(p)
         return out
 
+    def part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
+        return ids
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and each text's first."""
         import pyarrow.compute as pc
 
         if len(self.parts) > CACHE:
             self.parts.clear()
+        if len(self.words) > CACHE:
+            self.words = {"": []}
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         starts = np.asarray(lists.offsets).astype(np.int64)
         starts = starts - starts[0]
         coded = flat.dictionary_encode()
-        own = [self.word(w) if w else [] for w in coded.dictionary.to_pylist()]
-        n = np.array([len(x) for x in own], np.int64)
-        ids = np.concatenate([np.array(x, np.uint32) for x in own]) if own else np.zeros(0, np.uint32)
-        begin = np.cumsum(n) - n
-        word = np.asarray(coded.indices)
-        each = n[word]
-        ends = np.cumsum(each)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each, each) + np.repeat(begin[word], each)
-        return ids[take], np.append(0, ends)[starts]
+        own, known = [], self.words
+        for w in coded.dictionary.to_pylist():
+            found = known.get(w)
+            if found is None:
+                found = known[w] = self.word(w)
+            own.append(found)
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        ids = np.fromiter(chain.from_iterable(own), np.uint32, int(ends[-1]) if len(own) else 0)
+        each = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(ids)).take(coded.indices)
+        at = np.asarray(each.offsets)
+        return each.flatten().to_numpy(), (at - at[0])[starts]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -167,14 +187,14 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: i
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(shared.value)
         kind = np.uint16 if own.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        for b in sliced(batches, "frame", 1 << 20):
+        for b in sliced(batches, most_bytes=8 << 20):
             if out is None:
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)
                 name = f"{uuid.uuid4().hex}.arrow"
                 sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                 out = SequenceWriter(sink, pa.from_numpy_dtype(kind), length)
-            ids, starts = own.texts(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()))
+            ids, starts = own.texts(b.column("content").cast(pa.large_string()))
             ids = np.insert(ids, starts[1:], end_id).astype(kind)
             n = np.diff(starts) + 1
             out.add(ids)
@@ -184,7 +204,7 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: i
             out.close()
             sink.close()
 
-    dealt = packed_texts(rows).repartitionByRange(partitions, "d", "th").sortWithinPartitions("d", "th")
+    dealt = rows.select("d", "th", "content").repartitionByRange(partitions, "d", "th").sortWithinPartitions("d", "th")
     return written(dealt.mapInArrow(run, "d long, file string, part int, first long, n_tokens long"), "token-index")
 
 
