@@ -195,14 +195,17 @@ def block_links(blocks: DataFrame, percent: int = PERCENT, words: int = NGRAM) -
         return edges + [(fps[k], None, int(links[k])) for k in np.flatnonzero(links)]
 
     def run(batches):
-        key, held, out = None, [], []
+        key, held, seen, out = None, [], set(), []
         for b in sliced(batches, "frame", 1 << 20):
             grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
             cols = [b.column(c).to_pylist() for c in ("root", "p", "q", "side", "fp", "copies")]
             for k, (root, p, q, side, fp, copies) in enumerate(zip(*cols, strict=True)):
                 if (root, p, q) != key:
                     out += flush(key, held) if len(held) > 1 else []
-                    key, held = (root, p, q), []
+                    key, held, seen = (root, p, q), [], set()
+                if fp in seen:  # a row that repeats the class's first one
+                    continue
+                seen.add(fp)
                 held.append((side, fp, copies, grams[at[k] : at[k + 1]].copy()))
             if len(out) > 20_000:
                 yield rows_of(out)
@@ -216,9 +219,13 @@ def block_links(blocks: DataFrame, percent: int = PERCENT, words: int = NGRAM) -
     return blocks.mapInArrow(run, "a binary, b binary, links long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM, group_rows: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row.
 
+    group_rows: rows that share a column block are multiplied by themselves if they are so few, and merged to clusters only if
+    they are more. It suits low thresholds, where chance matches chain; a pair may then be met in several blocks, so n_links
+    is left out.
+
     A null text counts as empty; rows without words have no set, no links and are components of their own. component_id is
     the smallest id of the component (null ids are passed over unless there is no other). Rows that repeat a row are linked
     with it. n_links counts linked rows, those of the same set included. An empty table gives an empty result. Other columns
@@ -230,13 +237,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = written(classes, "jaccard-classes")
     signed = sets.filter("fp IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("other")).filter("lead < other").select("sig", "lead")
-    near = signed.join(shared, "sig").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    met = signed.join(shared, "sig")
+    if group_rows:
+        met = written(met.select("sig", "lead", "node").distinct(), "jaccard-met")
+        groups = met.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least"))
+        few = groups.filter(F.col("size") <= group_rows).groupBy("size", "members", "least").agg(F.min("sig").alias("sig")).select("sig")
+        own = met.join(few, "sig").select("node", F.col("sig").alias("root"))
+        met = met.join(groups.filter(F.col("size") > group_rows).select("sig"), "sig")
+    near = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     clusters = components(near, "bigint")
+    if group_rows:
+        clusters = clusters.unionByName(own)
     members = classes.join(clusters, "node").select("root", "fp", "copies", "one.d", "one.th")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     members = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / block_rows).cast("int"))
     members = members.withColumn("at", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).drop("m")
-    texts = packed_texts(rows).join(members, ["d", "th"]).dropDuplicates(["fp"])
+    texts = packed_texts(rows).join(members, ["d", "th"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = texts.withColumn("o", other).select(
         "root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side"), "fp", "copies", "frame"
@@ -251,7 +267,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = written(known.join(least, "root").select("fp", "component_id", "n_links"), "jaccard-known")
     ids = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp")
     lone = ids.filter("fp IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return ids.join(known, "fp").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(lone)
+    out = ids.join(known, "fp").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(lone)
+    return out.drop("n_links") if group_rows else out
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,16 +112,22 @@ def test_jaccard_join(docs, texts, words, percent):
     assert [got[i] for i in range(len(texts))] == brute_links(texts, words, percent)
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(2)
-    for n in [9, 10, 11, 18, 19, 20, 25, 40, 100, 333]:
-        for _ in range(30):
+    for n in [5, 8, 9, 10, 11, 18, 19, 20, 25, 40, 100, 333]:
+        for _ in range(40):
             x = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
-            gone = rng.integers(0, max(1, n // 10) + 1)
+            gone = rng.integers(0, n * (100 - percent) // 100 + 1)
             y = np.unique(np.append(x[gone:], rng.integers(1, 2**63, rng.integers(0, 3)).astype(np.uint64)))
             o = len(np.intersect1d(x, y))
-            if 100 * o >= 90 * (len(x) + len(y) - o) and len(y) and not np.array_equal(x, y):
-                assert np.intersect1d(jaccard_join.signatures(x), jaccard_join.signatures(y)).size
+            if 100 * o >= percent * (len(x) + len(y) - o) and len(y) and not np.array_equal(x, y):
+                assert np.intersect1d(jaccard_join.signatures(x, percent), jaccard_join.signatures(y, percent)).size
+
+
+def test_jaccard_join_by_groups(docs, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs, words=5, percent=80, block_rows=4, group_rows=3).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[:2] for x in brute_links(texts, 5, 80)]
 
 
 def test_components_of_a_path(spark):
