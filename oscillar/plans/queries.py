@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscillar.functions import signal
-from oscillar.operators import corpus, spectra, windows
+from oscillar.operators import corpus, spectra, transients, windows
 from oscillar.streaming import alerts
 
 DAY = 86_400
@@ -111,6 +111,20 @@ def modal_assurance(spark, d):
     return _rounded(s.select("a", "b", (F.col("ab") * F.col("ab") / (F.col("aa") * F.col("bb"))).alias("mac")))
 
 
+def ringdown_check(spark, d):
+    return _rounded(transients.ringdowns(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0))
+
+
+def output_only_modes(spark, d):
+    """Six vectors in a row stand for the channels of a recording."""
+    e = _t(spark, d, "embeddings").select(F.expr("vec_id DIV 6").alias("recording"), (F.col("vec_id") % 6).alias("channel"), "embedding")
+    return _rounded(transients.output_only_modes(e, "recording", "channel", "embedding", 64.0, 32))
+
+
+def resampled_windows(spark, d):
+    return transients.resampled_windows(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, 25.0)
+
+
 def unit_conversion(spark, d):
     p = _t(spark, d, "part").select("p_partkey", "p_retailprice", F.element_at(F.array(*map(F.lit, ("g", "MG", "m/s²", "mm/s^2", "furlong"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("unit"))
     return _rounded(p.select("p_partkey", signal.canonical_unit(F.col("unit")).alias("unit"), signal.to_g(F.col("p_retailprice"), F.col("unit")).alias("g")))
@@ -227,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
-        distinct_peaks, sliding_frames, residual_codes, modal_assurance, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
+        distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, resampled_windows, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
         classification_metrics, calibration_error, auroc, routing_matrix, gate_checks, quota_draw, nearest_event, tagged_samples, alert_policy,
     )
 }
