@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import table, written
+from oscillar.llm.common import keyed, table, written
 from oscillar.llm.decontamination import decontaminate
 from oscillar.llm.jaccard_join import jaccard_join
-from oscillar.llm.mixing import mix_sources
+from oscillar.llm.mixing import mix_documents
 from oscillar.llm.token_output import token_output
 from oscillar.llm.toxicity import score_texts, train
 
@@ -41,16 +41,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of stay; repeats are up to the reader of the mix."""
-    mixed = mix_sources(docs).filter("taken > 0").select("doc_id")
-    return docs.join(mixed, "doc_id", "left_semi").select(*COLUMNS)
+    """The mix on whole documents: each is dropped, kept or repeated to its source's target, and all are sorted by position.
+
+    The files follow each other by position; copies of a document lie side by side.
+    """
+    rows = keyed(docs)
+    sorted_rows = rows.join(mix_documents(rows), "row").orderBy("position", "row")
+    return sorted_rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of what is left, in files; a row for each document as read from them."""
+    """The ids of what is left, in files, in the order of the mix; a row for each document as read from them."""
     import public_tokenizers
 
-    return token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+    rows = keyed(docs)
+    out = token_output(rows, public_tokenizers.path("word_bpe_49k.json"), id_col="row").withColumnRenamed("doc_id", "row")
+    return out.join(rows.select("row", "doc_id"), "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("token_output", tokens)]

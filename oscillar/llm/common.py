@@ -39,6 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row: a number of its own for each row, which grows in the order of the files.
+
+    It is the place of the row in its file, so it stays the same however often the files are read. What is no plain reading
+    of files is written first.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() not in ("LogicalRelation", "Relation") and not plan.nodeName().startswith("LogicalRelation"):
+        docs = written(docs, "keyed")
+    path = F.col("_metadata.file_path")
+    files = docs.select(path.alias("path_")).distinct()
+    files = files.select("path_", (F.row_number().over(Window.orderBy(F.length("path_"), "path_")) - 1).cast("long").alias("file_"))
+    rows = docs.select("*", path.alias("path_"), F.col("_metadata.row_index").alias("at_"))
+    rows = rows.join(F.broadcast(files), "path_")  # a row for each file
+    return rows.select(*docs.columns, (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI, for tasks that write or read whole files."""
     from pyarrow import fs

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import table
+from oscillar.llm.common import table, written
 
 WEIGHTS = (3, 1, 2)
 #: (share at the start, share at the end), mean one, dealt to the sources in their order.
@@ -53,16 +53,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Running sums are cut into bins of the md5 order, as many as the rows ask for, so no source is one task's work.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("content"))
+    return placed(docs, id_col, text_col, source_col, **how).drop("turn").orderBy("position", "doc_id")
+
+
+def bin_digits(n: int) -> int:
+    """Digits of the md5 order that make the bins of so many rows."""
+    return 2 if n < 2**26 else 3 if n < 2**32 else 4
+
+
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: list[str] | None = None, **how) -> DataFrame:
+    """The rows of mix_sources, unsorted, with turn (their place in the md5 order) and the columns of key."""
+    key = key or []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("content"), *key)
     rows = rows.select(
+        *key,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("content", F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5("content"), F.lit("")).alias("turn"),
     )
-    n = docs.count()
-    digits = 2 if n < 2**26 else 3 if n < 2**32 else 4
-    rows = rows.withColumn("bin", F.substring("turn", 1, digits))
+    rows = rows.withColumn("bin", F.substring("turn", 1, bin_digits(docs.count())))
     per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), **how)
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,8 +85,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     share = F.when(F.col("source_size") > 0, (upto - size / 2) / F.col("source_size")).otherwise(F.lit(0.0))
     taken = F.least(F.floor(ratio * upto) - F.floor(ratio * (upto - size)), 2 * size).cast("long")
-    out = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", position_of(share, F.col("slope")).alias("position"))
-    return out.orderBy("position", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", position_of(share, F.col("slope")).alias("position"), "turn", *key)
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: str = "row", **how) -> DataFrame:
+    """key, copies, position: how often each row is read when the mix is carried out on whole documents; 0 copies are left out.
+
+    key: a column that no two rows share. With ratio = target / source_size, every document of a source is read
+    floor(ratio) times, and once more if its middle lies within the words that are still wanted, by running sums in a second
+    md5 order (so those left out are spread over all positions). A source's words, copies counted, come within half a
+    document of its target. Documents without words are left out, as the mix takes none of theirs. All copies have the
+    position that mix_sources gives the document.
+    """
+    rows = placed(docs, id_col, text_col, source_col, [key], **how).filter("size > 0").withColumn("draw", F.md5(F.concat(F.lit("again "), "turn")))
+    rows = written(rows.withColumn("bin", F.substring("draw", 1, bin_digits(docs.count()))).drop("doc_id", "taken", "turn"), "mix-places")
+    before = Window.partitionBy("s_").orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(F.col("source").alias("s_"), F.col("bin").alias("b_")).agg(F.sum("size").alias("bin_size"))
+    bins = bins.select("s_", "b_", (F.sum("bin_size").over(before) - F.col("bin_size")).alias("bin_start"))
+    run = Window.partitionBy("source", "bin").orderBy("draw", key).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("upto", F.sum("size").over(run)).join(bins, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bin") == F.col("b_")))
+    whole = F.floor(F.col("target") / F.col("source_size"))
+    middle = F.col("bin_start") + F.col("upto") - F.col("size") / 2
+    copies = (whole + (middle <= F.col("target") - whole * F.col("source_size")).cast("int")).cast("int")
+    return out.select(key, copies.alias("copies"), "position").filter("copies > 0")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,33 @@ def test_stages(spark, tmp_path):
             assert kept == set(before)
         if name != "token_output":
             assert docs.columns == pipeline.COLUMNS
+
+
+def test_mixing_carries_the_mix_out(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from oscillar.llm import mixing
+
+    rows = [(k if k % 9 else None, " ".join([f"w{k}"] * (k * 7 % 40)), "en", "abcd"[min(k % 7, 3)] if k % 7 != 5 else None, k) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    targets = {r["source"]: r["target"] for r in mixing.mix_sources(docs).select("source", "target").distinct().collect()}
+    out = str(tmp_path / "mixed")
+    pipeline.mixing(spark, docs, None).write.parquet(out)
+    got = [r for f in sorted((tmp_path / "mixed").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    words = {}
+    for r in got:
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert words.keys() == targets.keys()
+    for source, n in words.items():
+        assert abs(n - targets[source]) <= 20  # half of the longest document
+    sizes = {s: sum(len(t.split()) for _, t, _, u, _ in rows if u == s) for s in targets}
+    copies = {k: 0 for k in range(900)}
+    for r in got:
+        copies[r["n_chars"]] += 1
+    for _, text, _, source, k in rows:
+        ratio = targets[source] / sizes[source]
+        assert copies[k] in ((int(ratio), int(ratio) + 1) if text else (0,))
+    place = {r["n_chars"]: r["position"] for r in mixing.placed(docs, "doc_id", "text", "source", ["n_chars"]).collect()}
+    order = [place[r["n_chars"]] for r in got]
+    assert order == sorted(order)
+    ids = [r["doc_id"] for r in pipeline.tokens(spark, spark.read.parquet(out), None).orderBy("start").collect()]
+    assert ids == [r["doc_id"] for r in got]
