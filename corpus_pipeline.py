@@ -1,6 +1,7 @@
 """The corpus pipeline: stages that hand their documents on as Parquet.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes and rereads it as the next stage's docs.
+Stages decide row by row: ids may be null or repeat, with the same text or another.
 """
 
 from __future__ import annotations
@@ -28,16 +29,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays."""
-    found = jaccard_join(docs, percent=PERCENT, words=WORDS, group_rows=128)
-    going = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(going, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows one of the smallest id stays (a null id is the largest); repeated rows are linked too."""
+    rows = keyed(docs)
+    found = jaccard_join(rows, id_col="row", percent=PERCENT, words=WORDS, group_rows=128)
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows with a benchmark window go, each judged by its own text."""
+    rows = keyed(docs)
+    found = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row")
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,34 @@ def test_mixing_carries_the_mix_out(spark, tmp_path):
     assert order == sorted(order)
     ids = [r["doc_id"] for r in pipeline.tokens(spark, spark.read.parquet(out), None).orderBy("start").collect()]
     assert ids == [r["doc_id"] for r in got]
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    benchmark = " ".join(f"item{k}" for k in range(14))
+    spark.createDataFrame([(1, benchmark)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    leak = f"{prose('x')} {benchmark} {prose('y')}"
+    rows = [
+        (None, prose("a")), (None, prose("b")), (None, prose("a")), (None, leak),  # without ids
+        (7, prose("c")), (7, prose("c")), (7, prose("c")),  # repeated rows
+        (8, prose("d")), (8, leak + " " + prose("z")), (8, prose("e")),  # one id, other texts
+        (9, prose("b")), (3, prose("d") + " more"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        clean = pipeline.decontamination(spark, given, str(tmp_path)).collect()
+        assert sorted(r["n_chars"] for r in clean) == [k for k, (_, t) in enumerate(rows) if benchmark not in t]
+        kept = pipeline.near_duplicates(spark, given, str(tmp_path)).collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("None", prose("a")), ("None", leak), ("7", prose("c")), ("8", rows[8][1]), ("8", prose("e")), ("9", prose("b")), ("3", rows[11][1])])
+        mixed = pipeline.mixing(spark, given, str(tmp_path)).collect()
+        words = sum(len(t.split()) for _, t in rows)
+        assert abs(sum(len(r["text"].split()) for r in mixed) - words * 1.5) <= 70 and any(r["doc_id"] is None for r in mixed)
+        assert sorted(str(r["doc_id"]) for r in pipeline.tokens(spark, given, str(tmp_path)).collect()) == sorted(str(i) for i, _ in rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    taught = spark.createDataFrame([(k, prose("w") + " idiot" * (k % 2)) for k in range(40)], "doc_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    taught.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["n_chars"] for r in pipeline.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(len(rows)))
