@@ -6,7 +6,10 @@ inserted, doubled or dropped letters cost little. Landmarks give the Nyström fe
 As the machine is linear in the kernel's own feature space, its weights are carried over to that space (one for each
 triple of letters), and a segment is scored exactly by its subsequences, without touching the landmarks again.
 
-A sentence counts as toxic if one segment does, and a text if one sentence does: a text's score is its highest segment's.
+Training examples are labelled sentences: each has its text's label and hands it to its segments, and every text weighs the
+same. After a first machine, sentences of toxic texts without a segment on the toxic side are left out (but for the text's
+highest one), and the machine is trained again. Stems that are unevenly spread only choose landmarks. A text is scored on all
+its evidence: a logistic curve over the histogram of its segments' values and its highest few, trained on labelled texts.
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ from oscillar.llm.common import sliced, table, written
 LETTERS = 27  # a to z, and one for all others
 DECAY = 0.6
 LONGEST = 20  # letters of a segment; longer ones are cut into windows that overlap by half
-FLOOR = -4.0  # the value of a text without segments
+FLOOR = -4.0  # the value of a segment of less than three letters
 #: bounds of the training sample.
-TOXIC_ROWS, CLEAN_ROWS, POSITIVES, NEGATIVES, LANDMARKS = 1500, 4000, 600, 20_000, 96
+TOXIC_ROWS, CLEAN_ROWS, UNITS, COMMON, OTHERS, SPELLED, LANDMARKS = 1500, 4000, 400, 6000, 12_000, 200, 256
 STEMS = (4, 5, 6, 7)
-#: a unit in so many of the toxic texts, and so much rarer in clean ones, tells by itself.
-STRONG_SHARE, STRONG_ODDS = 0.04, 50
+ALIKE = 0.8  # landmarks of a greater kernel value are not taken beside each other
+COST = 300_000  # of either class
+EDGES = np.arange(-5, 11) / 10  # of the histogram
+TOPS = 6
+SENTENCE_END = r"[.!?]+\s+|\n+"
 CACHE = 600_000
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
@@ -106,16 +112,19 @@ def feature_columns(segments: list[bytes]) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(0)), 1e-12)
 
 
-def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Linear machine with squared hinge loss, by Newton steps; the last weight is the offset."""
+def squared_hinge(z: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Linear machine with squared hinge loss, by Newton steps; the last weight is the offset.
+
+    cost: of each row as an example of the toxic and of the clean class.
+    """
     z = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(z.shape[1])
     keep = np.eye(z.shape[1])
     keep[-1, -1] = 1e-3
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        za, c = z[active], cost[active]
-        new = np.linalg.solve(keep + (za * c[:, None]).T @ za, za.T @ (c * y[active]))
+        value = z @ w
+        up, down = cost[:, 0] * (value < 1), cost[:, 1] * (value > -1)
+        new = np.linalg.solve(keep + (z * (up + down)[:, None]).T @ z, z.T @ (up - down))
         if np.allclose(new, w, atol=1e-9):
             break
         w = w + 0.7 * (new - w) if _ > 20 else new
@@ -126,11 +135,16 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 class Model:
     weights: np.ndarray  # one for each triple of letters
     offset: float
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray | None = None  # one for each column of evidence, and the offset; None: every text is clean
+
+    @property
+    def key(self) -> tuple:
+        return (float(self.offset), float(self.weights.sum()), float(np.abs(self.weights).sum()))
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        if self.curve is None:
+            return np.zeros(len(evidence))
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def segments_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -162,13 +176,13 @@ def segments_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 _known: dict[tuple, dict[bytes, float]] = {}
 
 
-def text_values(texts: pa.Array, model: Model, key: tuple) -> np.ndarray:
-    """The highest decision value among each text's segments. key: names the model among those a worker has used."""
+def segment_values(distinct: list[bytes], model: Model) -> np.ndarray:
+    """The decision value of each segment; a worker remembers those of the model it used last."""
+    key = model.key
     if key not in _known or len(_known[key]) > CACHE:
         _known.clear()
         _known[key] = {}
     known = _known[key]
-    distinct, seg, owner = segments_of(texts)
     new = [s for s in distinct if s not in known]
     pieces = [windows_of(s) for s in new]
     flat = [p for ps in pieces for p in ps]
@@ -178,10 +192,53 @@ def text_values(texts: pa.Array, model: Model, key: tuple) -> np.ndarray:
     for s, ps in zip(new, pieces, strict=True):
         known[s] = float(values[at : at + len(ps)].max())
         at += len(ps)
-    out = np.full(len(texts), FLOOR)
-    if len(seg):
-        np.maximum.at(out, owner, np.array([known[s] for s in distinct])[seg])
-    return out
+    return np.array([known[s] for s in distinct])
+
+
+def text_evidence(texts: pa.Array, model: Model) -> np.ndarray:
+    """A row for each text: counts and shares of its segments above each edge, its highest values (0 at least), its length."""
+    distinct, seg, owner = segments_of(texts)
+    n = len(texts)
+    value = segment_values(distinct, model)[seg] if len(seg) else np.zeros(0)
+    real = value > FLOOR
+    value, owner = value[real], owner[real]
+    width = len(EDGES) + 1
+    bins = np.bincount(owner * width + np.searchsorted(EDGES, value), minlength=n * width).reshape(n, width)
+    above = bins[:, ::-1].cumsum(1)[:, ::-1]
+    size, above = above[:, :1], above[:, 1:]
+    tops = np.zeros((n, TOPS))
+    high = value > 0
+    value, owner = value[high], owner[high]
+    order = np.lexsort((-value, owner))
+    value, owner = value[order], owner[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    tops[owner[place < TOPS], place[place < TOPS]] = value[place < TOPS]
+    return np.hstack([np.log1p(size), np.log1p(above), above / np.maximum(size, 1), tops])
+
+
+def sentence_segments(texts: pa.Array, toxic: np.ndarray, model: Model | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct segments, and of each: its weight in toxic sentences, in clean ones, and its occurrences.
+
+    An occurrence weighs one by the segments of its text. With a model, toxic texts keep the sentences that have a segment
+    above zero, and their highest one.
+    """
+    lists = pc.split_pattern_regex(texts, SENTENCE_END)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    distinct, seg, sentence = segments_of(lists.flatten())
+    long = np.array([len(s) >= 3 for s in distinct] or [False])[seg] if len(seg) else np.zeros(0, bool)
+    seg, sentence = seg[long], sentence[long]
+    if model is not None and len(seg):
+        value = segment_values(distinct, model)[seg]
+        top = np.full(len(text_of), FLOOR)
+        np.maximum.at(top, sentence, value)
+        highest = np.full(len(texts), FLOOR)
+        np.maximum.at(highest, text_of, top)
+        stays = (toxic[text_of] == 0) | (top > 0) | (top >= highest[text_of])
+        seg, sentence = seg[stays[sentence]], sentence[stays[sentence]]
+    text = text_of[sentence]
+    weight = 1 / np.maximum(np.bincount(text, minlength=len(texts)), 1)[text]
+    sums = [np.bincount(seg, weights=w, minlength=len(distinct)) for w in (weight * (toxic[text] == 1), weight * (toxic[text] == 0), np.ones(len(seg)))]
+    return distinct, *sums
 
 
 def held_out(id_column: Column) -> Column:
@@ -207,129 +264,114 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("content")).filter("content IS NOT NULL")
     sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["content"])  # the chosen ids are bounded
 
-    def segment_rows(batches):
-        for b in sliced(batches):
-            distinct, seg, owner = segments_of(b.column("content").cast(pa.large_string()))
-            both = np.unique(owner * (len(distinct) + 1) + seg)
-            owner, seg = both // (len(distinct) + 1), both % (len(distinct) + 1)
-            words = pa.array([s.decode() for s in distinct])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), b.column("toxic").take(pa.array(owner)), words.take(pa.array(seg))], names=["doc_id", "toxic", "segment"])
-
     sample = written(sample, "toxicity-sample")
-    held = written(sample.mapInArrow(segment_rows, "doc_id long, toxic int, segment string").filter("length(segment) >= 3"), "toxicity-segments")
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
-    nothing = Model(np.zeros(LETTERS**3), FLOOR, 1.0, 0.0)
+    model = Model(np.zeros(LETTERS**3), 0.0)
     if not n_toxic or not n_clean:
-        return nothing
+        return model
     total = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     scale = (total[0] / total[1]) / (n_clean / n_toxic)  # clean rows of the table for each one in the sample
-    seen = held.groupBy("segment").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    seen = written(seen, "toxicity-counts")
-    # units that may tell: segments, and their first letters as stems
-    stems = [F.when(F.length("segment") > k, F.concat(F.substring("segment", 1, k), F.lit("*"))) for k in STEMS]
-    units = held.select("doc_id", "toxic", F.explode(F.array_compact(F.array("segment", *stems))).alias("unit")).distinct()
-    odds = (F.col("t") + 0.5) / (n_toxic + 1) / ((F.col("c") + 0.5) / (n_clean + 1))
-    telling = units.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    telling = telling.filter((F.col("t") >= least_texts(n_toxic)) & (odds >= 5))
-    found = units.filter("toxic = 1").join(telling, "unit").select("doc_id", "unit", "c").toPandas()  # bounded by the sample
-    picks = cover(found, n_toxic, n_clean)
-    if not picks:
-        return nothing
-    told = F.lit(False)
-    for u in picks:
-        told = told | (F.col("segment").startswith(u[:-1]) if u.endswith("*") else F.col("segment") == u)
-    positives = seen.filter(told).orderBy(F.col("t").desc(), "segment").limit(POSITIVES).collect()
-    clean = seen.filter(~told & (F.col("c") > 0)).select("segment", "c")
-    negatives = [r["segment"] for r in clean.orderBy(F.col("c").desc(), "segment").limit(NEGATIVES // 4).collect()]
-    negatives += [r["segment"] for r in clean.orderBy(F.md5("segment"), "segment").limit(NEGATIVES).collect()]
-    model = fit([(r["segment"].encode(), r["t"], r["c"] * scale) for r in positives], picks, sorted({w for n in negatives for w in windows_of(n.encode())}))
-
-    def value_rows(batches):
+    model = machine(sample, None)
+    model = machine(sample, model) or model
+    if model is None:  # no segment of three letters in either class
+        model = Model(np.zeros(LETTERS**3), 0.0)
+
+    def evidence_rows(batches):
         for b in sliced(batches):
-            values = text_values(b.column("content").cast(pa.large_string()), model, ("fit", float(model.offset), float(model.weights.sum())))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(values)], names=["toxic", "value"])
+            rows = text_evidence(b.column("content").cast(pa.large_string()), model)
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["toxic", "evidence"])
 
-    pairs = sample.select("content", "toxic").mapInArrow(value_rows, "toxic int, value double").toPandas()
-    model.slope, model.shift = calibrated(pairs["value"].to_numpy(), pairs["toxic"].to_numpy(), scale)
+    pairs = sample.select("content", "toxic").mapInArrow(evidence_rows, "toxic int, evidence array<double>").toArrow()  # bounded by the sample
+    evidence = np.asarray(pairs.column("evidence").combine_chunks().flatten()).reshape(len(pairs), -1)
+    model.curve = curve_of(evidence, np.asarray(pairs.column("toxic")), scale)
     return model
 
 
-def least_texts(n_toxic: int) -> int:
-    """Toxic texts that a unit must be found in."""
-    return max(3, n_toxic // 100)
-
-
-def cover(found, n_toxic: int, n_clean: int) -> list[str]:
-    """Units that explain the toxic texts, greedily: each explains the most of those that are left, in few clean ones."""
-    texts = {u: set(g) for u, g in found.groupby("unit")["doc_id"]}
-    clean = found.groupby("unit")["c"].first().to_dict()
-    least, out = least_texts(n_toxic), []
-    worth = lambda u: (len(texts[u]) - 2 * clean[u] * n_toxic / n_clean, not u.endswith("*"), len(u), u)
-    odds = {u: (len(t) + 0.5) / (n_toxic + 1) / ((clean[u] + 0.5) / (n_clean + 1)) for u, t in texts.items()}
-    held: list[tuple[str, set]] = []
-    for u in sorted((u for u in texts if odds[u] >= STRONG_ODDS and len(texts[u]) >= max(least, STRONG_SHARE * n_toxic)), key=worth, reverse=True):
-        stem = u.rstrip("*")
-        kin = [t for v, t in held if v.startswith(stem) or stem.startswith(v)]
-        if not any(len(texts[u] - t) < 0.1 * len(texts[u]) for t in kin):  # else a longer or shorter form of one that is held
-            held.append((stem, texts[u]))
-            out.append(u)
-    for _, gone in held:
-        texts = {u: left for u, t in texts.items() if len(left := t - gone) >= least}
-    while texts:
-        best = max(texts, key=worth)
-        gone = texts.pop(best)
-        out.append(best)
-        texts = {u: left for u, t in texts.items() if len(left := t - gone) >= least}
-    return out
+def machine(sample: DataFrame, model: Model | None) -> Model | None:
+    """The machine of the sample's sentences, refined by that of the round before; None if a class has no segments."""
 
-
-def fit(positives: list[tuple[bytes, int, float]], picks: list[str], negatives: list[bytes]) -> Model:
-    """Nyström features on landmarks from both classes, then the linear machine.
-
-    A positive segment stands for the toxic and the clean texts that it was found in, as examples of either class.
+    def segment_rows(batches):
+        for b in sliced(batches):
+            distinct, t, c, n = sentence_segments(b.column("content").cast(pa.large_string()), np.asarray(b.column("toxic")), model)
+            held = np.flatnonzero(n > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([distinct[k].decode() for k in held], pa.string()), *(pa.array(x[held]) for x in (t, c, n))], names=["segment", "t", "c", "n"])
+
+    found = sample.select("content", "toxic").mapInArrow(segment_rows, "segment string, t double, c double, n double")
+    seen = written(found.groupBy("segment").agg(*(F.sum(k).alias(k) for k in "tcn")), "toxicity-counts")
+    sums = seen.agg(*(F.sum(k).alias(k) for k in "tcn"), F.count(F.lit(1)).alias("rows")).first()
+    if not sums["t"] or not sums["c"]:
+        return None
+    each = sums["n"] / (sums["t"] + sums["c"])  # so that an occurrence weighs one on the average
+    clean = F.col("c") * (sums["t"] / sums["c"])
+    stems = [F.when(F.length("segment") > k, F.substring("segment", 1, k)) for k in STEMS]
+    units = seen.select(F.explode(F.array_distinct(F.array_compact(F.array("segment", *stems)))).alias("unit"), "segment", "t", "c")
+    units = units.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max(F.struct("t", "segment")).alias("most"))
+    uneven = (F.col("t") - clean) / F.sqrt(F.col("t") + clean + 3 / each)
+    units = units.select("unit", "most.segment", "t", clean.alias("c"), uneven.alias("uneven")).orderBy(F.col("uneven").desc(), "unit").limit(UNITS).collect()
+    marks = list(dict.fromkeys(w.encode()[:LONGEST] for r in units for w in (r["unit"], r["segment"])))
+    spelled = [r["segment"].encode() for r in units if r["segment"] == r["unit"] and r["t"] > 5 * r["c"]][:SPELLED]
+    told = sorted({r["segment"] for r in units})
+    common = seen.filter(~F.col("segment").isin(told)).orderBy((F.col("t") + F.col("c")).desc(), "segment").limit(COMMON).collect()
+    known = sorted({r["segment"] for r in common} | set(told))
+    others = seen.join(F.broadcast(seen.sparkSession.createDataFrame([(w,) for w in known], "segment string")), "segment", "left_anti")  # UNITS + COMMON rows
+    others = others.orderBy(F.md5("segment"), "segment").limit(OTHERS).collect()
+    share = (sums["rows"] - len(known)) / max(len(others), 1)
+    examples = [(r["segment"].encode(), r["t"], r["c"]) for r in seen.filter(F.col("segment").isin(told)).collect() + common]
+    examples += [(r["segment"].encode(), r["t"] * share, r["c"] * share) for r in others]
+    return fit(sorted(examples), marks, set(spelled), [r["segment"].encode() for r in common])
+
+
+def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled: set[bytes], common: list[bytes]) -> Model:
+    """Nyström features on landmarks, then the linear machine.
+
+    A segment stands for the toxic and the clean sentences that it was found in, as examples of either class. Those in
+    spelled give half of their weight to their variants.
     """
-    cut = [(w, t, c) for p, t, c in positives for w in windows_of(p)]
-    each = max(1, LANDMARKS // 2 // len(picks))
-    marks = [w for u in picks for w in [w for w, _, _ in cut if w.startswith(u.rstrip("*").encode())][:each]][: LANDMARKS // 2]
-    near = projected(negatives, feature_columns(marks)).max(1)
-    hard = [negatives[k] for k in np.argsort(-near, kind="stable")[: LANDMARKS // 4]]
-    plain = negatives[:: max(1, len(negatives) // (LANDMARKS // 4))][: LANDMARKS // 4]
-    columns = feature_columns(list(dict.fromkeys(marks + hard + plain)))
+    marks = [w for w in marks if len(w) >= 3]
+    columns = feature_columns(marks) if marks else np.zeros((LETTERS**3, 0))
+    alike, chosen, near = columns.T @ columns, [], np.zeros(len(marks))
+    for k in range(len(marks)):
+        if near[k] < ALIKE and len(chosen) < LANDMARKS * 2 // 3:
+            chosen.append(k)
+            near = np.maximum(near, alike[k])
+    left = LANDMARKS - len(chosen)
+    plain = [w[:LONGEST] for w in common[:: max(1, len(common) // left)]][:left]
+    columns = feature_columns(list(dict.fromkeys([marks[k] for k in chosen] + plain)))
     values, vectors = np.linalg.eigh(columns.T @ columns)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     basis = columns @ root  # features of a segment: its inner products with these columns
-    x, y, cost = [], [], []
-    for w, t, c in cut:
-        lures = [v for v in variants(w) if len(v) <= LONGEST]
-        for v, share in [(w, 0.5), *((v, 0.5 / len(lures)) for v in lures)]:
-            x += [v, v]
-            y += [1.0, -1.0]
-            cost += [t * share, c * share]
-    scale = 60_000 / sum(cost)
-    x += negatives
-    y += [-1.0] * len(negatives)
-    cost = [k * scale for k in cost] + [120_000 / len(negatives)] * len(negatives)
-    w = squared_hinge(projected(x, basis), np.array(y), np.array(cost))
+    x, cost = [], []
+    for s, t, c in examples:
+        lures = [v for v in variants(s) if len(v) <= LONGEST] if s in spelled else []
+        for w in windows_of(s):
+            x.append(w)
+            cost.append((t, c) if not lures else (t / 2, c / 2))
+        x += lures
+        cost += [(t / 2 / len(lures), c / 2 / len(lures)) for _ in lures]
+    cost = np.array(cost)
+    cost = cost / cost.sum(0) * COST
+    z = projected(x, basis)
+    w = squared_hinge(z, cost)
     return Model(basis @ w[:-1], float(w[-1]))
 
 
-def calibrated(value: np.ndarray, toxic: np.ndarray, scale: float) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through the values, lightly regularised; a clean row stands for scale rows."""
-    x = np.column_stack([value, np.ones(len(value))])
+def curve_of(evidence: np.ndarray, toxic: np.ndarray, scale: float) -> np.ndarray:
+    """Weights and offset of a logistic curve, lightly regularised; a clean row stands for scale rows."""
+    mean, spread = evidence.mean(0), evidence.std(0)
+    spread = np.where(spread > 1e-9, spread, np.inf)
+    x = np.column_stack([(evidence - mean) / spread, np.ones(len(evidence))])
     weight = np.where(toxic == 1, 1.0, scale)
     weight = weight / weight.sum()
-    w = np.array([1.0, 0.0])
-    pull = np.diag([1e-3, 1e-5])
+    w = np.zeros(x.shape[1])
+    pull = np.diag(np.append(np.full(len(mean), 3e-4), 1e-9))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - toxic)) + pull @ w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + pull
-        step = np.linalg.solve(hess, grad)
-        w = w - step * min(1, 2 / max(np.abs(step).max(), 1e-9))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull, x.T @ (weight * (p - toxic)) + pull @ w)
+        w = w - step * min(1, 4 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return max(float(w[0]), 1e-3), float(w[1])
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] / spread) @ mean)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
@@ -337,12 +379,11 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     keep: columns of the input to carry along instead of doc_id and held_out.
     """
-    key = (float(model.offset), float(model.weights.sum()), model.slope, model.shift)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LETTERS ** 3 weights
 
     def run(batches):
         for b in sliced(batches, "scored_content"):
-            p = shared.value.probability(text_values(b.column("scored_content").cast(pa.large_string()), shared.value, key))
+            p = shared.value.probability(text_evidence(b.column("scored_content").cast(pa.large_string()), shared.value))
             columns = [c for c in b.schema.names if c != "scored_content"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 

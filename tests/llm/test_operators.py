@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
 
+import itertools
 import collections
 import hashlib
 import random
@@ -301,6 +302,28 @@ def test_toxicity(spark):
     assert toxicity.score_texts(docs, nothing).agg(F.max("predicted")).first()[0] == 0
 
 
+def toxicity_rows(spark, make):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        ws = [rng.choice(words) for _ in range(40)]
+        for w in make(rng, i):
+            ws[rng.randrange(40)] = w
+        rows.append((i, ". ".join(" ".join(ws[k : k + 8]) for k in range(0, 40, 8)), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score_texts(docs, model).collect()}
+    return [(y, got[i]["predicted"], got[i]["held_out"]) for i, _, y in rows]
+
+
+def test_toxicity_by_repeated_evidence(spark):
+    """A stem that clean texts hold once and toxic ones several times."""
+    rows = toxicity_rows(spark, lambda rng, i: ["quabb" + rng.choice(["", "en", "lich", "er"]) for _ in range(5 if i % 4 == 0 else i % 2)])
+    held = [(y, p) for y, p, h in rows if h]
+    assert np.mean([p for y, p in held if y]) > 0.8 and np.mean([p for y, p in held if not y]) < 0.05
+
+
 def test_empty_tables(docs):
     P = pytest.importorskip("public_tokenizers")
     none = empty(docs)
