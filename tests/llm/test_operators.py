@@ -324,6 +324,14 @@ def test_toxicity_by_repeated_evidence(spark):
     assert np.mean([p for y, p in held if y]) > 0.8 and np.mean([p for y, p in held if not y]) < 0.05
 
 
+def test_toxicity_by_rare_insults(spark):
+    """Insults that are each in one or two of the toxic texts still teach the machine."""
+    insults = ["".join(c) for c in itertools.islice(itertools.product("kpz", "yw", "gk", "bdvz", "yw", "kx"), 150)]
+    rows = toxicity_rows(spark, lambda rng, i: [insults[i // 4 % 150]] * 3 if i % 4 == 0 else [])
+    taught = [(y, p) for y, p, h in rows if not h]
+    assert np.mean([p for y, p in taught if y]) > 0.8 and np.mean([p for y, p in taught if not y]) < 0.05
+
+
 def test_empty_tables(docs):
     P = pytest.importorskip("public_tokenizers")
     none = empty(docs)
