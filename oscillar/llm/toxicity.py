@@ -329,15 +329,16 @@ def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled:
     spelled give half of their weight to their variants.
     """
     marks = [w for w in marks if len(w) >= 3]
-    columns = feature_columns(marks) if marks else np.zeros((LETTERS**3, 0))
-    alike, chosen, near = columns.T @ columns, [], np.zeros(len(marks))
-    for k in range(len(marks)):
-        if near[k] < ALIKE and len(chosen) < LANDMARKS * 2 // 3:
-            chosen.append(k)
-            near = np.maximum(near, alike[k])
+    held, chosen = np.zeros((LANDMARKS, LETTERS**3)), []
+    for w in marks:  # one column at a time: all of them would take much of the driver's memory
+        column = feature_columns([w])[:, 0]
+        if len(chosen) < LANDMARKS * 2 // 3 and (not chosen or (held[: len(chosen)] @ column).max() < ALIKE):
+            held[len(chosen)] = column
+            chosen.append(w)
+    del held
     left = LANDMARKS - len(chosen)
     plain = [w[:LONGEST] for w in common[:: max(1, len(common) // left)]][:left]
-    columns = feature_columns(list(dict.fromkeys([marks[k] for k in chosen] + plain)))
+    columns = feature_columns(list(dict.fromkeys(chosen + plain)))
     values, vectors = np.linalg.eigh(columns.T @ columns)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     basis = columns @ root  # features of a segment: its inner products with these columns
