@@ -12,16 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-ASCII_SPACES = b" \t\n\x0b\x0c\r"
+#: names of so many files (some 20 MB) are broadcast; more of them are joined.
+MOST_FILES = 100_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (local tests) a folder of this machine is used.
+    Only a local session may lack the setting; it gets a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +35,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written() tables that nothing reads any more."""
+    for t in tables:
+        fs, path = filesystem(t.written_to)
+        fs.delete_dir(path)
+
+
+def join_counted(rows: DataFrame, live: DataFrame, on: list[str], share: int = 1000) -> DataFrame:
+    """rows joined with live, which has a row for each key and the number n of rows that hold it.
+
+    Keys of more than one in `share` rows (fewer than `share` keys, so they may be broadcast) leave their rows where they lie;
+    all others meet by a shuffle. Neither side may be expensive to read twice.
+    """
+    from pyspark.sql import functions as F
+
+    most = live.agg(F.sum("n")).first()[0] or 0
+    hot = [live.filter(F.col("n") * share > most), live.filter(F.col("n") * share <= most)]
+    if hot[0].isEmpty():
+        return rows.join(live.drop("n"), on)
+    few = F.broadcast(hot[0].drop("n"))
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(hot[0].select(*on)), on, "left_anti").join(hot[1].drop("n"), on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +82,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     if plan.nodeName() not in ("LogicalRelation", "Relation") and not plan.nodeName().startswith("LogicalRelation"):
         docs = written(docs, "keyed")
     path = F.col("_metadata.file_path")
-    files = docs.select(path.alias("path_")).distinct()
+    files = written(docs.select(path.alias("path_")).distinct(), "files")
     files = files.select("path_", (F.row_number().over(Window.orderBy(F.length("path_"), "path_")) - 1).cast("long").alias("file_"))
     rows = docs.select("*", path.alias("path_"), F.col("_metadata.row_index").alias("at_"))
-    rows = rows.join(F.broadcast(files), "path_")  # a row for each file
+    few = files.count() <= MOST_FILES
+    rows = rows.join(F.broadcast(files) if few else files, "path_")
     return rows.select(*docs.columns, (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
 
 
@@ -128,27 +157,17 @@ class WordHashes:
         self.words = flat if keep_words else None
 
 
-def window_hashes(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """Hashes of all windows of so many consecutive elements, by doubling."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    size, cur = 1, mix(h + U64(salt))
-    while 2 * size <= width:
-        cur = pair_hash(cur[:-size], cur[size:], salt)
-        size *= 2
-    if size < width:
-        cur = pair_hash(cur[: len(cur) - (width - size)], cur[width - size :], salt + 1)
-    return cur[:n]
-
+def sliced(batches, column: str | int = "content", most_bytes: int = 4 << 20):
+    """Record batches cut so that a slice holds a few MB, or one row; bounds what a task holds.
 
-def sliced(batches, column: str = "content", most_bytes: int = 4 << 20):
-    """Record batches cut so that a slice holds a few MB of text, or one row; bounds what a task holds."""
+    column: the texts, or the bytes of each row as numbers.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-        ends = np.cumsum(sizes)
+        held = batch.column(column)
+        sizes = held if pa.types.is_integer(held.type) else pc.binary_length(held)
+        ends = np.cumsum(np.asarray(pc.fill_null(sizes, 0)).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
@@ -157,14 +176,6 @@ def sliced(batches, column: str = "content", most_bytes: int = 4 << 20):
             at = to
 
 
-def packed(texts: pa.Array, level: int = 3) -> pa.Array:
-    """Each text as a Zstandard frame, for texts that have to cross a shuffle."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=level)
-    return pa.array([squeeze.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())
-
-
 def unpacked(frames: pa.Array) -> list[bytes]:
     import zstandard
 
@@ -173,21 +184,23 @@ def unpacked(frames: pa.Array) -> list[bytes]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, content (null: empty), and d with th: a key of the row that is never null.
-
-    Rows that share id and text share the key; what is derived from the text alone may be handed around by it.
-    """
+    """doc_id, content (null: empty) and row, a number of its own for each row, whatever its id and text."""
     from pyspark.sql import functions as F
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"))
-    return rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(2**63))), "th": F.hash("content")})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("content")))
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
-    """d, th, frame: the texts of identified() rows, compressed before they are shuffled."""
+    """row, doc_id, frame, size: the texts of identified() rows as Zstandard frames, for a shuffle; size: bytes of the text."""
 
     def squeeze(batches):
+        import zstandard
+
+        squeezer = zstandard.ZstdCompressor(level=3)
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("th"), packed(b.column("content"))], names=["d", "th", "frame"])
+            texts = [t.encode() for t in b.column("content").to_pylist()]
+            frames = pa.array([squeezer.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), frames, pa.array([len(t) for t in texts], pa.int64())], names=["row", "doc_id", "frame", "size"])
 
-    return rows.select("d", "th", "content").mapInArrow(squeeze, "d long, th int, frame binary")
+    return rows.select("row", "doc_id", "content").mapInArrow(squeeze, "row long, doc_id long, frame binary, size long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import written
+from oscillar.llm.common import discard, written
 
 
 def components(edges: DataFrame, kind: str) -> DataFrame:
@@ -25,12 +25,15 @@ def components(edges: DataFrame, kind: str) -> DataFrame:
         own = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("to"))
         step = written(near.select("node", F.least("low", own).getField("to").alias("to")), "hops")
         if roots is None:
-            roots = step.withColumnRenamed("to", "root")
+            roots = written(step.withColumnRenamed("to", "root"), "roots")
         else:
-            roots = roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots = written(roots, "roots")
+            before = roots
+            roots = written(roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            discard(before)
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = written(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = written(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(edges, step)
+        edges = left
         turn += 1
     if roots is None:
         return spark.createDataFrame([], f"node {kind}, root {kind}")

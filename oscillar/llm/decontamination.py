@@ -3,7 +3,7 @@
 Benchmark windows are sets of word shingles. Shingles are ordered by their rarity in the documents; as a window must be
 contained whole, its necessary prefix is its one rarest shingle, and documents join on it. A candidate has to lie inside a
 region of benchmark shingles at the place that the prefix shingle's position gives (length and positional bounds) and is then
-verified word by word over the window. Documents are read once, through a bitmap of benchmark shingles of fixed size.
+verified word by word over the window. Documents are read once, through a bitmap of the benchmark's shingles.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import WordHashes, identified, pair_hash, sliced, table, written
+from oscillar.llm.common import WordHashes, identified, join_counted, pair_hash, sliced, table, written
 
 WIDTH = 10
 SHINGLE = 3
-#: bits of the broadcast bitmap, whatever the benchmark's size; a fuller bitmap passes more regions on, and the join decides.
-BITMAP_BITS = 1 << 23
+#: least and most bits of the broadcast bitmap, a power of two from 16 bits a shingle; a fuller bitmap passes more regions
+#: on, and the join decides.
+BITMAP_BITS = 1 << 23, 1 << 27
 #: bytes: A-Z in lower case; digits, a-z and all bytes beyond ASCII are word bytes, the rest is space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -61,13 +62,12 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, width: int)
 
 
 def regions(rows: DataFrame, bitmap: bytes, widths: list[int], least: int) -> DataFrame:
-    """d, th, start, words, grams of the stretches of a text whose shingles may all be benchmark shingles; n in every text's own row.
+    """row, doc_id, n_words, start, words, grams, gram_width: the stretches of a text whose shingles may all be benchmark shingles.
 
-    Widths: the shingle widths that occur; least: the words of the shortest window. Stretches of different widths are rows
-    of their own.
+    Every row gives one output row of its own with its number of words and no start, too. Widths: the shingle widths that
+    occur; least: the words of the shortest window. Stretches of different widths are rows of their own.
     """
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap)  # BITMAP_BITS / 8 bytes
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP_BITS / 8 bytes at most
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -80,7 +80,7 @@ def regions(rows: DataFrame, bitmap: bytes, widths: list[int], least: int) -> Da
                 grams = shingles(w.hashes, width)
                 if not len(grams):
                     continue
-                slot = grams % np.uint64(BITMAP_BITS)
+                slot = grams & np.uint64(8 * len(bits) - 1)
                 hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 hit &= doc[: len(grams)] == doc[width - 1 :]
                 at = np.flatnonzero(hit)
@@ -90,20 +90,34 @@ def regions(rows: DataFrame, bitmap: bytes, widths: list[int], least: int) -> Da
                 first, last = at[np.append(0, breaks)], at[np.append(breaks, len(at)) - 1]
                 long_enough = (last - first + width >= least) if width == SHINGLE else (n[doc[first]] > 0)
                 found += [(doc[f], f - w.starts[doc[f]], w.words[int(f) : int(l) + width], grams[f : l + 1].view(np.int64), width) for f, l in zip(first[long_enough], last[long_enough], strict=True)]
-            take = pa.array([int(x[0]) for x in found], pa.int64())
+            take = pa.array([*range(b.num_rows), *(int(x[0]) for x in found)], pa.int64())
+            none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("d").take(take),
-                    b.column("th").take(take),
-                    pa.array([int(x[1]) for x in found], pa.int32()),
-                    pa.array([x[2].to_pylist() for x in found], pa.list_(pa.string())),
-                    pa.array([x[3] for x in found], pa.list_(pa.int64())),
-                    pa.array([x[4] for x in found], pa.int32()),
+                    b.column("row").take(take),
+                    b.column("doc_id").take(take),
+                    pa.array(n, pa.int64()).take(take),
+                    pa.array(none + [int(x[1]) for x in found], pa.int32()),
+                    pa.array(none + [x[2].to_pylist() for x in found], pa.list_(pa.string())),
+                    pa.array(none + [x[3] for x in found], pa.list_(pa.int64())),
+                    pa.array(none + [x[4] for x in found], pa.int32()),
                 ],
-                names=["d", "th", "start", "words", "grams", "gram_width"],
+                names=["row", "doc_id", "n_words", "start", "words", "grams", "gram_width"],
             )
 
-    return rows.select("d", "th", "content").mapInArrow(run, "d long, th int, start int, words array<string>, grams array<bigint>, gram_width int")
+    return rows.select("row", "doc_id", "content").mapInArrow(run, "row long, doc_id long, n_words long, start int, words array<string>, grams array<bigint>, gram_width int")
+
+
+def bitmap_of(grams: DataFrame) -> bytes:
+    """One bit for each hash of the column gram, by its lowest bits."""
+    least, most = BITMAP_BITS
+    bits = min(max(least, 1 << (16 * grams.count()).bit_length()), most)
+    bitmap = np.zeros(bits // 8, np.uint8)
+    slots = grams.select(F.col("gram").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
+    for b in slots.toArrow().to_batches():  # a row for each bit at most
+        at = np.asarray(b.column(0))
+        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bitmap.tobytes()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WIDTH) -> DataFrame:
@@ -113,54 +127,46 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     the same text count each. Rows that repeat a document are judged each by itself and come out alike. Documents or a
     benchmark without rows give no hits. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     rows = identified(docs, id_col, text_col)
-    windows = benchmark_windows(items, item_col, "text", width)
-    kinds = shingled(windows.select("words").distinct(), "words", "grams")
-    kinds = written(kinds.withColumn("wid", F.xxhash64("words")), "bench-windows")
+    windows = written(benchmark_windows(items, item_col, "text", width).withColumn("wid", F.md5(F.array_join("words", " "))), "bench-owners")
+    kinds = written(shingled(windows.select("wid", "words").distinct(), "words", "grams"), "bench-windows")
     span = kinds.agg(F.min(F.size("words")).alias("least"), F.collect_set(F.least(F.size("words"), F.lit(SHINGLE))).alias("widths")).first()
-    grams = kinds.select(F.explode("grams").alias("gram")).distinct()
-    slots = grams.select(F.pmod(F.expr(f"cast(pmod(gram, {BITMAP_BITS}) as bigint)"), F.lit(BITMAP_BITS)).alias("slot")).distinct()
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for b in slots.toArrow().to_batches():  # at most BITMAP_BITS rows
-        at = np.asarray(b.column(0))
-        np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    found = written(regions(rows, bitmap.tobytes(), sorted(span["widths"] or []), span["least"] or 1), "bench-regions")
+    bitmap = bitmap_of(kinds.select(F.explode("grams").alias("gram")).distinct())
+    found = written(regions(rows, bitmap, sorted(span["widths"] or []), span["least"] or 1), "bench-regions")
+    # every place of a region with the words that a window over it may hold
+    places = found.filter("start IS NOT NULL").select("row", "start", "words", F.posexplode("grams").alias("at", "gram"))
+    low = F.greatest(F.col("at") - (width - 1), F.lit(0))
+    places = places.select("row", "gram", "at", low.alias("low"), (F.col("start") + low).alias("from_low"), F.slice("words", low + 1, 2 * width).alias("words"))
     # rarity of the benchmark's shingles in the documents
-    held = found.select("d", "th", "start", F.posexplode("grams").alias("at", "gram"))
-    rarity = held.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    rarity = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     parts = kinds.select("wid", "words", F.posexplode("grams").alias("offset", "gram"))
-    prefix = parts.join(rarity, "gram", "left").groupBy("wid", "words").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "offset", "gram")).alias("rarest"))
-    prefix = written(prefix.filter("rarest.seen > 0").select("wid", F.col("words").alias("w_words"), "rarest.offset", "rarest.gram"), "bench-prefixes")
-    met = found.select("d", "th", "start", "words", F.posexplode("grams").alias("at", "gram")).join(prefix, "gram")
-    first = F.col("at") - F.col("offset")
-    met = met.filter((first >= 0) & (first + F.size("w_words") <= F.size("words")))
-    met = met.filter(F.slice("words", first + 1, F.size("w_words")) == F.col("w_words"))
-    hits = written(met.select("d", "th", (F.col("start") + first).alias("from"), (F.col("start") + first + F.size("w_words")).alias("to"), "w_words"), "bench-hits")
-    spans = hits.groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "gram"))
+    prefix = parts.join(rarity, "gram", "left").groupBy("wid", "words").agg(rarest.alias("rarest")).filter("rarest.n > 0")
+    prefix = written(prefix.select("wid", F.col("words").alias("w_words"), "rarest.offset", "rarest.gram", "rarest.n"), "bench-prefixes")
+    met = join_counted(places, prefix, ["gram"])
+    first, size = F.col("at") - F.col("offset") - F.col("low"), F.size("w_words")
+    met = met.filter((first >= 0) & (first + size <= F.size("words"))).filter(F.slice("words", first + 1, size) == F.col("w_words"))
+    hits = written(met.select("row", "wid", (F.col("from_low") + first).alias("from"), (F.col("from_low") + first + size).alias("to")), "bench-hits")
+    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["upto"], s["to"]).alias("upto"), (a["n"] + F.greatest(s["to"] - F.greatest(a["upto"], s["from"]), F.lit(0))).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    spans = spans.select("d", "th", covered.alias("n_hit"))
-    owners = windows.select("item", F.col("words").alias("w_words")).distinct()
-    named = hits.select("d", "th", "w_words").distinct().join(owners, "w_words").filter("item IS NOT NULL").select("d", "th", "item").distinct()
-    named = named.groupBy("d", "th").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
-    sizes = word_counts(rows)
-    out = sizes.join(spans, ["d", "th"], "left").join(named, ["d", "th"], "left")
+    spans = spans.select("row", covered.alias("n_hit"))
+    met_kinds = written(hits.select("row", "wid").distinct(), "bench-met")
+    owners = windows.filter("item IS NOT NULL").select("item", "wid").distinct().join(met_kinds.groupBy("wid").agg(F.count(F.lit(1)).alias("n")), "wid")
+    named = join_counted(met_kinds, written(owners, "bench-named"), ["wid"]).select("row", "item").distinct()
+    named = named.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
+    sizes = found.filter("start IS NULL").select("row", "doc_id", "n_words")
+    out = sizes.join(spans, "row", "left").join(named, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """doc_id, d, th, n_words by built-in functions."""
-    return rows.select("doc_id", "d", "th", F.regexp_count("content", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-
-
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

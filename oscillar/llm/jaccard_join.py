@@ -1,12 +1,12 @@
 """N-gram Jaccard join as a blocked sparse matrix product of the document by n-gram incidence.
 
-The incidence matrix is cut into column blocks. Sizes bound how far two linked rows can differ; with more column blocks than
-that, two linked rows are equal in at least one block, so pairs that share no block content lie below the bound and are
-never multiplied. Rows that do share one form clusters; a cluster is cut into row blocks, and each pair of row blocks is one
-task's product, whose overlap counts are held against the bound of the pair's sizes. A task returns a spanning forest of the
-links that it finds and their number for each row, not the pairs.
-
-Rows with equal sets are one class from the start, and all else is done once for each class.
+Rows of the matrix are the distinct sets, so copies cost nothing. Sizes bound how far two linked rows can differ, and that
+bound is used three times to discard what can't be linked: a row whose first columns (in the order of their hashes) are
+mostly its own has no partner; of enough column blocks two linked rows are equal in at least one, so rows that share no
+block are not multiplied; and within the product a pair goes as soon as its accumulated overlap and what is left of the two
+rows stay below the overlap that their sizes ask for. What remains forms clusters; a cluster is cut into row blocks, and each
+pair of row blocks is one task's product, which accumulates the overlap counts column block by column block. A task returns
+a spanning forest of the links that it finds and their number for each row, not the pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import U64, WordHashes, identified, mix, packed_texts, pair_hash, sliced, table, unpacked, written
+from oscillar.llm.common import U64, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, sliced, table, unpacked, written
 from oscillar.llm.components import components
 
 NGRAM = 3
 #: links at 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: rows of a row block; a task multiplies two of them.
-BLOCK_ROWS = 128
+#: bounds of a row block: its rows and their elements; a task multiplies two row blocks.
+BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
+#: columns of a column block.
+BLOCK_COLUMNS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -78,58 +80,99 @@ def ngram_sets(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]
     return grams, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def signatures(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of one set: two linked sets that differ share at least one."""
-    n = len(grams)
+def prefix_sizes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(m, c): of a set's first m elements in the common order, at least c are among the first ones of any linked set, too.
+
+    Linked sets differ in at most (a + b) * (100 - percent) / (100 + percent) elements, and a set has at most so many elements
+    before a shared one as the other set has before it and this difference. With m(x) >= mu * x + 1 (or all), the shared ones
+    of both prefixes are m(b) - difference, which is least for the smallest linked b, percent * a / 100; mu is 7 / 4 of
+    (100 - percent) / 100, so c = (percent * mu / 100 - (100 - percent) / 100) * a.
+    """
+    apart, gain = 100 - percent, 7 * percent - 400
+    if gain < 0:
+        return n, np.minimum(n, 1)
+    return np.minimum(n, -(-7 * apart * n // 400) + 1), np.minimum(n, np.maximum(1, apart * gain * n // 40_000))
+
+
+def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of each set, flat, and each set's first: two linked sets that differ share at least one.
+
+    at: the first element of each set, and the end.
+    """
+    n = np.diff(at)
     h = mix(grams)
-    classes = size_classes(max(2 * n, 64), percent)
+    sums = np.append(U64(0), np.cumsum(h, dtype=U64))
+    totals = sums[at[1:]] - sums[at[:-1]]
+    classes = size_classes(max(2 * int(n.max(initial=0)), 64), percent)
     small = classes[0][0] - 1  # up to here linked sets differ in one element
-    out = []
-    if n <= small and 100 * (n - 1) >= percent * n or n < small and 100 * n >= percent * (n + 1):
-        total = np.sum(h, dtype=U64)
-        out.append(np.append(total - h, total) if 100 * (n - 1) >= percent * n else np.array([total], U64))
-        out[-1] = mix(out[-1] ^ U64(0x5851F42D4C957F2D))
+    shrinks, grows = (n > 0) & (n <= small) & (100 * (n - 1) >= percent * n), (n > 0) & (n < small) & (100 * n >= percent * (n + 1))
+    own = np.repeat(np.arange(len(n)), n)
+    salt = U64(0x5851F42D4C957F2D)
+    part = np.flatnonzero(shrinks[own])
+    found = [mix((totals[own[part]] - h[part]) ^ salt), mix(totals[shrinks | grows] ^ salt)]
+    owners = [own[part], np.flatnonzero(shrinks | grows)]
+    block_hash, weight = (h >> U64(11)), mix(h)
     for first, last, blocks, spare in classes:
-        if last < n:
+        sets = np.flatnonzero((n > 0) & (n <= last) & ((n >= first) | (100 * n >= percent * first)))
+        if not len(sets):
             continue
-        if n < first and 100 * n < percent * first:
-            break
-        block = (h >> U64(11)) % U64(blocks)
-        block = block.astype(np.int64)
-        sums = np.zeros(blocks, U64)
-        np.add.at(sums, block, mix(h))
-        full = np.bincount(block, minlength=blocks) > 0
-        pick = np.flatnonzero(full) if blocks - int(full.sum()) <= spare else np.arange(blocks)
-        out.append(pair_hash(sums[pick], mix(pick.astype(U64) + U64(first) * U64(1 << 20)), 5))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+        place = np.full(len(n), -1)
+        place[sets] = np.arange(len(sets))
+        mine = np.flatnonzero(place[own] >= 0)
+        slot = place[own[mine]] * blocks + (block_hash[mine] % U64(blocks)).astype(np.int64)
+        sums = np.zeros(len(sets) * blocks, U64)
+        np.add.at(sums, slot, weight[mine])
+        full = np.bincount(slot, minlength=len(sums)).reshape(len(sets), blocks) > 0
+        full |= (blocks - full.sum(1) > spare)[:, None]  # empty blocks speak for themselves where they are many
+        pick = np.flatnonzero(full.ravel())
+        found.append(pair_hash(sums[pick], mix((pick % blocks).astype(U64) + U64(first) * U64(1 << 20)), 5))
+        owners.append(sets[pick // blocks])
+    found, owners = np.concatenate(found), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return found[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
+
+
+def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
 def set_rows(rows: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
-    """doc_id, d, th, n, fp (128-bit fingerprint of the set; null without words), node (64 bits of it), sigs."""
+    """doc_id, row, n, fp (128-bit fingerprint of the set; null without words), prefix, m and c of prefix_sizes()."""
 
     def run(batches):
         for b in sliced(batches):
             grams, at = ngram_sets(b.column("content"), words)
             n = np.diff(at)
-            fps, nodes, sigs = [], [], []
-            for i in range(b.num_rows):
-                g = grams[at[i] : at[i + 1]]
-                digest = hashlib.md5(g.tobytes()).digest() if len(g) else None
-                fps.append(digest)
-                nodes.append(int.from_bytes(digest[:8], "little", signed=True) if digest else None)
-                sigs.append(signatures(g, percent).view(np.int64))
+            fps = [hashlib.md5(grams[lo:hi].tobytes()).digest() if hi > lo else None for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            m, c = prefix_sizes(n, percent)
+            ends = np.cumsum(m)
+            first = grams[np.repeat(at[:-1] - ends + m, m) + np.arange(int(ends[-1]))]  # an order of hashes is as good as any
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("row"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), lists(first, np.append(0, ends)), pa.array(m, pa.int64()), pa.array(c, pa.int64())],
+                names=["doc_id", "row", "n", "fp", "prefix", "m", "c"],
+            )
+
+    return rows.select("doc_id", "row", "content").mapInArrow(run, "doc_id long, row long, n long, fp binary, prefix array<bigint>, m long, c long")
+
+
+def signed_sets(texts: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
+    """node, copies, n, grams and sigs of packed texts."""
+
+    def run(batches):
+        for b in sliced(batches, "size"):
+            grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("d"), b.column("th"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["doc_id", "d", "th", "n", "fp", "node", "sigs"],
+                [b.column("row"), b.column("copies"), pa.array(np.diff(at), pa.int64()), lists(grams, at), lists(*signatures(grams, at, percent))], names=["node", "copies", "n", "grams", "sigs"]
             )
 
-    return rows.select("doc_id", "d", "th", "content").mapInArrow(run, "doc_id long, d long, th int, n long, fp binary, node long, sigs array<bigint>")
+    return texts.select("row", "copies", "frame", "size").mapInArrow(run, "node long, copies long, n long, grams array<bigint>, sigs array<bigint>")
 
 
 def product(sets: list[np.ndarray], left: int, cross: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i < j) of a block pair: of all rows, or across the first `left` rows and the others.
 
-    Overlaps are accumulated over chunks of the columns that more than one row has.
+    Overlaps are accumulated over blocks of the columns that more than one row has. After each, the pairs that can't reach
+    the overlap which their sizes ask for are discarded, and rows without a pair are multiplied no further.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     cols = np.concatenate(sets)
@@ -138,22 +181,30 @@ def product(sets: list[np.ndarray], left: int, cross: bool, percent: int = PERCE
     several = seen[col] > 1
     number = np.cumsum(seen > 1) - 1
     row, col = row[several], number[col[several]]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        lo, hi = np.searchsorted(col, [first, first + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[lo:hi], col[lo:hi] - first] = 1
-        overlap += part @ part.T
-    o = np.rint(overlap).astype(np.int64)
-    linked = 100 * o >= percent * (sizes[:, None] + sizes[None, :] - o)
-    linked = np.triu(linked, 1)
+    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
+    alive = np.triu(np.ones(need.shape, bool), 1)
     if cross:
-        linked[:left, :left] = False
-        linked[left:, left:] = False
-    return np.nonzero(linked)
+        alive[:left, :left] = False
+        alive[left:, left:] = False
+    rest = np.bincount(row, minlength=len(sets))
+    overlap = np.zeros(need.shape, np.float32)
+    alive &= np.minimum(rest[:, None], rest[None, :]) >= need
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, BLOCK_COLUMNS):
+        rows = np.flatnonzero(alive.any(0) | alive.any(1))
+        if not len(rows):
+            break
+        lo, hi = np.searchsorted(col, [first, first + BLOCK_COLUMNS])
+        place = np.full(len(sets), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[row[lo:hi]]
+        part = np.zeros((len(rows), BLOCK_COLUMNS), np.float32)
+        part[mine[mine >= 0], col[lo:hi][mine >= 0] - first] = 1
+        overlap[np.ix_(rows, rows)] += part @ part.T
+        rest -= np.bincount(row[lo:hi], minlength=len(sets))
+        alive &= np.rint(overlap) + np.minimum(rest[:, None], rest[None, :]) >= need
+    return np.nonzero(alive)
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -175,38 +226,36 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(blocks: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
-    """a, b, links: edges (b not null) and for each class its number of linked rows in the block pair (b null).
+def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, links: edges (b not null) and for each row of the matrix its number of linked rows in the block pair (b null).
 
-    Input: rows of root, p, q (a block pair of a cluster), side (0: of block p), fp, copies, frame, sorted by root, p, q.
+    Input: rows of root, p, q (a block pair of a cluster), side (0: of block p), node, copies, grams, sorted by root, p, q.
     """
 
     def flush(key, held):
-        held.sort(key=lambda x: x[0])
-        sets = [s for _, _, _, s in held]
+        held.sort(key=lambda x: x[:2])
+        sets = [s for *_, s in held]
         left = sum(1 for side, *_ in held if side == 0)
         i, j = product(sets, left, key[1] != key[2], percent)
         copies = np.array([c for _, _, c, _ in held], np.int64)
         links = np.zeros(len(held), np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        fps = [f for _, f, _, _ in held]
-        edges = [(fps[a], fps[b], 0) for a, b in forest(i, j, len(held))]
-        return edges + [(fps[k], None, int(links[k])) for k in np.flatnonzero(links)]
+        nodes = [f for _, f, _, _ in held]
+        edges = [(nodes[a], nodes[b], 0) for a, b in forest(i, j, len(held))]
+        return edges + [(nodes[k], None, int(links[k])) for k in np.flatnonzero(links)]
 
     def run(batches):
-        key, held, seen, out = None, [], set(), []
-        for b in sliced(batches, "frame", 1 << 20):
-            grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
-            cols = [b.column(c).to_pylist() for c in ("root", "p", "q", "side", "fp", "copies")]
-            for k, (root, p, q, side, fp, copies) in enumerate(zip(*cols, strict=True)):
+        key, held, out = None, [], []
+        for b in batches:
+            at = np.asarray(b.column("grams").offsets)
+            grams = b.column("grams").values.to_numpy().view(U64)
+            cols = [b.column(c).to_pylist() for c in ("root", "p", "q", "side", "node", "copies")]
+            for k, (root, p, q, side, node, copies) in enumerate(zip(*cols, strict=True)):
                 if (root, p, q) != key:
                     out += flush(key, held) if len(held) > 1 else []
-                    key, held, seen = (root, p, q), [], set()
-                if fp in seen:  # a row that repeats the class's first one
-                    continue
-                seen.add(fp)
-                held.append((side, fp, copies, grams[at[k] : at[k + 1]].copy()))
+                    key, held = (root, p, q), []
+                held.append((side, node, copies, grams[at[k] : at[k + 1]].copy()))
             if len(out) > 20_000:
                 yield rows_of(out)
                 out = []
@@ -214,9 +263,23 @@ def block_links(blocks: DataFrame, percent: int = PERCENT, words: int = NGRAM) -
         yield rows_of(out)
 
     def rows_of(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["a", "b", "links"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "links"])
+
+    return blocks.mapInArrow(run, "a long, b long, links long")
+
 
-    return blocks.mapInArrow(run, "a binary, b binary, links long")
+def candidates(kept: DataFrame, group_rows: int) -> DataFrame:
+    """node, root: rows of equal root share a column block, directly or by way of others, and have to be multiplied."""
+    signed = kept.select("node", F.explode("sigs").alias("sig"))
+    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    shared = written(shared.filter("lead < other").drop("other"), "jaccard-shared")
+    chained = shared.filter(F.col("n") > group_rows)
+    near = join_counted(signed, chained.select("sig", "lead", "n"), ["sig"]).filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    found = components(near, "bigint")
+    if group_rows:
+        few = shared.filter(F.col("n") <= group_rows).groupBy("n", "members", "lead").agg(F.min("sig").alias("sig")).select("sig")
+        found = found.unionByName(signed.join(few, "sig").select("node", F.col("sig").alias("root")))
+    return found
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM, group_rows: int = 0) -> DataFrame:
@@ -233,41 +296,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = identified(docs, id_col, text_col)
     sets = written(set_rows(rows, percent, words), "jaccard-sets")
-    classes = sets.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "th")).alias("one"), F.min("node").alias("node"))
-    classes = written(classes, "jaccard-classes")
-    signed = sets.filter("fp IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("other")).filter("lead < other").select("sig", "lead")
-    met = signed.join(shared, "sig")
-    if group_rows:
-        met = written(met.select("sig", "lead", "node").distinct(), "jaccard-met")
-        groups = met.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least"))
-        few = groups.filter(F.col("size") <= group_rows).groupBy("size", "members", "least").agg(F.min("sig").alias("sig")).select("sig")
-        own = met.join(few, "sig").select("node", F.col("sig").alias("root"))
-        met = met.join(groups.filter(F.col("size") > group_rows).select("sig"), "sig")
-    near = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    clusters = components(near, "bigint")
-    if group_rows:
-        clusters = clusters.unionByName(own)
-    members = classes.join(clusters, "node").select("root", "fp", "copies", "one.d", "one.th")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / block_rows).cast("int"))
-    members = members.withColumn("at", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).drop("m")
-    texts = packed_texts(rows).join(members, ["d", "th"])
+    some = sets.filter("fp IS NOT NULL")
+    classes = some.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "m", "c")).alias("one"))
+    classes = written(classes.select("fp", "least", "copies", "one.row", "one.m", "one.c"), "jaccard-classes")
+    held = some.select("row", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("row").alias("row"), F.max("row").alias("other"))
+    alone = held.filter("row = other").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    alike = classes.join(alone, "row", "left").filter(F.col("m") - F.coalesce("alone", F.lit(0)) >= F.col("c")).select("row", "copies")
+    kept = written(signed_sets(packed_texts(rows).join(alike, "row"), percent, words), "jaccard-kept")
+    clusters = written(candidates(kept, group_rows), "jaccard-clusters")
+    members = clusters.join(kept.select("node", "n"), "node")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    members = join_counted(clusters, sizes, ["root"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    full = kept.select("node", "copies", "grams").join(members, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = texts.withColumn("o", other).select(
-        "root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side"), "fp", "copies", "frame"
-    )
+    pairs = full.withColumn("o", other).select("root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side"), "node", "copies", "grams")
     dealt = pairs.repartition(F.col("root"), F.col("p"), F.col("q")).sortWithinPartitions("root", "p", "q")
-    links = written(block_links(dealt, percent, words), "jaccard-links")
-    roots = components(links.filter("b IS NOT NULL").select("a", "b"), "binary")
-    counts = links.filter("b IS NULL").groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    known = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(counts, "fp", "left")
-    known = known.select("fp", F.coalesce("root", "fp").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = written(known.join(least, "root").select("fp", "component_id", "n_links"), "jaccard-known")
+    links = written(block_links(dealt, percent), "jaccard-links")
+    roots = components(links.filter("b IS NOT NULL").select("a", "b"), "bigint").withColumnRenamed("node", "row")
+    counts = links.filter("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    known = classes.join(roots, "row", "left").join(counts, "row", "left")
+    known = known.select("fp", F.coalesce("root", "row").alias("root"), "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    known = join_counted(known, written(least, "jaccard-least"), ["root"])
+    known = written(known.select("fp", "component_id", "n_links", F.col("copies").alias("n")), "jaccard-known")
+    discard(kept, clusters)
     ids = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp")
     lone = ids.filter("fp IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = ids.join(known, "fp").select("doc_id", "n_shingles", "component_id", "n_links").unionByName(lone)
+    out = join_counted(ids, known, ["fp"]).select("doc_id", "n_shingles", "component_id", "n_links").unionByName(lone)
     return out.drop("n_links") if group_rows else out
 
 

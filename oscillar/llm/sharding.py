@@ -7,7 +7,6 @@ finds its shard by its rank on the ring. Ranks come from fixed-width bins of the
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import table
+from oscillar.llm.common import identified, table
 
 RING_BITS = 60
 VIRTUAL_NODES = 64
@@ -83,37 +82,27 @@ def place(keys: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, slac
     return out.select(*others, "shard", (F.col("first_slot") + F.col("rank") - F.col("rank_from")).alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; law rows: counts at most one apart.
 
     size is the text's UTF-8 bytes plus 1, and a null text has no bytes and the checksum 0. The key is the id; rows without
-    an id are spread by their text. Repeated rows tie and take neighbouring slots. An empty table gives an empty result.
-    Extra columns are ignored.
+    an id are spread by their place in the files. Repeated rows tie and take neighbouring slots. An empty table gives an
+    empty result. Extra columns are ignored.
+
+    With slack, a shard may hold so much more than its equal share (law key: counts are bounded, and a further shard moves
+    about the rows that it takes and those that it makes room for); without, shards are filled evenly and more rows move.
     """
-    content = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(content))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(content) + 1).cast("long").alias("size"),
-        F.crc32(content).alias("text_crc32"),
+    rows = identified(docs, id_col, text_col)
+    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))))
+    rows = rows.select(
+        "doc_id",
+        (F.octet_length("content") + 1).cast("long").alias("size"),
+        F.crc32("content").alias("text_crc32"),
         F.conv(F.substring(hashed, 1, RING_BITS // 4), 16, 10).cast("long").alias("ring_pos"),
     )
-    out = place(rows, shards)
+    out = place(rows, shards, slack=slack)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def place_one_by_one(positions: list[int], shards: int) -> list[int]:
-    """Brute force for tests: the shard of each key of an ascending list, entered one at a time."""
-    nodes, owners = ring(shards)
-    limits, load, out = capacities(len(positions), shards), [0] * shards, []
-    for p in positions:
-        k = bisect.bisect_left(nodes, p)
-        while load[owners[k % len(owners)]] >= limits[owners[k % len(owners)]]:
-            k += 1
-        load[owners[k % len(owners)]] += 1
-        out.append(owners[k % len(owners)])
-    return out
-
-
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))

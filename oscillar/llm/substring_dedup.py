@@ -1,11 +1,12 @@
 """Substring dedup by recompression.
 
 Rounds name runs of a word and then pairs of neighbouring symbols (the left one of a class L, the right one of a class R).
-Names are hashes of what they stand for, so they are global without a dictionary, and a symbol depends only on the words of
-a short range around it: equal substrings get equal symbols in their interior. Every window of words takes as its anchor the
-symbol of lowest hash among those whose range lies inside the window; equal windows take the same anchor. Anchors shared
-between places reveal repeats; a repeat is then verified, first by all the words that the windows of an anchor cover, and at
-the borders of repeats window by window.
+Names are hashes of what they stand for, so all tasks give one name to one thing without a dictionary or a shuffle between
+the rounds, and a symbol depends only on the words of a short range around it: equal substrings get equal symbols in their
+interior. Every window of words takes as its anchor the symbol of lowest name among those whose range lies inside the window;
+equal windows take the same anchor. Places are joined by their anchors' symbols (and the words next to them); those that
+share one are verified, first by all the words that the windows of an anchor cover, and at the borders of repeats window by
+window.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import U64, WordHashes, identified, mix, packed_texts, pair_hash, sliced, table, unpacked, written
+from oscillar.llm.common import U64, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, sliced, table, unpacked, written
 
 WIDTH = 35
 #: words on both sides of a symbol's range that its windows contain too: makes anchors rarer than common phrases.
@@ -124,32 +125,30 @@ def anchors(h: np.ndarray, starts: np.ndarray, width: int = WIDTH, margin: int =
     i = np.where(own, 0, best[at])
     l, r = np.where(own, lo, low[i]), np.where(own, lo + width, high[i])
     spans = Spans(h)
-    key = spans.of(l, r)
+    symbol = pair_hash(name[i], pair_hash(spans.of(l, np.where(own, l, left[i])), spans.of(np.where(own, r, right[i]), r)))
+    key = np.where(own, spans.of(l, r), symbol)
     context = pair_hash(spans.of(lo, hi + width), mix((l - lo).astype(U64) * U64(1 << 20) + (r - l).astype(U64)))
     return doc_of[lo], lo, hi, key, context
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """key, ctx, d, th, pos of every anchor; pos packs the first window and the number of further windows (6 bits)."""
+    """key, ctx, row, pos of every anchor; pos packs the first window and the number of further windows (6 bits)."""
 
     def run(batches):
         for b in sliced(batches):
             words = WordHashes(b.column("content"))
             doc, lo, hi, key, ctx = anchors(words.hashes, words.starts)
             pos = ((lo - words.starts[doc]) << 6) | (hi - lo)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), b.column("d").take(take), b.column("th").take(take), pa.array(pos)], names=["key", "ctx", "d", "th", "pos"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), b.column("row").take(pa.array(doc)), pa.array(pos)], names=["key", "ctx", "row", "pos"])
 
-    return rows.select("d", "th", "content").mapInArrow(run, "key long, ctx long, d long, th int, pos long")
+    return rows.select("row", "content").mapInArrow(run, "key long, ctx long, row long, pos long")
 
 
 def window_rows(texts: DataFrame) -> DataFrame:
-    """From d, th, frame and needs (key, pos, settled): the hash of every window asked for, with its key and place."""
+    """From row, frame, size and needs (key, pos, settled): the hash of every window asked for, with its key and place."""
 
     def run(batches):
-        for b in sliced(batches, "frame", 1 << 20):
+        for b in sliced(batches, "size"):
             words = WordHashes(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()))
             needs = b.column("needs")
             of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(needs.offsets)))
@@ -160,32 +159,32 @@ def window_rows(texts: DataFrame) -> DataFrame:
             at = (pos >> 6)[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             start = words.starts[of[each]] + at
             wh = Spans(words.hashes).of(start, start + WIDTH)
-            take = pa.array(of[each])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(wh.view(np.int64)), pa.array(key[each]), b.column("d").take(take), b.column("th").take(take), pa.array(at << 6), pa.array(settled[each])],
-                names=["wh", "key", "d", "th", "pos", "settled"],
+                [pa.array(wh.view(np.int64)), pa.array(key[each]), b.column("row").take(pa.array(of[each])), pa.array(at << 6), pa.array(settled[each])], names=["wh", "key", "row", "pos", "settled"]
             )
 
-    return texts.mapInArrow(run, "wh long, key long, d long, th int, pos long, settled boolean")
+    return texts.select("row", "frame", "size", "needs").mapInArrow(run, "wh long, key long, row long, pos long, settled boolean")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """d, th, pos: intervals of windows that start elsewhere too."""
-    found = anchor_rows(rows)
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    hits = written(found.join(shared, "key"), "substring-hits")
-    contexts = hits.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "pos")).alias("one"))
+    """row, pos: intervals of windows that start elsewhere too. Keys of very many places are counted before they are joined."""
+    found = written(anchor_rows(rows), "substring-anchors")
+    shared = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "substring-shared")
+    hits = written(join_counted(found, shared, ["key"]), "substring-hits")
+    contexts = hits.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "pos")).alias("one"))
     contexts = written(contexts, "substring-contexts")
-    settled = hits.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select("d", "th", "pos")
+    settled = join_counted(hits, contexts.filter("n > 1").select("key", "ctx", "n"), ["key", "ctx"]).select("row", "pos")
     # one place of each context stands for it where a key has several: at the borders of repeats
-    mixed = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key")
-    needs = contexts.join(mixed, "key").select("one.d", "one.th", F.struct("key", "one.pos", (F.col("n") > 1).alias("settled")).alias("need"))
-    needs = needs.groupBy("d", "th").agg(F.collect_set("need").alias("needs"))
-    windows = written(window_rows(packed_texts(rows).join(needs, ["d", "th"])), "substring-windows")
+    mixed = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "substring-mixed")
+    needs = join_counted(contexts.withColumn("settled", F.col("n") > 1).drop("n"), mixed, ["key"]).select("one.row", F.struct("key", "one.pos", "settled").alias("need"))
+    needs = needs.groupBy("row").agg(F.collect_set("need").alias("needs"))
+    windows = written(window_rows(packed_texts(rows).join(needs, "row")), "substring-windows")
     places = F.max(F.when(F.col("settled"), 2).otherwise(1))
-    again = windows.groupBy("wh", "key").agg((F.count(F.lit(1)) + places - 1).alias("n")).filter("n > 1").select("wh", "key")
-    single = windows.filter("NOT settled").join(again, ["wh", "key"]).select("d", "th", "pos")
-    return settled.unionByName(single)
+    again = windows.groupBy("wh", "key").agg(F.count(F.lit(1)).alias("n"), places.alias("places")).filter("n + places > 2").select("wh", "key", "n")
+    single = join_counted(windows.filter("NOT settled"), written(again, "substring-again"), ["wh", "key"]).select("row", "pos")
+    spans = written(settled.unionByName(single).groupBy("row").agg(F.collect_set("pos").alias("spans")), "substring-spans")
+    discard(found, shared, hits, contexts, mixed, windows)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,11 +196,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     input are ignored, whatever their names.
     """
     rows = identified(docs, id_col, text_col)
-    spans = repeated_windows(rows).groupBy("d", "th").agg(F.collect_set("pos").alias("spans"))
-    joined = packed_texts(rows).join(spans, ["d", "th"], "left")
+    joined = packed_texts(rows).join(repeated_windows(rows), "row", "left")
 
     def run(batches):
-        for b in sliced(batches, "frame", 1 << 20):
+        for b in sliced(batches, "size"):
             out = []
             for text, marks in zip(unpacked(b.column("frame")), b.column("spans").to_pylist(), strict=True):
                 words = text.split()
@@ -218,13 +216,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     kept = b" ".join(words)
                 out.append((len(words), gone, hashlib.sha256(kept).hexdigest(), kept.decode()))
             n, gone, sha, kept = zip(*out, strict=True)
-            d = b.column("d").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None if x == -(2**63) else x for x in d], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept)],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.select("doc_id", "frame", "size", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ file touches only the pages it needs. Files are named anew by every attempt; the
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -21,7 +22,15 @@ from pyspark.sql import functions as F
 
 from oscillar.llm.common import filesystem, identified, shared_dir, sliced, table, written
 
+#: fixed values of the tokenizer file whose steps WordEncoder takes itself.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 SEQUENCE = 1024
+#: text bytes for each file, from which their number follows (the session's shuffle partitions at least).
+FILE_BYTES = 1 << 28
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
 #: words, and parts of words, that a Python worker remembers.
@@ -39,10 +48,11 @@ def byte_alphabet() -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, word by word: what a word becomes depends on the word alone.
+    """Ids of texts by a tokenizer.
 
-    Words of basic Latin letters go to the vocabulary's model by the tokenizer's own steps (lower case, split, bytes), part by
-    part and remembered; any other word goes through the whole tokenizer.
+    If its steps are STEPS, it drops white space and works word by word: what a word becomes depends on the word alone. Words
+    of basic Latin letters then go to the vocabulary's model by the tokenizer's own steps (lower case, split, bytes), part by
+    part and remembered; any other word goes through the whole tokenizer. With other steps the whole text goes through it.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,9 +61,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
+        steps = json.loads(tokenizer_json)
+        plain_model = steps["model"].get("type", "BPE") == "BPE" and not any(steps["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback"))
+        added = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in steps.get("added_tokens", []))
+        self.by_word = plain_model and added and all(steps.get(k) == v for k, v in STEPS.items()) and not steps.get("truncation")
         self.table = {b: c for b, c in enumerate(byte_alphabet()) if ord(c) != b}
         self.plain = regex.compile("[\x21-\x7eÀ-įı-ɏ]+")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = regex.compile(SPLIT)
         self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         self.parts: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {"": []}
@@ -86,6 +100,10 @@ class WordEncoder:
         """All ids, flat, and each text's first."""
         import pyarrow.compute as pc
 
+        if not self.by_word:
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            return np.fromiter(chain.from_iterable(own), np.uint32, int(ends[-1]) if len(own) else 0), np.append(0, ends)
         if len(self.parts) > CACHE:
             self.parts.clear()
         if len(self.words) > CACHE:
@@ -177,10 +195,12 @@ class SequenceReader:
 
 
 def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: int = END_ID, length: int = SEQUENCE, partitions: int | None = None) -> DataFrame:
-    """Writes the ids of identified() rows in ascending (d, th) order and returns the written index: d, file, part, first, n_tokens."""
+    """Writes the ids of identified() rows in ascending (doc_id, row) order and returns the written index: doc_id, file, part, first, n_tokens."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)  # a vocabulary file: its size doesn't depend on the data
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions:
+        held = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
 
     def run(batches):
         fs = sink = out = name = None
@@ -198,18 +218,18 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: i
             ids = np.insert(ids, starts[1:], end_id).astype(kind)
             n = np.diff(starts) + 1
             out.add(ids)
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array([name] * len(n)), pa.array([part] * len(n), pa.int32()), pa.array(at + np.cumsum(n) - n), pa.array(n)], names=["d", "file", "part", "first", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([name] * len(n)), pa.array([part] * len(n), pa.int32()), pa.array(at + np.cumsum(n) - n), pa.array(n)], names=["doc_id", "file", "part", "first", "n_tokens"])
             at += int(n.sum())
         if out is not None:
             out.close()
             sink.close()
 
-    dealt = rows.select("d", "th", "content").repartitionByRange(partitions, "d", "th").sortWithinPartitions("d", "th")
-    return written(dealt.mapInArrow(run, "d long, file string, part int, first long, n_tokens long"), "token-index")
+    dealt = rows.repartitionByRange(partitions, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "content")
+    return written(dealt.mapInArrow(run, "doc_id long, file string, part int, first long, n_tokens long"), "token-index")
 
 
 def read_sequences(index: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
-    """d, part, first, n_tokens, ids_crc32 of every document, its ids read from the files."""
+    """doc_id, part, first, n_tokens, ids_crc32 of every document, its ids read from the files."""
 
     def run(batches):
         fs, root = filesystem(folder)
@@ -223,16 +243,16 @@ def read_sequences(index: DataFrame, folder: str, length: int = SEQUENCE) -> Dat
                     source = pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
                     held, name = SequenceReader(source, length), names[k]
                 crc[k] = zlib.crc32(held.span(first[k], n[k]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("part"), b.column("first"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["d", "part", "first", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("first"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "part", "first", "n_tokens", "ids_crc32"])
 
-    return index.select("d", "part", "first", "n_tokens", "file").mapInArrow(run, "d long, part int, first long, n_tokens long, ids_crc32 long")
+    return index.select("doc_id", "part", "first", "n_tokens", "file").mapInArrow(run, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for every row, from the files.
 
-    A null or empty text is its end id alone. Null ids come first; rows that repeat an id follow each other by a hash of
-    their text. An empty table writes no file and gives an empty result. Other columns are ignored, whatever their names.
+    A null or empty text is its end id alone. Null ids come first; rows that repeat an id follow each other as they lie in
+    their files. An empty table writes no file and gives an empty result. Other columns are ignored, whatever their names.
     """
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -242,7 +262,7 @@ def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     rows = read_sequences(index, folder, length).join(parts, "part")
-    return rows.select(F.when(F.col("d") > F.lit(-(2**63)), F.col("d")).alias("doc_id"), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

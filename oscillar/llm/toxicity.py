@@ -38,7 +38,7 @@ COST = 300_000  # of either class
 EDGES = np.arange(-5, 11) / 10  # of the histogram
 TOPS = 6
 SENTENCE_END = r"[.!?]+\s+|\n+"
-CACHE = 600_000
+CACHE = 300_000
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
@@ -262,8 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     chosen = marked.filter("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(marked.filter("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("content")).filter("content IS NOT NULL")
-    sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["content"])  # the chosen ids are bounded
-
+    sample = rows.join(F.broadcast(chosen), "doc_id")  # the chosen ids are bounded
+    sample = sample.groupBy("content").agg(F.max("toxic").alias("toxic"))  # a text that is marked toxic once counts as such
     sample = written(sample, "toxicity-sample")
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
@@ -378,19 +378,20 @@ def curve_of(evidence: np.ndarray, toxic: np.ndarray, scale: float) -> np.ndarra
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; a null text is scored as an empty one. Only the text is looked at.
 
-    keep: columns of the input to carry along instead of doc_id and held_out.
+    keep: columns of the input to carry along instead of doc_id and held_out; the text crosses to the workers once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LETTERS ** 3 weights
+    carried = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out")]
+    own = keep.index(text_col) if keep and text_col in keep else len(carried)
+    rows = docs.select(*carried) if own < len(carried) else docs.select(*carried, F.col(text_col).cast("string").alias("scored_content"))
+    names = [c for c in rows.columns if c != "scored_content"]
 
     def run(batches):
-        for b in sliced(batches, "scored_content"):
-            p = shared.value.probability(text_evidence(b.column("scored_content").cast(pa.large_string()), shared.value))
-            columns = [c for c in b.schema.names if c != "scored_content"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
+        for b in sliced(batches, own, 2 << 20):
+            p = shared.value.probability(text_evidence(pc.fill_null(b.column(own).cast(pa.large_string()), ""), shared.value))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    carried = [F.col(c) for c in keep] if keep else [F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out")]
-    rows = docs.select(*carried, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("scored_content"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "scored_content")
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in names)
     return rows.mapInArrow(run, f"{fields}, score double, predicted int")
 
 

@@ -16,10 +16,10 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import filesystem, shared_dir, table, written
+from oscillar.llm.common import filesystem, join_counted, keyed, shared_dir, table, written
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -96,18 +96,19 @@ class BundleReader:
         return head, data[end + 4 : end + 4 + int(head["Content-Length"])]
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, row: int) -> str:
+    """Rows may repeat a page_id or have none; their row tells the records apart."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{row}>"
 
 
-def make_record(page_id, url, html: bytes, digest: str, n_bytes: int, kind: str, refers_to) -> bytes:
+def make_record(page_id, row: int, url, html: bytes, digest: str, n_bytes: int, kind: str, refers_to) -> bytes:
     """A response holds an HTTP head and the payload; a revisit only the head, whose Content-Length is the full payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http + html if kind == "response" else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(page_id, row)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
@@ -115,13 +116,13 @@ def make_record(page_id, url, html: bytes, digest: str, n_bytes: int, kind: str,
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to['page_id'], refers_to['row'])}"]
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def parse_record(head: dict[str, str], block: bytes) -> tuple:
     """page_id, url, payload bytes, digest, type, refers_to, payload (None for revisits); a payload that fails its digest raises."""
-    number = lambda x: None if x in (None, "<urn:page:none>") else int(x[len("<urn:page:") : -1])
+    number = lambda x: None if x is None or x.startswith("<urn:page:none:") else int(x[len("<urn:page:") : -1].split(":")[0])
     end = block.index(b"\r\n\r\n")
     http = dict(x.split(": ", 1) for x in block[:end].decode().split("\r\n")[1:])
     digest = base64.b32decode(head["WARC-Payload-Digest"][len("sha1:") :]).hex()
@@ -134,26 +135,19 @@ def parse_record(head: dict[str, str], block: bytes) -> tuple:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, digest, n_bytes, kind, refers_to, html (null for revisits).
+    """page_id, row, url, digest, n_bytes, kind, refers_to (page_id and row), html (null for revisits).
 
-    Copies are counted on narrow rows; payloads cross one shuffle, whose large partitions adaptive execution may split.
+    Copies are counted on narrow rows; then the payloads of least bytes and more cross a shuffle, except for those of large
+    groups and of small pages, which stay where they lie.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    rows = keyed(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")))
     rows = rows.withColumns({"digest": F.sha1("html"), "n_bytes": F.octet_length("html").cast("long")})
-    rows = rows.withColumn("group", F.when(F.col("n_bytes") >= least, F.col("digest")))
-    alike = rows.filter("group IS NOT NULL").groupBy("group", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
-    kept = alike.groupBy("group").agg(F.max(F.struct("page_id", "url", "n")).alias("kept"), F.sum("n").alias("copies"))
-    kept = written(kept.filter("copies > 1").select("group", "kept", F.lit(True).alias("found")), "warc-kept")
-    met = rows.join(kept, "group", "left")
-    own = F.col("found").isNull() | (F.col("page_id").eqNullSafe(F.col("kept.page_id")) & F.col("url").eqNullSafe(F.col("kept.url")))
-    met = met.withColumn("own", own)
-    if not kept.filter("kept.n > 1").isEmpty():  # rows that repeat the kept row in every column: one of them stays the response
-        tied = F.coalesce(F.col("own") & (F.col("kept.n") > 1), F.lit(False))
-        turn = F.row_number().over(Window.partitionBy("group").orderBy("page_id"))
-        met = met.filter(~tied).unionByName(met.filter(tied).withColumn("own", turn == 1))
-    return met.select(
-        "page_id", "url", "digest", "n_bytes", F.when(F.col("own"), "response").otherwise("revisit").alias("kind"), F.when(~F.col("own"), F.col("kept.page_id")).alias("refers_to"), F.when(F.col("own"), F.col("html")).alias("html")
-    )
+    large = rows.filter(F.col("n_bytes") >= least)
+    groups = large.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    met = join_counted(large, written(groups, "warc-groups"), ["digest"])
+    met = met.unionByName(rows.filter(F.col("n_bytes") < least).withColumn("kept", F.struct("page_id", "row")))
+    own = F.col("row") == F.col("kept.row")
+    return met.select("page_id", "row", "url", "digest", "n_bytes", F.when(own, "response").otherwise("revisit").alias("kind"), F.when(~own, F.col("kept")).alias("refers_to"), F.when(own, F.col("html")).alias("html"))
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -171,16 +165,17 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 sink = fs.open_output_stream(path, compression=None)
                 out = BundleWriter(sink)
             ids, places = [], []
-            for page_id, url, digest, n_bytes, kind, refers_to, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "digest", "n_bytes", "kind", "refers_to", "html")), strict=True):
+            columns = ("page_id", "row", "url", "html", "digest", "n_bytes", "kind", "refers_to")
+            for page_id, row, url, html, *rest in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 ids.append(page_id)
-                places.append(out.add(make_record(page_id, url, (html or "").encode(), digest, n_bytes, kind, refers_to)))
+                places.append(out.add(make_record(page_id, row, url, (html or "").encode(), *rest)))
             name = path.rpartition("/")[2]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * len(ids)), pa.array([f for f, _ in places], pa.int32()), pa.array([o for _, o in places], pa.int64())], names=["page_id", "archive", "frame", "offset"])
         if out is not None:
             out.finish()
             sink.close()
 
-    index = records.select("page_id", "url", "digest", "n_bytes", "kind", "refers_to", "html").mapInArrow(run, "page_id long, archive string, frame int, offset long")
+    index = records.select("page_id", "row", "url", "digest", "n_bytes", "kind", "refers_to", "html").mapInArrow(run, "page_id long, archive string, frame int, offset long")
     return written(index, "warc-index")
 
 

@@ -93,8 +93,8 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
         words = sum(len(t.split()) for _, t in rows)
         assert abs(sum(len(r["text"].split()) for r in mixed) - words * 1.5) <= 70 and any(r["doc_id"] is None for r in mixed)
         assert sorted(str(r["doc_id"]) for r in pipeline.tokens(spark, given, str(tmp_path)).collect()) == sorted(str(i) for i, _ in rows)
-    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
-    taught = spark.createDataFrame([(k, prose("w") + " idiot" * (k % 2)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 8 % 2) for k in range(160)], "doc_id long, toxic int")
+    taught = spark.createDataFrame([(k, prose("abcdexyz"[k % 8]) + f" more {benchmark}" + " idiot" * (k // 8 % 2)) for k in range(160)], "doc_id long, text string")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     taught.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["n_chars"] for r in pipeline.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(len(rows)))
