@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul fieldset".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link annotation annotation-xml desc defs symbol metadata rp".split())
+#: what may stand in a head; anything else ends it, as a body does.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "option", "optgroup", "legend", "figcaption"}
 #: an opening tag ends an open element of these, up to the given borders.
 ENDS = {
@@ -44,10 +47,15 @@ ENDS = {
     "rp": ({"rt", "rp"}, {"ruby"}),
 }
 SCOPE = frozenset("table td th caption html body".split())
+P_SCOPE = SCOPE | {"button"}
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: levels of indentation that are laid out; deeper blocks stay at the last of them.
+DEEPEST = 40
+NUMBER = re.compile(r"-?\d{1,9}", re.A)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -70,21 +78,31 @@ def build(source: str) -> Node:
     """The element tree; text is a string among the children."""
     root = Node("#root", {})
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of a tag lie in the stack
     at, end = 0, len(source)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if t in places and places[t]), default=0)
+
     def close(tags, borders) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in borders:
-                return
+        """Ends the innermost open element of these tags and all within it, unless a border lies between."""
+        k = innermost(tags)
+        if k > innermost(borders):
+            while len(stack) > k:
+                places[stack.pop().tag].pop()
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
 
     while at < end:
         m = TOKEN.search(source, at)
         stop = m.start() if m else end
         if stop > at:
-            stack[-1].children.append(html.unescape(source[at:stop]))
+            text = html.unescape(source[at:stop])
+            if stack[-1].tag == "head" and text.strip():
+                close({"head"}, ())
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -93,15 +111,17 @@ def build(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
                 close({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {tag})
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            close({"head"}, ())
         if tag in CLOSES_P:
-            close({"p"}, SCOPE | {"button"})
+            close({"p"}, P_SCOPE)
         if tag in ENDS:
             inner, borders = ENDS[tag]
             before = -1
@@ -111,7 +131,7 @@ def build(source: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attributes(m[3]))
         stack[-1].children.append(node)
         if tag in RAW or tag in ESCAPABLE:
@@ -120,16 +140,36 @@ def build(source: str) -> Node:
             node.children.append(html.unescape(source[at:stop]) if tag in ESCAPABLE else source[at:stop])
             at = found.end() if found else end
         elif tag not in VOID:
-            stack.append(node)
+            push(node)
     return root
 
 
 def hidden(node: Node) -> bool:
-    """What a browser lays out no box for, or an invisible one."""
+    """What a browser lays out no box for."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
-    return "style" in a and HIDING.search(a["style"]) is not None
+    return "style" in a and NO_BOX.search(a["style"]) is not None
+
+
+def shown(node: Node, before: bool) -> bool:
+    """Whether the text of an element is visible: it inherits that, and may set it anew."""
+    found = VISIBILITY.search(node.attrs["style"]) if "style" in node.attrs else None
+    return found[1].lower() == "visible" if found else before
+
+
+def svg_texts(node: Node) -> list[Node]:
+    """The text elements and embedded pages of a drawing; its other text is not drawn."""
+    out, work = [], list(reversed(node.children))
+    while work:
+        n = work.pop()
+        if isinstance(n, str) or hidden(n):
+            continue
+        if n.tag in ("text", "foreignobject"):
+            out += [n, " "]
+        else:
+            work += reversed(n.children)
+    return out
 
 
 class Layout:
@@ -164,7 +204,7 @@ class Layout:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[-DEEPEST:])
         if self.marker:
             lead = lead[: len(lead) - len(self.marker)] + self.marker
             self.marker = ""
@@ -185,34 +225,48 @@ class Layout:
         return "\n".join(self.lines)
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, colspan) cells with each column padded to its widest cell; a cell's lines stay below each other."""
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (text, colspan, rowspan) cells with each column padded to its widest cell; a cell's lines stay below each other.
+
+    A cell takes the first free column, and its columns in the rows that it spans are not free.
+    """
+    placed: list[list[tuple[int, str, int]]] = []
+    taken: dict[int, int] = {}  # column → rows that are still spanned from above
     widths: list[int] = []
     for row in rows:
-        k = 0
-        for text, span in row:
+        cells, k = [], 0
+        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        for text, span, down in row:
+            while taken.get(k):
+                k += 1
+            cells.append((k, text, span))
             widths += [0] * (k + span - len(widths))
             if span == 1:
                 widths[k] = max([widths[k], *map(len, text.split("\n"))])
+            if down > 1:
+                below |= {c: down - 1 for c in range(k, k + span)}
             k += span
+        taken = below
+        placed.append(cells)
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
     out = []
-    for row in rows:
-        height = max((text.count("\n") + 1 for text, _ in row), default=0)
+    for cells in placed:
+        height = max((text.count("\n") + 1 for _, text, _ in cells), default=0)
+        split = [(k, text.split("\n")) for k, text, _ in cells]
         for y in range(height):
-            line, k, upto = "", 0, 0
-            for text, span in row:
-                lines = text.split("\n")
-                line = line.ljust(upto) + (lines[y] if y < len(lines) else "")
-                k += span
-                upto = sum(widths[:k]) + 2 * k
-                if len(line) > upto - 2 and span > 1:
-                    upto = len(line) + 2
+            line = ""
+            for k, lines in split:
+                if y < len(lines) and lines[y]:
+                    line = line.ljust(starts[k]) if len(line) <= starts[k] else line + "  "
+                    line += lines[y]
             out.append(line.rstrip())
     return out
 
 
-def span_of(node: Node) -> int:
-    value = node.attrs.get("colspan", "1").strip()
+def span_of(node: Node, name: str = "colspan") -> int:
+    value = node.attrs.get(name, "1").strip()
     return min(max(int(value), 1), 100) if value.isascii() and value.isdigit() and len(value) < 5 else 1
 
 
@@ -220,14 +274,16 @@ def render(root: Node) -> str:
     """All visible text, laid out. No recursion, however deep the tree."""
     flow = Layout()
     flows: list[Layout] = []
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
     counters: list[int | None] = []
     pre = 0
-    work: list[tuple] = [("open", root)]
+    work: list[tuple] = [("open", root, True)]
     while work:
-        what, node = work.pop()
+        what, node, seen = work.pop()
         if what == "open":
             if isinstance(node, str):
+                if not seen:
+                    continue
                 if tables and not flows_inside(flows, tables):
                     if node.strip():
                         flow.text(node)
@@ -245,11 +301,12 @@ def render(root: Node) -> str:
             if hidden(node):
                 continue
             tag = node.tag
-            work.append(("close", node))
-            children = node.children
+            seen = shown(node, seen)
+            work.append(("close", node, seen))
+            children = svg_texts(node) if tag == "svg" else node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-            work += [("open", c) for c in reversed(children)]
+            work += [("open", c, seen) for c in reversed(children)]
             if tag == "br":
                 if flow.line:
                     flow.flush()
@@ -271,20 +328,23 @@ def render(root: Node) -> str:
                 flow.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
                 if tag in ("ul", "ol", "menu", "dir"):
                     start = node.attrs.get("start", "1").strip()
-                    counters.append((int(start) if re.fullmatch(r"-?\d{1,9}", start, re.A) else 1) if tag == "ol" else None)
+                    counters.append((int(start) if NUMBER.fullmatch(start) else 1) if tag == "ol" else None)
                 elif tag == "li":
                     number = counters[-1] if counters else None
+                    value = node.attrs.get("value", "").strip()
+                    if number is not None and NUMBER.fullmatch(value):
+                        number = int(value)
                     marker = "- " if number is None else f"{number}. "
                     if counters and number is not None:
                         counters[-1] = number + 1
                     flow.indent.append(" " * len(marker))
-                    flow.marker = marker
+                    flow.marker = marker if seen else ""
                 elif tag in ("dd", "blockquote"):
                     flow.indent.append("  ")
                 elif tag in ("pre", "listing"):
                     pre += 1
                     if children and isinstance(children[0], str) and children[0][:1] == "\n":
-                        work[-1] = ("open", children[0][1:])
+                        work[-1] = ("open", children[0][1:], seen)
             elif tag in ("textarea", "button", "select", "q") and tag != "q":
                 flow.space = bool(flow.line)
         else:
@@ -292,11 +352,12 @@ def render(root: Node) -> str:
             if tag == "table" and tables:
                 rows = tables.pop()
                 flow.flush()
-                for line in aligned([r for r in rows if any(t for t, _ in r)]):
-                    flow.put(line)
+                for line in aligned(rows):
+                    if line:
+                        flow.put(line)
                 flow.block(True)
             elif tag in ("td", "th") and flows and tables:
-                tables[-1][-1].append((flow.result(), span_of(node)))
+                tables[-1][-1].append((flow.result(), span_of(node), span_of(node, "rowspan")))
                 flow = flows.pop()
             elif tag == "caption":
                 flow.block(False)

@@ -406,12 +406,66 @@ def test_warc(spark):
         ("<title>t</title><textarea><b></textarea>", "<b>"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<a href='x>y'>k</a", "k"),
+        ("<html><head><title>t</title><p>hello world", "hello world"),
+        ("<head><meta charset=x>text", "text"),
+        ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td colspan=2>wide<td>c</table>", "A  b1\n   b2\nwide   c"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<svg><title>t</title><text>drawn</text><g>x<text>too</text></g></svg> <math><mi>x</mi></math>", "drawn too x"),
     ],
 )
 def test_html_text(source, want):
     assert html_text.visible_text(source) == want
 
 
+def random_tree(rng, depth, table=False):
+    """(html with every end tag, visible words in order)."""
+    out, words = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.4 or depth == 0:
+            w = "".join(rng.choice("abcdef") for _ in range(3))
+            out.append(f" {w} ")
+            words.append(w)
+            continue
+        inner, seen = random_tree(rng, depth - 1)
+        if kind < 0.5:
+            start, end = rng.choice([("div hidden", "div"), ("p style='color: red; display:none'", "p"), ("template", "template"), ("noscript", "noscript")])
+            out.append(f"<{start}>{inner if end == 'div' else 'gone'}</{end}>")
+        elif kind < 0.6:
+            again, visible = random_tree(rng, depth - 1)
+            out.append(f"<section style='visibility: hidden'>no <i style='visibility:visible'>{again}</i></section>")
+            words += visible
+        else:
+            tag = rng.choice(["div", "blockquote", "section", "ul", "b", "span", "article", "em"])
+            out.append(f"<{tag}>{inner}</{tag}>" if tag != "ul" else f"<ul><li>{inner}</li></ul>")
+            words += seen
+    return "".join(out), words
+
+
+def test_html_against_a_plain_walk():
+    rng = random.Random(3)
+    for _ in range(300):
+        page, words = random_tree(rng, 4)
+        got = [w for w in html_text.visible_text(page).split() if w != "-"]
+        assert got == words, page
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<p><button>" + "<div>" * 100_000 + "deep", "<ul><li>" * 50_000 + "deep", "<blockquote>a" * 50_000, "<table><tr><td>" * 3000 + "deep", "<b>x</p>" * 50_000])
+def test_deep_html_takes_linear_time(page):
+    import time
+
+    before = time.time()
+    assert html_text.visible_text(page)
+    assert time.time() - before < 10
+
+
+def test_html_of_an_empty_table_and_long_pages(spark):
+    pages = spark.createDataFrame([(1, "<p>" + "word " * 300_000, "clash")], "page_id long, html string, content string")
+    assert html_text.extract_text(pages).first()["n_chars"] == 5 * 300_000 - 1
+    assert html_text.extract_text(pages.filter("page_id < 0")).count() == 0
+
+
 def test_html_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "t"), (None, "<p>x", "t"), (None, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_text.extract_text(pages).collect()) == [(0, "x"), (0, "x"), (1, "")]
