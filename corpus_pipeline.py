@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one of the smallest id stays (a null id is the largest); repeated rows are linked too."""
     rows = keyed(docs)
-    found = jaccard_join(rows, id_col="row", percent=PERCENT, words=WORDS, group_rows=128)
+    found = jaccard_join(rows, id_col="row", percent=PERCENT, words=WORDS, count_links=False)
     found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))
     return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)

@@ -7,6 +7,9 @@ block are not multiplied; and within the product a pair goes as soon as its accu
 rows stay below the overlap that their sizes ask for. What remains forms clusters; a cluster is cut into row blocks, and each
 pair of row blocks is one task's product, which accumulates the overlap counts column block by column block. A task returns
 a spanning forest of the links that it finds and their number for each row, not the pairs.
+
+Where only the components are asked for, every row is first multiplied by one pivot, the row that it shares the most column
+blocks with; rows found to be of one component need no further product, which leaves little of a large group of near copies.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ NGRAM = 3
 PERCENT = 90
 #: bounds of a row block: its rows and their elements; a task multiplies two row blocks.
 BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
+#: rounds of pivots, and rows that are multiplied by themselves, where links are not counted.
+PIVOTS, GROUP_ROWS = 2, 128
 #: columns of a column block.
 BLOCK_COLUMNS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -94,10 +99,11 @@ def prefix_sizes(n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     return np.minimum(n, -(-7 * apart * n // 400) + 1), np.minimum(n, np.maximum(1, apart * gain * n // 40_000))
 
 
-def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set, flat, and each set's first: two linked sets that differ share at least one.
+def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of each set, flat, their kinds, and each set's first: two linked sets that differ share at least one.
 
-    at: the first element of each set, and the end.
+    at: the first element of each set, and the end. A kind packs a class of sizes with the number of signatures (the lowest
+    16 bits) that a set shares at least with a linked one of that class.
     """
     n = np.diff(at)
     h = mix(grams)
@@ -111,8 +117,9 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tup
     part = np.flatnonzero(shrinks[own])
     found = [mix((totals[own[part]] - h[part]) ^ salt), mix(totals[shrinks | grows] ^ salt)]
     owners = [own[part], np.flatnonzero(shrinks | grows)]
+    kinds = [np.ones(len(x), np.int64) for x in owners]
     block_hash, weight = (h >> U64(11)), mix(h)
-    for first, last, blocks, spare in classes:
+    for number, (first, last, blocks, spare) in enumerate(classes, 1):
         sets = np.flatnonzero((n > 0) & (n <= last) & ((n >= first) | (100 * n >= percent * first)))
         if not len(sets):
             continue
@@ -123,13 +130,15 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tup
         sums = np.zeros(len(sets) * blocks, U64)
         np.add.at(sums, slot, weight[mine])
         full = np.bincount(slot, minlength=len(sums)).reshape(len(sets), blocks) > 0
-        full |= (blocks - full.sum(1) > spare)[:, None]  # empty blocks speak for themselves where they are many
+        empty = blocks - full.sum(1)
+        full |= (empty > spare)[:, None]  # empty blocks speak for themselves where they are many
         pick = np.flatnonzero(full.ravel())
         found.append(pair_hash(sums[pick], mix((pick % blocks).astype(U64) + U64(first) * U64(1 << 20)), 5))
         owners.append(sets[pick // blocks])
-    found, owners = np.concatenate(found), np.concatenate(owners)
+        kinds.append((number << 16) + np.minimum(1 + spare - np.minimum(spare, empty), (1 << 16) - 1)[pick // blocks])
+    found, owners, kinds = np.concatenate(found), np.concatenate(owners), np.concatenate(kinds)
     order = np.argsort(owners, kind="stable")
-    return found[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
+    return found[order], kinds[order], np.searchsorted(owners[order], np.arange(len(n) + 1))
 
 
 def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -156,16 +165,17 @@ def set_rows(rows: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> Dat
 
 
 def signed_sets(texts: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> DataFrame:
-    """node, copies, n, grams and sigs of packed texts."""
+    """node, copies, n, grams, sigs and kinds of packed texts."""
 
     def run(batches):
         for b in sliced(batches, "size"):
             grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
+            sigs, kinds, first = signatures(grams, at, percent)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("copies"), pa.array(np.diff(at), pa.int64()), lists(grams, at), lists(*signatures(grams, at, percent))], names=["node", "copies", "n", "grams", "sigs"]
+                [b.column("row"), b.column("copies"), pa.array(np.diff(at), pa.int64()), lists(grams, at), lists(sigs, first), lists(kinds, first)], names=["node", "copies", "n", "grams", "sigs", "kinds"]
             )
 
-    return texts.select("row", "copies", "frame", "size").mapInArrow(run, "node long, copies long, n long, grams array<bigint>, sigs array<bigint>")
+    return texts.select("row", "copies", "frame", "size").mapInArrow(run, "node long, copies long, n long, grams array<bigint>, sigs array<bigint>, kinds array<bigint>")
 
 
 def product(sets: list[np.ndarray], left: int, cross: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -268,26 +278,87 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, links long")
 
 
-def candidates(kept: DataFrame, group_rows: int) -> DataFrame:
-    """node, root: rows of equal root share a column block, directly or by way of others, and have to be multiplied."""
-    signed = kept.select("node", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.max("node").alias("other"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    shared = written(shared.filter("lead < other").drop("other"), "jaccard-shared")
-    chained = shared.filter(F.col("n") > group_rows)
-    near = join_counted(signed, chained.select("sig", "lead", "n"), ["sig"]).filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    found = components(near, "bigint")
-    if group_rows:
-        few = shared.filter(F.col("n") <= group_rows).groupBy("n", "members", "lead").agg(F.min("sig").alias("sig")).select("sig")
-        found = found.unionByName(signed.join(few, "sig").select("node", F.col("sig").alias("root")))
-    return found
+def shared_signatures(kept: DataFrame) -> DataFrame:
+    """node, sig: the signatures that rows share, of those rows that share as many of a class as a linked row would."""
+    signed = kept.select("node", F.explode(F.arrays_zip("kinds", "sigs")).alias("s")).select("node", "s.kinds", F.col("s.sigs").alias("sig"))
+    met = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("sig", "n")
+    own = join_counted(signed, written(met, "jaccard-shared"), ["sig"]).groupBy("node", "kinds").agg(F.collect_list("sig").alias("sigs"))
+    enough = own.filter(F.size("sigs") >= F.col("kinds").bitwiseAND(F.lit((1 << 16) - 1)))
+    return written(enough.select("node", F.explode("sigs").alias("sig")), "jaccard-met")
+
+
+def multiplied(kept: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The links of rows (node, root, p, q, side): a product for each root, p, q; side 0 stands first."""
+    pairs = kept.select("node", "copies", "grams").join(rows, "node").select("root", "p", "q", "side", "node", "copies", "grams")
+    return written(block_links(pairs.repartition(F.col("root"), F.col("p"), F.col("q")).sortWithinPartitions("root", "p", "q"), percent), "jaccard-links")
+
+
+def block_count(block_rows: int):
+    """Row blocks of the rows (with their sizes n) of a group."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+
+
+def cluster_links(kept: DataFrame, clusters: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """The links within clusters (node, root), by the products of all pairs of their row blocks."""
+    sizes = clusters.join(kept.select("node", "n"), "node").groupBy("root").agg(block_count(block_rows), F.count(F.lit(1)).alias("n"))
+    members = join_counted(clusters, written(sizes, "jaccard-sizes"), ["root"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return multiplied(kept, members.select("node", "root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side")), percent)
+
+
+def pivot_links(kept: DataFrame, met: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """The links between rows and their pivots. met: node, sig, root; a row's pivot is the lowest row of another component that leads most of its signatures."""
+    leads = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root", "node")).alias("lead"))
+    pairs = join_counted(met, written(leads, "jaccard-leads"), ["sig"]).filter("root <> lead.root")
+    pairs = pairs.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    stars = pairs.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("root"))
+    stars = written(stars, "jaccard-stars")
+    sizes = stars.join(kept.select("node", "n"), "node").groupBy("root").agg(block_count(block_rows), F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes, "jaccard-sizes")
+    rows = join_counted(stars, sizes, ["root"]).select("node", "root", F.lit(0).alias("p"), (F.pmod(F.xxhash64("node"), F.col("blocks")) + 1).cast("int").alias("q"), F.lit(1).alias("side"))
+    pivots = sizes.select(F.col("root").alias("node"), "root", F.lit(0).alias("p"), F.explode(F.sequence(F.lit(1), "blocks")).alias("q"), F.lit(0).alias("side"))
+    return multiplied(kept, rows.unionByName(pivots), percent)
+
+
+def open_signatures(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, sig, root: the signatures that rows of different components share."""
+    held = met.select("node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = written(held, "jaccard-held")
+    some = held.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig", "n")
+    return written(join_counted(held, written(some, "jaccard-open"), ["sig"]), "jaccard-met")
+
+
+def chained(met: DataFrame) -> DataFrame:
+    """node, root: rows of equal root share a signature, directly or by way of others."""
+    leads = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"))
+    near = join_counted(met, written(leads, "jaccard-leads"), ["sig"]).filter("node <> lead")
+    return components(near.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "bigint")
+
+
+def component_roots(kept: DataFrame, met: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """node, root of the components, by pivots first and then by the groups of rows that may still be linked across components.
+
+    Rows that share a signature are multiplied by themselves if they are at most GROUP_ROWS; larger groups are merged to
+    clusters. Groups of the same rows are one.
+    """
+    edges = kept.sparkSession.createDataFrame([], "a long, b long")
+    met = met.withColumn("root", F.col("node"))
+    for _ in range(PIVOTS):
+        edges = edges.unionByName(pivot_links(kept, met, percent, block_rows).filter("b IS NOT NULL").select("a", "b"))
+        met = open_signatures(met, components(edges, "bigint"))
+    groups = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
+    groups = written(groups, "jaccard-groups")
+    few = groups.filter(F.col("n") <= GROUP_ROWS).groupBy("n", "members", "least", "most").agg(F.min("sig").alias("sig")).select("sig", "n")
+    own = join_counted(met, written(few, "jaccard-few"), ["sig"]).select("node", F.col("sig").alias("root"))
+    many = join_counted(met, groups.filter(F.col("n") > GROUP_ROWS).select("sig", "n"), ["sig"])
+    last = cluster_links(kept, written(own.unionByName(chained(many)), "jaccard-clusters"), percent, block_rows)
+    return components(edges.unionByName(last.filter("b IS NOT NULL").select("a", "b")), "bigint")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM, group_rows: int = 0) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK_ROWS, words: int = NGRAM, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with count_links, n_links for every row.
 
-    group_rows: rows that share a column block are multiplied by themselves if they are so few, and merged to clusters only if
-    they are more. It suits low thresholds, where chance matches chain; a pair may then be met in several blocks, so n_links
-    is left out.
+    To count its links, a row is multiplied by all rows of its cluster; without, the components are found by fewer products.
 
     A null text counts as empty; rows without words have no set, no links and are components of their own. component_id is
     the smallest id of the component (null ids are passed over unless there is no other). Rows that repeat a row are linked
@@ -296,34 +367,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = identified(docs, id_col, text_col)
     sets = written(set_rows(rows, percent, words), "jaccard-sets")
+    ids = written(sets.select("doc_id", F.col("n").alias("n_shingles"), "fp"), "jaccard-ids")
     some = sets.filter("fp IS NOT NULL")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "m", "c")).alias("one"))
     classes = written(classes.select("fp", "least", "copies", "one.row", "one.m", "one.c"), "jaccard-classes")
     held = some.select("row", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("row").alias("row"), F.max("row").alias("other"))
     alone = held.filter("row = other").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
     alike = classes.join(alone, "row", "left").filter(F.col("m") - F.coalesce("alone", F.lit(0)) >= F.col("c")).select("row", "copies")
+    alike = written(alike, "jaccard-alike")
+    discard(sets)
     kept = written(signed_sets(packed_texts(rows).join(alike, "row"), percent, words), "jaccard-kept")
-    clusters = written(candidates(kept, group_rows), "jaccard-clusters")
-    members = clusters.join(kept.select("node", "n"), "node")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
-    members = join_counted(clusters, sizes, ["root"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    full = kept.select("node", "copies", "grams").join(members, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = full.withColumn("o", other).select("root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side"), "node", "copies", "grams")
-    dealt = pairs.repartition(F.col("root"), F.col("p"), F.col("q")).sortWithinPartitions("root", "p", "q")
-    links = written(block_links(dealt, percent), "jaccard-links")
-    roots = components(links.filter("b IS NOT NULL").select("a", "b"), "bigint").withColumnRenamed("node", "row")
-    counts = links.filter("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
-    known = classes.join(roots, "row", "left").join(counts, "row", "left")
+    met = shared_signatures(kept)
+    if count_links:
+        links = cluster_links(kept, written(chained(met), "jaccard-clusters"), percent, block_rows)
+        roots = components(links.filter("b IS NOT NULL").select("a", "b"), "bigint")
+        counts = links.filter("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    else:
+        roots = component_roots(kept, met, percent, block_rows)
+        counts = classes.limit(0).select("row", F.lit(0).cast("long").alias("links"))
+    known = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left")
     known = known.select("fp", F.coalesce("root", "row").alias("root"), "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     known = join_counted(known, written(least, "jaccard-least"), ["root"])
     known = written(known.select("fp", "component_id", "n_links", F.col("copies").alias("n")), "jaccard-known")
-    discard(kept, clusters)
-    ids = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    discard(kept, met)
     lone = ids.filter("fp IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = join_counted(ids, known, ["fp"]).select("doc_id", "n_shingles", "component_id", "n_links").unionByName(lone)
-    return out.drop("n_links") if group_rows else out
+    return out if count_links else out.drop("n_links")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,22 +232,55 @@ def test_jaccard_join(docs, texts, words, percent):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_signature(percent):
+def test_linked_sets_share_signatures_and_first_elements(percent):
+    """As many signatures of a class as its kind says, and as many of the first elements as prefix_sizes() says."""
     rng = np.random.default_rng(2)
-    sigs = lambda s: jaccard_join.signatures(s, np.array([0, len(s)]), percent)[0]
     for n in [5, 8, 9, 10, 11, 18, 19, 20, 25, 40, 100, 333]:
         for _ in range(40):
             x = np.unique(rng.integers(1, 2**63, n).astype(np.uint64))
-            gone = rng.integers(0, n * (100 - percent) // 100 + 1)
-            y = np.unique(np.append(x[gone:], rng.integers(1, 2**63, rng.integers(0, 3)).astype(np.uint64)))
+            gone = rng.permutation(len(x))[: rng.integers(0, n * (100 - percent) // 100 + 1)]
+            y = np.unique(np.append(np.delete(x, gone), rng.integers(1, 2**63, rng.integers(0, 3)).astype(np.uint64)))
             o = len(np.intersect1d(x, y))
-            if 100 * o >= percent * (len(x) + len(y) - o) and len(y) and not np.array_equal(x, y):
-                assert np.intersect1d(sigs(x), sigs(y)).size
-
-
-def test_jaccard_join_by_groups(docs, texts):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs, words=5, percent=80, block_rows=4, group_rows=3).collect()}
-    assert [got[i] for i in range(len(texts))] == [x[:2] for x in brute_links(texts, 5, 80)]
+            if 100 * o < percent * (len(x) + len(y) - o) or not len(y) or np.array_equal(x, y):
+                continue
+            sig, kind, at = jaccard_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+            both = np.intersect1d(sig[: at[1]], sig[at[1] :])
+            shared = [[np.isin(sig[lo:hi][kind[lo:hi] == k], both).sum() >= k & 0xFFFF for k in np.unique(kind[lo:hi]) if np.isin(sig[lo:hi][kind[lo:hi] == k], both).any()] for lo, hi in zip(at, at[1:])]
+            assert any(shared[0]) and any(shared[1])
+            m, c = jaccard_join.prefix_sizes(np.array([len(x), len(y)]), percent)
+            assert len(np.intersect1d(x[: m[0]], y[: m[1]])) >= c.max()
+
+
+def chain_texts():
+    """Chains of near copies (each linked with the next only), a large group of near copies, and texts that share passages."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    say = lambda n: [word() for _ in range(n)]
+    texts, base, passage = [], say(150), say(90)
+    for k in range(24):  # every step changes some more words
+        at = 6 * k
+        base = base[:at] + say(3) + base[at + 3 :]
+        texts.append(" ".join(base))
+    hot = say(100)
+    for _ in range(60):
+        k = rng.randrange(95)
+        texts.append(" ".join(hot[:k] + say(rng.randint(0, 2)) + hot[k + rng.randint(0, 2) :]))
+    texts += [" ".join(say(rng.randint(20, 70)) + passage + say(rng.randint(20, 70))) for _ in range(40)]
+    return texts + [" ".join(say(rng.randint(1, 12))) for _ in range(20)] + [hot[0], hot[0] + " " + hot[1]] * 2
+
+
+@pytest.mark.parametrize(("words", "percent"), [(5, 80), (3, 90), (2, 60)])
+def test_jaccard_join_by_pivots(spark, words, percent, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 6)
+    texts = chain_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_links(texts, words, percent)
+    assert len({c for _, c, _ in want}) < len(texts) - 20
+    how = {"words": words, "percent": percent, "block_rows": 5}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs, count_links=False, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[:2] for x in want]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(docs, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_components_of_a_path(spark):
