@@ -15,6 +15,7 @@ blocks with; rows found to be of one component need no further product, which le
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ NGRAM = 3
 PERCENT = 90
 #: bounds of a row block: its rows and their elements; a task multiplies two row blocks.
 BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
-#: rounds of pivots, and rows that are multiplied by themselves, where links are not counted.
-PIVOTS, GROUP_ROWS = 2, 128
+#: rounds of pivots where links are not counted.
+PIVOTS = 1
 #: columns of a column block.
 BLOCK_COLUMNS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -278,13 +279,23 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long, links long")
 
 
-def shared_signatures(kept: DataFrame) -> DataFrame:
-    """node, sig: the signatures that rows share, of those rows that share as many of a class as a linked row would."""
-    signed = kept.select("node", F.explode(F.arrays_zip("kinds", "sigs")).alias("s")).select("node", "s.kinds", F.col("s.sigs").alias("sig"))
-    met = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("sig", "n")
-    own = join_counted(signed, written(met, "jaccard-shared"), ["sig"]).groupBy("node", "kinds").agg(F.collect_list("sig").alias("sigs"))
-    enough = own.filter(F.size("sigs") >= F.col("kinds").bitwiseAND(F.lit((1 << 16) - 1)))
-    return written(enough.select("node", F.explode("sigs").alias("sig")), "jaccard-met")
+def shared_signatures(signed: DataFrame, trim: bool = False) -> DataFrame:
+    """node, root, kinds, sig: the signatures that rows of different roots share, of rows that share as many of a kind as a linked row would.
+
+    Of so many signatures that two linked rows share at least, one is left if either row drops its commonest but for that
+    number; trim does so, and keeps what is still shared.
+    """
+    some = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig", "n")
+    some = written(some, "jaccard-shared")
+    met = join_counted(signed, some.withColumn("k", F.col("n")), ["sig"])
+    own = met.groupBy("node", "root", "kinds").agg(F.array_sort(F.collect_list(F.struct("k", "sig"))).alias("sigs"))
+    least = F.col("kinds").bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+    enough = own.filter(F.size("sigs") >= least)
+    if not trim:
+        return written(enough.select("node", "root", "kinds", F.explode("sigs").alias("s")).select("node", "root", "kinds", "s.sig"), "jaccard-met")
+    few = written(enough.select("node", "root", F.explode(F.slice("sigs", F.lit(1), F.size("sigs") - least + 1)).alias("s")).select("node", "root", "s.sig"), "jaccard-rare")
+    left = few.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig", "n")
+    return written(join_counted(few, written(left, "jaccard-shared"), ["sig"]), "jaccard-met")
 
 
 def multiplied(kept: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -298,12 +309,28 @@ def block_count(block_rows: int):
     return F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
 
 
+def banded(kept: DataFrame, clusters: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """node, root, own, others: the row block of every row and those that it is multiplied with.
+
+    A cluster of one row block is multiplied by itself. The rows of a larger one lie in bands of sizes, in which linked rows
+    are neighbours: blocks are cut from a band and meet those of their own and the next bands only.
+    """
+    held = clusters.join(kept.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-6))).cast("long"))
+    sizes = held.groupBy("root", "band").agg(block_count(block_rows), F.count(F.lit(1)).alias("n"), F.sum("n").alias("elements"))
+    whole = F.greatest(F.ceil(F.sum("n") / block_rows), F.ceil(F.sum("elements") / BLOCK_ELEMENTS)).cast("int").alias("whole")
+    sizes = sizes.groupBy("root").agg(whole, F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))  # bands grow with the logarithm of the longest text
+    held = join_counted(held.drop("n"), written(sizes, "jaccard-sizes"), ["root"])
+    count = lambda d: F.coalesce(F.try_element_at("bands", F.col("band") + d), F.lit(0))
+    of_band = lambda d: F.when(count(d) > 0, F.transform(F.sequence(F.lit(0), count(d) - 1), lambda o: (F.col("band") + d) * (1 << 24) + o)).otherwise(F.array().cast("array<bigint>"))
+    own = F.col("band") * (1 << 24) + F.pmod(F.xxhash64("node"), count(0))
+    one, zero = F.col("whole") == 1, F.lit(0).cast("long")
+    return held.select("node", "root", F.when(one, zero).otherwise(own).alias("own"), F.when(one, F.array(zero)).otherwise(F.concat(*(of_band(d) for d in (-1, 0, 1)))).alias("others"))
+
+
 def cluster_links(kept: DataFrame, clusters: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """The links within clusters (node, root), by the products of all pairs of their row blocks."""
-    sizes = clusters.join(kept.select("node", "n"), "node").groupBy("root").agg(block_count(block_rows), F.count(F.lit(1)).alias("n"))
-    members = join_counted(clusters, written(sizes, "jaccard-sizes"), ["root"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return multiplied(kept, members.select("node", "root", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), (F.col("at") > F.col("o")).cast("int").alias("side")), percent)
+    """The links within clusters (node, root), by the products of pairs of their row blocks."""
+    rows = banded(kept, clusters, percent, block_rows).withColumn("o", F.explode("others"))
+    return multiplied(kept, rows.select("node", "root", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).cast("int").alias("side")), percent)
 
 
 def pivot_links(kept: DataFrame, met: DataFrame, percent: int, block_rows: int) -> DataFrame:
@@ -320,12 +347,10 @@ def pivot_links(kept: DataFrame, met: DataFrame, percent: int, block_rows: int)
     return multiplied(kept, rows.unionByName(pivots), percent)
 
 
-def open_signatures(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, sig, root: the signatures that rows of different components share."""
-    held = met.select("node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = written(held, "jaccard-held")
-    some = held.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("sig", "n")
-    return written(join_counted(held, written(some, "jaccard-open"), ["sig"]), "jaccard-met")
+def rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """met with the components found so far as root."""
+    held = met.drop("root").join(roots, "node", "left")
+    return written(held.withColumn("root", F.coalesce("root", "node")), "jaccard-held")
 
 
 def chained(met: DataFrame) -> DataFrame:
@@ -336,22 +361,27 @@ def chained(met: DataFrame) -> DataFrame:
 
 
 def component_roots(kept: DataFrame, met: DataFrame, percent: int, block_rows: int) -> DataFrame:
-    """node, root of the components, by pivots first and then by the groups of rows that may still be linked across components.
+    """node, root of the components, by pivots first and then by what may still be linked across components.
 
-    Rows that share a signature are multiplied by themselves if they are at most GROUP_ROWS; larger groups are merged to
-    clusters. Groups of the same rows are one.
+    That lies in clusters of rows that share signatures. A cluster is multiplied by its row blocks or, where that copies more
+    rows, by the groups of rows that share a signature (groups of the same rows are one).
     """
     edges = kept.sparkSession.createDataFrame([], "a long, b long")
-    met = met.withColumn("root", F.col("node"))
     for _ in range(PIVOTS):
         edges = edges.unionByName(pivot_links(kept, met, percent, block_rows).filter("b IS NOT NULL").select("a", "b"))
-        met = open_signatures(met, components(edges, "bigint"))
+        met = shared_signatures(rooted(met, components(edges, "bigint")))
+    met = shared_signatures(met, trim=True)
+    clusters = written(chained(met).withColumnRenamed("root", "cluster"), "jaccard-clusters")
     groups = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
-    groups = written(groups, "jaccard-groups")
-    few = groups.filter(F.col("n") <= GROUP_ROWS).groupBy("n", "members", "least", "most").agg(F.min("sig").alias("sig")).select("sig", "n")
-    own = join_counted(met, written(few, "jaccard-few"), ["sig"]).select("node", F.col("sig").alias("root"))
-    many = join_counted(met, groups.filter(F.col("n") > GROUP_ROWS).select("sig", "n"), ["sig"])
-    last = cluster_links(kept, written(own.unionByName(chained(many)), "jaccard-clusters"), percent, block_rows)
+    groups = groups.groupBy("n", "members", "least", "most").agg(F.min("sig").alias("sig")).select("sig", "n", F.col("least").alias("node"))
+    groups = written(groups.join(clusters, "node").select("sig", "n", "cluster"), "jaccard-groups")
+    by_group = groups.groupBy("cluster").agg(F.sum("n").alias("by_group"))
+    by_block = banded(kept, clusters.withColumnRenamed("cluster", "root"), percent, block_rows).groupBy(F.col("root").alias("cluster")).agg(F.sum(F.size("others")).alias("by_block"), F.count(F.lit(1)).alias("n"))
+    chosen = written(by_block.join(by_group, "cluster").select("cluster", "n", (F.col("by_group") < F.col("by_block")).alias("grouped")), "jaccard-chosen")
+    whole = join_counted(clusters, chosen.filter("NOT grouped").select("cluster", "n"), ["cluster"]).select("node", F.col("cluster").alias("root"))
+    some = groups.join(chosen.filter("grouped").select("cluster"), "cluster").select("sig", "n")
+    parts = join_counted(met.select("node", "sig"), written(some, "jaccard-few"), ["sig"]).select("node", F.col("sig").alias("root"))
+    last = cluster_links(kept, written(whole.unionByName(parts), "jaccard-parts"), percent, block_rows)
     return components(edges.unionByName(last.filter("b IS NOT NULL").select("a", "b")), "bigint")
 
 
@@ -377,7 +407,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike = written(alike, "jaccard-alike")
     discard(sets)
     kept = written(signed_sets(packed_texts(rows).join(alike, "row"), percent, words), "jaccard-kept")
-    met = shared_signatures(kept)
+    signed = kept.select("node", F.col("node").alias("root"), F.explode(F.arrays_zip("kinds", "sigs")).alias("s")).select("node", "root", "s.kinds", F.col("s.sigs").alias("sig"))
+    met = shared_signatures(signed, trim=count_links)
     if count_links:
         links = cluster_links(kept, written(chained(met), "jaccard-clusters"), percent, block_rows)
         roots = components(links.filter("b IS NOT NULL").select("a", "b"), "bigint")
