@@ -26,6 +26,11 @@ def canonical_unit(unit: Column) -> Column:
     )
 
 
+def from_g(value: Column, unit: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in UNITS_IN_G.items() for x in kv))
+    return value / F.element_at(known, canonical_unit(unit))
+
+
 def to_g(value: Column, unit: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in UNITS_IN_G.items() for x in kv))
     return value * F.element_at(known, canonical_unit(unit))
@@ -92,7 +97,7 @@ def periodogram(x: np.ndarray, fs: float, window: str = "hann") -> tuple[np.ndar
     n = x.shape[-1]
     w = periodic_window(window, n)
     spectrum = np.fft.rfft((x - x.mean(-1, keepdims=True)) * w, axis=-1)
-    return np.fft.rfftfreq(n, 1 / fs), one_sided(np.abs(spectrum) ** 2 / (fs * (w**2).sum()), n)
+    return np.arange(n // 2 + 1) * fs / n, one_sided(np.abs(spectrum) ** 2 / (fs * (w**2).sum()), n)
 
 
 def welch(x: np.ndarray, fs: float, resolution: float = 0.25, overlap: float = 0.5, window: str = "hann", least: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +151,74 @@ def distinct_peaks(f: np.ndarray, p: np.ndarray, limit: int = 5, distance: float
     return out
 
 
+def parabolic_offset(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Offset in bins of a parabola's top through three logarithmic powers, at most half a bin."""
+    a, b, c = (np.log(np.maximum(v, TINY)) for v in (before, at, after))
+    bend = a - 2 * b + c
+    return np.where(np.abs(bend) > 1e-15, np.clip(0.5 * (a - c) / np.where(np.abs(bend) > 1e-15, bend, 1), -0.5, 0.5), 0.0)
+
+
+def magnitude_spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and magnitudes of the rows of x by a symmetric Hann window, the mean removed and the constant left out."""
+    n = x.shape[-1]
+    mag = np.abs(np.fft.rfft((x - x.mean(-1, keepdims=True)) * np.hanning(n), axis=-1))
+    mag[..., 0] = 0
+    return np.arange(n // 2 + 1) * fs / n, mag  # a multiple of the rate is hit exactly, so band edges are
+
+
+def spectral_summary(x: np.ndarray, fs: float, eps: float = 1e-12) -> dict[str, np.ndarray]:
+    """Dominant bin and magnitude, centroid, bandwidth, flatness, the five strongest bins and the shares of coarse bands, for the rows of x."""
+    f, mag = magnitude_spectrum(x, fs)
+    total = mag.sum(-1) + eps
+    top = np.argmax(mag, -1)
+    centroid = (f * mag).sum(-1) / total
+    power = mag**2
+    whole = power.sum(-1) + eps
+    edges = [e for e in (0.0, 100.0, 300.0, 800.0, 2000.0) if e < fs / 2] + [fs / 2]
+    return {
+        "dominant_hz": f[top],
+        "dominant_magnitude": np.take_along_axis(mag, top[:, None], -1)[:, 0],
+        "centroid_hz": centroid,
+        "bandwidth_hz": np.sqrt((((f - centroid[:, None]) ** 2) * mag).sum(-1) / total),
+        "flatness": np.exp(np.log(mag + eps).mean(-1)) / (mag + eps).mean(-1),
+        "top_hz": f[np.argsort(-mag, axis=-1, kind="stable")[:, :5]],
+        "shares": np.stack([power[:, (f >= lo) & (f < hi)].sum(-1) / whole for lo, hi in zip(edges[:-1], edges[1:], strict=True)], -1),
+    }
+
+
+def band_shares(x: np.ndarray, fs: float, eps: float = 1e-12) -> tuple[list[str], np.ndarray]:
+    """Names and shares of power of BANDS below half the rate, for the rows of x."""
+    f, mag = magnitude_spectrum(x, fs)
+    power = mag**2
+    held = [(lo, min(hi, fs / 2 + (eps if hi == float("inf") else 0))) for lo, hi in BANDS if min(hi, fs / 2 + eps) > lo and lo < fs / 2]
+    names = [f"{lo:g}_{hi:g}_hz" if hi < float("inf") else f"{lo:g}_plus_hz" for lo, hi in BANDS][: len(held)]
+    return names, np.stack([power[:, (f >= lo) & (f < hi)].sum(-1) / (power.sum(-1) + eps) for lo, hi in held], -1)
+
+
+def spectrogram(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Power of every frame and bin (a symmetric Hann window) of one signal."""
+    starts = np.arange(0, len(x) - size + 1, hop)
+    return np.abs(np.fft.rfft(x[starts[:, None] + np.arange(size)] * np.hanning(size), axis=-1)) ** 2
+
+
+def frame_sizes(n: int, size: int = 512, hop: int = 256) -> tuple[int, int]:
+    """Frame and hop of a signal of n samples: smaller ones where a frame does not fit, the whole signal below 32."""
+    if n < size:
+        size = max(32, 2 ** int(np.floor(np.log2(n))))
+        hop = max(16, size // 2)
+    return (size, hop) if n >= size else (n, max(n, 1))
+
+
+def stft_summary(x: np.ndarray, fs: float, size: int = 512, hop: int = 256, eps: float = 1e-12) -> tuple[int, int, float, int, float, float]:
+    """Frames, bins, frequency and frame of most energy, entropy, and the share of the strongest cell, of one signal."""
+    size, hop = frame_sizes(len(x), size, hop)
+    spec = spectrogram(x - x.mean(), size, hop)
+    total = spec.sum() + eps
+    p = spec.ravel() / total
+    f = np.fft.rfftfreq(size, 1 / fs)
+    return len(spec), spec.shape[1], float(f[np.argmax(spec.sum(0))]), int(np.argmax(spec.sum(1))), float(-(p * np.log(p + eps)).sum()), float(spec.max() / total)
+
+
 def fft_filter(x: np.ndarray, fs: float, kind: str, low: float | None = None, high: float | None = None, order: int = 4) -> np.ndarray:
     """Zero-phase filter in the frequency domain (highpass, lowpass, bandpass, notch, none) with reflected edges; Butterworth magnitudes."""
     n, nyquist = len(x), fs / 2
@@ -160,7 +233,7 @@ def fft_filter(x: np.ndarray, fs: float, kind: str, low: float | None = None, hi
     pad = min(max(256, int(np.ceil(8 * fs / slowest))), n - 1, 262_144)
     padded = np.pad(x, pad, mode="reflect")
     f = np.fft.rfftfreq(len(padded), 1 / fs)
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", over="ignore"):
         up = 1 / np.sqrt(1 + (low / np.maximum(f, 1e-300)) ** (2 * order))
         down = 1 / np.sqrt(1 + (f / high) ** (2 * order))
     if kind == "notch":

@@ -80,7 +80,8 @@ def profile_scores(rows: DataFrame, profile: DataFrame, keys: list[str], value:
         out = out.join(p, on, "left")
         found.append(f"p{i}")
     best = F.coalesce(*found)
-    z = F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(value) - best["mean"]) / best["std"]))
+    raw = (F.col(value) - best["mean"]) / best["std"]
+    z = F.when(raw.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), raw)))
     return out.select(*rows.columns, z.alias("z"), best["level"].alias("profile_level"))
 
 
@@ -105,12 +106,21 @@ def calibration_error(pairs: DataFrame, confidence: str = "confidence", correct:
     return b.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
-def auroc(pairs: DataFrame, score: str = "confidence", positive: str = "correct") -> DataFrame:
-    """n_pos, n_neg and the area under the curve by mid-ranks; rows are counted per score before they are ranked."""
+def auroc(pairs: DataFrame, score: str = "confidence", positive: str = "correct", cells: int = 1024) -> DataFrame:
+    """n_pos, n_neg and the area under the curve by mid-ranks; rows are counted per score before they are ranked.
+
+    Scores lie in cells of their range: negatives are summed over cells first, then within a cell, so no task ranks all scores.
+    """
     y = F.col(positive).cast("int")
-    per = pairs.groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    wins = per.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    per = pairs.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    ends = pairs.agg(F.min(F.col(score).cast("double")).alias("low"), F.max(F.col(score).cast("double")).alias("high"))
+    at = F.floor((F.col("s") - F.col("low")) / (F.col("high") - F.col("low")) * cells)
+    per = per.join(F.broadcast(ends)).withColumn("cell", F.coalesce(F.least(at, F.lit(cells - 1)), F.lit(0)))  # one row of ends
+    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    sums = per.groupBy("cell").agg(F.sum("neg").alias("held"))
+    sums = sums.select("cell", (F.sum("held").over(upto) - F.col("held")).alias("before"))
+    inside = F.sum("neg").over(Window.partitionBy("cell").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
+    wins = per.withColumn("inside", inside).join(sums, "cell").withColumn("wins", F.col("pos") * (F.col("before") + F.col("inside") + F.col("neg") / 2))
     return wins.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 

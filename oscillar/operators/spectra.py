@@ -22,6 +22,121 @@ def _arrays(column: pa.Array):
             yield rows, flat[offsets[rows][:, None] + np.arange(n)]
 
 
+def _mapped(windows: DataFrame, keys: list[str], fields: str, kernel) -> DataFrame:
+    """keys and fields for every window: kernel(matrix of windows of equal length) → a list of columns. No shuffle; null and empty arrays are left out."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for rows, x in _arrays(b.column(len(keys))):
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(len(keys))), *kernel(x)], names=[*keys, *names])
+
+    kinds = dict(windows.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + fields.replace("<string double>", "<string,double>")
+    return windows.select(*keys, "x").mapInArrow(run, schema)
+
+
+def spectral_summaries(windows: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """keys, dominant_hz, dominant_magnitude, centroid_hz, bandwidth_hz, flatness, top_hz, shares of windows (column x) of 32 samples and more."""
+    fields = "dominant_hz double, dominant_magnitude double, centroid_hz double, bandwidth_hz double, flatness double, top_hz array<double>, shares array<double>"
+
+    def kernel(x):
+        s = signal.spectral_summary(x, fs)
+        return [pa.array(v if v.ndim == 1 else list(v), pa.float64() if v.ndim == 1 else pa.list_(pa.float64())) for v in s.values()]
+
+    return _mapped(windows.filter(F.size("x") >= 32), keys, fields, kernel)
+
+
+def stft_summaries(windows: DataFrame, keys: list[str], fs: float, size: int = 512, hop: int = 256) -> DataFrame:
+    """keys, frames, bins, peak_hz, peak_frame, entropy, concentration of every window (column x)."""
+
+    def kernel(x):
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
+        return [pa.array(c, k) for c, k in zip(zip(*(signal.stft_summary(row, fs, size, hop) for row in x), strict=True), kinds, strict=True)]
+
+    return _mapped(windows, keys, "frames int, bins int, peak_hz double, peak_frame int, entropy double, concentration double", kernel)
+
+
+def spectrograms(windows: DataFrame, keys: list[str], fs: float, size: int = 256, hop: int = 256) -> DataFrame:
+    """keys, frame, power_db: the decibels of the bins of every whole frame, for viewing."""
+    framed = windows.filter(F.size("x") >= size).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("x") - size, F.lit(hop)), lambda k: F.slice("x", k + 1, size))).alias("frame", "x"))
+
+    def kernel(x):
+        power = np.abs(np.fft.rfft(x * np.hanning(size), axis=-1)) ** 2
+        return [pa.array(list(10 * np.log10(np.maximum(power, signal.TINY))), pa.list_(pa.float64()))]
+
+    return _mapped(framed, [*keys, "frame"], "power_db array<double>", kernel)
+
+
+def window_metrics(windows: DataFrame, keys: list[str], fs: float, expected: int = 0) -> DataFrame:
+    """The metrics that sensors are compared by, for windows of window_arrays(): time-domain figures, dominant frequency, velocity, band shares and quality flags.
+
+    Windows of fewer than 32 samples have no spectrum, windows without any sample no figures.
+    """
+    figures = "rms double, peak double, ptp double, kurtosis double, crest double, std double, dominant_hz double, band_names array<string>, band_values array<double>"
+
+    def kernel(x):
+        c = x - x.mean(-1, keepdims=True)
+        rms, peak = np.sqrt((c**2).mean(-1)), np.abs(c).max(-1)
+        safe = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0.0)
+        out = [rms, peak, c.max(-1) - c.min(-1), safe((c**4).mean(-1), rms**4), safe(peak, rms), x.std(-1)]
+        columns = [pa.array(v) for v in out]
+        if x.shape[1] < 32:
+            return [*columns, pa.nulls(len(x), pa.float64()), pa.array([[]] * len(x), pa.list_(pa.string())), pa.array([[]] * len(x), pa.list_(pa.float64()))]
+        names, shares = signal.band_shares(x, fs)
+        f, mag = signal.magnitude_spectrum(x, fs)
+        return [*columns, pa.array(f[np.argmax(mag, -1)]), pa.array([names] * len(x), pa.list_(pa.string())), pa.array(list(shares), pa.list_(pa.float64()))]
+
+    held = windows.select(F.struct(*keys, "n", "left_out").alias("held"), "x").filter(F.size("x") > 0)
+    done = _mapped(held, ["held"], figures, kernel)
+    n, short = F.col("held.n"), F.lit(expected) >= 64
+    flags = F.array(F.when(n < 32, "insufficient_samples"), F.when(short & (n < int(expected * 0.75)), "short_window"), F.when(F.col("std") < 1e-10, "flatline"), F.when(F.col("held.left_out") > 0, "non_finite_values"))
+    return done.select(
+        *(F.col(f"held.{k}").alias(k) for k in keys), n.alias("n"), "rms", "peak", "ptp", "kurtosis", "crest", signal.peak_velocity_mm_s(F.col("rms"), F.col("dominant_hz")).alias("ppv"), "dominant_hz",
+        F.map_from_arrays("band_names", "band_values").alias("bands"), F.array_join(F.array_compact(flags), ",").alias("flags"),
+    )
+
+
+def density_summaries(windows: DataFrame, keys: list[str], fs: float, resolution: float = 0.25, limit: int = 5) -> DataFrame:
+    """keys, rms, total_power, dominant_hz, peak_hz and peak_db (distinct peaks, refined between bins), bands of the Welch density of every window."""
+
+    def kernel(x):
+        out = []
+        for row in x:
+            f, p = signal.welch(row, fs, resolution)
+            df = float(np.median(np.diff(f))) if len(f) > 1 else 1.0
+            peaks = signal.distinct_peaks(f, p, limit)
+            at = [int(np.argmin(np.abs(f - hz))) for hz, *_ in peaks]
+            moved = [float(f[k] + df * (signal.parabolic_offset(p[k - 1], p[k], p[k + 1]) if 0 < k < len(p) - 1 else 0)) for k in at]
+            cut = lambda lo, hi: float(p[(f >= lo) & (f < hi) & (f > 0)].sum() * df)
+            bands = {f"{lo:g}-{hi:g}" if hi < float("inf") else f"{lo:g}+": cut(lo, hi) for lo, hi in signal.BANDS if lo < fs / 2}
+            strongest = int(np.argmax(np.where(f > 0, p, 0)))
+            out.append((float(np.sqrt(((row - row.mean()) ** 2).mean())), float(p[1:].sum() * df), float(f[strongest]), moved, [float(10 * np.log10(max(v, signal.TINY))) for _, v, _ in peaks], list(bands), list(bands.values())))
+        kinds = (pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.list_(pa.float64()))
+        return [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+
+    fields = "rms double, total_power double, dominant_hz double, peak_hz array<double>, peak_db array<double>, band_names array<string>, band_values array<double>"
+    return _mapped(windows, keys, fields, kernel).withColumn("bands", F.map_from_arrays("band_names", "band_values")).drop("band_names", "band_values")
+
+
+def aligned_windows(samples: DataFrame, seconds: float) -> DataFrame:
+    """The samples of the last `seconds` before the common end, the earliest of the sensors' latest times. The end is one value, found by one aggregation."""
+    latest = samples.groupBy("sensor").agg(F.max("ts").alias("ts"))
+    end = latest.agg(F.min("ts").alias("end"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return samples.join(F.broadcast(end)).filter((F.col("ts") <= F.col("end")) & (micros("ts") > micros("end") - int(seconds * 1e6))).drop("end")
+
+
+def density_deltas(summaries: DataFrame, reference: str) -> DataFrame:
+    """sensor, band, power, delta_db against the reference sensor's band (null without it), dominant_shift_hz, rms_db."""
+    rows = summaries.select("sensor", "rms", "dominant_hz", F.explode("bands").alias("band", "power"))
+    base = rows.filter(F.col("sensor") == reference).select("band", F.col("power").alias("ref_power"), F.col("dominant_hz").alias("ref_hz"), F.col("rms").alias("ref_rms"))
+    met = rows.filter(F.col("sensor") != reference).join(base, "band", "left")
+    db = lambda a, b, k: k * F.log10(F.greatest(F.col(a), F.lit(signal.TINY)) / F.greatest(F.col(b), F.lit(signal.TINY)))
+    return met.select("sensor", "band", "power", db("power", "ref_power", 10).alias("delta_db"), (F.col("dominant_hz") - F.col("ref_hz")).alias("dominant_shift_hz"), db("rms", "ref_rms", 20).alias("rms_db"))
+
+
 def power_spectra(windows: DataFrame, id_col: str, array_col: str, fs: float, window: str = "hann") -> DataFrame:
     """id, bin, frequency, power: the periodogram of every window, a row for each bin. No shuffle."""
 
@@ -37,24 +152,77 @@ def power_spectra(windows: DataFrame, id_col: str, array_col: str, fs: float, wi
     return rows.mapInArrow(run, "id long, bin int, frequency double, power double")
 
 
-def band_powers(spectra: DataFrame) -> DataFrame:
-    """id, band, power (sum times bin width), fraction of the window's total; DC is left out."""
-    powers = spectra.filter("bin > 0").groupBy("id", signal.band_of(F.col("frequency")).alias("band")).agg(F.sum("power").alias("power"))
-    from pyspark.sql import Window
+def band_powers(windows: DataFrame, id_col: str, array_col: str, fs: float) -> DataFrame:
+    """id, band, power (sum times bin width), rms, fraction of the window's total; the constant is left out. Bands are summed where the window lies, without a shuffle."""
+    names = [f"{lo:g}-{hi:g}" if hi < float("inf") else f"{lo:g}+" for lo, hi in signal.BANDS if lo < fs / 2]
 
-    total = F.sum("power").over(Window.partitionBy("id"))
-    return powers.select("id", "band", "power", F.when(total > 0, F.col("power") / total).alias("fraction"))
+    def kernel(x):
+        f, p = signal.periodogram(x, fs)
+        df = f[1] - f[0]
+        sums = np.stack([p[:, (f >= lo) & (f < hi) & (f > 0)].sum(-1) * df for lo, hi in signal.BANDS if lo < fs / 2], -1)
+        return [pa.array(list(sums), pa.list_(pa.float64()))]
 
+    rows = windows.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x"))
+    sums = _mapped(rows, ["id"], "powers array<double>", kernel)
+    total = F.aggregate("powers", F.lit(0.0), lambda a, v: a + v)
+    long = sums.select("id", total.alias("total"), F.posexplode("powers").alias("k", "power"))
+    return long.select("id", F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("band"), "power", F.sqrt("power").alias("rms"), F.when(F.col("total") > 0, F.col("power") / F.col("total")).alias("fraction"))
+
+
+def local_peaks(windows: DataFrame, id_col: str, array_col: str, fs: float, k: int = 3) -> DataFrame:
+    """id, rank, bin, frequency, power, refined_hz of the k strongest strict-left, non-strict-right local maxima of each window; refined between bins by a parabola."""
 
-def local_peaks(spectra: DataFrame, k: int = 3) -> DataFrame:
-    """id, rank, frequency, power of the k strongest strict-left, non-strict-right local maxima of each window."""
+    def run(batches):
+        for b in batches:
+            for rows, x in _arrays(b.column(1)):
+                f, p = signal.periodogram(x, fs)
+                peak = np.zeros(p.shape, bool)
+                peak[:, 1:-1] = (p[:, 1:-1] > p[:, :-2]) & (p[:, 1:-1] >= p[:, 2:])
+                order = np.argsort(np.where(peak, -p, np.inf), axis=-1, kind="stable")[:, :k]
+                found = np.take_along_axis(peak, order, -1)
+                i, rank = np.nonzero(found)
+                at = order[i, rank]
+                moved = f[at] + (f[1] - f[0]) * signal.parabolic_offset(p[i, at - 1], p[i, at], p[i, at + 1])
+                take = pa.array(rows[i])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), pa.array((rank + 1).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(f[at]), pa.array(p[i, at]), pa.array(moved)], names=["id", "rank", "bin", "frequency", "power", "refined_hz"]
+                )
+
+    rows = windows.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x"))
+    return rows.mapInArrow(run, "id long, rank int, bin int, frequency double, power double, refined_hz double")
+
+
+def plot_buckets(spectra: DataFrame, low: float, high: float, buckets: int = 16) -> DataFrame:
+    """id, bucket, floor (median of the positive powers), peak_hz and peak (the strongest bin) over logarithmic frequency buckets, for plots."""
+    at = F.floor(F.log(F.col("frequency") / low) / float(np.log(high / low)) * buckets)
+    inside = spectra.filter((F.col("frequency") >= low) & (F.col("frequency") < high)).withColumn("bucket", at.cast("int"))
+    peak = F.max(F.struct("power", (-F.col("frequency")).alias("minus_hz")))
+    out = inside.groupBy("id", "bucket").agg(F.percentile(F.when(F.col("power") > 0, F.col("power")), 0.5).alias("floor"), peak.alias("p"))
+    return out.select("id", "bucket", "floor", (-F.col("p.minus_hz")).alias("peak_hz"), F.col("p.power").alias("peak"))
+
+
+def nearest_bins(spectra: DataFrame, asked: DataFrame) -> DataFrame:
+    """For rows of asked (id, hz) the nearest bin of the id's spectrum: id, hz, bin, power; ties go to the lower bin."""
+    met = spectra.join(asked, "id")
+    best = met.groupBy("id", "hz").agg(F.min(F.struct(F.abs(F.col("frequency") - F.col("hz")).alias("d"), "bin", "power")).alias("b"))
+    return best.select("id", "hz", "b.bin", "b.power")
+
+
+def spectral_shape(spectra: DataFrame, low: float, high: float) -> DataFrame:
+    """id, entropy (over the logarithm of the number of bins), band_energy (trapezoids within [low, high); a single bin counts by its width), total_power."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy("id").orderBy("bin")
-    at = spectra.withColumns({"before": F.lag("power").over(by), "after": F.lead("power").over(by)})
-    peaks = at.filter("power > before AND power >= after")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("power").desc(), "bin"))
-    return peaks.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "bin", "frequency", "power")
+    run = Window.partitionBy("id").orderBy("bin")
+    p = spectra.withColumns({"f0": F.lag("frequency").over(run), "p0": F.lag("power").over(run), "total": F.sum("power").over(Window.partitionBy("id")), "df": F.col("frequency") - F.lag("frequency").over(run)})
+    share = F.col("power") / F.col("total")
+    inside = (F.col("frequency") >= low) & (F.col("frequency") < high)
+    trapezoid = F.when(inside & (F.col("f0") >= low), (F.col("power") + F.col("p0")) / 2 * (F.col("frequency") - F.col("f0")))
+    agg = p.groupBy("id").agg(
+        (-F.sum(F.when(share > 0, share * F.log(share))) / F.log(F.count(F.lit(1)))).alias("entropy"), F.sum(trapezoid).alias("t"), F.count_if(inside).alias("k"), F.sum(F.when(inside, F.col("power"))).alias("s"),
+        F.percentile("df", 0.5).alias("df"), F.sum("power").alias("all"),
+    )
+    energy = F.when(F.col("k") == 0, F.lit(0.0)).when(F.col("k") == 1, F.col("s") * F.col("df")).otherwise(F.col("t"))
+    return agg.select("id", "entropy", energy.alias("band_energy"), (F.col("all") * F.col("df")).alias("total_power"))
 
 
 def peaks_of(windows: DataFrame, id_col: str, array_col: str, fs: float, resolution: float = 0.25, limit: int = 5) -> DataFrame:
@@ -106,3 +274,21 @@ def nearest_codes(vectors: DataFrame, codebook: DataFrame, id_col: str, array_co
 
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x"))
     return rows.mapInArrow(run, "id long, codes array<bigint>, error double")
+
+
+def levels(windows: DataFrame, reference: str) -> DataFrame:
+    """sensor, win, level_db, level_rel_db of arrays x: the RMS in decibels, and against the reference sensor's window of the same time (null without it)."""
+    x = F.transform("x", lambda v: v.cast("double"))
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    rms = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size("x"))
+    own = windows.select("sensor", "win", (20 * F.log10(F.greatest(rms, F.lit(1e-12)))).alias("level_db"))
+    base = own.filter(F.col("sensor") == reference).select("win", F.col("level_db").alias("ref_"))
+    return own.join(base, "win", "left").select("sensor", "win", "level_db", (F.col("level_db") - F.col("ref_")).alias("level_rel_db"))
+
+
+def board_relations(bands: DataFrame, reference: int) -> DataFrame:
+    """episode, board, band, transmissibility_db: the power of each board's band against the reference board's of the same episode."""
+    base = bands.filter(F.col("board") == reference).select("episode", "band", F.col("power").alias("ref_"))
+    met = bands.filter(F.col("board") != reference).join(base, ["episode", "band"], "left")
+    db = 10 * F.log10(F.greatest(F.col("power"), F.lit(1e-18)) / F.greatest(F.col("ref_"), F.lit(1e-18)))
+    return met.select("episode", "board", "band", db.alias("transmissibility_db"))

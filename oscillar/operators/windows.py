@@ -21,6 +21,8 @@ def window_features(samples: DataFrame) -> DataFrame:
     agg = c.groupBy("sensor", "win").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        ((F.max(F.expr("unix_micros(ts)")) - F.min(F.expr("unix_micros(ts)"))) / 1e6).alias("duration"),
         F.sqrt(F.avg(x * x)).alias("rms"),
         F.avg(x * x * x).alias("m3"),
         F.avg(x * x * x * x).alias("m4"),
@@ -33,121 +35,257 @@ def window_features(samples: DataFrame) -> DataFrame:
     rms = F.col("rms")
     safe = lambda v, by: F.when(by > 0, v / by).otherwise(F.lit(0.0))
     return agg.select(
-        "sensor", "win", "n", "mean", "rms", "peak", "ptp", "energy", safe(F.col("m3"), rms * rms * rms).alias("skew"), safe(F.col("m4"), rms * rms * rms * rms).alias("kurtosis"),
+        "sensor", "win", "n", "duration", "mean", "std", (F.col("std") * F.col("std")).alias("var"), "rms", "peak", "ptp", "energy", safe(F.col("m3"), rms * rms * rms).alias("skew"), safe(F.col("m4"), rms * rms * rms * rms).alias("kurtosis"),
         safe(F.col("peak"), rms).alias("crest"), safe(F.col("peak"), F.col("mean_abs")).alias("impulse"), safe(rms, F.col("mean_abs")).alias("shape"), safe(F.col("crossings"), F.col("n") - 1).alias("zcr"),
     )
 
 
-def window_quality(samples: DataFrame, least: int = 32, clip: float = 500.0) -> DataFrame:
-    """n, valid and clipped fraction, monotonic, gaps (over 1.5 median steps), rate, flags of each window."""
+def window_quality(samples: DataFrame, least: int = 32, clip: float = 500.0, expected: int = 0, flat: float = 1e-7) -> DataFrame:
+    """n, valid, missing and clipped fraction, monotonic, gaps (over 1.5 median steps), rate, usable, flags and notes of each window.
+
+    expected: samples of a whole window; under three quarters of them (64 or more expected) the window is short. One pass: a
+    window's steps are an array of the window's row.
+    """
     run = Window.partitionBy("sensor", "win").orderBy("event_id")
     s = samples.withColumn("dt", F.expr("unix_micros(ts)") / 1e6 - F.lag(F.expr("unix_micros(ts)") / 1e6).over(run))
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     per = s.groupBy("sensor", "win").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(finite.cast("int")).alias("valid"), F.avg((F.abs("value") >= clip).cast("int")).alias("clipped"),
-        F.coalesce(F.bool_and(F.col("dt") > 0), F.lit(True)).alias("monotonic"), F.stddev_pop("value").alias("std"), F.percentile(F.when(F.col("dt") > 0, F.col("dt")), 0.5).alias("step"),
+        F.count(F.lit(1)).alias("n"), F.avg(finite.cast("int")).alias("valid"), F.avg(F.col("value").isNull().cast("int")).alias("missing"), F.avg((F.abs("value") >= clip).cast("int")).alias("clipped"),
+        F.coalesce(F.bool_and(F.col("dt") > 0), F.lit(True)).alias("monotonic"), F.stddev_pop("value").alias("std"), (F.max("value") - F.min("value")).alias("ptp"),
+        F.percentile(F.when(F.col("dt") > 0, F.col("dt")), 0.5).alias("step"), F.collect_list("dt").alias("steps"),
     )
-    gaps = s.join(per.select("sensor", "win", "step"), ["sensor", "win"]).groupBy("sensor", "win").agg(F.sum((F.col("dt") > 1.5 * F.col("step")).cast("int")).alias("gaps"))
-    flags = F.array_compact(F.array(F.when(F.col("n") < least, "insufficient_samples"), F.when(F.col("std") < 1e-10, "flatline"), F.when(F.col("valid") < 1, "non_finite"), F.when(~F.col("monotonic"), "timestamps")))
-    return per.join(gaps, ["sensor", "win"]).select("sensor", "win", "n", "valid", "clipped", "monotonic", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), (1 / F.col("step")).alias("rate"), F.array_join(flags, ",").alias("flags"))
+    gaps = F.coalesce(F.size(F.filter("steps", lambda d: d > 1.5 * F.col("step"))), F.lit(0)).cast("long")
+    flags = [F.when(F.col("n") < least, "insufficient_samples"), F.when((F.lit(expected) >= 64) & (F.col("n") < int(expected * 0.75)), "short_window"), F.when(F.col("std") < 1e-10, "flatline"), F.when(F.col("valid") < 1, "non_finite_values")]
+    notes = [F.when(F.col("clipped") >= 0.01, "clipping"), F.when(~F.col("monotonic"), "timestamps_not_increasing"), F.when(gaps > 0, "gaps"), F.when(F.col("ptp") <= flat, "flatline")]
+    usable = (F.col("valid") >= 0.98) & F.col("monotonic") & (F.col("clipped") < 0.01) & (F.col("n") > 0)
+    joined = lambda parts: F.array_join(F.array_compact(F.array(*parts)), ",")
+    return per.select("sensor", "win", "n", "valid", "missing", "clipped", "monotonic", gaps.alias("gaps"), (1 / F.col("step")).alias("rate"), usable.alias("usable"), joined(flags).alias("flags"), joined(notes).alias("notes"))
+
+
+def window_arrays(samples: DataFrame, by: tuple[str, ...] = ("sensor", "win")) -> DataFrame:
+    """The finite samples of each window as an array x in order of time, their number n and that of the others, left_out."""
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    x = F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("ts", "event_id", "value")))), lambda s: s["value"])
+    return samples.groupBy(*by).agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("left_out"), x.alias("x"))
+
+
+# Labels of a sensor and of the network, with their confidences and the order of severity.
+SENSOR_LABELS = {
+    "insufficient_data": 0.96,
+    "possible_sensor_issue": 0.9,
+    "impulsive_or_shock_event": 0.88,
+    "significant_local_deviation": 0.86,
+    "mild_deviation": 0.74,
+    "normal_relative_to_baseline": 0.82,
+}
+NETWORK_LABELS = {
+    "insufficient_data": 0.98,
+    "sensor_network_quality_issue": 0.9,
+    "normal_relative_to_reference_sensor": 0.84,
+    "multi_sensor_structure_wide_vibration_event": 0.84,
+    "mild_multi_sensor_deviation": 0.76,
+    "localized_vibration_deviation": 0.82,
+    "mild_local_deviation": 0.72,
+}
+SEVERITY = ("normal_relative_to_baseline", "insufficient_data", "possible_sensor_issue", "mild_deviation", "significant_local_deviation", "impulsive_or_shock_event")
+QUALITY_LABELS = ("insufficient_data", "possible_sensor_issue")
+
+
+def bounded_ratio(a: Column, b: Column) -> Column:
+    """a / b; null without a reference that is clearly not zero."""
+    return F.when(F.abs(b) > 1e-12, a / b)
 
 
-def compare_to_reference(features: DataFrame, reference: str) -> DataFrame:
-    """Each target window with the reference sensor's window of the same time: ratios (null without a reference), equi-join on the window."""
-    base = features.filter(F.col("sensor") == reference).select("win", F.col("rms").alias("ref_rms"), F.col("peak").alias("ref_peak"), F.col("kurtosis").alias("ref_kurtosis"))
-    ratio = lambda a, b: F.when(F.col(b) > 1e-12, F.col(a) / F.col(b))
-    both = features.filter(F.col("sensor") != reference).join(base, "win", "left")
-    return both.select("sensor", "win", "n", "rms", "kurtosis", "crest", ratio("rms", "ref_rms").alias("rms_ratio"), ratio("peak", "ref_peak").alias("peak_ratio"), (F.col("kurtosis") - F.col("ref_kurtosis")).alias("kurtosis_delta"))
+def clamp01(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def sensor_label(n: Column, rms: Column, peak: Column, kurtosis: Column, crest: Column, least: int = 32) -> tuple[Column, Column]:
-    """Label and confidence of a sensor by its ladder of rules; missing ratios count as 1, missing shape figures as 0."""
-    r, p = F.coalesce(rms, F.lit(1.0)), F.coalesce(peak, F.lit(1.0))
-    k, c = F.coalesce(kurtosis, F.lit(0.0)), F.coalesce(crest, F.lit(0.0))
+def compare_to_reference(metrics: DataFrame, reference: str, by: tuple[str, ...] = ("win",)) -> DataFrame:
+    """Each target window's metrics with those of the reference sensor's window of the same time (an equi-join): ratios, deltas and the distance of their band powers.
+
+    Ratios are null without a reference; a band that one side lacks counts as 0.
+    """
+    kept = ["rms", "peak", "ptp", "ppv", "dominant_hz", "kurtosis", "crest", "bands", "flags"]
+    base = metrics.filter(F.col("sensor") == reference).select(*by, *(F.col(c).alias(f"ref_{c}") for c in kept), F.lit(True).alias("has_reference"))
+    both = metrics.filter(F.col("sensor") != reference).join(base, list(by), "left")
+    ratio = lambda c: bounded_ratio(F.col(c), F.col(f"ref_{c}")).alias(f"{c}_ratio")
+    delta = lambda c: (F.col(c) - F.col(f"ref_{c}")).alias(f"{c}_delta")
+    empty = F.create_map().cast("map<string,double>")
+    apart = F.map_zip_with(F.coalesce("bands", empty), F.coalesce("ref_bands", empty), lambda _, a, b: F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))
+    distance = F.sqrt(F.aggregate(F.map_values(apart), F.lit(0.0), lambda t, d: t + d * d))
+    reference_flags = F.when(F.col("has_reference"), F.col("ref_flags")).otherwise("missing_data")
+    return both.select(
+        *by, "sensor", "n", "kurtosis", "crest", *(ratio(c) for c in ("rms", "peak", "ptp", "ppv")), *(delta(c) for c in ("rms", "peak", "dominant_hz", "kurtosis", "crest")),
+        distance.alias("spectral_distance"), "flags", reference_flags.alias("reference_flags"),
+    )
+
+
+def sensor_label(c: DataFrame) -> tuple[Column, Column]:
+    """Label and confidence by the sensor's ladder of rules; missing ratios count as 1, missing shape figures and distances as 0."""
+    or_one, or_zero = (lambda x: F.coalesce(c[x], F.lit(1.0))), (lambda x: F.coalesce(c[x], F.lit(0.0)))
+    lacking = F.concat_ws(",", c["flags"], c["reference_flags"])
+    highest = F.greatest(or_one("rms_ratio"), or_one("peak_ratio"), or_one("ppv_ratio"))
     rules = [
-        (n < least, "insufficient_data", 0.96),
-        ((k >= 8) | (c >= 7) | (p >= 5), "impulsive_event", 0.88),
-        ((r >= 3) | (p >= 3), "significant_increase", 0.86),
-        ((r >= 1.5) | (p >= 1.5), "mild_increase", 0.74),
+        (lacking.rlike("missing_data|insufficient_samples"), "insufficient_data"),
+        (F.length(F.replace(lacking, F.lit(","), F.lit(""))) > 0, "possible_sensor_issue"),
+        ((or_zero("kurtosis") >= 8) | (or_zero("crest") >= 7) | (or_one("peak_ratio") >= 5), "impulsive_or_shock_event"),
+        ((highest >= 3) | (or_zero("spectral_distance") >= 0.65), "significant_local_deviation"),
+        ((highest >= 1.5) | (or_zero("spectral_distance") >= 0.35), "mild_deviation"),
     ]
-    label, sure = F.lit("normal"), F.lit(0.82)
-    for when, name, confidence in reversed(rules):
-        label, sure = F.when(when, name).otherwise(label), F.when(when, confidence).otherwise(sure)
-    return label, sure
-
-
-def network_labels(reports: DataFrame) -> DataFrame:
-    """win, sensors, affected, significant, label, affected_sensors from sensor labels, by the network's ladder of rules."""
-    strong = F.col("label").isin("significant_increase", "impulsive_event")
-    hit = strong | (F.col("label") == "mild_increase")
-    per = reports.groupBy("win").agg(
-        F.count(F.lit(1)).alias("sensors"), F.count_if(hit).alias("affected"), F.count_if(strong).alias("significant"), F.count_if(F.col("label") == "insufficient_data").alias("poor"),
-        F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("sensor")))), ",").alias("affected_sensors"),
+    label = F.lit("normal_relative_to_baseline")
+    for when, name in reversed(rules):
+        label = F.when(when, name).otherwise(label)
+    return label, F.element_at(F.create_map(*(F.lit(x) for kv in SENSOR_LABELS.items() for x in kv)), label)
+
+
+def severity(label: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, SEVERITY)), label).cast("int") - 1
+
+
+def network_labels(reports: DataFrame, by: tuple[str, ...] = ("win",)) -> DataFrame:
+    """Per window: sensors, affected, significant, label, confidence, affected_sensors, worst_sensor and worst_label, in one aggregation of the sensors' labels."""
+    strong = F.col("label").isin("significant_local_deviation", "impulsive_or_shock_event")
+    hit, poor = strong | (F.col("label") == "mild_deviation"), F.col("label").isin(*QUALITY_LABELS)
+    names = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("sensor")))), ",")
+    per = reports.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sensors"), F.count_if(hit).alias("affected"), F.count_if(strong).alias("significant"), F.count_if(poor).alias("poor"), names(hit).alias("hit"), names(poor).alias("bad"),
+        F.max(F.struct(severity(F.col("label")).alias("s"), "sensor", "label")).alias("worst"),
     )
     wide = F.greatest(F.lit(2), F.ceil(0.6 * F.col("sensors")))
     label = (
-        F.when(F.col("poor") > 0, "quality_issue").when(F.col("affected") == 0, "normal").when((F.col("significant") >= 2) | (F.col("affected") >= wide), "structure_wide_event")
-        .when((F.col("affected") > 1) & (F.col("significant") == 0), "mild_multi_sensor").when(F.col("significant") > 0, "localized_event").otherwise("mild_local")
+        F.when(F.col("poor") > 0, "sensor_network_quality_issue").when(F.col("affected") == 0, "normal_relative_to_reference_sensor")
+        .when((F.col("significant") >= 2) | (F.col("affected") >= wide), "multi_sensor_structure_wide_vibration_event").when((F.col("affected") > 1) & (F.col("significant") == 0), "mild_multi_sensor_deviation")
+        .when(F.col("significant") > 0, "localized_vibration_deviation").otherwise("mild_local_deviation")
+    )
+    sure = F.element_at(F.create_map(*(F.lit(x) for kv in NETWORK_LABELS.items() for x in kv)), label)
+    return per.select(
+        *by, "sensors", "affected", "significant", label.alias("label"), sure.alias("confidence"), F.when(F.col("poor") > 0, F.col("bad")).otherwise(F.col("hit")).alias("affected_sensors"),
+        F.col("worst.sensor").alias("worst_sensor"), F.col("worst.label").alias("worst_label"),
     )
-    return per.select("win", "sensors", "affected", "significant", label.alias("label"), "affected_sensors")
 
 
-def history_scores(features: DataFrame, history: DataFrame, metric: str = "rms", least: int = 5) -> DataFrame:
-    """Percentile and multiple of the median of each window's metric within its sensor's normal history; null while learning.
+def combined_axes(labels: DataFrame) -> DataFrame:
+    """win, sensor, label, axes: the worst label of a sensor over the axes that were checked, and the axes that show it."""
+    rank = severity(F.col("label"))
+    worst = labels.groupBy("win", "sensor").agg(F.max(F.struct(rank.alias("s"), "label")).alias("w"), F.array_sort(F.collect_set(F.struct(rank.alias("s"), "axis"))).alias("all"))
+    axes = F.transform(F.filter("all", lambda a: a["s"] == F.col("w.s")), lambda a: a["axis"])
+    return worst.select("win", "sensor", F.col("w.label").alias("label"), F.array_join(axes, ",").alias("axes"))
+
+
+def history_scores(features: DataFrame, history: DataFrame, metric: str = "rms", least: int = 5, cells: int = 256) -> DataFrame:
+    """Percentile and multiple of the median of each window's metric within its sensor's history; null while it is learnt.
 
-    The history is counted per distinct value and joined by running counts, so no window meets all rows of its history.
+    The history is counted per distinct value. Values of a sensor lie in cells of its range: cells are summed first, then
+    counts run within a cell, so that neither a sensor's history nor its windows are one task's work.
     """
     h = history.groupBy("sensor", F.col(metric).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    middle = history.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.percentile(metric, 0.5).alias("median"), F.min(metric).alias("low"), F.max(metric).alias("high"))
     both = h.select("sensor", "v", "k", F.lit(None).cast("long").alias("win")).unionByName(features.select("sensor", F.col(metric).alias("v"), F.lit(0).cast("long").alias("k"), "win"))
-    upto = Window.partitionBy("sensor").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
-    ranked = both.withColumn("below", F.sum("k").over(upto)).filter("win IS NOT NULL")
-    middle = history.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.percentile(metric, 0.5).alias("median"))
-    out = ranked.join(middle, "sensor", "left")
+    both = both.join(middle, "sensor", "left")
+    at = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * cells)
+    both = both.withColumn("cell", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(cells), at)), F.lit(0)).cast("int"))
+    run = lambda *by: Window.partitionBy("sensor", *by)
+    before = both.groupBy("sensor", "cell").agg(F.sum("k").alias("held"))
+    before = before.select("sensor", "cell", (F.sum("held").over(run().orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("before"))
+    inside = F.sum("k").over(run("cell").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("inside", inside).filter("win IS NOT NULL").join(before, ["sensor", "cell"])
     known = F.col("n") >= least
-    return out.select("sensor", "win", F.when(known, F.round(100 * F.col("below") / F.col("n"), 2)).alias("percentile"), F.when(known & (F.col("median") > 1e-9), F.round(F.col("v") / F.col("median"), 2)).alias("x_median"))
+    percentile = 100 * (F.col("before") + F.col("inside")) / F.col("n")
+    times = F.when(F.col("median") > 1e-9, F.col("v") / F.col("median"))
+    return out.select("sensor", "win", F.when(known, F.round(percentile, 2)).alias("percentile"), F.when(known, F.round(times, 2)).alias("x_median"))
+
+
+def history_context(features: DataFrame, labels: DataFrame, metrics: tuple[str, ...] = ("rms", "peak", "crest"), least: int = 5) -> DataFrame:
+    """sensor, win, metric, percentile, x_median, n_history: the rarest metric of each window within its sensor's normal windows.
+
+    Normal windows are those that the ladder calls normal and no quality flag marks. Rarity is the greater of percentile and
+    its complement; ties go to the multiple of the median furthest from 1, then to the metric's name. n_history tells a
+    sensor that is still learning (fewer than `least`): its percentile and multiple are null.
+    """
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics)))
+    rows = features.select("sensor", "win", long.alias("m")).select("sensor", "win", "m.metric", "m.v")
+    normal = labels.filter("label = 'normal_relative_to_baseline'").select("sensor", "win").distinct()
+    history = rows.join(normal, ["sensor", "win"], "left_semi")
+    key = F.struct("sensor", "metric").alias("sensor")
+    scores = history_scores(rows.select(key, "win", F.col("v").alias("rms")), history.select(key, F.col("v").alias("rms")), "rms", least)
+    counts = normal.groupBy("sensor").agg(F.count(F.lit(1)).alias("n_history"))
+    scores = scores.select("sensor.sensor", "sensor.metric", "win", "percentile", "x_median")
+    rarity = F.greatest(F.col("percentile"), 100 - F.col("percentile"))
+    order = F.struct(F.coalesce(rarity, F.lit(-1.0)), F.coalesce(F.abs(F.col("x_median") - 1), F.lit(-1.0)), F.col("metric"), "percentile", "x_median")
+    top = scores.groupBy("sensor", "win").agg(F.max(order).alias("t"))
+    top = top.join(counts, "sensor", "left")
+    return top.select("sensor", "win", "t.metric", "t.percentile", "t.x_median", F.coalesce("n_history", F.lit(0)).cast("long").alias("n_history"))
 
 
 def block_rms(samples: DataFrame, size: int = 16) -> DataFrame:
-    """Per window: blocks, median block RMS, scaled MAD, largest block and its robust score."""
+    """Per window: blocks, median block RMS, scaled MAD, largest block and its robust score. A window's blocks are an array of its row."""
     run = Window.partitionBy("sensor", "win").orderBy("ts", "event_id")
     b = samples.withColumn("block", F.floor((F.row_number().over(run) - 1) / size)).groupBy("sensor", "win", "block").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
-    middle = b.groupBy("sensor", "win").agg(F.count(F.lit(1)).alias("blocks"), F.percentile("rms", 0.5).alias("median"), F.max("rms").alias("largest"))
-    spread = b.join(middle, ["sensor", "win"]).groupBy("sensor", "win").agg(F.percentile(F.abs(F.col("rms") - F.col("median")), 0.5).alias("mad"))
-    out = middle.join(spread, ["sensor", "win"])
-    scale = 1.4826 * F.col("mad")
-    return out.select("sensor", "win", "blocks", "median", "largest", scale.alias("scale"), ((F.col("largest") - F.col("median")) / F.greatest(scale, 0.05 * F.col("median"), F.lit(1e-300))).alias("z"))
+    out = b.groupBy("sensor", "win").agg(F.count(F.lit(1)).alias("blocks"), F.percentile("rms", 0.5).alias("median"), F.max("rms").alias("largest"), F.collect_list("rms").alias("all"))
+    scale = 1.4826 * median_of(F.transform("all", lambda r: F.abs(r - F.col("median"))))
+    out = out.select("sensor", "win", "blocks", "median", "largest", scale.alias("scale"))
+    return out.withColumn("z", (F.col("largest") - F.col("median")) / F.greatest(F.col("scale"), 0.05 * F.col("median"), F.lit(1e-300)))
+
+
+def median_of(array: Column) -> Column:
+    """The median of an array, between the middle two of an even number; null if it is empty."""
+    s = F.array_sort(array)
+    n = F.size(array)
+    at = lambda k: F.element_at(s, k.cast("int"))
+    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
 
 
 def envelope(samples: DataFrame, buckets: int = 10) -> DataFrame:
-    """Per window and bucket of its samples, in order: n, min, max, mean."""
+    """Per window and bucket of its samples, in order: n, min, max, mean. Bucket b holds the samples from floor(b * n / buckets) up to the next edge."""
     run = Window.partitionBy("sensor", "win").orderBy("ts", "event_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("sensor", "win"))
-    at = F.floor((F.row_number().over(run) - 1) * buckets / n)
+    at = F.ceil((F.row_number().over(run)) * buckets / n) - 1
     return samples.withColumn("bucket", at.cast("int")).groupBy("sensor", "win", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
 
 
 def detrended(samples: DataFrame) -> DataFrame:
-    """Per window: slope, intercept over time in seconds and RMS of what is left."""
-    t = F.expr("unix_micros(ts)") / 1e6 - F.col("win") * 86_400
-    s = samples.withColumn("t", t)
-    fit = s.groupBy("sensor", "win").agg(F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("intercept"))
-    left = F.col("value") - F.col("slope") * F.col("t") - F.col("intercept")
-    return s.join(fit, ["sensor", "win"]).groupBy("sensor", "win").agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.sqrt(F.avg(left * left)).alias("residual_rms"))
-
-
-def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str, payload: list[str]) -> DataFrame:
-    """Each left row with the nearest right row of its key (ties: the earlier), by one window over both sides."""
-    marks = F.struct(F.col(right_ts).alias("at"), *payload)
-    both = left.withColumn("m_", F.lit(None).cast(right.select(marks.alias("m")).schema["m"].dataType)).withColumn("t_", F.col(left_ts)).withColumn("s_", F.lit(1))
-    marked = right.select(F.col(by), marks.alias("m_"), F.col(right_ts).alias("t_"), F.lit(0).alias("s_"))
-    both = both.unionByName(marked, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("t_", "s_")
-    before = F.last("m_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("m_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumns({"b_": before, "a_": after}).filter("s_ = 1")
+    """Per window: slope, intercept over time in seconds and RMS of what a straight line leaves of its valid samples, in one aggregation."""
+    t, v = F.expr("unix_micros(ts)") / 1e6 - F.col("win") * 86_400, F.col("value")
+    ok = samples.filter(v.isNotNull() & ~F.isnan(v)).withColumn("t", t)
+    fit = ok.groupBy("sensor", "win").agg(F.regr_slope("value", "t").alias("slope"), F.regr_intercept("value", "t").alias("intercept"), F.var_pop("value").alias("var"), F.covar_pop("value", "t").alias("cov"))
+    return fit.select("sensor", "win", "slope", "intercept", F.sqrt(F.greatest(F.col("var") - F.coalesce("slope", F.lit(0.0)) * F.col("cov"), F.lit(0.0))).alias("residual_rms"))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: list[str], cell_seconds: int = 86_400) -> DataFrame:
+    """Each left row with the nearest right row of its key (ties: the earlier).
+
+    Time is cut into cells. A window within a cell looks back, and one in the reverse order looks ahead, so each is linear;
+    what lies beyond the cell is the last right row of an earlier cell or the first of a later one, from one row for each
+    cell. No key's history is one task's work.
+    """
+    kind = F.struct(F.col(right_ts).alias("at"), *payload)
+    cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (cell_seconds * 1e6)).cast("long")
+    marks = right.select(*by, cell(right_ts).alias("cell_"), kind.alias("m_"), F.col(right_ts).alias("t_"), F.lit(0).alias("s_"))
+    asks = left.withColumns({"cell_": cell(left_ts), "t_": F.col(left_ts), "s_": F.lit(1)})
+    both = asks.unionByName(marks, allowMissingColumns=True)
+    near = Window.partitionBy(*by, "cell_")
+    upto = near.orderBy("t_", "s_").rowsBetween(Window.unboundedPreceding, 0)
+    back = near.orderBy(F.col("t_").desc(), F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"b_": F.last("m_", ignorenulls=True).over(upto), "a_": F.last("m_", ignorenulls=True).over(back)})
+    edges = marks.groupBy(*by, "cell_").agg(F.min("m_").alias("first_"), F.max("m_").alias("last_"))
+    cells = asks.select(*by, "cell_").distinct().join(edges, [*by, "cell_"], "full")
+    key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = key.orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
+    after = key.orderBy(F.col("cell_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "cell_", F.last("last_", ignorenulls=True).over(before).alias("pb_"), F.last("first_", ignorenulls=True).over(after).alias("pa_"))
+    found = both.filter("s_ = 1").join(cells, [*by, "cell_"], "left").withColumns({"b_": F.coalesce("b_", "pb_"), "a_": F.coalesce("a_", "pa_")})
     gap = lambda c: F.abs(F.col("t_").cast("double") - F.col(f"{c}.at").cast("double"))
     pick = F.when(F.col("a_").isNull() | (gap("b_") <= gap("a_")), F.col("b_")).otherwise(F.col("a_"))
-    return near.withColumn("m_", pick).select(*left.columns, F.col("m_.at").alias("matched_ts"), *(F.col(f"m_.{c}").alias(f"matched_{c}") for c in payload))
+    return found.withColumn("m_", pick).select(*left.columns, F.col("m_.at").alias("matched_ts"), *(F.col(f"m_.{c}").alias(f"matched_{c}") for c in payload))
+
+
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: list[str]) -> DataFrame:
+    """Each left row with the first right row of its key at or after it, else null (pairs start tags with their end tags)."""
+    marks = right.select(*by, F.struct(F.col(right_ts).alias("at"), *payload).alias("m_"), F.col(right_ts).alias("t_"), F.lit(1).alias("s_"))
+    both = left.withColumns({"t_": F.col(left_ts), "s_": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy(*by).orderBy(F.col("t_").desc(), F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m_", F.last("m_", ignorenulls=True).over(back)).filter("s_ = 0")
+    return found.select(*left.columns, F.col("m_.at").alias("matched_ts"), *(F.col(f"m_.{c}").alias(f"matched_{c}") for c in payload))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, step: int) -> DataFrame:

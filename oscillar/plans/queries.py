@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oscillar.functions import signal
 from oscillar.operators import corpus, spectra, transients, windows
+from oscillar.plans import corpus_queries
 from oscillar.streaming import alerts
 
 DAY = 86_400
@@ -38,13 +39,51 @@ def window_quality(spark, d):
     return _rounded(windows.window_quality(_samples(spark, d)))
 
 
+RATE = 100.0
+
+
+def _arrays(spark, d):
+    return windows.window_arrays(_samples(spark, d))
+
+
+def _metrics(spark, d):
+    return spectra.window_metrics(_arrays(spark, d), ["sensor", "win"], RATE)
+
+
+def spectral_summary(spark, d):
+    """Spectral figures of every sensor window, its samples taken as evenly spaced."""
+    s = spectra.spectral_summaries(_arrays(spark, d), ["sensor", "win"], RATE)
+    top = F.array_join(F.transform("top_hz", lambda f: F.round(f, 3).cast("string")), ",")
+    return _rounded(s.select("sensor", "win", "dominant_hz", "dominant_magnitude", "centroid_hz", "bandwidth_hz", "flatness", top.alias("top_hz"), F.col("shares")[0].alias("share")), 5)
+
+
+def stft_summary(spark, d):
+    return _rounded(spectra.stft_summaries(_arrays(spark, d), ["sensor", "win"], RATE, 32, 16), 5)
+
+
+def viewer_spectrogram(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    frames = spectra.spectrograms(e, ["id"], 64.0, 16, 16)
+    return _rounded(frames.select("id", "frame", F.posexplode("power_db").alias("bin", "power_db")).filter("bin > 0"), 4)
+
+
+def sensor_metrics(spark, d):
+    """The metrics row of every sensor window, its band shares one column each."""
+    m = _metrics(spark, d)
+    return _rounded(m.select("sensor", "win", "n", "rms", "peak", "ptp", "kurtosis", "crest", "ppv", "dominant_hz", *(F.col("bands")[b].alias("band_" + b) for b in ("0_5_hz", "5_20_hz", "20_50_hz")), "flags"), 5)
+
+
+def _compared(spark, d):
+    return windows.compare_to_reference(_metrics(spark, d), REFERENCE)
+
+
 def reference_comparison(spark, d):
-    return _rounded(windows.compare_to_reference(_features(spark, d), REFERENCE))
+    return _rounded(_compared(spark, d), 5)
 
 
 def _labels(spark, d):
-    both = windows.compare_to_reference(_features(spark, d), REFERENCE)
-    label, sure = windows.sensor_label(F.col("n"), F.col("rms_ratio"), F.col("peak_ratio"), F.col("kurtosis"), F.col("crest"), least=4)
+    both = _compared(spark, d)
+    label, sure = windows.sensor_label(both)
     return both.select("sensor", "win", label.alias("label"), sure.alias("confidence"))
 
 
@@ -53,12 +92,36 @@ def sensor_labels(spark, d):
 
 
 def network_labels(spark, d):
-    return windows.network_labels(_labels(spark, d))
+    return windows.network_labels(_labels(spark, d)).drop("worst_sensor", "worst_label")
+
+
+def axis_labels(spark, d):
+    """Every third sample is one axis: labels per axis over windows of six days, and the worst of a sensor's axes."""
+    axis = F.element_at(F.array(*map(F.lit, "xyz")), (F.col("event_id") % 3 + 1).cast("int"))
+    samples = windows.sample_windows(_t(spark, d, "events"), 6 * DAY).withColumn("axis", axis)
+    metrics = spectra.window_metrics(windows.window_arrays(samples, ("sensor", "win", "axis")), ["sensor", "win", "axis"], RATE)
+    both = windows.compare_to_reference(metrics, REFERENCE, ("win", "axis"))
+    return windows.combined_axes(both.select("sensor", "win", "axis", windows.sensor_label(both)[0].alias("label")))
+
+
+def aligned_comparison(spark, d):
+    """Welch densities of the last eight days before the common end of all sensors, in decibels against the reference."""
+    last = windows.sample_windows(spectra.aligned_windows(_t(spark, d, "events").withColumn("sensor", F.col("event_type")), 8.0 * DAY), 1000 * DAY)
+    arrays = windows.window_arrays(last.withColumn("win", F.lit(0).cast("long")))
+    s = spectra.density_summaries(arrays, ["sensor"], RATE, resolution=RATE / 32)
+    return _rounded(spectra.density_deltas(s, REFERENCE), 4)
 
 
 def history_percentiles(spark, d):
+    """Each window within the windows of its sensor that the ladder calls normal."""
     f = _features(spark, d).select("sensor", "win", F.round("rms", 4).alias("rms"))
-    return windows.history_scores(f, f)
+    normal = _labels(spark, d).filter("label = 'normal_relative_to_baseline'").select("sensor", "win")
+    return windows.history_scores(f, f.join(normal, ["sensor", "win"], "left_semi"))
+
+
+def history_context(spark, d):
+    f = _features(spark, d).select("sensor", "win", *(F.round(c, 4).alias(c) for c in ("rms", "peak", "crest")))
+    return windows.history_context(f, _labels(spark, d))
 
 
 def block_rms(spark, d):
@@ -78,11 +141,28 @@ def power_spectrum(spark, d):
 
 
 def band_powers(spark, d):
-    return _rounded(spectra.band_powers(spectra.power_spectra(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0)), 5)
+    return _rounded(spectra.band_powers(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0), 5)
 
 
 def spectral_peaks(spark, d):
-    return _rounded(spectra.local_peaks(spectra.power_spectra(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0)))
+    return _rounded(spectra.local_peaks(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0))
+
+
+def _spectra(spark, d):
+    return spectra.power_spectra(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0)
+
+
+def spectrum_plot(spark, d):
+    return _rounded(spectra.plot_buckets(_spectra(spark, d), 1.0, 33.0, 8))
+
+
+def spectral_shape(spark, d):
+    return _rounded(spectra.spectral_shape(_spectra(spark, d), 5.0, 20.0))
+
+
+def nearest_bins(spark, d):
+    asked = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.explode(F.array(F.lit(7.4), F.lit(12.5), F.col("vec_id") % 30 + 0.25)).alias("hz")).distinct()
+    return _rounded(spectra.nearest_bins(_spectra(spark, d), asked))
 
 
 def distinct_peaks(spark, d):
@@ -209,11 +289,20 @@ def quota_draw(spark, d):
 
 
 def nearest_event(spark, d):
+    """Every click with the purchase nearest in time."""
     e = _t(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    left = e.filter("event_type = 'click'").select(F.lit("k").alias("k"), F.col("ts").alias("at"), F.col("event_id").alias("click_id"), F.to_date("ts").alias("day"))
-    right = e.filter("event_type = 'purchase'").select(F.to_date("ts").alias("day"), F.col("ts").alias("p_ts"), F.col("event_id").alias("purchase_id"))
-    out = windows.asof_nearest(left.drop("k"), right, "day", "at", "p_ts", ["purchase_id"])
-    return out.select("click_id", F.col("matched_purchase_id").alias("purchase_id"))
+    left = e.filter("event_type = 'click'").select(F.col("ts").alias("at"), F.col("event_id").alias("click_id"))
+    right = e.filter("event_type = 'purchase'").select(F.col("ts").alias("p_ts"), F.col("event_id").alias("purchase_id"))
+    return windows.asof_nearest(left, right, [], "at", "p_ts", ["purchase_id"]).select("click_id", F.col("matched_purchase_id").alias("purchase_id"))
+
+
+def tag_pairs(spark, d):
+    """Every signup of a user with the same user's next purchase."""
+    e = _t(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    starts = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("start_id"))
+    ends = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("end_ts"), F.col("event_id").alias("end_id"))
+    out = windows.asof_forward(starts, ends, ["user_id"], "at", "end_ts", ["end_id"])
+    return out.select("start_id", "user_id", F.col("matched_end_id").alias("end_id"))
 
 
 def tagged_samples(spark, d):
@@ -231,15 +320,13 @@ def alert_policy(spark, d):
 
 def monitor(spark, d):
     """Worst sensor of every window, with the network's label: the whole chain from samples to verdicts."""
-    labels = _labels(spark, d)
-    rank = F.element_at(F.create_map(*(F.lit(x) for kv in {"normal": 0, "insufficient_data": 1, "mild_increase": 2, "significant_increase": 3, "impulsive_event": 4}.items() for x in kv)), F.col("label"))
-    worst = labels.groupBy("win").agg(F.max(F.struct(rank.alias("severity"), "sensor", "label")).alias("w"))
-    return windows.network_labels(labels).join(worst.select("win", F.col("w.sensor").alias("worst_sensor"), F.col("w.label").alias("worst_label")), "win")
+    return windows.network_labels(_labels(spark, d))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
+        spectral_summary, stft_summary, viewer_spectrogram, sensor_metrics, axis_labels, aligned_comparison, history_context, spectrum_plot, spectral_shape, nearest_bins, tag_pairs,
         monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
         distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, resampled_windows, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
         classification_metrics, calibration_error, auroc, routing_matrix, gate_checks, quota_draw, nearest_event, tagged_samples, alert_policy,
@@ -250,20 +337,47 @@ _S = "SELECT event_type AS sensor, (floor(epoch(ts) / 86400))::BIGINT AS win, ev
 _F = f"""
 f0 AS (SELECT *, value - avg(value) OVER (PARTITION BY sensor, win) AS c FROM ({_S})),
 f1 AS (SELECT *, ((c >= 0) <> (lag(c) OVER (PARTITION BY sensor, win ORDER BY ts, event_id) >= 0))::INT AS crossed FROM f0),
-f2 AS (SELECT sensor, win, count(*) AS n, avg(value) AS mean, sqrt(avg(c * c)) AS rms, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4, avg(abs(c)) AS ma, max(abs(c)) AS peak,
+f2 AS (SELECT sensor, win, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS duration, sqrt(avg(c * c)) AS rms, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4, avg(abs(c)) AS ma, max(abs(c)) AS peak,
          max(c) - min(c) AS ptp, sum(c * c) AS energy, coalesce(sum(crossed), 0) AS crossings FROM f1 GROUP BY sensor, win),
-feat AS (SELECT sensor, win, n, mean, rms, peak, ptp, energy, CASE WHEN rms * rms * rms > 0 THEN m3 / (rms * rms * rms) ELSE 0 END AS skew, CASE WHEN rms * rms * rms * rms > 0 THEN m4 / (rms * rms * rms * rms) ELSE 0 END AS kurtosis,
+feat AS (SELECT sensor, win, n, duration, mean, std, std * std AS var, rms, peak, ptp, energy, CASE WHEN rms * rms * rms > 0 THEN m3 / (rms * rms * rms) ELSE 0 END AS skew, CASE WHEN rms * rms * rms * rms > 0 THEN m4 / (rms * rms * rms * rms) ELSE 0 END AS kurtosis,
          CASE WHEN rms > 0 THEN peak / rms ELSE 0 END AS crest, CASE WHEN ma > 0 THEN peak / ma ELSE 0 END AS impulse, CASE WHEN ma > 0 THEN rms / ma ELSE 0 END AS shape,
          CASE WHEN n > 1 THEN crossings / (n - 1) ELSE 0 END AS zcr FROM f2)"""
-_CMP = f"""{_F},
-cmp AS (SELECT t.sensor, t.win, t.n, t.rms, t.kurtosis, t.crest, CASE WHEN b.rms > 1e-12 THEN t.rms / b.rms END AS rms_ratio, CASE WHEN b.peak > 1e-12 THEN t.peak / b.peak END AS peak_ratio,
-          t.kurtosis - b.kurtosis AS kurtosis_delta FROM feat t LEFT JOIN feat b ON t.win = b.win AND b.sensor = '{REFERENCE}' WHERE t.sensor <> '{REFERENCE}'),
-lab AS (SELECT sensor, win, CASE WHEN n < 4 THEN 'insufficient_data' WHEN kurtosis >= 8 OR crest >= 7 OR coalesce(peak_ratio, 1) >= 5 THEN 'impulsive_event'
-          WHEN coalesce(rms_ratio, 1) >= 3 OR coalesce(peak_ratio, 1) >= 3 THEN 'significant_increase' WHEN coalesce(rms_ratio, 1) >= 1.5 OR coalesce(peak_ratio, 1) >= 1.5 THEN 'mild_increase' ELSE 'normal' END AS label FROM cmp),
-net0 AS (SELECT win, count(*) AS sensors, count(*) FILTER (label IN ('significant_increase', 'impulsive_event', 'mild_increase')) AS affected, count(*) FILTER (label IN ('significant_increase', 'impulsive_event')) AS significant,
-           count(*) FILTER (label = 'insufficient_data') AS poor, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (label IN ('significant_increase', 'impulsive_event', 'mild_increase')), '') AS affected_sensors FROM lab GROUP BY win),
-net AS (SELECT win, sensors, affected, significant, CASE WHEN poor > 0 THEN 'quality_issue' WHEN affected = 0 THEN 'normal' WHEN significant >= 2 OR affected >= greatest(2, ceil(0.6 * sensors)) THEN 'structure_wide_event'
-          WHEN affected > 1 AND significant = 0 THEN 'mild_multi_sensor' WHEN significant > 0 THEN 'localized_event' ELSE 'mild_local' END AS label, affected_sensors FROM net0)"""
+def _chain(samples: str, by: str) -> str:
+    """Metrics, comparison and labels of windows by the keys sensor, win and by (empty, or ', axis'), samples as SQL."""
+    using = "win" + by
+    on = " AND ".join(f"t.{c.strip()} = b.{c.strip()}" for c in using.split(","))
+    pre = lambda t: ", ".join(f"{t}.{c.strip()}" for c in using.split(","))
+    return f"""
+w0 AS (SELECT *, row_number() OVER (PARTITION BY sensor, {using} ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY sensor, {using}) AS n, value - avg(value) OVER (PARTITION BY sensor, {using}) AS c FROM ({samples})),
+w1 AS (SELECT *, c * (0.5 - 0.5 * cos(2 * pi() * i / greatest(n - 1, 1))) AS v FROM w0),
+mag AS (SELECT sensor, {using}, n, k, k * 100.0::DOUBLE / n AS hz, CASE WHEN k = 0 THEN 0 ELSE sqrt(sum(v * cos(2 * pi() * k * i / n)) ** 2 + sum(v * sin(2 * pi() * k * i / n)) ** 2) END AS m
+        FROM w1, unnest(range(0, n // 2 + 1)) AS q(k) WHERE n >= 32 GROUP BY sensor, {using}, n, k),
+band AS (SELECT sensor, {using}, sum(m * m) + 1e-12 AS p, coalesce(sum(m * m) FILTER (hz < 5), 0) AS a0, coalesce(sum(m * m) FILTER (hz >= 5 AND hz < 20), 0) AS a1, coalesce(sum(m * m) FILTER (hz >= 20 AND hz < 50), 0) AS a2, arg_max(hz, m) AS dominant_hz FROM mag GROUP BY sensor, {using}),
+td AS (SELECT sensor, {using}, count(*) AS n, sqrt(avg(c * c)) AS rms, max(abs(c)) AS peak, max(c) - min(c) AS ptp, avg(c ** 4) AS m4, stddev_pop(value) AS std FROM w0 GROUP BY sensor, {using}),
+met AS (SELECT td.* EXCLUDE (m4, std), CASE WHEN rms > 0 THEN m4 / rms ** 4 ELSE 0 END AS kurtosis, CASE WHEN rms > 0 THEN peak / rms ELSE 0 END AS crest, dominant_hz,
+          CASE WHEN dominant_hz > 0.2 THEN rms * 9.80665::DOUBLE / (2 * pi() * dominant_hz) * 1000 END AS ppv, a0 / p AS b0, a1 / p AS b1, a2 / p AS b2,
+          concat_ws(',', CASE WHEN n < 32 THEN 'insufficient_samples' END, CASE WHEN std < 1e-10 THEN 'flatline' END) AS flags FROM td LEFT JOIN band USING (sensor, {using})),
+cmp AS (SELECT t.sensor, {pre('t')}, t.n, t.kurtosis, t.crest, CASE WHEN abs(b.rms) > 1e-12 THEN t.rms / b.rms END AS rms_ratio, CASE WHEN abs(b.peak) > 1e-12 THEN t.peak / b.peak END AS peak_ratio,
+          CASE WHEN abs(b.ptp) > 1e-12 THEN t.ptp / b.ptp END AS ptp_ratio, CASE WHEN abs(b.ppv) > 1e-12 THEN t.ppv / b.ppv END AS ppv_ratio, t.rms - b.rms AS rms_delta, t.peak - b.peak AS peak_delta,
+          t.dominant_hz - b.dominant_hz AS dominant_hz_delta, t.kurtosis - b.kurtosis AS kurtosis_delta, t.crest - b.crest AS crest_delta,
+          sqrt((coalesce(t.b0, 0) - coalesce(b.b0, 0)) ** 2 + (coalesce(t.b1, 0) - coalesce(b.b1, 0)) ** 2 + (coalesce(t.b2, 0) - coalesce(b.b2, 0)) ** 2) AS spectral_distance,
+          t.flags, CASE WHEN b.sensor IS NULL THEN 'missing_data' ELSE b.flags END AS reference_flags FROM met t LEFT JOIN met b ON {on} AND b.sensor = '{REFERENCE}' WHERE t.sensor <> '{REFERENCE}'),
+lab AS (SELECT sensor, {using}, CASE WHEN regexp_matches(flags || ',' || reference_flags, 'missing_data|insufficient_samples') THEN 'insufficient_data' WHEN flags || reference_flags <> '' THEN 'possible_sensor_issue'
+          WHEN coalesce(kurtosis, 0) >= 8 OR coalesce(crest, 0) >= 7 OR coalesce(peak_ratio, 1) >= 5 THEN 'impulsive_or_shock_event'
+          WHEN greatest(coalesce(rms_ratio, 1), coalesce(peak_ratio, 1), coalesce(ppv_ratio, 1)) >= 3 OR spectral_distance >= 0.65 THEN 'significant_local_deviation'
+          WHEN greatest(coalesce(rms_ratio, 1), coalesce(peak_ratio, 1), coalesce(ppv_ratio, 1)) >= 1.5 OR spectral_distance >= 0.35 THEN 'mild_deviation' ELSE 'normal_relative_to_baseline' END AS label FROM cmp),
+sev AS (SELECT *, CASE label WHEN 'normal_relative_to_baseline' THEN 0 WHEN 'insufficient_data' THEN 1 WHEN 'possible_sensor_issue' THEN 2 WHEN 'mild_deviation' THEN 3 WHEN 'significant_local_deviation' THEN 4 ELSE 5 END AS s FROM lab)"""
+
+
+_CMP = _chain(_S, "") + """,
+net0 AS (SELECT win, count(*) AS sensors, count(*) FILTER (s >= 3) AS affected, count(*) FILTER (s >= 4) AS significant, count(*) FILTER (s IN (1, 2)) AS poor, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s >= 3), '') AS hit,
+           coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s IN (1, 2)), '') AS bad FROM sev GROUP BY win),
+net1 AS (SELECT *, CASE WHEN poor > 0 THEN 'sensor_network_quality_issue' WHEN affected = 0 THEN 'normal_relative_to_reference_sensor' WHEN significant >= 2 OR affected >= greatest(2, ceil(0.6 * sensors)) THEN 'multi_sensor_structure_wide_vibration_event'
+          WHEN affected > 1 AND significant = 0 THEN 'mild_multi_sensor_deviation' WHEN significant > 0 THEN 'localized_vibration_deviation' ELSE 'mild_local_deviation' END AS label FROM net0),
+net AS (SELECT win, sensors, affected, significant, label, (CASE label WHEN 'sensor_network_quality_issue' THEN 0.9 WHEN 'normal_relative_to_reference_sensor' THEN 0.84 WHEN 'multi_sensor_structure_wide_vibration_event' THEN 0.84
+          WHEN 'mild_multi_sensor_deviation' THEN 0.76 WHEN 'localized_vibration_deviation' THEN 0.82 ELSE 0.72 END)::DOUBLE AS confidence, CASE WHEN poor > 0 THEN bad ELSE hit END AS affected_sensors FROM net1)"""
+_RATIOS = ", ".join(f"round({c}, 5) + 0 AS {c}" for c in ("kurtosis", "crest", "rms_ratio", "peak_ratio", "ptp_ratio", "ppv_ratio", "rms_delta", "peak_delta", "dominant_hz_delta", "kurtosis_delta", "crest_delta", "spectral_distance"))
+_AXES = "SELECT event_type AS sensor, (floor(epoch(ts) / 518400))::BIGINT AS win, event_id, ts, value, ['x', 'y', 'z'][event_id % 3 + 1] AS axis FROM events"
 _PSD = """
 e0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
 e1 AS (SELECT id, i, (x[i + 1] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM e0, unnest(range(0, 64)) AS r(i)),
@@ -294,33 +408,72 @@ _PROFILE = """SELECT l_returnflag, l_linestatus, l_linenumber, grouping_id(l_ret
 _CONF = f"SELECT (doc_id * 37 % 101) / 100.0::DOUBLE AS confidence, (truth = predicted)::INT AS correct FROM ({_PAIRS})"
 
 ORACLE_SQL = {
-    "window_features": f"WITH {_F} SELECT sensor, win, n, round(mean, 6) AS mean, round(rms, 6) AS rms, round(peak, 6) AS peak, round(ptp, 6) AS ptp, round(energy, 6) AS energy, round(skew, 6) + 0 AS skew, round(kurtosis, 6) AS kurtosis, round(crest, 6) AS crest, round(impulse, 6) AS impulse, round(shape, 6) AS shape, round(zcr, 6) AS zcr FROM feat",
+    "window_features": f"WITH {_F} SELECT sensor, win, n, round(duration, 6) AS duration, round(mean, 6) AS mean, round(std, 6) AS std, round(var, 6) AS var, round(rms, 6) AS rms, round(peak, 6) AS peak, round(ptp, 6) AS ptp, round(energy, 6) AS energy, round(skew, 6) + 0 AS skew, round(kurtosis, 6) AS kurtosis, round(crest, 6) AS crest, round(impulse, 6) AS impulse, round(shape, 6) AS shape, round(zcr, 6) AS zcr FROM feat",
     "window_quality": f"""WITH s AS (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY sensor, win ORDER BY event_id) AS dt FROM ({_S})),
-per AS (SELECT sensor, win, count(*) AS n, avg((isfinite(value))::INT) AS valid, avg((abs(value) >= 500)::INT) AS clipped, coalesce(bool_and(dt > 0), true) AS monotonic, stddev_pop(value) AS std, quantile_cont(dt, 0.5) FILTER (dt > 0) AS step FROM s GROUP BY sensor, win)
-SELECT p.sensor, p.win, n, round(valid, 6) AS valid, round(clipped, 6) AS clipped, monotonic, coalesce(g.gaps, 0)::BIGINT AS gaps, round(1 / step, 6) AS rate,
-  array_to_string(list_filter([CASE WHEN n < 32 THEN 'insufficient_samples' END, CASE WHEN std < 1e-10 THEN 'flatline' END, CASE WHEN valid < 1 THEN 'non_finite' END, CASE WHEN NOT monotonic THEN 'timestamps' END], lambda x: x IS NOT NULL), ',') AS flags
+per AS (SELECT sensor, win, count(*) AS n, avg((isfinite(value))::INT) AS valid, avg((value IS NULL)::INT) AS missing, avg((abs(value) >= 500)::INT) AS clipped, coalesce(bool_and(dt > 0), true) AS monotonic, stddev_pop(value) AS std, max(value) - min(value) AS ptp, quantile_cont(dt, 0.5) FILTER (dt > 0) AS step FROM s GROUP BY sensor, win)
+SELECT p.sensor, p.win, n, round(valid, 6) AS valid, round(missing, 6) AS missing, round(clipped, 6) AS clipped, monotonic, coalesce(g.gaps, 0)::BIGINT AS gaps, round(1 / step, 6) AS rate, valid >= 0.98 AND monotonic AND clipped < 0.01 AS usable,
+  concat_ws(',', CASE WHEN n < 32 THEN 'insufficient_samples' END, CASE WHEN std < 1e-10 THEN 'flatline' END, CASE WHEN valid < 1 THEN 'non_finite_values' END) AS flags,
+  concat_ws(',', CASE WHEN clipped >= 0.01 THEN 'clipping' END, CASE WHEN NOT monotonic THEN 'timestamps_not_increasing' END, CASE WHEN g.gaps > 0 THEN 'gaps' END, CASE WHEN ptp <= 1e-7 THEN 'flatline' END) AS notes
 FROM per p LEFT JOIN (SELECT s.sensor, s.win, sum((dt > 1.5 * step)::INT) AS gaps FROM s JOIN per USING (sensor, win) GROUP BY ALL) g USING (sensor, win)""",
-    "reference_comparison": f"WITH {_CMP} SELECT sensor, win, n, round(rms, 6) AS rms, round(kurtosis, 6) AS kurtosis, round(crest, 6) AS crest, round(rms_ratio, 6) AS rms_ratio, round(peak_ratio, 6) AS peak_ratio, round(kurtosis_delta, 6) AS kurtosis_delta FROM cmp",
-    "sensor_labels": f"WITH {_CMP} SELECT sensor, win, label, (CASE label WHEN 'insufficient_data' THEN 0.96 WHEN 'impulsive_event' THEN 0.88 WHEN 'significant_increase' THEN 0.86 WHEN 'mild_increase' THEN 0.74 ELSE 0.82 END)::DOUBLE AS confidence FROM lab",
+    "reference_comparison": f"WITH {_CMP} SELECT win, sensor, n, {_RATIOS}, flags, reference_flags FROM cmp",
+    "sensor_labels": f"WITH {_CMP} SELECT sensor, win, label, [0.82, 0.96, 0.9, 0.74, 0.86, 0.88][s + 1]::DOUBLE AS confidence FROM sev",
     "network_labels": f"WITH {_CMP} SELECT * FROM net",
-    "monitor": f"""WITH {_CMP}, sev AS (SELECT *, CASE label WHEN 'normal' THEN 0 WHEN 'insufficient_data' THEN 1 WHEN 'mild_increase' THEN 2 WHEN 'significant_increase' THEN 3 ELSE 4 END AS severity FROM lab),
-top AS (SELECT win, sensor AS worst_sensor, label AS worst_label FROM sev QUALIFY row_number() OVER (PARTITION BY win ORDER BY severity DESC, sensor DESC) = 1)
+    "monitor": f"""WITH {_CMP}, top AS (SELECT win, sensor AS worst_sensor, label AS worst_label FROM sev QUALIFY row_number() OVER (PARTITION BY win ORDER BY s DESC, sensor DESC) = 1)
 SELECT net.*, worst_sensor, worst_label FROM net JOIN top USING (win)""",
-    "history_percentiles": f"""WITH {_F}, h AS (SELECT sensor, win, round(rms, 4) AS v FROM feat), m AS (SELECT sensor, count(*) AS n, quantile_cont(v, 0.5) AS med FROM h GROUP BY sensor)
-SELECT a.sensor, a.win, CASE WHEN n >= 5 THEN round(100 * (SELECT count(*) FROM h b WHERE b.sensor = a.sensor AND b.v <= a.v) / n, 2) END AS percentile, CASE WHEN n >= 5 AND med > 1e-9 THEN round(a.v / med, 2) END AS x_median FROM h a JOIN m USING (sensor)""",
+    "sensor_metrics": f"WITH {_CMP} SELECT sensor, win, n, round(rms, 5) AS rms, round(peak, 5) AS peak, round(ptp, 5) AS ptp, round(kurtosis, 5) AS kurtosis, round(crest, 5) AS crest, round(ppv, 5) AS ppv, round(dominant_hz, 5) AS dominant_hz, round(b0, 5) AS band_0_5_hz, round(b1, 5) AS band_5_20_hz, round(b2, 5) AS band_20_50_hz, flags FROM met",
+    "axis_labels": f"""WITH {_chain(_AXES, ', axis')}, top AS (SELECT win, sensor, max(s) AS s FROM sev GROUP BY win, sensor)
+SELECT win, sensor, any_value(label) AS label, string_agg(axis, ',' ORDER BY axis) AS axes FROM sev JOIN top USING (win, sensor, s) GROUP BY win, sensor""",
+    "spectral_summary": f"""WITH {_CMP}, t AS (SELECT sensor, win, sum(m) + 1e-12 AS t, sum(hz * m) / (sum(m) + 1e-12) AS c, exp(avg(ln(m + 1e-12))) / avg(m + 1e-12) AS flatness, arg_max(hz, m) AS dominant_hz, max(m) AS dominant_magnitude FROM mag GROUP BY sensor, win),
+r AS (SELECT *, row_number() OVER (PARTITION BY sensor, win ORDER BY m DESC, k) AS rank FROM mag), five AS (SELECT sensor, win, string_agg(round(hz, 3)::VARCHAR, ',' ORDER BY rank) AS top_hz FROM r WHERE rank <= 5 GROUP BY sensor, win)
+SELECT t.sensor, t.win, round(dominant_hz, 5) AS dominant_hz, round(dominant_magnitude, 5) AS dominant_magnitude, round(c, 5) AS centroid_hz, round((SELECT sqrt(sum((hz - c) ** 2 * m) / t.t) FROM mag WHERE mag.sensor = t.sensor AND mag.win = t.win), 5) AS bandwidth_hz,
+  round(flatness, 5) AS flatness, top_hz, round((SELECT sum(m * m) FILTER (hz < 50) / (sum(m * m) + 1e-12) FROM mag WHERE mag.sensor = t.sensor AND mag.win = t.win), 5) AS share FROM t JOIN five USING (sensor, win)""",
+    "stft_summary": f"""WITH w AS (SELECT sensor, win, row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY sensor, win) AS n, value - avg(value) OVER (PARTITION BY sensor, win) AS c FROM ({_S})),
+sz AS (SELECT *, CASE WHEN n < 32 THEN n ELSE 32 END AS size FROM w), fr AS (SELECT sensor, win, size, f, i - f * 16 AS j, c * (CASE WHEN size = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - f * 16) / (size - 1)) END) AS v FROM sz, unnest(range(0, (n - size) // 16 + 1)) AS q(f) WHERE i >= f * 16 AND i < f * 16 + size),
+sp AS (SELECT sensor, win, size, f, k, sum(v * cos(2 * pi() * k * j / size)) ** 2 + sum(v * sin(2 * pi() * k * j / size)) ** 2 AS p FROM fr, unnest(range(0, size // 2 + 1)) AS q(k) GROUP BY ALL),
+tot AS (SELECT sensor, win, any_value(size) AS size, count(DISTINCT f)::INT AS frames, count(DISTINCT k)::INT AS bins, sum(p) + 1e-12 AS t, max(p) AS most FROM sp GROUP BY sensor, win),
+pf AS (SELECT sensor, win, arg_max(k, e) AS k FROM (SELECT sensor, win, k, sum(p) AS e FROM sp GROUP BY ALL) GROUP BY sensor, win), pt AS (SELECT sensor, win, arg_max(f, e)::INT AS f FROM (SELECT sensor, win, f, sum(p) AS e FROM sp GROUP BY ALL) GROUP BY sensor, win)
+SELECT sensor, win, frames, bins, round(pf.k * 100.0::DOUBLE / size, 5) AS peak_hz, pt.f AS peak_frame, round((SELECT -sum(p / t * ln(p / t + 1e-12)) FROM sp WHERE sp.sensor = tot.sensor AND sp.win = tot.win), 5) + 0 AS entropy, round(most / t, 5) AS concentration
+FROM tot JOIN pf USING (sensor, win) JOIN pt USING (sensor, win)""",
+    "viewer_spectrogram": """WITH x AS (SELECT vec_id AS id, (f)::INT AS frame, j, embedding[f * 16 + j + 1]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * j / 15)) AS v FROM embeddings, unnest(range(0, 4)) AS a(f), range(0, 16) AS b(j))
+SELECT id, frame, k::INT AS bin, round(10 * log10(greatest(sum(v * cos(2 * pi() * k * j / 16)) ** 2 + sum(v * sin(2 * pi() * k * j / 16)) ** 2, 2.2250738585072014e-308)), 4) AS power_db FROM x, range(1, 9) AS q(k) GROUP BY id, frame, k""",
+    "history_percentiles": f"""WITH {_F}, {_CMP.strip()}, h AS (SELECT sensor, win, round(feat.rms, 4) AS v, label = 'normal_relative_to_baseline' AS ok FROM feat LEFT JOIN lab USING (sensor, win)), m AS (SELECT sensor, count(*) AS n, quantile_cont(v, 0.5) AS med FROM h WHERE ok GROUP BY sensor)
+SELECT a.sensor, a.win, CASE WHEN n >= 5 THEN round(100 * (SELECT count(*) FROM h b WHERE b.ok AND b.sensor = a.sensor AND b.v <= a.v) / n, 2) END AS percentile, CASE WHEN n >= 5 AND med > 1e-9 THEN round(a.v / med, 2) END AS x_median FROM h a LEFT JOIN m USING (sensor)""",
+    "history_context": f"""WITH {_F}, {_CMP.strip()}, h AS (SELECT sensor, win, metric, round(v, 4) AS v, coalesce(label = 'normal_relative_to_baseline', false) AS ok FROM (SELECT sensor, win, rms, peak, crest FROM feat) UNPIVOT (v FOR metric IN (rms, peak, crest)) LEFT JOIN lab USING (sensor, win)),
+m AS (SELECT sensor, metric, count(*) AS n, quantile_cont(v, 0.5) AS med FROM h WHERE ok GROUP BY sensor, metric),
+s AS (SELECT a.sensor, a.win, a.metric, coalesce(n, 0)::BIGINT AS n_history, CASE WHEN n >= 5 THEN round(100 * (SELECT count(*) FROM h b WHERE b.ok AND b.sensor = a.sensor AND b.metric = a.metric AND b.v <= a.v) / n, 2) END AS percentile, CASE WHEN n >= 5 AND med > 1e-9 THEN round(a.v / med, 2) END AS x_median FROM h a LEFT JOIN m USING (sensor, metric))
+SELECT sensor, win, metric, percentile, x_median, n_history FROM s QUALIFY row_number() OVER (PARTITION BY sensor, win ORDER BY coalesce(greatest(percentile, 100 - percentile), -1) DESC, coalesce(abs(x_median - 1), -1) DESC, metric DESC) = 1""",
+    "spectrum_plot": f"""WITH {_PSD}, b AS (SELECT *, floor(ln(frequency) / ln(33) * 8)::INT AS bucket FROM psd WHERE frequency >= 1 AND frequency < 33)
+SELECT id, bucket, round(quantile_cont(power, 0.5) FILTER (power > 0), 6) AS floor, arg_max(frequency, power) AS peak_hz, round(max(power), 6) AS peak FROM b GROUP BY id, bucket""",
+    "spectral_shape": f"""WITH {_PSD}, p AS (SELECT *, lag(power) OVER (PARTITION BY id ORDER BY bin) AS p0, power / sum(power) OVER (PARTITION BY id) AS q FROM psd)
+SELECT id, round(-sum(q * ln(q)) FILTER (q > 0) / ln(count(*)), 6) AS entropy, round(sum((power + p0) / 2) FILTER (bin > 5 AND bin < 20), 6) AS band_energy, round(sum(power), 6) AS total_power FROM p GROUP BY id""",
+    "nearest_bins": f"""WITH {_PSD}, a AS (SELECT DISTINCT vec_id AS id, hz FROM embeddings, unnest([7.4::DOUBLE, 12.5, vec_id % 30 + 0.25]) AS r(hz))
+SELECT id, hz, bin, round(power, 6) AS power FROM a JOIN psd USING (id) QUALIFY row_number() OVER (PARTITION BY id, hz ORDER BY abs(frequency - hz), bin) = 1""",
+    "aligned_comparison": """WITH lt AS (SELECT min(m) AS e FROM (SELECT max(ts) AS m FROM events GROUP BY event_type)),
+s AS (SELECT event_type AS sensor, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, value FROM events, lt WHERE ts <= e AND epoch_us(ts) > epoch_us(e) - 691200000000),
+z AS (SELECT *, CASE WHEN n // 2 >= 32 THEN 32 ELSE (2 ** floor(log2(n // 2)))::BIGINT END AS size FROM s),
+fr AS (SELECT sensor, size, f, i - f * (size // 2) AS j, value - avg(value) OVER (PARTITION BY sensor, f) AS c FROM z, unnest(range(0, (n - size) // (size // 2) + 1)) AS q(f) WHERE i >= f * (size // 2) AND i < f * (size // 2) + size),
+vw AS (SELECT *, c * (0.5 - 0.5 * cos(2 * pi() * j / size)) AS x FROM fr),
+pw AS (SELECT sensor, size, f, k, (sum(x * cos(2 * pi() * k * j / size)) ** 2 + sum(x * sin(2 * pi() * k * j / size)) ** 2) / (100 * 0.375::DOUBLE * size) * CASE WHEN k IN (0, size // 2) THEN 1 ELSE 2 END AS q FROM vw, unnest(range(0, size // 2 + 1)) AS t(k) GROUP BY sensor, size, f, k),
+w AS (SELECT sensor, k * 100.0::DOUBLE / size AS hz, 100.0::DOUBLE / size AS df, avg(q) AS p FROM pw GROUP BY sensor, size, k),
+b AS (SELECT sensor, band, coalesce(sum(p * df) FILTER (hz > 0 AND hz >= lo AND hz < hi), 0) AS power FROM w, (VALUES ('0-5', 0, 5), ('5-20', 5, 20), ('20-50', 20, 50)) AS t(band, lo, hi) GROUP BY sensor, band),
+d AS (SELECT sensor, arg_max(hz, p) AS hz FROM w WHERE hz > 0 GROUP BY sensor), r AS (SELECT sensor, stddev_pop(value) AS rms FROM s GROUP BY sensor)
+SELECT b.sensor, b.band, round(b.power, 4) AS power, round(10 * log10(greatest(b.power, 2.2250738585072014e-308) / greatest(o.power, 2.2250738585072014e-308)), 4) AS delta_db, round(d.hz - od.hz, 4) + 0 AS dominant_shift_hz, round(20 * log10(r.rms / rr.rms), 4) + 0 AS rms_db
+FROM b JOIN b o ON b.band = o.band AND o.sensor = 'view' JOIN d ON d.sensor = b.sensor JOIN d od ON od.sensor = 'view' JOIN r ON r.sensor = b.sensor JOIN r rr ON rr.sensor = 'view' WHERE b.sensor <> 'view'""",
+    "tag_pairs": """SELECT s.event_id AS start_id, s.user_id, arg_min(e.event_id, (e.ts, e.event_id)) AS end_id FROM events s LEFT JOIN events e ON e.event_type = 'purchase' AND e.user_id = s.user_id AND e.ts >= s.ts WHERE s.event_type = 'signup' GROUP BY s.event_id, s.user_id""",
     "block_rms": f"""WITH b AS (SELECT sensor, win, sqrt(avg(value * value)) AS rms FROM (SELECT *, (row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) - 1) // 4 AS block FROM ({_S})) GROUP BY sensor, win, block),
 m AS (SELECT sensor, win, count(*) AS blocks, quantile_cont(rms, 0.5) AS med, max(rms) AS largest FROM b GROUP BY sensor, win),
 s AS (SELECT sensor, win, 1.4826::DOUBLE * quantile_cont(abs(rms - med), 0.5) AS scale FROM b JOIN m USING (sensor, win) GROUP BY sensor, win)
 SELECT sensor, win, blocks, round(med, 6) AS median, round(largest, 6) AS largest, round(scale, 6) AS scale, round((largest - med) / greatest(scale, 0.05::DOUBLE * med, 1e-300), 6) AS z FROM m JOIN s USING (sensor, win)""",
     "envelope": f"""SELECT sensor, win, bucket::INT AS bucket, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean
-FROM (SELECT *, ((row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) - 1) * 10) // count(*) OVER (PARTITION BY sensor, win) AS bucket FROM ({_S})) GROUP BY sensor, win, bucket""",
+FROM (SELECT *, ceil(row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) * 10 / count(*) OVER (PARTITION BY sensor, win)) - 1 AS bucket FROM ({_S})) GROUP BY sensor, win, bucket""",
     "linear_detrend": f"""WITH s AS (SELECT *, epoch_us(ts) / 1e6 - win * 86400 AS t FROM ({_S})), f AS (SELECT sensor, win, regr_slope(value, t) AS a, regr_intercept(value, t) AS b FROM s GROUP BY sensor, win)
 SELECT sensor, win, round(sqrt(avg((value - a * t - b) ** 2)), 4) AS residual_rms FROM s JOIN f USING (sensor, win) GROUP BY sensor, win""",
     "power_spectrum": f"WITH {_PSD} SELECT id, bin, round(power, 6) AS power FROM psd",
     "band_powers": f"""WITH {_PSD}, b AS (SELECT id, {_BAND} AS band, sum(power) AS power FROM psd WHERE bin > 0 GROUP BY ALL)
-SELECT id, band, round(power, 5) AS power, round(power / sum(power) OVER (PARTITION BY id), 5) AS fraction FROM b""",
+SELECT id, band, round(power, 5) AS power, round(sqrt(power), 5) AS rms, round(power / sum(power) OVER (PARTITION BY id), 5) AS fraction FROM b""",
     "spectral_peaks": f"""WITH {_PSD}, p AS (SELECT *, lag(power) OVER (PARTITION BY id ORDER BY bin) AS b, lead(power) OVER (PARTITION BY id ORDER BY bin) AS a FROM psd)
-SELECT id, (row_number() OVER (PARTITION BY id ORDER BY power DESC, bin))::INT AS rank, bin, round(frequency, 6) AS frequency, round(power, 6) AS power FROM p WHERE power > b AND power >= a QUALIFY rank <= 3""",
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY power DESC, bin))::INT AS rank, bin, round(frequency, 6) AS frequency, round(power, 6) AS power,
+  round(frequency + CASE WHEN abs(ln(b) - 2 * ln(power) + ln(a)) > 1e-15 THEN greatest(-0.5, least(0.5, 0.5 * (ln(b) - ln(a)) / (ln(b) - 2 * ln(power) + ln(a)))) ELSE 0 END, 6) AS refined_hz FROM p WHERE power > b AND power >= a QUALIFY rank <= 3""",
     "sliding_frames": "SELECT vec_id AS id, (s // 8)::INT AS frame, round(sqrt(list_sum(list_transform(embedding[s + 1:s + 16], lambda x: x::DOUBLE * x::DOUBLE)) / 16), 6) AS rms FROM embeddings, unnest(range(0, 49, 8)) AS r(s)",
     "residual_codes": """WITH d AS (SELECT e.vec_id AS id, b.vec_id AS code, list_sum(list_transform(list_zip(e.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS error FROM embeddings e, embeddings b WHERE b.vec_id < 16)
 SELECT id, code, round(error, 4) AS error FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY error, code) = 1""",
@@ -337,7 +490,7 @@ FROM (SELECT *, sqrt(l_quantity * l_quantity + (l_discount * 100) * (l_discount
 j AS (SELECT l.*, CASE WHEN a.n IS NOT NULL THEN 0 WHEN b.n IS NOT NULL THEN 1 WHEN c.n IS NOT NULL THEN 2 END AS profile_level, coalesce(a.mean, b.mean, c.mean) AS m, coalesce(a.std, b.std, c.std) AS s FROM lineitem l
   LEFT JOIN p a ON a.level = 0 AND a.l_returnflag = l.l_returnflag AND a.l_linestatus = l.l_linestatus AND a.l_linenumber = l.l_linenumber
   LEFT JOIN p b ON b.level = 4 AND b.l_linestatus = l.l_linestatus AND b.l_linenumber = l.l_linenumber LEFT JOIN p c ON c.level = 6 AND c.l_linenumber = l.l_linenumber)
-SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, round(l_quantity, 5) AS l_quantity, round(greatest(-12, least(12, (l_quantity - m) / s)), 5) AS z, profile_level FROM j""",
+SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, round(l_quantity, 5) AS l_quantity, CASE WHEN m IS NOT NULL THEN round(greatest(-12, least(12, (l_quantity - m) / s)), 5) END AS z, profile_level FROM j""",
     "split_assignment": f"WITH {_SPLIT} SELECT * FROM sp",
     "split_counts": f"WITH {_SPLIT} SELECT dataset, split, count(*) AS groups, count(DISTINCT stratum) AS strata FROM sp GROUP BY CUBE (dataset, split)",
     "split_leaks": f"WITH {_SPLIT} SELECT count(*) AS leaks FROM (SELECT group_id FROM sp GROUP BY group_id HAVING count(DISTINCT split) > 1)",
@@ -353,6 +506,10 @@ SELECT name, round(threshold, 6) AS threshold, round(value, 6) AS value, ok AS o
     "quota_draw": """WITH t AS (SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('3' || chr(0) || c_custkey::VARCHAR), c_custkey))::INT AS turn FROM customer)
 SELECT * FROM t ORDER BY turn, sha256('3' || chr(0) || c_mktsegment), sha256('3' || chr(0) || c_custkey::VARCHAR) LIMIT 40""",
     "tagged_samples": """SELECT s.event_id AS tag_id, count(*) AS n, round(sum(e.value), 6) AS total FROM events s JOIN events e ON e.ts >= s.ts AND e.ts < s.ts + INTERVAL 1 HOUR AND e.event_type <> 'signup' WHERE s.event_type = 'signup' GROUP BY s.event_id""",
-    "nearest_event": """WITH c AS (SELECT event_id AS click_id, ts, ts::DATE AS day FROM events WHERE event_type = 'click'), p AS (SELECT event_id AS purchase_id, ts, ts::DATE AS day FROM events WHERE event_type = 'purchase')
-SELECT click_id, purchase_id FROM c LEFT JOIN p USING (day) QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY abs(epoch_us(c.ts) - epoch_us(p.ts)), p.ts) = 1""",
+    "nearest_event": """WITH c AS (SELECT event_id AS click_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT event_id AS purchase_id, ts FROM events WHERE event_type = 'purchase')
+SELECT click_id, purchase_id FROM c LEFT JOIN p ON true QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY abs(epoch_us(c.ts) - epoch_us(p.ts)), p.ts) = 1""",
 }
+ORACLE_SQL["board_relations"] = f"""WITH {_PSD}, b AS (SELECT id // 6 AS episode, id % 6 AS board, {_BAND} AS band, sum(power) AS power FROM psd WHERE bin > 0 GROUP BY ALL)
+SELECT t.episode, t.board, t.band, round(10 * log10(greatest(t.power, 1e-18) / greatest(r.power, 1e-18)), 4) + 0 AS transmissibility_db FROM b t LEFT JOIN b r ON r.episode = t.episode AND r.band = t.band AND r.board = 0 WHERE t.board <> 0"""
+QUERIES |= corpus_queries.QUERIES
+ORACLE_SQL |= corpus_queries.ORACLE_SQL
