@@ -49,13 +49,13 @@ def spectral_summaries(windows: DataFrame, keys: list[str], fs: float) -> DataFr
 
 
 def stft_summaries(windows: DataFrame, keys: list[str], fs: float, size: int = 512, hop: int = 256) -> DataFrame:
-    """keys, frames, bins, peak_hz, peak_frame, entropy, concentration of every window (column x)."""
+    """keys, frames, bins, peak_hz, peak_frame, entropy, concentration of windows (column x) of 32 samples and more."""
 
     def kernel(x):
         kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64())
         return [pa.array(c, k) for c, k in zip(zip(*(signal.stft_summary(row, fs, size, hop) for row in x), strict=True), kinds, strict=True)]
 
-    return _mapped(windows, keys, "frames int, bins int, peak_hz double, peak_frame int, entropy double, concentration double", kernel)
+    return _mapped(windows.filter(F.size("x") >= 32), keys, "frames int, bins int, peak_hz double, peak_frame int, entropy double, concentration double", kernel)
 
 
 def spectrograms(windows: DataFrame, keys: list[str], fs: float, size: int = 256, hop: int = 256) -> DataFrame:

@@ -428,7 +428,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY sensor, win ORDER BY m DESC, k)
 SELECT t.sensor, t.win, round(dominant_hz, 5) AS dominant_hz, round(dominant_magnitude, 5) AS dominant_magnitude, round(c, 5) AS centroid_hz, round((SELECT sqrt(sum((hz - c) ** 2 * m) / t.t) FROM mag WHERE mag.sensor = t.sensor AND mag.win = t.win), 5) AS bandwidth_hz,
   round(flatness, 5) AS flatness, top_hz, round((SELECT sum(m * m) FILTER (hz < 50) / (sum(m * m) + 1e-12) FROM mag WHERE mag.sensor = t.sensor AND mag.win = t.win), 5) AS share FROM t JOIN five USING (sensor, win)""",
     "stft_summary": f"""WITH w AS (SELECT sensor, win, row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY sensor, win) AS n, value - avg(value) OVER (PARTITION BY sensor, win) AS c FROM ({_S})),
-sz AS (SELECT *, CASE WHEN n < 32 THEN n ELSE 32 END AS size FROM w), fr AS (SELECT sensor, win, size, f, i - f * 16 AS j, c * (CASE WHEN size = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - f * 16) / (size - 1)) END) AS v FROM sz, unnest(range(0, (n - size) // 16 + 1)) AS q(f) WHERE i >= f * 16 AND i < f * 16 + size),
+sz AS (SELECT *, 32 AS size FROM w WHERE n >= 32), fr AS (SELECT sensor, win, size, f, i - f * 16 AS j, c * (CASE WHEN size = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - f * 16) / (size - 1)) END) AS v FROM sz, unnest(range(0, (n - size) // 16 + 1)) AS q(f) WHERE i >= f * 16 AND i < f * 16 + size),
 sp AS (SELECT sensor, win, size, f, k, sum(v * cos(2 * pi() * k * j / size)) ** 2 + sum(v * sin(2 * pi() * k * j / size)) ** 2 AS p FROM fr, unnest(range(0, size // 2 + 1)) AS q(k) GROUP BY ALL),
 tot AS (SELECT sensor, win, any_value(size) AS size, count(DISTINCT f)::INT AS frames, count(DISTINCT k)::INT AS bins, sum(p) + 1e-12 AS t, max(p) AS most FROM sp GROUP BY sensor, win),
 pf AS (SELECT sensor, win, arg_max(k, e) AS k FROM (SELECT sensor, win, k, sum(p) AS e FROM sp GROUP BY ALL) GROUP BY sensor, win), pt AS (SELECT sensor, win, arg_max(f, e)::INT AS f FROM (SELECT sensor, win, f, sum(p) AS e FROM sp GROUP BY ALL) GROUP BY sensor, win)
@@ -509,6 +509,15 @@ SELECT * FROM t ORDER BY turn, sha256('3' || chr(0) || c_mktsegment), sha256('3'
     "nearest_event": """WITH c AS (SELECT event_id AS click_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT event_id AS purchase_id, ts FROM events WHERE event_type = 'purchase')
 SELECT click_id, purchase_id FROM c LEFT JOIN p ON true QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY abs(epoch_us(c.ts) - epoch_us(p.ts)), p.ts) = 1""",
 }
+ORACLE_SQL["alert_policy"] = f"""WITH RECURSIVE {_F}, w AS (SELECT sensor AS key, win * 86400.0::DOUBLE AS sec, (crest > 3)::BIGINT AS flag, row_number() OVER (PARTITION BY sensor ORDER BY win) AS i FROM feat),
+s AS (SELECT DISTINCT sensor AS key, 0::BIGINT AS i, 0.0::DOUBLE AS sec, 0::BIGINT AS votes, -1::BIGINT AS calm, -1e300::DOUBLE AS last, '' AS reason FROM feat
+  UNION ALL SELECT w.key, w.i, w.sec, CASE WHEN calm >= 0 AND flag = 0 AND calm + 1 >= 3 THEN 0 ELSE (votes * 2 + flag) % 32 END,
+    CASE WHEN calm >= 0 THEN CASE WHEN flag = 1 THEN 0 WHEN calm + 1 >= 3 THEN -1 ELSE calm + 1 END WHEN bit_count((votes * 2 + flag) % 32) >= 3 AND w.sec - last >= 86400 THEN 0 ELSE -1 END,
+    CASE WHEN calm < 0 AND bit_count((votes * 2 + flag) % 32) >= 3 AND w.sec - last >= 86400 THEN w.sec ELSE last END,
+    CASE WHEN calm >= 0 THEN CASE WHEN flag = 1 THEN 'active_event_merged' WHEN calm + 1 >= 3 THEN 'cleared_after_generated_normal_outputs' ELSE 'waiting_for_clear_hysteresis' END
+      WHEN bit_count((votes * 2 + flag) % 32) < 3 THEN 'waiting_for_generated_output_persistence' WHEN w.sec - last < 86400 THEN 'popup_cooldown' ELSE 'persistent_non_normal_event' END
+  FROM s JOIN w ON w.key = s.key AND w.i = s.i + 1)
+SELECT key, make_timestamp((sec * 1e6)::BIGINT) AS ts, reason = 'persistent_non_normal_event' AS emitted, calm >= 0 AS active, reason FROM s WHERE i > 0"""
 ORACLE_SQL["board_relations"] = f"""WITH {_PSD}, b AS (SELECT id // 6 AS episode, id % 6 AS board, {_BAND} AS band, sum(power) AS power FROM psd WHERE bin > 0 GROUP BY ALL)
 SELECT t.episode, t.board, t.band, round(10 * log10(greatest(t.power, 1e-18) / greatest(r.power, 1e-18)), 4) + 0 AS transmissibility_db FROM b t LEFT JOIN b r ON r.episode = t.episode AND r.band = t.band AND r.board = 0 WHERE t.board <> 0"""
 QUERIES |= corpus_queries.QUERIES

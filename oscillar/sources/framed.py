@@ -1,6 +1,6 @@
 """Framed acquisition files: a frame is samples x axes int16 values, optionally after a 4-byte counter, and a float64 time.
 
-Reading goes through Spark's binaryFile source, so any store Spark reads will do; a file is one row, decoded where it is.
+Spark's binaryFile source lists the files; tasks read ranges of them.
 """
 
 from __future__ import annotations
@@ -18,31 +18,79 @@ def frame_type(samples: int, axes: int, counter: bool = False) -> np.dtype:
     return np.dtype([*parts, ("data", "<i2", (samples, axes)), ("time", "<f8")])
 
 
-def read_framed(spark: SparkSession, path: str, samples: int, axes: int = 3, counter: bool = False, sensitivity: float = SENSITIVITY_G, glob: str = "*.dat") -> DataFrame:
-    """file, seq, ts (seconds), x, y, z ... in g for every sample; sample times run evenly up to each frame's time.
+def sample_times(ends: np.ndarray, samples: int, period: float, before: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(times of all samples, whether each frame is sound, corrected frame times) from the frames' own times.
 
-    Trailing bytes that are no whole frame are left out; an empty file gives no rows.
+    Samples run evenly from the frame before to their frame's time; a frame later than 1.33 periods is timed back from its
+    own time by one period. A frame whose time is no number, or less than 0.1 or more than 10 periods after the one before,
+    is not sound and gets the time that was due.
     """
+    begins, fixed, sound = np.empty(len(ends)), np.empty(len(ends)), np.ones(len(ends), bool)
+    last = before
+    for k, t in enumerate(ends.tolist()):
+        if last is None:
+            last = t - period if np.isfinite(t) else 0.0
+        gap = t - last
+        if not np.isfinite(gap) or gap < 0.1 * period or gap > 10 * period:
+            sound[k], t = False, last + period
+            gap = period
+        begins[k] = last if gap <= 1.33 * period else t - period
+        fixed[k] = last = t
+    return (begins[:, None] + (fixed - begins)[:, None] * (np.arange(1, samples + 1) / samples)).ravel(), sound, fixed
+
+
+#: bytes of a file that a task decodes, and frames before them that it reads to time its first one.
+RANGE_BYTES, LEAD = 32 << 20, 16
+
+
+def read_framed(spark: SparkSession, path: str, samples: int, axes: int = 3, counter: bool = False, sensitivity: float = SENSITIVITY_G, glob: str = "*.dat", period: float = 1.0, low: float | None = None, high: float | None = None) -> DataFrame:
+    """file, seq, ts (seconds), x, y, z ... in g for every sample of frames that are `period` seconds apart, within [low, high) if given.
+
+    Files are cut into ranges of whole frames, each decoded by itself, so a recording may be of any length. Frames that are not
+    sound (see sample_times) are zero. Trailing bytes that are no whole frame are left out; an empty file gives no rows.
+    """
+    from pyarrow import fs
+
     kind = frame_type(samples, axes, counter)
     names = list("xyz")[:axes] if axes <= 3 else [f"a{k}" for k in range(axes)]
+    per = max(1, RANGE_BYTES // kind.itemsize)
 
     def run(batches):
         for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                frames = np.frombuffer(content[: len(content) // kind.itemsize * kind.itemsize], kind)
-                if not len(frames):
-                    continue
-                ends = frames["time"]
-                begins = np.append(2 * ends[0] - ends[1] if len(ends) > 1 else ends[0] - 1, ends[:-1])
-                ts = (begins[:, None] + (ends - begins)[:, None] * (np.arange(1, samples + 1) / samples)).ravel()
-                data = frames["data"].reshape(-1, axes).astype(np.float64) * sensitivity
-                for at in range(0, len(ts), 100_000):
-                    part = slice(at, at + 100_000)
+            for name, first, end in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                store, at = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                lead = min(LEAD, first)
+                with store.open_input_file(at) as f:
+                    f.seek((first - lead) * kind.itemsize)
+                    frames = np.frombuffer(f.read((end - first + lead) * kind.itemsize), kind)
+                ts, sound, _ = sample_times(frames["time"], samples, period)
+                data = frames["data"].astype(np.float64) * sensitivity * sound[:, None, None]
+                ts, data = ts[lead * samples :], data[lead:].reshape(-1, axes)
+                for k in range(0, len(ts), 100_000):
+                    part = slice(k, k + 100_000)
                     n = len(ts[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(np.arange(at, at + n)), pa.array(ts[part]), *(pa.array(data[part, k]) for k in range(axes))], names=["file", "seq", "ts", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array([at.rpartition("/")[2]] * n), pa.array(first * samples + np.arange(k, k + n)), pa.array(ts[part]), *(pa.array(data[part, a]) for a in range(axes))], names=["file", "seq", "ts", *names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", F.floor(F.col("length") / kind.itemsize).alias("frames")).filter("frames > 0")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(per).cast("long")))
+    ranges = files.select("path", "frames", first.alias("first")).select("path", "first", F.least(F.col("first") + per, F.col("frames")).alias("end"))
+    rows = ranges.repartition(F.col("path"), F.col("first")).mapInArrow(run, "file string, seq long, ts double, " + ", ".join(f"{c} double" for c in names))
+    rows = rows if low is None else rows.filter(F.col("ts") >= low)
+    return rows if high is None else rows.filter(F.col("ts") < high)
+
+
+def lost_packets(spark: SparkSession, path: str, samples: int, axes: int = 3, glob: str = "*.dat") -> DataFrame:
+    """file, frames, lost: counters that are missing between the frames of files with counters."""
+    kind = frame_type(samples, axes, True)
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = np.frombuffer(content[: len(content) // kind.itemsize * kind.itemsize], kind)["counter"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(c)]), pa.array([int(np.maximum(np.diff(c) - 1, 0).sum())])], names=["file", "frames", "lost"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, seq long, ts double, " + ", ".join(f"{c} double" for c in names))
+    return files.mapInArrow(run, "file string, frames long, lost long")
 
 
 def framed_bytes(values: np.ndarray, times: np.ndarray, samples: int, counter: bool = False) -> bytes:
@@ -56,9 +104,23 @@ def framed_bytes(values: np.ndarray, times: np.ndarray, samples: int, counter: b
     return out.tobytes()
 
 
-def export_long_csv(rows: DataFrame, path: str) -> None:
-    """Validation export: one CSV row per sample, header included, a file per partition."""
-    rows.write.mode("errorifexists").option("header", True).csv(path)
+def export_long_csv(windows: DataFrame, reports: DataFrame, path: str) -> None:
+    """Validation export: one CSV row per sample of arrays x (sensor, win), with the sensor's report (label, confidence) or its defaults; header included."""
+    told = windows.join(reports.select("sensor", "win", "label", "confidence"), ["sensor", "win"], "left")
+    told = told.select("sensor", "win", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.posexplode("x").alias("sample", "value"))
+    told.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes, modified of every file; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def read_signals(spark: SparkSession, path: str, columns: dict[str, str], separator: str = ",", decimal: str = ".") -> DataFrame:
+    """Text signals with a header: columns names each output and its header; numbers by the given decimal sign, rows without any number left out."""
+    raw = spark.read.option("header", True).option("sep", separator).csv(path)
+    sound = {out: F.replace(F.trim(F.col(f"`{name}`")), F.lit(decimal), F.lit(".")).try_cast("double") for out, name in columns.items()}
+    return raw.select(*(c.alias(out) for out, c in sound.items())).dropna("all")
 
 
 def read_replay_csv(spark: SparkSession, path: str) -> DataFrame:

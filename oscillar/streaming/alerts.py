@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,87 +10,121 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "key string, ts timestamp, emitted boolean, active boolean, reason string"
+# Reasons.
+EMITTED, MERGED, CLEARING, CLEARED, WAITING, COOLING = (
+    "persistent_non_normal_event",
+    "active_event_merged",
+    "waiting_for_clear_hysteresis",
+    "cleared_after_generated_normal_outputs",
+    "waiting_for_generated_output_persistence",
+    "popup_cooldown",
+)
 
 
-@dataclass
-class AlertRule:
+class AlertState(NamedTuple):
+    """The last flags as bits, the normal windows in a row of an event that is under way (-1: none is), the time of the last alert."""
+
+    votes: int = 0
+    calm: int = -1
+    last: float = float("-inf")
+
+
+class AlertRule(NamedTuple):
     """An alert needs k abnormal ones among the last n windows and a cooldown; m normal windows in a row end it."""
 
     n: int = 5
     k: int = 3
     m: int = 3
     cooldown: float = 30.0
-    votes: deque = field(default_factory=deque)
-    active: bool = False
-    calm: int = 0
-    last: float | None = None
-
-    def step(self, at: float, abnormal: bool) -> tuple[bool, str]:
-        self.votes.append(abnormal)
-        while len(self.votes) > self.n:
-            self.votes.popleft()
-        if self.active:
-            if abnormal:
-                self.calm = 0
-                return False, "active_event_merged"
-            self.calm += 1
-            if self.calm < self.m:
-                return False, "active_event_clearing"
-            self.active, self.calm = False, 0
-            self.votes.clear()
-            return False, "event_cleared"
-        if len(self.votes) < self.k or sum(self.votes) < self.k:
-            return False, "persistence_not_met" if abnormal else "normal"
-        if self.last is not None and at - self.last < self.cooldown:
-            return False, "cooldown"
-        self.active, self.calm, self.last = True, 0, at
-        return True, "alert_emitted"
-
-    def packed(self) -> tuple:
-        return (",".join("1" if v else "0" for v in self.votes), self.active, self.calm, -1.0 if self.last is None else self.last)
-
-    @classmethod
-    def unpacked(cls, state: tuple, **limits) -> AlertRule:
-        votes, active, calm, last = state
-        return cls(votes=deque(v == "1" for v in votes.split(",") if v), active=active, calm=calm, last=None if last < 0 else last, **limits)
-
-
-def _steps(rule: AlertRule, key: str, rows: pd.DataFrame) -> pd.DataFrame:
+
+    def after(self, state: AlertState, at: float, abnormal: bool) -> tuple[AlertState, str]:
+        votes = (state.votes * 2 + abnormal) % (1 << self.n)
+        if state.calm < 0:
+            if votes.bit_count() < self.k:
+                return AlertState(votes, -1, state.last), WAITING
+            if at - state.last < self.cooldown:
+                return AlertState(votes, -1, state.last), COOLING
+            return AlertState(votes, 0, at), EMITTED
+        calm = 0 if abnormal else state.calm + 1
+        if calm >= self.m:
+            return AlertState(0, -1, state.last), CLEARED
+        return AlertState(votes, calm, state.last), MERGED if abnormal else CLEARING
+
+
+def _steps(rule: AlertRule, state: AlertState, rows: pd.DataFrame) -> tuple[AlertState, pd.DataFrame]:
     out = []
     for ts, abnormal in zip(rows["ts"], rows["abnormal"], strict=True):
-        emitted, reason = rule.step(ts.timestamp(), bool(abnormal))
-        out.append((key, ts, emitted, rule.active, reason))
-    return pd.DataFrame(out, columns=["key", "ts", "emitted", "active", "reason"])
+        state, reason = rule.after(state, ts.timestamp(), bool(abnormal))
+        out.append((reason == EMITTED, state.calm >= 0, reason))
+    return state, rows[["key", "ts"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["emitted", "active", "reason"]))
 
 
 def alerts_batch(windows: DataFrame, **limits) -> DataFrame:
-    """key, ts, abnormal → SCHEMA rows. A key's windows (not samples) are its group; they are few."""
+    """key, ts, abnormal → SCHEMA rows. Windows pass in the order of keys and times, and a key's state goes on from batch to batch, so no key's history is held at once."""
+    rule = AlertRule(**limits)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _steps(AlertRule(**limits), pdf["key"].iloc[0], pdf.sort_values("ts"))
+    def run(batches):
+        key, state = None, AlertState()
+        for b in batches:
+            done = []
+            for own, rows in b.groupby("key", sort=False, dropna=False):
+                if own != key:
+                    key, state = own, AlertState()
+                state, out = _steps(rule, state, rows)
+                done.append(out)
+            if done:
+                yield pd.concat(done)
 
-    return windows.select("key", "ts", "abnormal").groupBy("key").applyInPandas(run, SCHEMA)
+    rows = windows.select("key", "ts", "abnormal").filter("key IS NOT NULL")
+    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, SCHEMA)
 
 
 def alerts_stream(windows: DataFrame, **limits) -> DataFrame:
-    """The same on a stream whose windows arrive in order for each key; state is a short string and three numbers."""
+    """The same on a stream whose windows arrive in order for each key; state is three numbers."""
+    rule = AlertRule(**limits)
 
     def run(key, batches, state: GroupState):
-        rule = AlertRule.unpacked(state.get, **limits) if state.exists else AlertRule(**limits)
         rows = pd.concat(list(batches)).sort_values("ts")
-        yield _steps(rule, key[0], rows)
-        state.update(rule.packed())
+        now, out = _steps(rule, AlertState(*state.get) if state.exists else AlertState(), rows)
+        state.update(tuple(now))
+        yield out
 
-    return windows.select("key", "ts", "abnormal").groupBy("key").applyInPandasWithState(run, SCHEMA, "votes string, active boolean, calm int, last double", "append", GroupStateTimeout.NoTimeout)
+    return windows.select("key", "ts", "abnormal").groupBy("key").applyInPandasWithState(run, SCHEMA, "votes long, calm long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def aligned_windows(samples: DataFrame, seconds: int = 10, late: str = "30 seconds") -> DataFrame:
-    """Event-time windows over sensors with late data dropped after the watermark: window start, sensors, n, rms."""
-    w = samples.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"))
+def aligned_windows(samples: DataFrame, seconds: int = 10, late: str = "30 seconds", stride: int | None = None) -> DataFrame:
+    """Event-time windows over all sensors, late data dropped after the watermark: start, sensors, n, rms; with a stride they slide."""
+    stride = stride or seconds
+    w = samples.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds", f"{stride} seconds"))
     agg = w.agg(F.approx_count_distinct("sensor").alias("sensors"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
     return agg.select(F.col("window.start").alias("start"), "sensors", "n", "rms")
 
 
+def ready_windows(samples: DataFrame, sensors: int, least: int, seconds: int = 10, stride: int = 2, late: str = "30 seconds") -> DataFrame:
+    """start, n of the sliding windows in which every one of the sensors has at least so many samples; each window comes once, when the watermark has passed it."""
+    w = F.window("ts", f"{seconds} seconds", f"{stride} seconds")
+    per = samples.withWatermark("ts", late).groupBy(w, "sensor").agg(F.count(F.lit(1)).alias("k"))
+    full = per.filter(F.col("k") >= least).groupBy("window").agg(F.count(F.lit(1)).alias("ready"), F.sum("k").alias("n"))
+    return full.filter(F.col("ready") >= sensors).select(F.col("window.start").alias("start"), "n")
+
+
 def new_samples(samples: DataFrame, late: str = "30 seconds") -> DataFrame:
     """Appended chunks without the overlap with what has been seen: one row per sensor and time."""
     return samples.withWatermark("ts", late).dropDuplicatesWithinWatermark(["sensor", "ts"])
+
+
+def stored(events: DataFrame, path: str, key: str, checkpoint: str):
+    """Starts a query that appends events to a Parquet store, a key once: what the store or the batch itself has is left out."""
+
+    def insert(batch: DataFrame, _: int) -> None:
+        from pyspark.errors import AnalysisException
+
+        fresh = batch.dropDuplicates([key])
+        try:
+            there = batch.sparkSession.read.schema(batch.schema).parquet(path)
+            fresh = fresh.join(there.select(key), key, "left_anti")
+        except AnalysisException:  # the store has no file yet
+            pass
+        fresh.write.mode("append").parquet(path)
+
+    return events.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -26,12 +26,92 @@ def test_replay_and_history_files(spark, tmp_path):
     assert (row["sensor"], row["rms"], row["spec"]) == ("a", 0.9, None)
 
 
+def test_frames_late_and_broken(spark, tmp_path, monkeypatch):
+    times = np.array([1.0, 2.0, 4.0, np.nan, 6.0, 6.05, 8.0, 90.0, 10.0])
+    ts, sound, fixed = framed.sample_times(times, 2, 1.0)
+    assert sound.tolist() == [True, True, True, False, True, False, True, False, True] and fixed.tolist() == [1, 2, 4, 5, 6, 7, 8, 9, 10]
+    assert ts[4:6].tolist() == [3.5, 4.0]  # late: timed back from its own time
+    values = np.arange(60, dtype=np.int16).reshape(-1, 3)
+    (tmp_path / "a.dat").write_bytes(framed.framed_bytes(values, np.arange(1.0, 11.0), 2))
+    monkeypatch.setattr(framed, "RANGE_BYTES", 3 * framed.frame_type(2, 3).itemsize)
+    got = framed.read_framed(spark, str(tmp_path), 2).orderBy("seq").toPandas()
+    assert got["seq"].tolist() == list(range(20)) and np.allclose(got["ts"], np.arange(1, 21) / 2) and np.allclose(got["z"], values[:, 2] * framed.SENSITIVITY_G)
+    assert framed.read_framed(spark, str(tmp_path), 2, low=2.0, high=4.0).count() == 4
+
+
+def test_lost_packets_and_inventory(spark, tmp_path):
+    kind = framed.frame_type(2, 3, True)
+    frames = np.zeros(5, kind)
+    frames["counter"] = [0, 1, 4, 5, 9]
+    (tmp_path / "a.dat").write_bytes(frames.tobytes())
+    assert tuple(framed.lost_packets(spark, str(tmp_path), 2).first()) == ("a.dat", 5, 5)
+    assert framed.inventory(spark, str(tmp_path)).first()["bytes"] == 5 * kind.itemsize
+
+
+def test_text_signals_and_export(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Time [s];Acc X\n0,5;1,25\nx;-2\n;\n")
+    got = framed.read_signals(spark, str(tmp_path / "s.csv"), {"t": "Time [s]", "x": "Acc X"}, ";", ",").collect()
+    assert [tuple(r) for r in got] == [(0.5, 1.25), (None, -2.0)]
+    windows = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("b", 1, [3.0])], "sensor string, win long, x array<double>")
+    reports = spark.createDataFrame([("a", 1, "normal", 0.8)], "sensor string, win long, label string, confidence double")
+    framed.export_long_csv(windows, reports, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("sensor", "sample").collect()
+    assert [(r["sensor"], r["label"], r["value"]) for r in rows] == [("a", "normal", "1.0"), ("a", "normal", "2.0"), ("b", "unknown", "3.0")]
+
+
 def test_alert_rule():
-    rule = alerts.AlertRule(cooldown=30)
-    reasons = [rule.step(10.0 * i, x)[1] for i, x in enumerate([1, 1, 0, 1, 1, 0, 0, 0, 1, 1, 1])]
-    assert reasons == ["persistence_not_met", "persistence_not_met", "normal", "alert_emitted", "active_event_merged", "active_event_clearing", "active_event_clearing", "event_cleared", "persistence_not_met", "persistence_not_met", "alert_emitted"]
-    again = alerts.AlertRule.unpacked(rule.packed(), cooldown=30)
-    assert again == rule
+    rule, state, reasons = alerts.AlertRule(cooldown=30), alerts.AlertState(), []
+    for i, x in enumerate([1, 1, 0, 1, 1, 0, 0, 0, 1, 1, 1]):
+        state, reason = rule.after(state, 10.0 * i, bool(x))
+        reasons.append(reason)
+    wait = alerts.WAITING
+    assert reasons == [wait, wait, wait, alerts.EMITTED, alerts.MERGED, alerts.CLEARING, alerts.CLEARING, alerts.CLEARED, wait, wait, alerts.EMITTED]
+
+
+def run_stream(spark, rows, kind, make, tmp_path, name):
+    """The rows, a file for each time, through make() and out of a memory table."""
+    source = str(tmp_path / "in")
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    query = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_decimation_agrees_with_the_whole_signal(spark, tmp_path):
+    from oscillar.streaming import decimation
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=100)
+    kernel = decimation.low_pass(31, 0.2)
+    assert abs(kernel.sum() - 1) < 1e-12 and np.allclose(kernel, kernel[::-1])
+    whole = np.convolve(x, kernel)[:100][::4]
+    at = datetime(2024, 1, 1)
+    rows = [("a", at + timedelta(seconds=i), float(v)) for i, v in enumerate(x)]
+    parts = [rows[lo:hi] for lo, hi in ((0, 7), (7, 50), (50, 100))]
+    got = sorted(run_stream(spark, parts, "sensor string, ts timestamp, value double", lambda s: decimation.decimated_stream(s, 4, 31), tmp_path, "decimated_out"), key=lambda r: r["ts"])
+    assert np.allclose([r["value"] for r in got], whole) and [r["ts"] for r in got] == [r[1] for r in rows[::4]]
+
+
+def test_new_samples_and_ready_windows(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    row = lambda s, i: (s, at + timedelta(seconds=i), 1.0)
+    kind = "sensor string, ts timestamp, value double"
+    parts = [[row("a", i) for i in range(10)], [row("a", i) for i in range(6, 14)]]
+    assert len(run_stream(spark, parts, kind, alerts.new_samples, tmp_path / "x", "new_out")) == 14
+    parts = [[row(s, i) for i in range(12) for s in "ab"] + [row("a", i) for i in range(12, 30)], [row("a", 100)]]
+    got = run_stream(spark, parts, kind, lambda s: alerts.ready_windows(s, 2, 10, 10, 2, "1 second"), tmp_path / "y", "ready_out")
+    assert sorted((r["start"] - at).total_seconds() for r in got) == [0, 2]
+
+
+def test_store_takes_a_key_once(spark, tmp_path):
+    kind = "episode long, value double"
+    for part in ([(1, 1.0), (2, 2.0), (1, 1.0)], [(2, 9.0), (3, 3.0)]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    alerts.stored(stream, str(tmp_path / "store"), "episode", str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r["episode"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2, 3]
 
 
 def windows_of(spark, flags):
