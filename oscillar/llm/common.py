@@ -157,10 +157,21 @@ class WordHashes:
         self.words = flat if keep_words else None
 
 
-def sliced(batches, column: str | int = "content", most_bytes: int = 4 << 20):
+_memos: dict[str, dict] = {}
+
+
+def worker_memo(name: str) -> dict:
+    """What a Python worker remembers from task to task under a name; that of another name is dropped, as stages reuse workers."""
+    if name not in _memos:
+        _memos.clear()
+        _memos[name] = {}
+    return _memos[name]
+
+
+def sliced(batches, column: str | int = "content", most_bytes: int = 2 << 20):
     """Record batches cut so that a slice holds a few MB, or one row; bounds what a task holds.
 
-    column: the texts, or the bytes of each row as numbers.
+    column: the texts, or the bytes of each row as numbers. At the end memory that is free goes back to the system.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -174,6 +185,7 @@ def sliced(batches, column: str | int = "content", most_bytes: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def unpacked(frames: pa.Array) -> list[bytes]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import filesystem, identified, shared_dir, sliced, table, written
+from oscillar.llm.common import filesystem, identified, shared_dir, sliced, table, worker_memo, written
 
 #: fixed values of the tokenizer file whose steps WordEncoder takes itself.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -34,7 +34,7 @@ FILE_BYTES = 1 << 28
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
 #: words, and parts of words, that a Python worker remembers.
-CACHE = 600_000
+CACHE = 400_000
 
 
 def byte_alphabet() -> str:
@@ -126,16 +126,12 @@ class WordEncoder:
         return each.flatten().to_numpy(), (at - at[0])[starts]
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def encoder(tokenizer_json: str) -> WordEncoder:
     """One for each Python worker, so that tasks share what it remembers."""
-    key = hash(tokenizer_json)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(tokenizer_json)
-    return _encoders[key]
+    memo = worker_memo(f"tokens {hash(tokenizer_json)}")
+    if not memo:
+        memo["own"] = WordEncoder(tokenizer_json)
+    return memo["own"]
 
 
 class SequenceWriter:
@@ -207,7 +203,7 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: i
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(shared.value)
         kind = np.uint16 if own.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        for b in sliced(batches, most_bytes=8 << 20):
+        for b in sliced(batches, most_bytes=4 << 20):
             if out is None:
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import sliced, table, written
+from oscillar.llm.common import sliced, table, worker_memo, written
 
 LETTERS = 27  # a to z, and one for all others
 DECAY = 0.6
@@ -92,7 +92,7 @@ def projected(segments: list[bytes], weights: np.ndarray) -> np.ndarray:
             continue
         at, gap = triples(int(n))
         pick = np.flatnonzero(length == n)
-        step = max(1, 400_000 // (len(at) * weights.shape[1]) + 1, 20_000 // int(n) ** 2)
+        step = max(1, 1_000_000 // (len(at) * weights.shape[1]))
         for lo in range(0, len(pick), step):
             rows = pick[lo : lo + step]
             codes = (np.frombuffer(b"".join(segments[i] for i in rows), np.uint8).reshape(len(rows), n) - 97).astype(np.int64)
@@ -117,14 +117,16 @@ def squared_hinge(z: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarr
 
     cost: of each row as an example of the toxic and of the clean class.
     """
-    z = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(z.shape[1])  # the last column of z is one
     keep = np.eye(z.shape[1])
     keep[-1, -1] = 1e-3
     for _ in range(rounds):
         value = z @ w
         up, down = cost[:, 0] * (value < 1), cost[:, 1] * (value > -1)
-        new = np.linalg.solve(keep + (z * (up + down)[:, None]).T @ z, z.T @ (up - down))
+        weight, bend = up + down, keep.copy()
+        for k in range(0, len(z), 2048):
+            bend += (z[k : k + 2048] * weight[k : k + 2048, None]).T @ z[k : k + 2048]
+        new = np.linalg.solve(bend, z.T @ (up - down))
         if np.allclose(new, w, atol=1e-9):
             break
         w = w + 0.7 * (new - w) if _ > 20 else new
@@ -173,16 +175,11 @@ def segments_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(distinct), np.append(seg, np.array(extra, np.int64)), np.append(text_of, np.array(extra_of, np.int64))
 
 
-_known: dict[tuple, dict[bytes, float]] = {}
-
-
 def segment_values(distinct: list[bytes], model: Model) -> np.ndarray:
     """The decision value of each segment; a worker remembers those of the model it used last."""
-    key = model.key
-    if key not in _known or len(_known[key]) > CACHE:
-        _known.clear()
-        _known[key] = {}
-    known = _known[key]
+    known = worker_memo(f"toxicity {model.key}")
+    if len(known) > CACHE:
+        known.clear()
     new = [s for s in distinct if s not in known]
     pieces = [windows_of(s) for s in new]
     flat = [p for ps in pieces for p in ps]
@@ -352,7 +349,8 @@ def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled:
         cost += [(t / 2 / len(lures), c / 2 / len(lures)) for _ in lures]
     cost = np.array(cost)
     cost = cost / cost.sum(0) * COST
-    z = projected(x, basis)
+    z = projected(x, np.column_stack([basis, np.zeros(LETTERS**3)]))
+    z[:, -1] = 1
     w = squared_hinge(z, cost)
     return Model(basis @ w[:-1], float(w[-1]))
 
