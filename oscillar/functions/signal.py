@@ -219,6 +219,28 @@ def stft_summary(x: np.ndarray, fs: float, size: int = 512, hop: int = 256, eps:
     return len(spec), spec.shape[1], float(f[np.argmax(spec.sum(0))]), int(np.argmax(spec.sum(1))), float(-(p * np.log(p + eps)).sum()), float(spec.max() / total)
 
 
+def coherence(x: np.ndarray, y: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and magnitude-squared coherence of two signals over half-overlapping segments, their means removed."""
+    starts = np.arange(0, len(x) - size + 1, size // 2)
+    w = periodic_window("hann", size)
+    cut = [(v[starts[:, None] + np.arange(size)]) for v in (x, y)]
+    a, b = (np.fft.rfft((c - c.mean(-1, keepdims=True)) * w, axis=-1) for c in cut)
+    cross, px, py = (a * b.conj()).sum(0), (np.abs(a) ** 2).sum(0), (np.abs(b) ** 2).sum(0)
+    return np.arange(size // 2 + 1) * fs / size, np.abs(cross) ** 2 / np.maximum(px * py, TINY)
+
+
+def prominences(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Local maxima of a curve and how far each stands above the higher of the lowest points between it and higher ground on either side."""
+    at = np.flatnonzero((p[1:-1] > p[:-2]) & (p[1:-1] >= p[2:])) + 1
+    out = np.empty(len(at))
+    for i, k in enumerate(at):
+        left, right = np.flatnonzero(p[:k] > p[k]), np.flatnonzero(p[k + 1 :] > p[k])
+        low = p[(left[-1] if len(left) else 0) : k + 1].min()
+        high = p[k : (k + 1 + right[0] if len(right) else len(p))].min()
+        out[i] = p[k] - max(low, high)
+    return at, out
+
+
 def fft_filter(x: np.ndarray, fs: float, kind: str, low: float | None = None, high: float | None = None, order: int = 4) -> np.ndarray:
     """Zero-phase filter in the frequency domain (highpass, lowpass, bandpass, notch, none) with reflected edges; Butterworth magnitudes."""
     n, nyquist = len(x), fs / 2

@@ -292,3 +292,44 @@ def board_relations(bands: DataFrame, reference: int) -> DataFrame:
     met = bands.filter(F.col("board") != reference).join(base, ["episode", "band"], "left")
     db = 10 * F.log10(F.greatest(F.col("power"), F.lit(1e-18)) / F.greatest(F.col("ref_"), F.lit(1e-18)))
     return met.select("episode", "board", "band", db.alias("transmissibility_db"))
+
+
+def board_coherence(pairs: DataFrame, keys: list[str], fs: float, size: int, bands: tuple[tuple[float, float], ...]) -> DataFrame:
+    """keys, band, coherence: the mean coherence of two boards' arrays (x, y, of one length) in each band; only for boards that sample in step."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x, y in zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True):
+                f, c = signal.coherence(np.asarray(x, np.float64), np.asarray(y, np.float64), fs, size)
+                out.append([float(c[(f >= lo) & (f < hi)].mean()) for lo, hi in bands])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keys))), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "means"])
+
+    kinds = dict(pairs.dtypes)
+    rows = pairs.filter((F.size("x") == F.size("y")) & (F.size("x") >= size)).select(*keys, "x", "y")
+    means = rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", means array<double>")
+    names = F.array(*(F.lit(f"{lo:g}-{hi:g}") for lo, hi in bands))
+    return means.select(*keys, F.posexplode("means").alias("k", "coherence")).select(*keys, F.element_at(names, F.col("k") + 1).alias("band"), "coherence")
+
+
+def dominant_peaks(windows: DataFrame, keys: list[str], fs: float, most: int = 3, least_db: float = 3.0) -> DataFrame:
+    """keys, rank, frequency, prominence_db: the peaks of each window's density (column x) that stand out most in decibels; the highest bin where none does."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for rows, x in _arrays(b.column(len(keys))):
+                f, p = signal.periodogram(x, fs)
+                for i, db in zip(rows, 10 * np.log10(p[:, 1:] + 1e-24), strict=True):
+                    at, high = signal.prominences(db)
+                    at, high = at[high >= least_db], high[high >= least_db]
+                    if not len(at):
+                        at, high = np.array([int(db.argmax())]), np.zeros(1)
+                    order = np.argsort(-(high + db[at] * 1e-3), kind="stable")[:most]
+                    out += [(i, r, float(f[at[k] + 1]), float(high[k])) for r, k in enumerate(order, 1)]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            take = pa.array(list(cols[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(len(keys))), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.float64()), pa.array(list(cols[3]), pa.float64())], names=[*keys, "rank", "frequency", "prominence_db"])
+
+    kinds = dict(windows.dtypes)
+    return windows.select(*keys, "x").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", rank int, frequency double, prominence_db double")

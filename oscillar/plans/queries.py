@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oscillar.functions import signal
-from oscillar.operators import corpus, spectra, transients, windows
+from oscillar.operators import corpus, decisions, spectra, transients, windows
 from oscillar.plans import corpus_queries
 from oscillar.streaming import alerts
 
@@ -323,9 +323,73 @@ def monitor(spark, d):
     return windows.network_labels(_labels(spark, d))
 
 
+def anomaly_decisions(spark, d):
+    labels = _labels(spark, d)
+    return decisions.anomaly_decisions(labels, windows.network_labels(labels))
+
+
+def _told(spark, d):
+    """What a model might tell: mostly the rules' labels, some unknown, some of other sensors' kind."""
+    k = F.length("sensor") + F.col("win")
+    said = F.when(k % 13 == 0, "who_knows").when(k % 7 == 0, "mild_deviation").otherwise(F.col("label"))
+    return _labels(spark, d).select("sensor", "win", said.alias("label"))
+
+
+def rederived_labels(spark, d):
+    return decisions.rederived(_told(spark, d), _labels(spark, d))
+
+
+def quality_conflicts(spark, d):
+    both = _compared(spark, d)
+    both = both.withColumn("label", windows.sensor_label(both)[0])
+    told = _told(spark, d).select("sensor", "win", F.col("label").alias("said"))
+    return both.join(told, ["sensor", "win"]).select("sensor", "win", decisions.quality_conflict(F.col("said"), F.col("flags"), F.col("reference_flags"), F.col("label")).alias("conflict"))
+
+
+def result_envelopes(spark, d):
+    labels = _labels(spark, d)
+    return decisions.envelopes(labels.select("win", "sensor"), labels)
+
+
+def machine_classes(spark, d):
+    """Sensor windows as a machine's, against their sensor's mean level."""
+    f = _features(spark, d).filter("n >= 32").select("sensor", "win", "rms", "kurtosis", "crest", "skew")
+    s = spectra.spectral_summaries(_arrays(spark, d), ["sensor", "win"], 1000.0).select("sensor", "win", "dominant_hz", "flatness")
+    mean = f.groupBy("sensor").agg(F.avg("rms").alias("usual"))
+    f = f.join(mean, "sensor").withColumn("rms_ratio", F.col("rms") / F.col("usual")).join(s, ["sensor", "win"])
+    label, severity = decisions.machine_class(f)
+    return _rounded(f.select("sensor", "win", label.alias("label"), severity.alias("severity")), 4)
+
+
+def amplitude_scales(spark, d):
+    return _rounded(decisions.amplitude_scales(_samples(spark, d)), 4)
+
+
+def repeated_draw(spark, d):
+    return decisions.repeated_draw(_t(spark, d, "customer").filter("c_custkey % 9 = 0"), "c_nationkey", "c_custkey", 12, 6)
+
+
+def bound_devices(spark, d):
+    n = _t(spark, d, "nation")
+    seen = n.filter("n_nationkey <> 3").select(F.col("n_nationkey").alias("board"), F.when(F.col("n_nationkey") == 5, "other").otherwise(F.col("n_name")).alias("serial"))
+    return decisions.bound_devices(seen, n.filter("n_nationkey <> 7").select(F.col("n_nationkey").alias("board"), F.col("n_name").alias("serial")))
+
+
+def board_coherence(spark, d):
+    e = _t(spark, d, "embeddings").select(F.expr("vec_id DIV 2").alias("pair"), (F.col("vec_id") % 2).alias("side"), F.col("embedding").cast("array<double>").alias("x"))
+    both = e.filter("side = 0").select("pair", "x").join(e.filter("side = 1").select("pair", F.col("x").alias("y")), "pair")
+    return _rounded(spectra.board_coherence(both, ["pair"], 64.0, 16, ((4.0, 12.0), (12.0, 33.0))), 5)
+
+
+def dominant_peaks(spark, d):
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return _rounded(spectra.dominant_peaks(e, ["id"], 64.0), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        anomaly_decisions, rederived_labels, quality_conflicts, result_envelopes, machine_classes, amplitude_scales, repeated_draw, bound_devices, board_coherence, dominant_peaks,
         spectral_summary, stft_summary, viewer_spectrogram, sensor_metrics, axis_labels, aligned_comparison, history_context, spectrum_plot, spectral_shape, nearest_bins, tag_pairs,
         monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
         distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, resampled_windows, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
@@ -520,5 +584,36 @@ s AS (SELECT DISTINCT sensor AS key, 0::BIGINT AS i, 0.0::DOUBLE AS sec, 0::BIGI
 SELECT key, make_timestamp((sec * 1e6)::BIGINT) AS ts, reason = 'persistent_non_normal_event' AS emitted, calm >= 0 AS active, reason FROM s WHERE i > 0"""
 ORACLE_SQL["board_relations"] = f"""WITH {_PSD}, b AS (SELECT id // 6 AS episode, id % 6 AS board, {_BAND} AS band, sum(power) AS power FROM psd WHERE bin > 0 GROUP BY ALL)
 SELECT t.episode, t.board, t.band, round(10 * log10(greatest(t.power, 1e-18) / greatest(r.power, 1e-18)), 4) + 0 AS transmissibility_db FROM b t LEFT JOIN b r ON r.episode = t.episode AND r.band = t.band AND r.board = 0 WHERE t.board <> 0"""
+_TOLD = "told AS (SELECT sensor, win, CASE WHEN (length(sensor) + win) % 13 = 0 THEN 'who_knows' WHEN (length(sensor) + win) % 7 = 0 THEN 'mild_deviation' ELSE label END AS said FROM lab)"
+_NET = _CMP[_CMP.index("net0 AS"):]
+ORACLE_SQL |= {
+    "anomaly_decisions": f"""WITH {_CMP}, g AS (SELECT win, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s >= 4), '') AS sig, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s = 3), '') AS mild, count(*) FILTER (s >= 4) AS ns, count(*) FILTER (s >= 3) AS n_odd, bool_or(s = 2) AS issue FROM sev GROUP BY win)
+SELECT win, label, label IN ('localized_vibration_deviation', 'multi_sensor_structure_wide_vibration_event') OR n_odd > 0 AS anomaly, CASE WHEN label = 'multi_sensor_structure_wide_vibration_event' OR ns >= 2 THEN 'critical' WHEN label = 'localized_vibration_deviation' OR ns > 0 THEN 'warning'
+  WHEN label = 'sensor_network_quality_issue' OR issue THEN 'quality' WHEN label LIKE 'mild%' OR mild <> '' THEN 'notice' ELSE 'normal' END AS severity, concat_ws('|', label, affected_sensors, sig, mild) AS dedupe_key FROM net JOIN g USING (win)""",
+    "rederived_labels": f"""WITH {_chain(_S, "")}, {_TOLD}, ok AS (SELECT win, bool_and(said <> 'who_knows') AS whole FROM told GROUP BY win),
+pick AS (SELECT win, sensor, CASE WHEN whole THEN said ELSE label END AS label FROM lab JOIN told USING (win, sensor) JOIN ok USING (win)),
+sev2 AS (SELECT *, CASE label WHEN 'normal_relative_to_baseline' THEN 0 WHEN 'insufficient_data' THEN 1 WHEN 'possible_sensor_issue' THEN 2 WHEN 'mild_deviation' THEN 3 WHEN 'significant_local_deviation' THEN 4 ELSE 5 END AS s FROM pick),
+{_NET.replace("FROM sev GROUP", "FROM sev2 GROUP")} SELECT win, label, CASE WHEN whole THEN 'model' ELSE 'rules' END AS source FROM net JOIN ok USING (win)""",
+    "quality_conflicts": f"""WITH {_CMP}, {_TOLD} SELECT sensor, win, (flags || reference_flags <> '' AND said NOT IN ('insufficient_data', 'possible_sensor_issue')) OR (label NOT IN ('insufficient_data', 'possible_sensor_issue') AND said IN ('insufficient_data', 'possible_sensor_issue')) AS conflict FROM cmp JOIN told USING (sensor, win) JOIN lab USING (sensor, win)""",
+    "result_envelopes": f"""WITH {_CMP} SELECT win, count(*) AS attempted, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s <> 1), '') AS checked, coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (s = 1), '') AS failed FROM sev GROUP BY win""",
+    "machine_classes": f"""WITH {_F}, {_chain(_S, "").strip()}, sp AS (SELECT sensor, win, exp(avg(ln(m + 1e-12))) / avg(m + 1e-12) AS flat, arg_max(hz, m) * 10 AS hz FROM mag GROUP BY sensor, win), u AS (SELECT sensor, avg(rms) AS usual FROM feat WHERE n >= 32 GROUP BY sensor),
+q AS (SELECT f.sensor, f.win, f.rms / usual AS r, f.kurtosis AS k, f.crest AS c, abs(f.skew) AS sk, hz, flat FROM feat f JOIN u USING (sensor) JOIN sp USING (sensor, win) WHERE f.n >= 32),
+v AS (SELECT *, greatest(0, least(1, 0.35 / (1 + exp(-(r - 1.25) / 0.25)) + 0.3 / (1 + exp(-(k - 5) / 1.5)) + 0.2 / (1 + exp(-(c - 4.5))) + 0.15 / (1 + exp(-(sk - 1) / 0.7)))) AS sv FROM q)
+SELECT sensor, win, CASE WHEN sv < 0.32 AND r < 1.35 AND k < 4.5 THEN 'healthy' WHEN flat > 0.65 AND r > 1.2 AND hz >= 80 THEN 'unknown_abnormal' WHEN r > 1.35 AND k < 4.8 AND hz < 120 THEN 'imbalance_or_looseness'
+  WHEN k > 5 OR c > 4.5 OR r > 2 THEN CASE WHEN hz >= 200 THEN 'inner_race_fault' WHEN hz >= 80 THEN 'outer_race_fault' WHEN r > 1.35 THEN 'imbalance_or_looseness' ELSE 'unknown_abnormal' END ELSE 'unknown_abnormal' END AS label, round(sv, 4) AS severity FROM v""",
+    "amplitude_scales": f"""WITH s AS ({_S}), m AS (SELECT win, quantile_cont(value, 0.5) AS med, quantile_cont(abs(value), 0.95) AS high FROM s GROUP BY win), d AS (SELECT win, any_value(high) AS high, quantile_cont(abs(value - med), 0.5) AS mad FROM s JOIN m USING (win) GROUP BY win) SELECT win, round(greatest(1.4826 * mad, high / 3, 1e-6), 4) AS scale FROM d""",
+    "repeated_draw": """WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('6' || chr(0) || c_custkey::VARCHAR), c_custkey) AS turn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 9 = 0) SELECT c_custkey, c_nationkey, ((12 - turn) // n + 1)::INT AS copies FROM r WHERE turn <= 12""",
+    "bound_devices": "SELECT n_nationkey AS board, CASE n_nationkey WHEN 3 THEN NULL WHEN 5 THEN 'other' ELSE n_name END AS serial, CASE n_nationkey WHEN 3 THEN 'missing_device' WHEN 5 THEN 'wrong_device' WHEN 7 THEN 'unknown_board' ELSE 'bound' END AS status FROM nation",
+    "board_coherence": """WITH c0 AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, f, j, embedding[f * 8 + j + 1]::DOUBLE AS x FROM embeddings, range(0, 7) AS a(f), range(0, 16) AS b(j)), c1 AS (SELECT *, (x - avg(x) OVER (PARTITION BY pair, side, f)) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS v FROM c0),
+ft AS (SELECT pair, side, f, k, sum(v * cos(2 * pi() * k * j / 16)) AS re, -sum(v * sin(2 * pi() * k * j / 16)) AS im FROM c1, range(0, 9) AS q(k) GROUP BY pair, side, f, k),
+x AS (SELECT a.pair, a.k, sum(a.re * b.re + a.im * b.im) AS cr, sum(a.im * b.re - a.re * b.im) AS ci, sum(a.re ** 2 + a.im ** 2) AS pa, sum(b.re ** 2 + b.im ** 2) AS pb FROM ft a JOIN ft b ON a.pair = b.pair AND a.f = b.f AND a.k = b.k AND a.side = 0 AND b.side = 1 GROUP BY a.pair, a.k),
+h AS (SELECT pair, k * 4 AS hz, (cr ** 2 + ci ** 2) / (pa * pb) AS c FROM x) SELECT pair, band, round(avg(c), 5) AS coherence FROM h JOIN (VALUES ('4-12', 4, 12), ('12-33', 12, 33)) t(band, lo, hi) ON hz >= lo AND hz < hi GROUP BY pair, band""",
+    "dominant_peaks": f"""WITH {_PSD}, d AS (SELECT id, bin, frequency, 10 * log10(power + 1e-24) AS p, lag(power) OVER w AS b, lead(power) OVER w AS a, power FROM psd WHERE bin > 0 WINDOW w AS (PARTITION BY id ORDER BY bin)),
+pk AS (SELECT * FROM d WHERE power > b AND power >= a),
+lf AS (SELECT pk.id, pk.bin, min(d.p) AS low FROM pk JOIN d ON d.id = pk.id AND d.bin <= pk.bin AND d.bin >= coalesce((SELECT max(e.bin) FROM d e WHERE e.id = pk.id AND e.bin < pk.bin AND e.p > pk.p), 0) GROUP BY pk.id, pk.bin),
+rt AS (SELECT pk.id, pk.bin, min(d.p) AS low FROM pk JOIN d ON d.id = pk.id AND d.bin >= pk.bin AND d.bin <= coalesce((SELECT min(e.bin) FROM d e WHERE e.id = pk.id AND e.bin > pk.bin AND e.p > pk.p), 99) GROUP BY pk.id, pk.bin),
+pr AS (SELECT pk.id, pk.bin, pk.frequency, pk.p, pk.p - greatest(lf.low, rt.low) AS h FROM pk JOIN lf USING (id, bin) JOIN rt USING (id, bin)), ok AS (SELECT * FROM pr WHERE h >= 3 UNION ALL SELECT id, arg_max(bin, p), arg_max(frequency, p), max(p), 0 FROM d WHERE id NOT IN (SELECT id FROM pr WHERE h >= 3) GROUP BY id)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY h + p * 1e-3 DESC, bin))::INT AS rank, frequency, round(h, 4) AS prominence_db FROM ok QUALIFY rank <= 3""",
+}
 QUERIES |= corpus_queries.QUERIES
 ORACLE_SQL |= corpus_queries.ORACLE_SQL
