@@ -29,7 +29,7 @@ NGRAM = 3
 #: links at 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: bounds of a row block: its rows and their elements; a task multiplies two row blocks.
-BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
+BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 18
 #: rounds of pivots where links are not counted.
 PIVOTS = 1
 #: columns of a column block.
@@ -185,21 +185,22 @@ def product(sets: list[np.ndarray], left: int, cross: bool, percent: int = PERCE
     Overlaps are accumulated over blocks of the columns that more than one row has. After each, the pairs that can't reach
     the overlap which their sizes ask for are discarded, and rows without a pair are multiplied no further.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s) for s in sets], np.int32)
     cols = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, col, seen = np.unique(cols, return_inverse=True, return_counts=True)
     several = seen[col] > 1
     number = np.cumsum(seen > 1) - 1
     row, col = row[several], number[col[several]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    need = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
+    both = sizes.astype(np.int64)
+    need = (-(-percent * (both[:, None] + both[None, :]) // (100 + percent))).astype(np.int32)
     alive = np.triu(np.ones(need.shape, bool), 1)
     if cross:
         alive[:left, :left] = False
         alive[left:, left:] = False
-    rest = np.bincount(row, minlength=len(sets))
+    rest = np.bincount(row, minlength=len(sets)).astype(np.int32)
     overlap = np.zeros(need.shape, np.float32)
     alive &= np.minimum(rest[:, None], rest[None, :]) >= need
     for first in range(0, int(col[-1]) + 1 if len(col) else 0, BLOCK_COLUMNS):
@@ -213,8 +214,8 @@ def product(sets: list[np.ndarray], left: int, cross: bool, percent: int = PERCE
         part = np.zeros((len(rows), BLOCK_COLUMNS), np.float32)
         part[mine[mine >= 0], col[lo:hi][mine >= 0] - first] = 1
         overlap[np.ix_(rows, rows)] += part @ part.T
-        rest -= np.bincount(row[lo:hi], minlength=len(sets))
-        alive &= np.rint(overlap) + np.minimum(rest[:, None], rest[None, :]) >= need
+        rest -= np.bincount(row[lo:hi], minlength=len(sets)).astype(np.int32)
+        alive &= overlap >= need - np.minimum(rest[:, None], rest[None, :])
     return np.nonzero(alive)
 
 
