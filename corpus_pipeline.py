@@ -22,14 +22,20 @@ WORDS, PERCENT = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled rows of the table."""
+    """Documents that the classifier rejects go; it learns from the labelled rows of the table.
+
+    Rows are judged by their text alone: null and empty texts are clean, equal texts go or stay together, whatever their ids.
+    """
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     verdicts = score_texts(docs, model, keep=COLUMNS)
     return verdicts.filter("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows one of the smallest id stays (a null id is the largest); repeated rows are linked too."""
+    """Of each group of linked rows one of the smallest id stays (a null id is the largest); repeated rows are linked too.
+
+    Of rows that share the smallest id the first in the files stays. Rows without words are linked with nothing and stay.
+    """
     rows = keyed(docs)
     found = jaccard_join(rows, id_col="row", percent=PERCENT, words=WORDS, count_links=False)
     found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
@@ -38,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a benchmark window go, each judged by its own text."""
+    """Rows with a benchmark window go, each judged by its own text; null and empty texts stay."""
     rows = keyed(docs)
     found = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row")
     return rows.join(found.filter("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
@@ -47,7 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix on whole documents: each is dropped, kept or repeated to its source's target, and all are sorted by position.
 
-    The files follow each other by position; copies of a document lie side by side.
+    The files follow each other by position; copies of a document lie side by side. Rows without words are left out, as the mix
+    takes none of theirs; a null source is a source of its own, and rows may lack or repeat ids.
     """
     rows = keyed(docs)
     sorted_rows = rows.join(mix_documents(rows), "row").orderBy("position", "row")
@@ -55,7 +62,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of what is left, in files, in the order of the mix; a row for each document as read from them."""
+    """The ids of what is left, in files, in the order of the mix; a row for each document as read from them.
+
+    Copies of a document are encoded each; ids may be null or repeat. A null text is its end id alone.
+    """
     import public_tokenizers
 
     rows = keyed(docs)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import table, written
+from oscillar.llm.common import keyed, table, written
 
 WEIGHTS = (3, 1, 2)
 #: (share at the start, share at the end), mean one, dealt to the sources in their order.
@@ -46,7 +46,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document, sorted by position: doc_id, size, source_size, target, taken, source, position.
 
     Size is the number of words; a null or empty text has size 0 and taken 0. Documents follow each other in the order of
-    md5(id) within a source (null ids: md5 of the text), ties by id and size; repeated rows each take their own words.
+    md5(id) within a source (null ids: md5 of their place in the files), ties by id and size; repeated rows each take their
+    own words.
     taken is the difference of the rounded cumulative target before and after the document, so a source's words come within
     one of its target and no document exceeds the repeat limit. A source that is null is a source of its own. An empty
     table gives an empty result. Extra columns are ignored.
@@ -62,15 +63,17 @@ def bin_digits(n: int) -> int:
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: list[str] | None = None, **how) -> DataFrame:
-    """The rows of mix_sources, unsorted, with turn (their place in the md5 order) and the columns of key."""
+    """The rows of mix_sources, unsorted, with turn (their place in the md5 order) and the columns of key; among these row may be the number of keyed()."""
     key = key or []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("content"), *key)
+    rows = rows if "row" in key else keyed(rows)
+    own = F.concat_ws("|", F.lit("row"), "row")
     rows = rows.select(
         *key,
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("content", F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5("content"), F.lit("")).alias("turn"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), own)).alias("turn"),
     )
     rows = rows.withColumn("bin", F.substring("turn", 1, bin_digits(docs.count())))
     per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))

@@ -1,21 +1,38 @@
 """The pipeline's stages on a small table: each keeps what it should by a brute-force reading of its input."""
 
 import os
+import zlib
 
+import numpy as np
 import pytest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 
 
+def ids_of(texts):
+    """(start, number, checksum) of the ids of texts that follow each other."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, at, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for t in texts:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        out.append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
 def test_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
     from oscillar.llm import toxicity
+    from oscillar.llm.common import keyed
     from tests.llm.test_operators import brute_links, contaminated
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for name, stage in pipeline.STAGES:
+        texts = [r["text"] for r in keyed(docs).orderBy("row").collect()]
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
         out = str(tmp_path / name)
         stage(spark, docs, SF).write.parquet(out)
@@ -35,6 +52,7 @@ def test_stages(spark, tmp_path):
             assert kept == {i for i in ids if not verdict[i]}
         elif name == "token_output":
             assert kept == set(before)
+            assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in docs.collect()) == ids_of(texts)
         if name != "token_output":
             assert docs.columns == pipeline.COLUMNS
 
