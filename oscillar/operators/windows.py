@@ -101,13 +101,16 @@ def clamp01(x: Column) -> Column:
 
 
 def compare_to_reference(metrics: DataFrame, reference: str, by: tuple[str, ...] = ("win",)) -> DataFrame:
-    """Each target window's metrics with those of the reference sensor's window of the same time (an equi-join): ratios, deltas and the distance of their band powers.
+    """Each target window's metrics with those of the reference sensor's window of the same time: ratios, deltas and the distance of their band powers.
+
+    The sensors of a time meet in one partition, so the metrics are worked out once and shuffled once.
 
     Ratios are null without a reference; a band that one side lacks counts as 0.
     """
     kept = ["rms", "peak", "ptp", "ppv", "dominant_hz", "kurtosis", "crest", "bands", "flags"]
-    base = metrics.filter(F.col("sensor") == reference).select(*by, *(F.col(c).alias(f"ref_{c}") for c in kept), F.lit(True).alias("has_reference"))
-    both = metrics.filter(F.col("sensor") != reference).join(base, list(by), "left")
+    own = F.when(F.col("sensor") == reference, F.struct(*kept))
+    both = metrics.withColumn("ref_", F.first(own, ignorenulls=True).over(Window.partitionBy(*by))).filter(F.col("sensor") != reference)
+    both = both.select("*", *(F.col(f"ref_.{c}").alias(f"ref_{c}") for c in kept), F.col("ref_").isNotNull().alias("has_reference"))
     ratio = lambda c: bounded_ratio(F.col(c), F.col(f"ref_{c}")).alias(f"{c}_ratio")
     delta = lambda c: (F.col(c) - F.col(f"ref_{c}")).alias(f"{c}_delta")
     empty = F.create_map().cast("map<string,double>")
