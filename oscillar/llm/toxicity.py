@@ -38,7 +38,7 @@ COST = 300_000  # of either class
 EDGES = np.arange(-5, 11) / 10  # of the histogram
 TOPS = 6
 SENTENCE_END = r"[.!?]+\s+|\n+"
-CACHE = 300_000
+CACHE = 150_000
 _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
