@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -87,7 +89,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select("*", path.alias("path_"), F.col("_metadata.row_index").alias("at_"))
     few = files.count() <= MOST_FILES
     rows = rows.join(F.broadcast(files) if few else files, "path_")
-    return rows.select(*docs.columns, (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
+    out = rows.select(*docs.columns, (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
+    out.is_keyed = True  # operators that are given this very table use its numbers
+    return out
 
 
 def filesystem(uri: str):
@@ -185,7 +189,14 @@ def sliced(batches, column: str | int = "content", most_bytes: int = 2 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give what a task has freed back to the system: workers stay alive between stages, beside those of the next one."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def unpacked(frames: pa.Array) -> list[bytes]:
@@ -200,7 +211,8 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("content")))
+    columns = [F.col(id_col).cast("long").alias("doc_id"), text.alias("content")]
+    return docs.select(*columns, "row") if getattr(docs, "is_keyed", False) else keyed(docs.select(*columns))
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import U64, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, sliced, table, unpacked, written
+from oscillar.llm.common import U64, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, release_memory, sliced, table, unpacked, written
 from oscillar.llm.components import components
 
 NGRAM = 3
@@ -273,6 +273,7 @@ def block_links(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
                 out = []
         out += flush(key, held) if len(held) > 1 else []
         yield rows_of(out)
+        release_memory()
 
     def rows_of(out):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["a", "b", "links"])
