@@ -143,3 +143,88 @@ def test_windows_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["start"]: (r["sensors"], r["n"], r["rms"]) for r in spark.table("win_out").collect()}
     assert got[at] == (2, 11, 2.0)
+
+
+def chained_file(path, layout, times):
+    frames = np.zeros(len(times), layout.kind)
+    frames["data"] = np.random.default_rng(3).integers(-9999, 9999, frames["data"].shape)
+    frames["time"] = times
+    content = frames.tobytes()
+    if layout.packet:
+        content += bytes(-len(content) % layout.packet)
+        content = b"".join(np.uint32(k).tobytes() + content[at : at + layout.packet] for k, at in enumerate(range(0, len(content), layout.packet)))
+    path.write_bytes(content)
+    return frames
+
+
+@pytest.mark.parametrize(("packet", "number"), [(0, "<i2"), (13, "<i2"), (7, "<f4")])
+def test_ranges_give_what_one_pass_gives(spark, tmp_path, monkeypatch, packet, number):
+    """A long run of unsound frames is timed alike, whichever range it lies in; frames run on across packets."""
+    times = np.arange(1.0, 81.0)
+    times[20:60] = np.nan
+    times[70] = 500.0
+    layout = framed.Layout(2, 3, number=number, packet=packet)
+    frames = chained_file(tmp_path / "a.dat", layout, times)
+    monkeypatch.setattr(framed, "RANGE_BYTES", 5 * layout.kind.itemsize)
+    got = framed.read_framed(spark, str(tmp_path), 2, number=number, packet=packet).orderBy("seq").toPandas()
+    ts, sound, _ = framed.sample_times(times, 2, 1.0)
+    assert np.array_equal(got["ts"], ts) and np.allclose(got["y"], (frames["data"][:, :, 1] * sound[:, None]).ravel() * framed.SENSITIVITY_G)
+    some = framed.read_framed(spark, str(tmp_path), 2, number=number, packet=packet, low=30.25, high=41.0).toPandas()
+    assert sorted(some["seq"]) == np.flatnonzero((ts >= 30.25) & (ts < 41.0)).tolist()
+
+
+def test_bounds_select_ranges_before_samples_are_read(spark, tmp_path, monkeypatch):
+    layout = framed.Layout(2)
+    chained_file(tmp_path / "a.dat", layout, np.arange(1.0, 101.0))
+    monkeypatch.setattr(framed, "RANGE_BYTES", 10 * layout.kind.itemsize)
+    ranges = framed.timed_ranges(framed._ranges(spark, str(tmp_path), layout, "*.dat"), layout).orderBy("first").collect()
+    assert [(r.first, r.end, r.before, r.closes) for r in ranges] == [(k, k + 10, float(k) or None, k + 10.0) for k in range(0, 100, 10)]
+
+
+def test_stream_of_frames_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    """Each frame comes once: torn frames wait for the rest, ranges carry the time of the frame before, new files join."""
+    layout = framed.Layout(2, counter=True)
+    source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    source.mkdir()
+    times = np.arange(1.0, 41.0)
+    times[5:9] = np.nan
+    whole = chained_file(tmp_path / "whole", layout, times).tobytes()
+    monkeypatch.setattr(framed, "RANGE_BYTES", 3 * layout.kind.itemsize)
+
+    def run():
+        stream = framed.stream_framed(spark, str(source), 2, counter=True)
+        stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+
+    size = layout.kind.itemsize
+    (source / "a.dat").write_bytes(whole[: 7 * size + 5])
+    run()
+    assert spark.read.parquet(out).count() == 14
+    (source / "a.dat").write_bytes(whole[: 21 * size + 1])
+    (source / "b.dat").write_bytes(whole[:size])
+    (source / ".hidden.dat").write_bytes(whole)
+    run()
+    run()
+    (source / "a.dat").write_bytes(whole)
+    run()
+    rows = lambda df: sorted(tuple(r) for r in df.select("file", "seq", "ts", "x", "y", "z").collect())
+    (source / ".hidden.dat").unlink()
+    assert rows(spark.read.parquet(out)) == rows(framed.read_framed(spark, str(source), 2, counter=True)) and spark.read.parquet(out).count() == 82
+
+
+def test_converted_files_are_made_once(spark, tmp_path):
+    chained_file(tmp_path / "a.dat", framed.Layout(2), np.arange(1.0, 6.0))
+    out = f"file://{tmp_path}/parquet"
+    assert framed.converted(spark, str(tmp_path), out, samples=2).count() == 10
+    (tmp_path / "a.dat").write_bytes(b"")
+    assert framed.converted(spark, str(tmp_path), out, samples=2).count() == 10
+
+
+def test_write_framed_round_trip(spark, tmp_path):
+    layout = framed.Layout(2, 3, counter=True, packet=11)
+    rows = [(f"f{k % 3}.dat", k // 3, float(k // 3 + 1), list(range(k, k + 6))) for k in range(30)]
+    made = framed.write_framed(spark.createDataFrame(rows, "file string, frame long, time double, data array<int>"), f"file://{tmp_path}/d", layout).collect()
+    assert sorted(map(tuple, made)) == [(f"f{k}.dat", 10) for k in range(3)]
+    got = framed.read_framed(spark, f"{tmp_path}/d", 2, counter=True, packet=11, sensitivity=1.0).collect()
+    assert sorted((r.file, r.seq, r.x) for r in got) == sorted((f, 2 * n + j, float(d[3 * j])) for f, n, _, d in rows for j in range(2))
+    with pytest.raises(ValueError, match="packets"):
+        framed.write_framed(spark.createDataFrame(rows, "file string, frame long, time double, data array<int>"), str(tmp_path), framed.Layout(2, packet=64))
