@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
 from typing import NamedTuple
 
 import numpy as np
@@ -125,34 +124,6 @@ def half_power_damping(f: np.ndarray, p: np.ndarray, at: int) -> float | None:
     return float((right - left) / (2 * f[at]))
 
 
-def resampled(x: np.ndarray, fs: float, to: float, reach: int = 10) -> np.ndarray:
-    """A signal at another rate by a windowed-sinc polyphase filter; NaN where less than 99.9 % of the filter met finite samples."""
-    x = np.asarray(x, np.float64)
-    if abs(fs - to) <= 1e-9 * fs or not len(x):
-        return x.copy()
-    ratio = Fraction(to / fs).limit_denominator(100_000)
-    up, down = ratio.numerator, ratio.denominator
-    slow = max(1.0, down / up)  # filter widths grow where the rate falls
-    n = -(-len(x) * up // down)
-    valid = np.isfinite(x)
-    clean = np.where(valid, x, 0.0)
-    half = int(np.ceil(reach * slow))
-    out = np.empty(n)
-    for first in range(0, n, 65_536):  # bounds the memory of the gathered neighbourhoods
-        at = np.arange(first, min(n, first + 65_536)) * (down / up)
-        near = np.floor(at).astype(np.int64)[:, None] + np.arange(-half, half + 1)
-        d = (near - at[:, None]) / slow
-        h = np.where(np.abs(d) < reach, np.sinc(d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / reach, -1, 1))), 0.0)
-        inside = (near >= 0) & (near < len(x))
-        near = np.clip(near, 0, len(x) - 1)
-        h = h * inside
-        weight = h.sum(1)
-        met = (h * valid[near]).sum(1)
-        y = (h * clean[near]).sum(1) / np.where(np.abs(weight) > TINY, weight, 1)
-        out[first : first + len(at)] = np.where(met >= 0.999 * weight, y, np.nan)
-    return out
-
-
 def bootstrap_interval(values: np.ndarray, seed: int = 0, rounds: int = 1000, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of the mean under resampling with replacement; (NaN, NaN) without values."""
     values = np.asarray(values, np.float64)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.functions import transients
+from oscillar.functions import resampling, transients
 
 RINGDOWN = "id long, status string, event_index int, frequency double, prominence_db double, durations int, reliable boolean"
 MODES = "grp long, rank int, frequency double, power double, damping double, shape array<double>"
@@ -62,12 +62,25 @@ def output_only_modes(channels: DataFrame, group_col: str, channel_col: str, arr
     return rows.groupBy("grp").applyInPandas(one, MODES)
 
 
-def resampled_windows(windows: DataFrame, id_col: str, array_col: str, fs: float, to: float) -> DataFrame:
-    """id, x: every window at the other rate; samples without enough support are null. Null windows stay null, empty ones empty."""
+def resampled_windows(windows: DataFrame, id_col: str, array_col: str, fs: float, to: float, target: int | None = None) -> DataFrame:
+    """id, x: every window at the other rate (see resampling.resampled); samples without enough support are null.
 
-    @F.arrow_udf("array<double>")
-    def change(arrays: pa.Array) -> pa.Array:
-        out = [None if x is None else transients.resampled(np.array([np.nan if v is None else v for v in x], np.float64), fs, to) for x in arrays.to_pylist()]
-        return pa.array([None if x is None else pa.array(x, from_pandas=True).to_pylist() for x in out], pa.list_(pa.float64()))
+    Null windows stay null, empty ones empty; null and nan samples are missing.
+    """
 
-    return windows.select(F.col(id_col).cast("long").alias("id"), change(F.col(array_col).cast("array<double>")).alias("x"))
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            offsets, known = np.asarray(lists.offsets), np.asarray(lists.is_valid())
+            flat, sizes = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(np.asarray(lists.offsets))
+            parts: list[np.ndarray] = [np.zeros(0)] * b.num_rows
+            for n in np.unique(sizes[known]):
+                rows = np.flatnonzero(known & (sizes == n))
+                if n:
+                    for k, x in zip(rows, resampling.resampled(flat[offsets[rows][:, None] + np.arange(n)], fs, to, target), strict=True):
+                        parts[k] = x
+            ends = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+            values = pa.array(np.concatenate([*parts, np.zeros(0)]), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~known))], names=["id", "x"])
+
+    return windows.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x")).mapInArrow(run, "id long, x array<double>")

@@ -201,10 +201,6 @@ def output_only_modes(spark, d):
     return _rounded(transients.output_only_modes(e, "recording", "channel", "embedding", 64.0, 32))
 
 
-def resampled_windows(spark, d):
-    return transients.resampled_windows(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, 25.0)
-
-
 def unit_conversion(spark, d):
     p = _t(spark, d, "part").select("p_partkey", "p_retailprice", F.element_at(F.array(*map(F.lit, ("g", "MG", "m/s²", "mm/s^2", "furlong"))), (F.col("p_partkey") % 5 + 1).cast("int")).alias("unit"))
     return _rounded(p.select("p_partkey", signal.canonical_unit(F.col("unit")).alias("unit"), signal.to_g(F.col("p_retailprice"), F.col("unit")).alias("g")))
@@ -392,7 +388,7 @@ QUERIES = {
         anomaly_decisions, rederived_labels, quality_conflicts, result_envelopes, machine_classes, amplitude_scales, repeated_draw, bound_devices, board_coherence, dominant_peaks,
         spectral_summary, stft_summary, viewer_spectrogram, sensor_metrics, axis_labels, aligned_comparison, history_context, spectrum_plot, spectral_shape, nearest_bins, tag_pairs,
         monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
-        distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, resampled_windows, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
+        distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
         classification_metrics, calibration_error, auroc, routing_matrix, gate_checks, quota_draw, nearest_event, tagged_samples, alert_policy,
     )
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oscillar.functions.wideband import Grid
-from oscillar.operators import wideband
+from oscillar.operators import clocks, transients, wideband
 
 
 def _t(spark, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,70 @@ def smoothed_grid(spark, d):
     return _rounded(boxed.join(moving, ["id", "at"]))
 
 
-QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid)}
+#: six hours from sample to sample, ten days to a window.
+CLOCK_RATE, CLOCK_SECONDS = 1 / 21_600, 864_000.0
+
+
+def clock_windows(spark, d):
+    """Events as samples of five sensors each of ten groups: the last ten days that all of a group's sensors have, on one grid."""
+    e = _t(spark, d, "events").select((F.col("user_id") % 10).alias("group"), F.col("event_type").alias("sensor"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value")
+    w = clocks.latest_windows(e, CLOCK_RATE, CLOCK_SECONDS, 5, most_missing=0.4, most_skew_ms=2e8)
+    rows = w.select(F.col("group").alias("grp"), "sensor", "skew_ms", "valid", F.array_join("notes", ",").alias("notes"), F.posexplode("x").alias("k", "value"))
+    return _rounded(rows, 3)
+
+
+def capture_alignment(spark, d):
+    """Six vectors in a row are a capture; ends differ by some samples, some are unknown or of an unsound clock."""
+    e = _t(spark, d, "embeddings").select(
+        F.expr("vec_id DIV 6").alias("capture"), (F.col("vec_id") % 6).alias("slot"), F.lit(64.0).alias("rate"), F.col("embedding").cast("array<double>").alias("x"), (F.expr("2000D + vec_id DIV 6")).alias("completed"),
+        F.expr("IF(vec_id % 53 = 7, CAST(NULL AS DOUBLE), 1000D + vec_id DIV 6 + (vec_id * 37 % 18) / 64D + 0.003D)").alias("ends"), (F.col("vec_id") % 31 != 4).alias("monotonic"),
+        F.element_at(F.array(*map(F.lit, clocks.ALIGNED_MODES)), (F.col("vec_id") % 2 + 1).cast("int")).alias("mode"),
+    )
+    c = clocks.finalized_captures(e, 0.75)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return _rounded(c.select("capture", "slot", F.element_at("x", 1).alias("head"), F.element_at("x", -1).alias("tail"), total.alias("total"), F.size("x").alias("n"), "short", "start", "finish", "trim_s", "skew_ms", "alignment", "sound"))
+
+
+def board_clock(spark, d):
+    """Three vectors in a row are the axes of a board whose clock runs at 64 samples while that of the reference runs at 50."""
+    e = _t(spark, d, "embeddings").select(F.expr("vec_id DIV 3").alias("board"), (F.col("vec_id") % 3).alias("axis"), F.col("embedding").cast("array<double>").alias("v"))
+    axis = lambda k: F.max(F.when(F.col("axis") == k, F.col("v")))
+    b = e.groupBy("board").agg(axis(0).alias("x"), axis(1).alias("y"), axis(2).alias("z")).withColumns({"rate": F.lit(64.0), "reference_rate": F.lit(50.0)})
+    b = b.withColumn("x", F.expr("transform(x, (v, k) -> IF(board % 2 = 0 AND k = board % 60, CAST(NULL AS DOUBLE), v))"))
+    c = clocks.reference_clock(b.filter("z IS NOT NULL"), ["board"], ["x", "y", "z"], 1.0)
+    return _rounded(c.select("board", F.posexplode(F.arrays_zip("x", "y", "z")).alias("k", "s")).select("board", "k", "s.x", "s.y", "s.z"))
+
+
+def resampled_windows(spark, d):
+    """Vectors at 25 instead of 64 samples a second, in which every fifth lacks samples."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, (v, k) -> IF(vec_id % 5 = 0 AND (k + vec_id) % 40 = 7, CAST(NULL AS DOUBLE), CAST(v AS DOUBLE)))").alias("x"))
+    return _rounded(transients.resampled_windows(e, "vec_id", "x", 64.0, 25.0, 28).select("id", F.posexplode("x").alias("k", "value")))
+
+
+QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows)}
+
+
+def _polyphase(name: str, source: str, up: int, down: int, n: int, ends: str) -> str:
+    """CTEs with name(id, m, y): the rows of source(id, i, x), i from 0 to n - 1, at up / down of the rate."""
+    slow = max(up, down)
+    half = 10 * slow
+    pad = half // up + 1
+    beyond = "CASE WHEN i < 0 THEN x0 + (x1 - x0) / {w} * i ELSE x1 + (x1 - x0) / {w} * (i - {w}) END".format(w=n - 1) if ends == "line" else "0"
+    return f"""
+{name}_h0 AS (SELECT j, CASE WHEN j = 0 THEN 1 ELSE sin(pi() * j / {slow}) / (pi() * j / {slow}) END * sum(pow(pow(2.5 * sqrt(1 - (j / {half}::DOUBLE) ** 2), k) / factorial(k::INT), 2)) AS h FROM range(-{half}, {half} + 1) AS a(j), range(0, 30) AS b(k) GROUP BY j),
+{name}_h AS (SELECT j, h / (SELECT sum(h) FROM {name}_h0) * {up} AS h FROM {name}_h0),
+{name}_e AS (SELECT id, max(x) FILTER (i = 0) AS x0, max(x) FILTER (i = {n - 1}) AS x1 FROM {source} GROUP BY id),
+{name}_w AS (SELECT id, i, x FROM {source} UNION ALL SELECT id, i, {beyond} FROM {name}_e, range(-{pad}, {n + pad}) AS a(i) WHERE i < 0 OR i >= {n}),
+{name} AS (SELECT id, m, sum(x * h) AS y FROM {name}_w, range(0, {-(-n * up // down)}) AS b(m) JOIN {name}_h ON j = m * {down} - i * {up} GROUP BY id, m)"""
+
+
+def _bridged(source: str, name: str) -> str:
+    """CTEs with name(id, i, x): source(id, i, v) with lines over null samples."""
+    return f"""
+{name}_n AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi, first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni
+  FROM {source} WINDOW b AS (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name} AS (SELECT id, i, coalesce(v, CASE WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END) AS x FROM {name}_n)"""
+
 
 _GRID = """
 s0 AS (SELECT vec_id, vec_id // 18 AS recording, (vec_id % 18) // 3 AS board, vec_id % 3 AS axis, i, CASE WHEN (7 * i + 5 * ((vec_id % 18) // 3) + vec_id // 18) % 61 <> 0 THEN embedding[i + 1]::DOUBLE END AS v FROM embeddings, unnest(range(0, 64)) AS r(i)),
@@ -86,4 +149,29 @@ boxed AS (SELECT o.id, o.i, avg(n.v) AS boxed FROM c o, range(-1, 2) AS a(dr), r
           WHERE n.id = o.id AND n.i = 8 * least(greatest(o.i // 8 + dr, 0), 7) + least(greatest(o.i % 8 + dc, 0), 7) GROUP BY ALL),
 moving AS (SELECT id, i, sum(v) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS moving FROM c)
 SELECT id, i::INT AS at, round(boxed, 6) + 0 AS boxed, round(moving, 6) + 0 AS moving FROM boxed JOIN moving USING (id, i)""",
+    "clock_windows": f"""WITH e AS (SELECT user_id % 10 AS grp, event_type AS sensor, epoch_us(ts) / 1e6 AS t, value FROM events),
+spans AS (SELECT grp, sensor, min(t) AS earliest, max(t) AS latest FROM e GROUP BY ALL),
+ends AS (SELECT grp, min(latest) AS finish FROM spans GROUP BY grp HAVING count(*) >= 5 AND min(latest) - max(earliest) >= {CLOCK_SECONDS}),
+placed AS (SELECT grp, sensor, round_even((t - (finish - {CLOCK_SECONDS})) * {CLOCK_RATE!r}::DOUBLE, 0)::BIGINT AS k, t, value FROM e JOIN ends USING (grp) WHERE t >= finish - {CLOCK_SECONDS} AND t < finish),
+one AS (SELECT grp, sensor, k, value FROM placed WHERE k < 40 QUALIFY row_number() OVER (PARTITION BY grp, sensor, k ORDER BY t DESC, value DESC) = 1),
+cells AS (SELECT s.grp, s.sensor, (latest - finish) * 1000 AS skew_ms, r.k, value, avg((value IS NOT NULL)::INT) OVER (PARTITION BY s.grp, s.sensor) AS valid
+          FROM spans s JOIN ends USING (grp) CROSS JOIN range(0, 40) AS r(k) LEFT JOIN one o ON o.grp = s.grp AND o.sensor = s.sensor AND o.k = r.k)
+SELECT grp, sensor, round(skew_ms, 3) + 0 AS skew_ms, round(valid, 3) + 0 AS valid, concat_ws(',', CASE WHEN 1 - valid > 0.4 THEN 'excessive_missing_samples' END, CASE WHEN abs(skew_ms) > 2e8 THEN 'excessive_clock_skew' END) AS notes, k::INT AS k, round(value, 3) + 0 AS value FROM cells""",
+    "capture_alignment": """WITH e AS (SELECT vec_id, vec_id // 6 AS capture, vec_id % 6 AS slot, list_transform(embedding, lambda v: v::DOUBLE) AS x, CASE WHEN vec_id % 53 <> 7 THEN 1000 + vec_id // 6 + (vec_id * 37 % 18) / 64::DOUBLE + 0.003::DOUBLE END AS ends, vec_id % 31 <> 4 AS monotonic FROM embeddings),
+k AS (SELECT *, bool_and(ends IS NOT NULL AND monotonic) OVER c AS known, min(ends) OVER c AS common FROM e WINDOW c AS (PARTITION BY capture)),
+s AS (SELECT *, CASE WHEN known THEN greatest(0, ends - common) ELSE 0 END AS shift FROM k),
+a AS (SELECT *, known AND bool_and(len(x) - round_even(shift * 64, 0) >= 48) OVER (PARTITION BY capture) AS aligned FROM s),
+c AS (SELECT *, CASE WHEN aligned THEN round_even(shift * 64, 0)::INT ELSE 0 END AS cut FROM a), w AS (SELECT *, x[64 - cut - 48 + 1:64 - cut] AS y, CASE WHEN aligned THEN common ELSE 2000 + capture END AS finish FROM c)
+SELECT capture, slot::INT AS slot, round(y[1], 6) + 0 AS head, round(y[48], 6) + 0 AS tail, round(list_sum(y), 6) + 0 AS total, len(y)::INT AS n, false AS short, round(finish - 0.75, 6) AS start, round(finish, 6) AS finish, round(CASE WHEN aligned THEN shift END, 6) + 0 AS trim_s,
+  round(CASE WHEN aligned THEN (shift - cut / 64::DOUBLE) * 1000 END, 6) + 0 AS skew_ms, CASE WHEN aligned THEN 'common_end' ELSE 'own_tail' END AS alignment, aligned AND monotonic AS sound FROM w""",
+    "board_clock": f"""WITH s0 AS (SELECT vec_id // 3 AS board, vec_id % 3 AS axis, vec_id AS id, i, CASE WHEN vec_id % 3 = 0 AND vec_id // 3 % 2 = 0 AND i = vec_id // 3 % 60 THEN NULL ELSE embedding[i + 1]::DOUBLE END AS v FROM embeddings, unnest(range(0, 64)) AS r(i)),
+src AS (SELECT id, 63 - i AS i, coalesce(v, 0) AS x FROM s0), {_polyphase("y", "src", 25, 32, 64, "line")},
+bad AS (SELECT board, 63 - i AS i FROM s0 WHERE v IS NULL), lost AS (SELECT DISTINCT board, m FROM bad, range(0, 50) AS r(m) WHERE abs(i - least(63, round_even(m * 32 / 25::DOUBLE, 0))) <= 13),
+o AS (SELECT id // 3 AS board, id % 3 AS axis, 49 - y.m AS k, CASE WHEN l.m IS NULL THEN round(y, 6) + 0 END AS y FROM y LEFT JOIN lost l ON l.board = id // 3 AND l.m = y.m)
+SELECT board, k::INT AS k, max(y) FILTER (axis = 0) AS x, max(y) FILTER (axis = 1) AS y, max(y) FILTER (axis = 2) AS z FROM o GROUP BY board, k HAVING count(*) = 3""",
+    "resampled_windows": f"""WITH s0 AS (SELECT vec_id AS id, i, CASE WHEN vec_id % 5 = 0 AND (i + vec_id) % 40 = 7 THEN NULL ELSE embedding[i + 1]::DOUBLE END AS v FROM embeddings, unnest(range(0, 64)) AS r(i)),
+{_bridged("s0", "src")}, {_polyphase("y", "src", 25, 64, 64, "line")}, mask AS (SELECT id, i, (v IS NOT NULL)::INT::DOUBLE AS x FROM s0), {_polyphase("met", "mask", 25, 64, 64, "zero")},
+whole AS (SELECT id, bool_and(v IS NOT NULL) AS whole FROM s0 GROUP BY id),
+got AS (SELECT id, y.m, CASE WHEN whole OR met.y >= 0.999 THEN y.y END AS v FROM y JOIN met USING (id, m) JOIN whole USING (id))
+SELECT id, k::INT AS k, round(v, 6) + 0 AS value FROM whole, range(0, 28) AS r(k) LEFT JOIN got ON got.id = whole.id AND got.m = k""".replace("SELECT id, k::INT", "SELECT whole.id AS id, k::INT"),
 }

@@ -36,18 +36,6 @@ def test_non_finite_signals_raise():
         transients.ringdown(np.array([0, 1, np.nan, -1]), 100)
 
 
-def test_resampling_keeps_a_tone_and_marks_gaps():
-    t = np.arange(2000) / 1000
-    got = transients.resampled(np.sin(2 * np.pi * 20 * t), 1000, 400)
-    want = np.sin(2 * np.pi * 20 * np.arange(800) / 400)
-    assert len(got) == 800 and np.abs(got - want)[40:-40].max() < 0.01
-    holes = np.ones(2000)
-    holes[1000] = np.nan
-    got = transients.resampled(holes, 1000, 400)
-    assert np.isnan(got[400]) and np.isfinite(got[:350]).all() and np.isfinite(got[450:]).all()
-    assert np.array_equal(transients.resampled(t, 1000, 1000), t)
-
-
 def test_damping_of_a_resonance():
     f = np.arange(0, 40, 0.01)
     ratio = f / 20
