@@ -152,16 +152,37 @@ def logistic(x: Column, middle: float, slope: float) -> Column:
     return 1 / (1 + F.exp(-(x - middle) * slope))
 
 
+#: How named features are scaled. Pattern of the name, curve, unit, least and largest value; of several that match, the first holds.
+SCALES = (
+    ("frequency_hz|width_hz", "share", "top_hz", 0.0, 2.0),
+    ("prominence_db", "share", 60.0, 0.0, 2.0),
+    ("^band_energy_g2::", "size_in_decades", 1e-14, 0.0, 16.0),
+    ("^coherence::", "share", 1.0, 0.0, 1.0),
+    ("^crest_factor::", "logarithm", 3.0, 0.0, 4.0),
+    ("^cross_axis_covariance_g2::", "decades", 1e-14, -16.0, 16.0),
+    ("^cross_power_g2::", "size_in_decades", 1e-14, 0.0, 16.0),
+    ("^kurtosis::", "logarithm", 4.0, -4.0, 4.0),
+    ("^modal_damping_ratio::", "share", 0.2, 0.0, 5.0),
+    ("^normal_change_z::", "share", 6.0, -2.0, 2.0),
+    ("^peak_abs_g::", "size_in_decades", 1e-7, 0.0, 12.0),
+    ("^rms_g::", "size_in_decades", 1e-7, 0.0, 12.0),
+    ("^spectral_entropy::", "share", 1.0, 0.0, 1.0),
+    ("^transmissibility_db::", "share", 40.0, -3.0, 3.0),
+    ("", "share", 1.0, -20.0, 20.0),
+)
+
+
 def scaled_feature(name: Column, value: Column, top_hz: float = 500.0) -> Column:
-    """A named feature on its usual scale: amplitudes and energies by logarithms, frequencies by the highest, shares within 0 and 1."""
-    clip = lambda v, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), v))
-    lg = lambda floor: F.log10(1 + F.abs(value) / floor)
-    starts = lambda *p: F.rlike(name, F.lit("^(" + "|".join(p) + ")::"))
-    v = (
-        F.when(starts("rms_g", "peak_abs_g"), clip(lg(1e-7), 0, 12)).when(starts("band_energy_g2", "cross_power_g2"), clip(lg(1e-14), 0, 16))
-        .when(starts("cross_axis_covariance_g2"), clip(F.signum(value) * lg(1e-14), -16, 16)).when(F.rlike(name, F.lit("frequency_hz|width_hz")), clip(value / max(top_hz, 1.0), 0, 2))
-        .when(starts("crest_factor"), clip(F.log1p(F.greatest(value, F.lit(0.0))) / 3, 0, 4)).when(starts("kurtosis"), clip(F.signum(value) * F.log1p(F.abs(value)) / 4, -4, 4))
-        .when(starts("spectral_entropy", "coherence"), clip(value, 0, 1)).when(F.contains(name, F.lit("prominence_db")), clip(value / 60, 0, 2)).when(starts("modal_damping_ratio"), clip(value / 0.2, 0, 5))
-        .when(starts("transmissibility_db"), clip(value / 40, -3, 3)).when(starts("normal_change_z"), clip(value / 6, -2, 2)).otherwise(clip(value, -20, 20))
-    )
-    return F.when(F.isnan(value) | value.isNull() | (F.abs(value) == float("inf")), 0.0).otherwise(v)
+    """A named feature on the scale that SCALES has for it; 0 for what is no finite number."""
+
+    def scaled(curve: str, unit: float) -> Column:
+        size = F.abs(value)
+        curves = {"share": value / unit, "logarithm": F.signum(value) * F.log1p(size) / unit, "size_in_decades": F.log10(1 + size / unit), "decades": F.signum(value) * F.log10(1 + size / unit)}
+        return curves[curve]
+
+    def bounded(pattern: str, curve: str, unit: float | str, low: float, high: float) -> Column:
+        within = F.greatest(F.lit(low), F.least(F.lit(high), scaled(curve, max(top_hz, 1.0) if unit == "top_hz" else unit)))
+        return F.when(F.rlike(name, F.lit(pattern)), within)
+
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(finite, F.coalesce(*(bounded(*row) for row in SCALES))).otherwise(0.0)

@@ -24,10 +24,12 @@ def anomaly_decisions(reports: DataFrame, network: DataFrame) -> DataFrame:
     per = reports.groupBy("win").agg(_names(strong).alias("significant"), _names(mild).alias("mild"), F.count_if(strong).alias("n_strong"), F.count_if(F.col("label").isin(*ANOMALOUS_SENSOR)).alias("n_odd"), F.bool_or(F.col("label") == "possible_sensor_issue").alias("issue"))
     n = network.select("win", F.col("label"), "affected_sensors").join(per, "win", "left")
     label, strong_n = F.col("label"), F.coalesce("n_strong", F.lit(0))
-    severity = (
-        F.when((label == "multi_sensor_structure_wide_vibration_event") | (strong_n >= 2), "critical").when((label == "localized_vibration_deviation") | (strong_n > 0), "warning")
-        .when((label == "sensor_network_quality_issue") | F.coalesce("issue", F.lit(False)), "quality").when(label.isin(*MILD_NETWORK) | (F.coalesce("mild", F.lit("")) != ""), "notice").otherwise("normal")
-    )
+    reached = {
+        "notice": label.isin(*MILD_NETWORK) | (F.coalesce("mild", F.lit("")) != ""), "quality": (label == "sensor_network_quality_issue") | F.coalesce("issue", F.lit(False)),
+        "warning": (label == "localized_vibration_deviation") | (strong_n >= 1), "critical": (label == "multi_sensor_structure_wide_vibration_event") | (strong_n >= 2),
+    }
+    height = F.greatest(*(F.when(c, k).otherwise(0) for k, c in enumerate(reached.values(), 1)))
+    severity = F.element_at(F.array(*map(F.lit, ["normal", *reached])), height + 1)
     key = F.concat_ws("|", label, "affected_sensors", F.coalesce("significant", F.lit("")), F.coalesce("mild", F.lit("")))
     return n.select("win", "label", (label.isin(*ANOMALOUS_NETWORK) | (F.coalesce("n_odd", F.lit(0)) > 0)).alias("anomaly"), severity.alias("severity"), key.alias("dedupe_key"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oscillar.functions.wideband import Grid
-from oscillar.operators import clocks, transients, wideband
+from oscillar.operators import clocks, modal, transients, wideband
 
 
 def _t(spark, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,39 @@ def resampled_windows(spark, d):
     return _rounded(transients.resampled_windows(e, "vec_id", "x", 64.0, 25.0, 28).select("id", F.posexplode("x").alias("k", "value")))
 
 
-QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows)}
+MODAL_RATE, MODAL_BANDS = 32.0, ((0.5, 2.0), (2.0, 5.0), (5.0, 10.0), (10.0, 16.0), (10.0, 10.4))
+
+
+def _densities(spark, d):
+    """Two vectors in a row are the samples of an axis, six of a board, 36 of a recording; some samples are missing."""
+    e = _t(spark, d, "embeddings").select(F.expr("vec_id DIV 36").alias("recording"), F.expr("(vec_id DIV 6) % 6").alias("board"), F.expr("(vec_id % 6) DIV 2").alias("axis"), "vec_id", "embedding")
+    x = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]))
+    rows = e.groupBy("recording", "board", "axis").agg(x.cast("array<double>").alias("x"))
+    rows = rows.withColumn("x", F.expr("transform(x, (v, k) -> IF((k + recording) % 50 = 9, CAST(NULL AS DOUBLE), v))"))
+    boards = rows.select("recording", "board").distinct().withColumn("usable_hz", F.when(F.col("board") == 4, 10.0)).withColumn("calibrated", F.col("board") != 3)
+    return modal.axis_densities(rows, MODAL_RATE), boards
+
+
+def modal_peaks(spark, d):
+    """Frequency, damping and prominence of the modes of every board."""
+    return _rounded(modal.modal_peaks(*_densities(spark, d), MODAL_RATE, low=1.0, high=14.0), 5)
+
+
+def physics_features(spark, d):
+    """Figures of every axis, band energies and relations to the reference board."""
+    return _rounded(modal.physics_features(*_densities(spark, d), MODAL_RATE, MODAL_BANDS), 4)
+
+
+def complex_assurance(spark, d):
+    """Vectors as complex shapes of 32 channels; even ones are measured, odd ones modelled, pairs lie within 0.75 Hz."""
+    e = _t(spark, d, "embeddings").select(
+        F.expr("vec_id DIV 100").alias("grp"), F.col("vec_id").alias("id"), F.expr("(vec_id * 17 % 101) * 0.25D").alias("frequency"),
+        F.expr("transform(filter(embedding, (v, k) -> k % 2 = 0), v -> CAST(v AS DOUBLE))").alias("re"), F.expr("transform(filter(embedding, (v, k) -> k % 2 = 1), v -> CAST(v AS DOUBLE))").alias("im"),
+    )
+    return _rounded(modal.complex_assurance(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), 0.75))
+
+
+QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows, modal_peaks, physics_features, complex_assurance)}
 
 
 def _polyphase(name: str, source: str, up: int, down: int, n: int, ends: str) -> str:
@@ -131,6 +163,16 @@ byf AS (SELECT lo.vec_id, f, lo.t, CASE WHEN f = 0 OR f > 6 THEN 0 ELSE lo.re *
 cell AS (SELECT lo.vec_id, lo.f, m, lo.re * (1 - part) + hi.re * part AS re, lo.im * (1 - part) + hi.im * part AS im
          FROM (SELECT m, least(floor(p), 3)::INT AS t, p - least(floor(p), 3) AS part FROM (SELECT m, (least(greatest(m / 3::DOUBLE, 0.25), 0.75) - 0.25) / 0.125 AS p FROM range(0, 4) AS h(m)))
          JOIN byf lo USING (t) JOIN byf hi ON hi.vec_id = lo.vec_id AND hi.f = lo.f AND hi.t = lo.t + 1)"""
+_DENSITY = f"""
+s0 AS (SELECT vec_id // 2 AS id, (vec_id % 2) * 64 + i AS i, CASE WHEN ((vec_id % 2) * 64 + i + vec_id // 36) % 50 <> 9 THEN embedding[i + 1]::DOUBLE END AS v FROM embeddings, unnest(range(0, 64)) AS r(i)),
+ax AS (SELECT id, id // 18 AS recording, (id // 3) % 6 AS board, id % 3 AS axis, count(v) AS n, sqrt(avg(v * v)) AS rms, max(abs(v)) AS peak, avg(v) AS mean, max(i) + 1 AS len FROM s0 GROUP BY id),
+mom AS (SELECT id, avg((v - mean) ** 2) AS m2, avg((v - mean) ** 4) AS m4 FROM s0 JOIN ax USING (id) GROUP BY id),
+{_bridged("s0", "src")},
+seg AS (SELECT id, s, i - 32 * s AS j, x FROM src JOIN ax USING (id), range(0, 3) AS q(s) WHERE i >= 32 * s AND i < 32 * s + 64 AND 32 * s + 64 <= len),
+lin AS (SELECT id, s, avg(x) AS m, sum((j - 31.5) * x) / sum((j - 31.5) ** 2) AS b FROM seg GROUP BY id, s),
+res AS (SELECT id, s, j, (x - m - b * (j - 31.5)) * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS v FROM seg JOIN lin USING (id, s)),
+den0 AS (SELECT id, s, k, (sum(v * cos(2 * pi() * k * j / 64)) ** 2 + sum(v * sin(2 * pi() * k * j / 64)) ** 2) / (32 * 24) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM res, range(0, 33) AS q(k) GROUP BY id, s, k),
+den AS (SELECT id, recording, board, axis, k, k * 0.5::DOUBLE AS hz, avg(p) AS p FROM den0 JOIN ax USING (id) GROUP BY ALL)"""
 ORACLE_SQL = {
     "complex_grid": f"WITH {_GRID} SELECT recording, board, axis, f::INT AS bin, m::INT AS moment, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im FROM cell JOIN valid USING (vec_id)",
     "wideband_features": f"""WITH {_GRID},
@@ -174,4 +216,30 @@ SELECT board, k::INT AS k, max(y) FILTER (axis = 0) AS x, max(y) FILTER (axis =
 whole AS (SELECT id, bool_and(v IS NOT NULL) AS whole FROM s0 GROUP BY id),
 got AS (SELECT id, y.m, CASE WHEN whole OR met.y >= 0.999 THEN y.y END AS v FROM y JOIN met USING (id, m) JOIN whole USING (id))
 SELECT id, k::INT AS k, round(v, 6) + 0 AS value FROM whole, range(0, 28) AS r(k) LEFT JOIN got ON got.id = whole.id AND got.m = k""".replace("SELECT id, k::INT", "SELECT whole.id AS id, k::INT"),
+    "modal_peaks": f"""WITH {_DENSITY},
+c AS (SELECT recording, board, k, hz, avg(p) AS p FROM den WHERE hz >= 1 AND hz <= CASE WHEN board = 4 THEN 10 ELSE 14 END GROUP BY ALL HAVING avg(p) > 0),
+q AS (SELECT *, 10 * log10(p + 1e-24) AS db, lag(p) OVER w AS before, lead(p) OVER w AS after FROM c WINDOW w AS (PARTITION BY recording, board ORDER BY k)),
+pk AS (SELECT * FROM q WHERE p > before AND p >= after),
+hi AS (SELECT a.recording, a.board, a.k, max(b.k) FILTER (b.k < a.k) AS l, min(b.k) FILTER (b.k > a.k) AS r FROM pk a LEFT JOIN q b ON b.recording = a.recording AND b.board = a.board AND b.p > a.p GROUP BY ALL),
+pr AS (SELECT a.recording, a.board, a.k, any_value(a.db) - greatest(min(b.db) FILTER (b.k <= a.k AND b.k >= coalesce(l, 0)), min(b.db) FILTER (b.k >= a.k AND b.k <= coalesce(r, 99))) AS prominence
+       FROM pk a JOIN hi USING (recording, board, k) JOIN q b ON b.recording = a.recording AND b.board = a.board GROUP BY ALL),
+ok AS (SELECT recording, board, k, prominence FROM pr WHERE prominence >= 3),
+every AS (SELECT * FROM ok UNION ALL SELECT recording, board, arg_max(k, db), 0 FROM q WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.recording = q.recording AND ok.board = q.board) GROUP BY recording, board),
+top AS (SELECT e.recording, e.board, e.k, prominence, q.p, q.hz, row_number() OVER (PARTITION BY e.recording, e.board ORDER BY prominence + q.db * 1e-3 DESC) AS rank FROM every e JOIN q USING (recording, board, k) QUALIFY rank <= 3),
+walk AS (SELECT t.recording, t.board, t.k, coalesce(max(q.hz) FILTER (q.k < t.k AND q.p <= t.p / 2), min(q.hz)) AS l, coalesce(min(q.hz) FILTER (q.k > t.k AND q.p <= t.p / 2), max(q.hz)) AS r FROM top t JOIN q ON q.recording = t.recording AND q.board = t.board GROUP BY ALL)
+SELECT recording, board, rank::INT AS rank, hz AS frequency, round(least(1, (r - l) / (2 * hz)), 5) + 0 AS damping, round(prominence, 5) + 0 AS prominence_db FROM top JOIN walk USING (recording, board, k)""",
+    "physics_features": f"""WITH {_DENSITY},
+u AS (SELECT *, CASE WHEN board = 4 THEN 10 ELSE 16 END AS usable FROM ax),
+tot AS (SELECT id, sum(p) AS total, count(*) AS bins FROM den JOIN u USING (id) WHERE hz <= usable GROUP BY id),
+ent AS (SELECT id, greatest(0, least(1, -sum(p / total * ln(p / total + 1e-18)) / ln(any_value(bins)))) AS entropy FROM den JOIN u USING (id) JOIN tot USING (id) WHERE hz <= usable GROUP BY id),
+bands AS (SELECT * FROM (VALUES {", ".join(f"('{lo:g}-{hi:g}', {lo}, {hi})" for lo, hi in MODAL_BANDS)}) AS b(band, lo, hi)),
+en AS (SELECT id, any_value(u.recording) AS recording, any_value(u.board) AS board, any_value(u.axis) AS axis, band, CASE WHEN count(*) = 1 THEN sum(p) ELSE sum(p) - (arg_min(p, hz) + arg_max(p, hz)) / 2 END * 0.5::DOUBLE AS energy FROM den JOIN u USING (id), bands WHERE hi <= usable + 1e-9 AND hz >= lo AND hz < hi GROUP BY id, band),
+f AS (SELECT recording, board, axis, 'rms' AS feature, rms AS value FROM u WHERE board <> 3 UNION ALL SELECT recording, board, axis, 'peak', peak FROM u WHERE board <> 3 UNION ALL SELECT recording, board, axis, 'crest', peak / rms FROM u
+  UNION ALL SELECT recording, board, axis, 'kurtosis', ((n * n - 1) * m4 / m2 ** 2 - 3 * (n - 1) ** 2) / ((n - 2) * (n - 3)) + 3 FROM u JOIN mom USING (id) UNION ALL SELECT recording, board, axis, 'spectral_entropy', entropy FROM u JOIN ent USING (id)
+  UNION ALL SELECT recording, board, axis, 'band_energy:' || band, energy FROM en WHERE board <> 3
+  UNION ALL SELECT e.recording, e.board, e.axis, 'transmissibility_db:' || e.band, 10 * log10((e.energy + 1e-24) / (b.energy + 1e-24)) FROM en e JOIN en b ON b.board = 0 AND b.recording = e.recording AND b.axis = e.axis AND b.band = e.band WHERE b.energy > 0)
+SELECT recording, board, axis, feature, round(value, 4) + 0 AS value FROM f""",
+    "complex_assurance": """WITH e AS (SELECT vec_id // 100 AS grp, vec_id AS id, (vec_id * 17 % 101) * 0.25::DOUBLE AS f, k, embedding[2 * k + 1]::DOUBLE AS re, embedding[2 * k + 2]::DOUBLE AS im FROM embeddings, unnest(range(0, 32)) AS r(k)),
+p AS (SELECT a.grp, a.id AS a, b.id AS b, sum(a.re * b.re + a.im * b.im) AS x, sum(a.re * b.im - a.im * b.re) AS y, sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im) AS w FROM e a JOIN e b ON a.grp = b.grp AND a.k = b.k AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(a.f - b.f) <= 0.75 GROUP BY ALL)
+SELECT grp, a, b, round(CASE WHEN w > 0 THEN least(1, (x * x + y * y) / w) ELSE 0 END, 6) + 0 AS mac FROM p""",
 }
