@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oscillar.functions import signal
 from oscillar.operators import corpus, decisions, spectra, transients, windows
-from oscillar.plans import corpus_queries, signal_queries, source_queries
+from oscillar.plans import corpus_queries, label_queries, signal_queries, source_queries
 from oscillar.streaming import alerts
 
 DAY = 86_400
@@ -611,6 +611,6 @@ rt AS (SELECT pk.id, pk.bin, min(d.p) AS low FROM pk JOIN d ON d.id = pk.id AND
 pr AS (SELECT pk.id, pk.bin, pk.frequency, pk.p, pk.p - greatest(lf.low, rt.low) AS h FROM pk JOIN lf USING (id, bin) JOIN rt USING (id, bin)), ok AS (SELECT * FROM pr WHERE h >= 3 UNION ALL SELECT id, arg_max(bin, p), arg_max(frequency, p), max(p), 0 FROM d WHERE id NOT IN (SELECT id FROM pr WHERE h >= 3) GROUP BY id)
 SELECT id, (row_number() OVER (PARTITION BY id ORDER BY h + p * 1e-3 DESC, bin))::INT AS rank, frequency, round(h, 4) AS prominence_db FROM ok QUALIFY rank <= 3""",
 }
-QUERIES |= corpus_queries.QUERIES | signal_queries.QUERIES | source_queries.QUERIES
-ORACLE_SQL |= corpus_queries.ORACLE_SQL | signal_queries.ORACLE_SQL | source_queries.ORACLE_SQL
+QUERIES |= corpus_queries.QUERIES | signal_queries.QUERIES | source_queries.QUERIES | label_queries.QUERIES
+ORACLE_SQL |= corpus_queries.ORACLE_SQL | signal_queries.ORACLE_SQL | source_queries.ORACLE_SQL | label_queries.ORACLE_SQL
 ORACLE_SQL["stored_profile"] = ORACLE_SQL["healthy_profile"]
