@@ -83,13 +83,14 @@ def keyed(docs: DataFrame) -> DataFrame:
         plan = plan.children().head()
     if plan.nodeName() not in ("LogicalRelation", "Relation") and not plan.nodeName().startswith("LogicalRelation"):
         docs = written(docs, "keyed")
-    path = F.col("_metadata.file_path")
+    place = docs.metadataColumn("_metadata")  # a column of the table may have that name, too
+    path = place.getField("file_path")
     files = written(docs.select(path.alias("path_")).distinct(), "files")
     files = files.select("path_", (F.row_number().over(Window.orderBy(F.length("path_"), "path_")) - 1).cast("long").alias("file_"))
-    rows = docs.select("*", path.alias("path_"), F.col("_metadata.row_index").alias("at_"))
+    rows = docs.select("*", path.alias("path_"), place.getField("row_index").alias("at_"))
     few = files.count() <= MOST_FILES
     rows = rows.join(F.broadcast(files) if few else files, "path_")
-    out = rows.select(*docs.columns, (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
+    out = rows.select(*(f"`{c}`" for c in docs.columns), (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
     out.is_keyed = True  # operators that are given this very table use its numbers
     return out
 

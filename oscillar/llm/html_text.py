@@ -22,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul".split()
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul fieldset".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link annotation annotation-xml desc defs symbol metadata rp".split())
@@ -51,11 +51,18 @@ P_SCOPE = SCOPE | {"button"}
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NO_BOX = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 #: levels of indentation that are laid out; deeper blocks stay at the last of them.
 DEEPEST = 40
 NUMBER = re.compile(r"-?\d{1,9}", re.A)
+DIGITS = re.compile(r"[ \t\n\r\f]*\+?(\d+)", re.A)
+MOST_SPAN = {"colspan": 1000, "rowspan": 65534}
+#: inputs that show their value; one without a type is a text.
+VALUED = frozenset("submit button reset text search tel url email number date month week time datetime-local".split())
+#: a rule of a style sheet, and what its declarations say of boxes and visibility.
+COMMENT, RULE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"([^{}]*)\{([^{}]*)\}")
+SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][\w-]+)")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -134,6 +141,9 @@ def build(source: str) -> Node:
             push(row)
         node = Node(tag, attributes(m[3]))
         stack[-1].children.append(node)
+        if tag == "plaintext":  # nothing after it is markup
+            node.children.append(source[at:])
+            break
         if tag in RAW or tag in ESCAPABLE:
             found = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             stop = found.start() if found else end
@@ -144,26 +154,83 @@ def build(source: str) -> Node:
     return root
 
 
-def hidden(node: Node) -> bool:
+def style_rules(root: Node) -> dict[str, tuple[bool | None, bool | None]]:
+    """(has no box, is visible) by simple selector (a tag, a class or an id) from the page's own style elements.
+
+    Later rules win. Rules within at-rules, which hold for some media only, and other selectors are passed over.
+    """
+    rules: dict[str, tuple[bool | None, bool | None]] = {}
+    work: list = [root]
+    while work:
+        node = work.pop()
+        if isinstance(node, str):
+            continue
+        if node.tag != "style":
+            work += reversed(node.children)
+            continue
+        sheet = COMMENT.sub(" ", "".join(c for c in node.children if isinstance(c, str)))
+        for selectors, said in RULE.findall(top_level(sheet)):
+            display, visibility = DISPLAY.search(said), VISIBILITY.search(said)
+            if display or visibility:
+                for name in (x.strip() for x in selectors.split(",")):
+                    if SIMPLE.fullmatch(name):
+                        before = rules.get(name, (None, None))
+                        rules[name] = (display[1].lower() == "none" if display else before[0], visibility[1].lower() == "visible" if visibility else before[1])
+    return rules
+
+
+def top_level(sheet: str) -> str:
+    """A style sheet without its at-rules."""
+    out, at, depth, skipped = [], 0, 0, -1
+    for m in re.finditer(r"[{};@]", sheet):
+        c = m[0]
+        if c == "@" and depth == 0 and skipped < 0:
+            out.append(sheet[at : m.start()])
+            skipped = 0
+        elif c == "{":
+            depth += 1
+        elif c == "}":
+            depth = max(0, depth - 1)
+            if skipped >= 0 and depth == 0:
+                skipped, at = -1, m.end()
+        elif c == ";" and skipped >= 0 and depth == 0:
+            skipped, at = -1, m.end()
+    return "".join(out) + (sheet[at:] if skipped < 0 else "")
+
+
+def ruled(node: Node, rules: dict, which: int) -> bool | None:
+    """What the sheet says of a node: an id's rule comes before those of classes, and these before a tag's."""
+    names = ["#" + node.attrs.get("id", ""), *("." + c for c in reversed(node.attrs.get("class", "").split())), node.tag]
+    return next((rules[n][which] for n in names if n in rules and rules[n][which] is not None), None)
+
+
+def hidden(node: Node, rules: dict | None = None) -> bool:
     """What a browser lays out no box for."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
-    return "style" in a and NO_BOX.search(a["style"]) is not None
+    own = DISPLAY.search(a["style"]) if "style" in a else None
+    if own:
+        return own[1].lower() == "none"
+    told = ruled(node, rules, 0) if rules else None
+    return "hidden" in a if told is None else told
 
 
-def shown(node: Node, before: bool) -> bool:
+def shown(node: Node, before: bool, rules: dict | None = None) -> bool:
     """Whether the text of an element is visible: it inherits that, and may set it anew."""
     found = VISIBILITY.search(node.attrs["style"]) if "style" in node.attrs else None
-    return found[1].lower() == "visible" if found else before
+    if found:
+        return found[1].lower() == "visible"
+    told = ruled(node, rules, 1) if rules else None
+    return before if told is None else told
 
 
-def svg_texts(node: Node) -> list[Node]:
+def svg_texts(node: Node, rules: dict | None = None) -> list[Node]:
     """The text elements and embedded pages of a drawing; its other text is not drawn."""
     out, work = [], list(reversed(node.children))
     while work:
         n = work.pop()
-        if isinstance(n, str) or hidden(n):
+        if isinstance(n, str) or hidden(n, rules):
             continue
         if n.tag in ("text", "foreignobject"):
             out += [n, " "]
@@ -228,33 +295,34 @@ class Layout:
 def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of (text, colspan, rowspan) cells with each column padded to its widest cell; a cell's lines stay below each other.
 
-    A cell takes the first free column, and its columns in the rows that it spans are not free.
+    A cell takes the first free column, and its columns in the rows that it spans are not free. Only columns in which a cell
+    begins take room, so spans may be as wide as they like.
     """
-    placed: list[list[tuple[int, str, int]]] = []
-    taken: dict[int, int] = {}  # column → rows that are still spanned from above
-    widths: list[int] = []
+    placed: list[list[tuple[int, str]]] = []
+    taken: list[tuple[int, int, int]] = []  # columns from, to, and rows that are still spanned from above, in order
+    widths: dict[int, int] = {}
     for row in rows:
-        cells, k = [], 0
-        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        cells, k, over = [], 0, 0
+        below = [(lo, hi, n - 1) for lo, hi, n in taken if n > 1]
         for text, span, down in row:
-            while taken.get(k):
-                k += 1
-            cells.append((k, text, span))
-            widths += [0] * (k + span - len(widths))
-            if span == 1:
-                widths[k] = max([widths[k], *map(len, text.split("\n"))])
+            while over < len(taken) and taken[over][0] <= k:
+                k = max(k, taken[over][1])
+                over += 1
+            cells.append((k, text))
+            widths[k] = max(widths.get(k, 0), *map(len, text.split("\n"))) if span == 1 else widths.get(k, 0)
             if down > 1:
-                below |= {c: down - 1 for c in range(k, k + span)}
+                below.append((k, k + span, down - 1))
             k += span
-        taken = below
+        taken = sorted(below)
         placed.append(cells)
-    starts = [0]
-    for w in widths:
-        starts.append(starts[-1] + w + 2)
+    starts, at = {}, 0
+    for k in sorted(widths):
+        starts[k] = at
+        at += widths[k] + 2
     out = []
     for cells in placed:
-        height = max((text.count("\n") + 1 for _, text, _ in cells), default=0)
-        split = [(k, text.split("\n")) for k, text, _ in cells]
+        height = max((text.count("\n") + 1 for _, text in cells), default=0)
+        split = [(k, text.split("\n")) for k, text in cells]
         for y in range(height):
             line = ""
             for k, lines in split:
@@ -266,8 +334,10 @@ def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
 
 
 def span_of(node: Node, name: str = "colspan") -> int:
-    value = node.attrs.get(name, "1").strip()
-    return min(max(int(value), 1), 100) if value.isascii() and value.isdigit() and len(value) < 5 else 1
+    """The standard's reading of a span: leading digits, 1 where there are none, its largest values; a rowspan of 0 goes on to the end."""
+    found = DIGITS.match(node.attrs.get(name, ""))
+    value = int(found[1][:9]) if found else 1
+    return min(value or (1 if name == "colspan" else MOST_SPAN[name]), MOST_SPAN[name])
 
 
 def render(root: Node) -> str:
@@ -278,6 +348,7 @@ def render(root: Node) -> str:
     counters: list[int | None] = []
     pre = 0
     work: list[tuple] = [("open", root, True)]
+    rules = style_rules(root)
     while work:
         what, node, seen = work.pop()
         if what == "open":
@@ -298,12 +369,12 @@ def render(root: Node) -> str:
                 else:
                     flow.text(node)
                 continue
-            if hidden(node):
+            if hidden(node, rules):
                 continue
             tag = node.tag
-            seen = shown(node, seen)
+            seen = shown(node, seen, rules)
             work.append(("close", node, seen))
-            children = svg_texts(node) if tag == "svg" else node.children
+            children = svg_texts(node, rules) if tag == "svg" else node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             work += [("open", c, seen) for c in reversed(children)]
@@ -341,12 +412,15 @@ def render(root: Node) -> str:
                     flow.marker = marker if seen else ""
                 elif tag in ("dd", "blockquote"):
                     flow.indent.append("  ")
-                elif tag in ("pre", "listing"):
+                elif tag in ("pre", "listing", "plaintext"):
                     pre += 1
                     if children and isinstance(children[0], str) and children[0][:1] == "\n":
                         work[-1] = ("open", children[0][1:], seen)
-            elif tag in ("textarea", "button", "select", "q") and tag != "q":
+            elif tag in ("textarea", "button", "select", "input"):
                 flow.space = bool(flow.line)
+                if tag == "input" and seen and node.attrs.get("type", "text").lower() in VALUED and node.attrs.get("value", "").strip():
+                    flow.text(node.attrs["value"])
+                    flow.space = True
         else:
             tag = node.tag
             if tag == "table" and tables:
@@ -370,7 +444,7 @@ def render(root: Node) -> str:
                     flow.marker = ""
                 elif tag in ("dd", "blockquote"):
                     flow.indent.pop()
-                elif tag in ("pre", "listing"):
+                elif tag in ("pre", "listing", "plaintext"):
                     pre -= 1
                 flow.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
     return flow.result().strip("\n")
@@ -388,6 +462,9 @@ def visible_text(source: str) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text, n_chars, n_lines for every row.
 
+    All visible text is kept; blocks more than DEEPEST levels of indentation deep are not indented further, as their lines
+    would be longer than the page. Style rules of the page count where their selector is a tag, a class or an id.
+
     A null or empty html gives an empty text; null ids and repeated rows are kept as they are. An empty table gives an empty
     result. Other columns are ignored, whatever their names. No rows meet, so the plan has no shuffle.
     """

@@ -134,17 +134,21 @@ def parse_record(head: dict[str, str], block: bytes) -> tuple:
     return number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), int(http["Content-Length"]), digest, head["WARC-Type"], number(head.get("WARC-Refers-To")), payload
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, digest=F.sha1) -> DataFrame:
     """page_id, row, url, digest, n_bytes, kind, refers_to (page_id and row), html (null for revisits).
 
+    Payloads are equal when their length, their SHA-1 and their SHA-256 are: pages made to share a SHA-1 keep both payloads.
+
     Copies are counted on narrow rows; then the payloads of least bytes and more cross a shuffle, except for those of large
     groups and of small pages, which stay where they lie.
     """
     rows = keyed(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")))
-    rows = rows.withColumns({"digest": F.sha1("html"), "n_bytes": F.octet_length("html").cast("long")})
+    rows = rows.withColumns({"digest": digest("html"), "n_bytes": F.octet_length("html").cast("long")})
+    rows = rows.withColumn("sha", F.when(F.col("n_bytes") >= least, F.unhex(F.sha2("html", 256))))
     large = rows.filter(F.col("n_bytes") >= least)
-    groups = large.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    met = join_counted(large, written(groups, "warc-groups"), ["digest"])
+    same = ["digest", "n_bytes", "sha"]
+    groups = large.groupBy(*same).agg(F.max(F.struct("page_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    met = join_counted(large, written(groups, "warc-groups"), same)
     met = met.unionByName(rows.filter(F.col("n_bytes") < least).withColumn("kept", F.struct("page_id", "row")))
     own = F.col("row") == F.col("kept.row")
     return met.select("page_id", "row", "url", "digest", "n_bytes", F.when(own, "response").otherwise("revisit").alias("kind"), F.when(~own, F.col("kept")).alias("refers_to"), F.when(own, F.col("html")).alias("html"))

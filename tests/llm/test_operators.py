@@ -571,3 +571,41 @@ def test_empty_tables(docs):
     none = empty(docs)
     for got in (substring_dedup.substring_dedup(none), jaccard_join.jaccard_join(none), exact_dedup.exact_dedup(none), mixing.mix_sources(none), sharding.shard_documents(none), token_output.token_output(none, P.path("word_bpe_49k.json"))):
         assert got.count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<form>Name <input value=Bob><input type=submit value=Go><input type=checkbox value=no><input type=password value=no></form>", "Name Bob Go"),
+        ("<style>.x{display:none}</style><p class='a x'>no<p>yes", "yes"),
+        ("<style>#y, b.z {visibility: hidden} .x{display:none} .x{display:block} @media print { p { display: none } } @import 'a';</style><p id=y>no<b style='visibility:visible'>b</b><p class=x>yes", "b\n\nyes"),
+        ("<style>p{display:none} .x{display:block}</style><p>no<p class=x>yes<p style='display:block'>also", "yes\n\nalso"),
+        ("<style>/* .x{display:none} */</style><p class=x>yes", "yes"),
+        ("a<plaintext><b>x</b>\n y", "a\n<b>x</b>\n y"),
+        ("<table><tr><td colspan=5000>a<td>b<tr><td rowspan=0>c<td>d<tr><td>e</table>", "a     b\nc  d\n   e"),
+        ("<table><tr><td rowspan=70000>a<td>b" + "<tr><td>c" * 120 + "</table>", "a  b" + "\n   c" * 120),
+        ("<table><tr><td colspan=' 2px'>wide<td>z<tr><td>1<td>2<td>3</table>", "wide  z\n1  2  3"),
+    ],
+)
+def test_html_of_styles_inputs_and_wide_spans(source, want):
+    assert html_text.visible_text(source) == want
+
+
+def test_wide_spans_take_no_room():
+    assert html_text.visible_text("<table><tr>" + "<td colspan=1000 rowspan=9>x" * 20_000 + "<tr><td>y</table>").count("x") == 20_000
+
+
+def test_a_column_named_as_the_metadata(spark, docs, texts):
+    """Rows are numbered by their place in the files, whatever columns the table has."""
+    clashing = docs.selectExpr("*", "'m' AS _metadata", "1 AS path_")
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(clashing).collect()}
+    assert len(got) == len(texts) and got[0]["keep_id"] == 3
+    assert mixing.mix_sources(clashing).count() == sharding.shard_documents(clashing).count() == len(texts)
+    assert substring_dedup.substring_dedup(clashing).count() == jaccard_join.jaccard_join(clashing).count() == len(texts)
+
+
+def test_warc_payloads_of_one_digest(spark):
+    """Pages that are made to share a digest keep a payload each."""
+    pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 2000), (3, "u", "a" * 2000), (4, "u", "a" * 2001)], "page_id long, url string, html string")
+    plan = {r["page_id"]: r for r in warc.plan_records(pages, digest=lambda _: F.lit("00" * 20)).collect()}
+    assert {k: r["kind"] for k, r in plan.items()} == {1: "revisit", 2: "response", 3: "response", 4: "response"} and plan[1]["refers_to"]["page_id"] == 3
