@@ -8,8 +8,10 @@ triple of letters), and a segment is scored exactly by its subsequences, without
 
 Training examples are labelled sentences: each has its text's label and hands it to its segments, and every text weighs the
 same. After a first machine, sentences of toxic texts without a segment on the toxic side are left out (but for the text's
-highest one), and the machine is trained again. Stems that are unevenly spread only choose landmarks. A text is scored on all
-its evidence: a logistic curve over the histogram of its segments' values and its highest few, trained on labelled texts.
+highest one), landmarks are set at the clean segments that it took most for toxic ones, and the machine is trained again.
+Stems that are unevenly spread choose the other landmarks. The begin of a segment and the accents of its letters are letters
+to the kernel, so stems differ from the same letters elsewhere. A text is scored on all its evidence: a logistic curve over
+the histogram of its segments' values and its highest few, trained on labelled texts.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 
 from oscillar.llm.common import sliced, table, worker_memo, written
 
-LETTERS = 27  # a to z, and one for all others
+LETTERS = 31  # a to z, the begin of a segment, and four for other alphabets
+BEGIN, OTHER = b"{", b"|}~\x7f"
 DECAY = 0.6
 LONGEST = 20  # letters of a segment; longer ones are cut into windows that overlap by half
 FLOOR = -4.0  # the value of a segment of less than three letters
 #: bounds of the training sample.
-TOXIC_ROWS, CLEAN_ROWS, UNITS, COMMON, OTHERS, SPELLED, LANDMARKS = 1500, 4000, 400, 6000, 12_000, 200, 256
+TOXIC_ROWS, CLEAN_ROWS, UNITS, COMMON, OTHERS, SPELLED, LURES, LANDMARKS = 1500, 4000, 400, 6000, 12_000, 200, 300, 320
 STEMS = (4, 5, 6, 7)
 ALIKE = 0.8  # landmarks of a greater kernel value are not taken beside each other
 COST = 300_000  # of either class
@@ -43,19 +46,23 @@ _NOT_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 def folded(word: str) -> bytes:
-    """The letters of a word: lower case, accents dropped, digits and signs dropped, other alphabets as '{'."""
+    """The letters of a word: lower case, digits and signs dropped; accents, and letters of other alphabets, by their code point as one of OTHER.
+
+    An accent stands behind its letter, so a word with and one without it share all but the subsequences with the accent.
+    """
     word = word.lower()
     if word.isascii():
         return word.encode().translate(None, _NOT_LETTERS)
     parts = unicodedata.normalize("NFKD", word)
-    return "".join(c if c.isascii() else "{" for c in parts if c.isalpha()).encode().translate(None, _NOT_LETTERS.replace(b"{", b""))
+    return b"".join(c.encode().translate(None, _NOT_LETTERS) if c.isascii() else OTHER[ord(c) % 4 : ord(c) % 4 + 1] for c in parts if c.isalpha() or unicodedata.combining(c))
 
 
 def windows_of(segment: bytes) -> list[bytes]:
+    """What the kernel sees of a segment: the sign of its begin and its letters, in windows if they are many."""
     if len(segment) <= LONGEST:
-        return [segment]
+        return [BEGIN + segment]
     half = LONGEST // 2
-    return [segment[k : k + LONGEST] for k in range(0, len(segment) - half, half)]
+    return [BEGIN * (not k) + segment[k : k + LONGEST] for k in range(0, len(segment) - half, half)]
 
 
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +191,7 @@ def segment_values(distinct: list[bytes], model: Model) -> np.ndarray:
     pieces = [windows_of(s) for s in new]
     flat = [p for ps in pieces for p in ps]
     values = projected(flat, model.weights[:, None])[:, 0] + model.offset if flat else np.zeros(0)
-    values[np.array([len(p) < 3 for p in flat], bool)] = FLOOR
+    values[np.array([len(p.lstrip(BEGIN)) < 3 for p in flat], bool)] = FLOOR
     at = 0
     for s, ps in zip(new, pieces, strict=True):
         known[s] = float(values[at : at + len(ps)].max())
@@ -316,25 +323,40 @@ def machine(sample: DataFrame, model: Model | None) -> Model | None:
     share = (sums["rows"] - len(known)) / max(len(others), 1)
     examples = [(r["segment"].encode(), r["t"], r["c"]) for r in seen.filter(F.col("segment").isin(told)).collect() + common]
     examples += [(r["segment"].encode(), r["t"] * share, r["c"] * share) for r in others]
-    return fit(sorted(examples), marks, set(spelled), [r["segment"].encode() for r in common])
+    lures = [] if model is None else mistaken(seen, model, sums["t"] / sums["c"])
+    return fit(sorted(examples), marks, set(spelled), [r["segment"].encode() for r in common], lures)
+
+
+def mistaken(seen: DataFrame, model: Model, scale: float) -> list[bytes]:
+    """The segments of clean sentences that the model takes most for toxic ones; the next machine has landmarks there, too."""
+
+    def run(batches):
+        for b in batches:
+            values = segment_values([s.encode() for s in b.column("segment").to_pylist()], model)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=["segment", "t", "c", "value"])
+
+    valued = seen.select("segment", "t", "c").mapInArrow(run, "segment string, t double, c double, value double")
+    harm = (F.col("c") * scale - F.col("t")) * F.col("value")
+    return [r["segment"].encode() for r in valued.filter((F.col("value") > 0) & (harm > 0)).orderBy(harm.desc(), "segment").limit(LURES).collect()]
 
 
-def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled: set[bytes], common: list[bytes]) -> Model:
+def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled: set[bytes], common: list[bytes], lures: list[bytes] = []) -> Model:  # noqa: B006
     """Nyström features on landmarks, then the linear machine.
 
     A segment stands for the toxic and the clean sentences that it was found in, as examples of either class. Those in
-    spelled give half of their weight to their variants.
+    spelled give half of their weight to their variants. Half of the landmarks are at marks, three eighths at lures (segments
+    that an earlier machine mistook), the others at common segments.
     """
-    marks = [w for w in marks if len(w) >= 3]
-    held, chosen = np.zeros((LANDMARKS, LETTERS**3)), []
-    for w in marks:  # one column at a time: all of them would take much of the driver's memory
-        column = feature_columns([w])[:, 0]
-        if len(chosen) < LANDMARKS * 2 // 3 and (not chosen or (held[: len(chosen)] @ column).max() < ALIKE):
-            held[len(chosen)] = column
-            chosen.append(w)
+    held, chosen = np.zeros((LANDMARKS, LETTERS**3), np.float32), []
+    for words, most in ((marks, LANDMARKS // 2), (lures, LANDMARKS * 7 // 8)):
+        for w in (BEGIN + w[:LONGEST] for w in words if len(w) >= 3):
+            column = feature_columns([w])[:, 0]  # one at a time: all of them would take much of the driver's memory
+            if len(chosen) < most and (not chosen or (held[: len(chosen)] @ column).max() < ALIKE):
+                held[len(chosen)] = column
+                chosen.append(w)
     del held
     left = LANDMARKS - len(chosen)
-    plain = [w[:LONGEST] for w in common[:: max(1, len(common) // left)]][:left]
+    plain = [BEGIN + w[:LONGEST] for w in common[:: max(1, len(common) // left)]][:left]
     columns = feature_columns(list(dict.fromkeys(chosen + plain)))
     values, vectors = np.linalg.eigh(columns.T @ columns)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
@@ -345,7 +367,7 @@ def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled:
         for w in windows_of(s):
             x.append(w)
             cost.append((t, c) if not lures else (t / 2, c / 2))
-        x += lures
+        x += [BEGIN + v for v in lures]
         cost += [(t / 2 / len(lures), c / 2 / len(lures)) for _ in lures]
     cost = np.array(cost)
     cost = cost / cost.sum(0) * COST

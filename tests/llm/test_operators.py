@@ -609,3 +609,11 @@ def test_warc_payloads_of_one_digest(spark):
     pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 2000), (3, "u", "a" * 2000), (4, "u", "a" * 2001)], "page_id long, url string, html string")
     plan = {r["page_id"]: r for r in warc.plan_records(pages, digest=lambda _: F.lit("00" * 20)).collect()}
     assert {k: r["kind"] for k, r in plan.items()} == {1: "revisit", 2: "response", 3: "response", 4: "response"} and plan[1]["refers_to"]["page_id"] == 3
+
+
+def test_segments_tell_accents_alphabets_and_begins_apart():
+    folded = toxicity.folded
+    assert folded("Réeux") != folded("reeux") and folded("Réeux").translate(None, toxicity.OTHER) == b"reeux" and folded("A1-b!") == b"ab"
+    assert len({folded(w) for w in ("привет", "погода", "γειά", "καιρός", "天气", "你好")}) == 6
+    alike = lambda a, b: float((toxicity.feature_columns([toxicity.windows_of(a)[0]]).T @ toxicity.feature_columns([toxicity.windows_of(b)[0]]))[0, 0])
+    assert alike(b"stem", b"stemxy") > alike(b"stem", b"xystem") and toxicity.windows_of(b"a" * 50)[1][:1] == b"a"
