@@ -29,11 +29,11 @@ NGRAM = 3
 #: links at 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: bounds of a row block: its rows and their elements; a task multiplies two row blocks.
-BLOCK_ROWS, BLOCK_ELEMENTS = 512, 1 << 18
+BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
 #: rounds of pivots where links are not counted.
 PIVOTS = 1
 #: columns of a column block.
-BLOCK_COLUMNS = 4096
+BLOCK_COLUMNS = 2048
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
