@@ -106,16 +106,15 @@ def calibration_error(pairs: DataFrame, confidence: str = "confidence", correct:
     return b.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"))
 
 
-def auroc(pairs: DataFrame, score: str = "confidence", positive: str = "correct", cells: int = 1024) -> DataFrame:
+def auroc(pairs: DataFrame, score: str = "confidence", positive: str = "correct", cells: int = 256) -> DataFrame:
     """n_pos, n_neg and the area under the curve by mid-ranks; rows are counted per score before they are ranked.
 
-    Scores lie in cells of their range: negatives are summed over cells first, then within a cell, so no task ranks all scores.
+    Scores lie in cells between their approximate quantiles: negatives are summed over cells first, then within a cell, so no task ranks all scores.
     """
     y = F.col(positive).cast("int")
     per = pairs.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    ends = pairs.agg(F.min(F.col(score).cast("double")).alias("low"), F.max(F.col(score).cast("double")).alias("high"))
-    at = F.floor((F.col("s") - F.col("low")) / (F.col("high") - F.col("low")) * cells)
-    per = per.join(F.broadcast(ends)).withColumn("cell", F.coalesce(F.least(at, F.lit(cells - 1)), F.lit(0)))  # one row of ends
+    cuts = pairs.agg(F.percentile_approx(F.col(score).cast("double"), [k / cells for k in range(1, cells)]).alias("cuts"))
+    per = per.join(F.broadcast(cuts)).withColumn("cell", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("s"))), F.lit(0))).drop("cuts")  # one row
     upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     sums = per.groupBy("cell").agg(F.sum("neg").alias("held"))
     sums = sums.select("cell", (F.sum("held").over(upto) - F.col("held")).alias("before"))

@@ -91,7 +91,7 @@ def repeated_draw(rows: DataFrame, group: str, key: str, quota: int, seed: int =
     from pyspark.sql import Window
 
     order = F.sha2(F.concat(F.lit(f"{seed}\0"), F.col(key).cast("string")), 256)
-    by = Window.partitionBy(group)
-    r = rows.select(group, key).withColumns({"turn": F.row_number().over(by.orderBy(order, key)), "of": F.count(F.lit(1)).over(by)})
+    first = rows.select(group, key).withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order, key))).filter(F.col("turn") <= quota)
+    sizes = first.groupBy(F.col(group).alias("group_")).agg(F.count(F.lit(1)).alias("of"))  # of larger groups no row is used twice
     copies = F.floor((quota - F.col("turn")) / F.col("of")) + 1
-    return r.filter(F.col("turn") <= quota).select(key, group, copies.cast("int").alias("copies"))
+    return first.join(sizes, F.col(group).eqNullSafe(F.col("group_"))).select(key, group, copies.cast("int").alias("copies"))

@@ -5,6 +5,8 @@ An episode is a row with its true and its predicted set of affected targets (arr
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,8 @@ def persistence(sessions: DataFrame, alerts: DataFrame) -> DataFrame:
     delay = F.when(~ok, F.when(gone < 0, 0.0).otherwise(gone))
     days = F.sum(F.when(ok, F.col("end") - F.col("start"))) / 86_400
     false, changed, found = F.sum(F.when(ok, F.col("events")).otherwise(0)), F.count_if(~ok), F.count_if(~ok & F.col("first").isNotNull())
-    delays = F.array_sort(F.collect_list(delay))
-    upper = F.when(F.size(delays) > 0, F.element_at(delays, (F.floor(F.size(delays) / 2) + 1).cast("int")))
-    return s.rollup("dataset").agg(
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY delay_ DESC)")  # counts each delay, holds no list
+    return s.withColumn("delay_", delay).rollup("dataset").agg(
         days.alias("healthy_days"), false.alias("false_events"), F.when(days > 0, false / days).alias("false_events_per_day"), changed.alias("changed_sessions"), found.alias("detected"),
         F.when(changed > 0, found / changed).alias("recall"), upper.alias("median_delay"),
     )
@@ -217,27 +218,56 @@ def best_candidate(candidates: DataFrame, champion: str) -> DataFrame:
     return best.select(F.col("b.name").alias("name"), (-F.col("b.minus")).alias("score"), (F.col("b.name") != champion).alias("promoted"))
 
 
+def pooled(low: np.ndarray, high: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """Neighbouring blocks (low, high, mean, weight) joined until their means rise."""
+    out: list[tuple[float, float, float, float]] = []
+    for block in zip(low.tolist(), high.tolist(), mean.tolist(), weight.tolist(), strict=True):
+        while out and out[-1][2] >= block[2]:
+            lo, _, m, w = out.pop()
+            total = w + block[3]
+            block = (lo, block[1], (m * w + block[2] * block[3]) / total, total)
+        out.append(block)
+    return out
+
+
 def isotonic_curve(pairs: DataFrame, x: str = "confidence", y: str = "correct") -> DataFrame:
-    """boundary, prediction: the isotonic regression of correctness on confidence, fitted by Spark's own learner on counted confidences."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+    """boundary, prediction: the isotonic regression of correctness on confidence, by pooling adjacent violators.
 
-    counted = pairs.groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(VectorAssembler(inputCols=["x"], outputCol="features").transform(counted))
-    points = [(float(a), float(b)) for a, b in zip(model.boundaries.toArray(), model.predictions.toArray(), strict=True)]
-    return pairs.sparkSession.createDataFrame(points, "boundary double, prediction double")
+    Confidences are counted, dealt out by range and pooled where they lie; one task pools what blocks are left, which are the
+    steps of the parts' curves and not the confidences. The curve stays a table: each block's first and last confidence.
+    """
+    blocks = "low double, high double, mean double, weight double"
 
+    def pool(batches):
+        out: list[tuple[float, float, float, float]] = []
+        for b in batches:
+            rows = np.array(out, np.float64).reshape(-1, 4).T
+            out = pooled(*(np.append(r, b.column(k).to_numpy()) for k, r in enumerate(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.float64()) for k in range(4)], names=["low", "high", "mean", "weight"])
 
-def calibrated(rows: DataFrame, curve: DataFrame, x: str = "confidence") -> DataFrame:
-    """rows with calibrated: the piecewise linear curve at x, flat beyond its ends, within 0 and 1. The curve has a row for each step, at most one for each distinct confidence it was counted by."""
-    points = curve.agg(F.array_sort(F.collect_list(F.struct("boundary", "prediction"))).alias("points_"))
     v = F.col(x).cast("double")
-    low = lambda p: F.element_at(F.filter("points_", lambda q: q["boundary"] <= v), -1)[p]
-    high = lambda p: F.get(F.filter("points_", lambda q: q["boundary"] > v), 0)[p]
-    between = low("prediction") + (high("prediction") - low("prediction")) * (v - low("boundary")) / (high("boundary") - low("boundary"))
-    first, last = F.get("points_", 0), F.element_at("points_", -1)
-    value = F.when(v < first["boundary"], first["prediction"]).when(v >= last["boundary"], last["prediction"]).otherwise(between)
-    return rows.join(F.broadcast(points)).withColumn("calibrated", F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))).drop("points_")
+    counted = pairs.filter(v.isNotNull()).groupBy(v.alias("low")).agg(F.avg(F.col(y).cast("double")).alias("mean"), F.count(F.lit(1)).cast("double").alias("weight")).filter("mean IS NOT NULL")
+    parts = counted.select("low", F.col("low").alias("high"), "mean", "weight").repartitionByRange("low").sortWithinPartitions("low").mapInArrow(pool, blocks)
+    whole = parts.repartition(1).sortWithinPartitions("low").mapInArrow(pool, blocks)
+    return whole.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("boundary"), F.col("mean").alias("prediction"))
+
+
+def calibrated(rows: DataFrame, curve: DataFrame, x: str = "confidence", cells: int = 1024) -> DataFrame:
+    """rows with calibrated: the piecewise linear curve at x, flat beyond its ends, within 0 and 1.
+
+    Pieces of the curve lie in the cells of its range that they touch, and a row meets those of its own cell.
+    """
+    order = Window.orderBy("boundary")  # a row for each step
+    pieces = curve.select(F.col("boundary").alias("lo_"), F.col("prediction").alias("p_"), F.lead("boundary").over(order).alias("hi_"), F.lead("prediction").over(order).alias("q_"))
+    ends = curve.agg(F.min("boundary").alias("first_"), F.max("boundary").alias("last_"))
+    cell = lambda c: F.coalesce(F.floor((c - F.col("first_")) / F.nullif(F.col("last_") - F.col("first_"), F.lit(0.0)) * cells), F.lit(0))
+    pieces = pieces.join(F.broadcast(ends)).withColumn("cell_", F.explode(F.sequence(cell(F.col("lo_")), cell(F.coalesce("hi_", "lo_"))))).drop("first_", "last_")
+    v = F.col("v_")
+    asked = rows.join(F.broadcast(ends)).withColumn("v_", F.greatest("first_", F.least("last_", F.col(x).cast("double"))))  # one row of ends
+    asked = asked.withColumn("v_", F.when(F.col(x).isNotNull(), v)).withColumn("cell_", cell(v))
+    met = asked.join(pieces, (asked["cell_"] == pieces["cell_"]) & (v >= F.col("lo_")) & (F.col("hi_").isNull() | (v < F.col("hi_"))), "left")
+    value = F.when(F.col("hi_").isNull(), F.col("p_")).otherwise(F.col("p_") + (F.col("q_") - F.col("p_")) * (v - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))
+    return met.select(*(asked[c] for c in rows.columns), F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).alias("calibrated"))
 
 
 def baseline_status(metrics: DataFrame, baselines: DataFrame, defaults: dict[str, float], key: str = "sensor") -> DataFrame:

@@ -14,13 +14,15 @@ def latest_samples(samples: DataFrame, seconds: float, rate: float, enough: floa
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     expected = round(seconds * rate)
     s = valid_times(samples.withColumn("at", at), "at")
-    by = Window.partitionBy("sensor")
-    s = s.withColumns({"end": F.max("at").over(by), "back": F.row_number().over(by.orderBy(F.col("at").desc(), F.col("event_id").desc()))})
-    timed, counted = F.col("at") > F.col("end") - seconds, F.col("back") <= expected
-    s = s.filter(timed | counted).withColumns({"timed": timed, "counted": counted}).withColumn("by_time", F.count_if(F.col("timed")).over(by) >= enough * expected)
-    kept = s.filter(F.when(F.col("by_time"), F.col("timed")).otherwise(F.col("counted")))
-    first = F.when(F.first("by_time"), F.min("at")).otherwise(F.max("end") - (F.count(F.lit(1)) - 1) / rate)
-    return kept.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.when(F.first("by_time"), "timestamps").otherwise("sample_count").alias("mode"), first.alias("first"), F.max("end").alias("last"), F.avg("value").alias("mean"))
+    told = [F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.avg("value").alias("mean")]
+    timed = s.join(s.groupBy("sensor").agg(F.max("at").alias("end")), "sensor").filter(F.col("at") > F.col("end") - seconds)
+    by_time = timed.groupBy("sensor").agg(*told).filter(F.col("n") >= enough * expected)
+    others = s.join(by_time.select("sensor"), "sensor", "left_anti")
+    back = F.row_number().over(Window.partitionBy("sensor").orderBy(F.col("at").desc(), F.col("event_id").desc()))
+    counted = others.withColumn("back", back).filter(F.col("back") <= expected).groupBy("sensor").agg(*told)  # each task keeps so many of a sensor at most
+    counted = counted.withColumn("first", F.col("last") - (F.col("n") - 1) / rate)
+    columns = lambda df, mode: df.select("sensor", "n", F.lit(mode).alias("mode"), "first", "last", "mean")
+    return columns(by_time, "timestamps").unionByName(columns(counted, "sample_count"))
 
 
 def valid_times(samples: DataFrame, at: str, most: float = 1e11) -> DataFrame:

@@ -123,6 +123,40 @@ def compare_to_reference(metrics: DataFrame, reference: str, by: tuple[str, ...]
     )
 
 
+def reference_levels(metrics: DataFrame, compared: DataFrame, look_back: int = 0) -> DataFrame:
+    """win, ref_rms, from_win: the reference sensor's own level, recovered from the first sensor whose rms and ratio to it are usable.
+
+    A window without a usable report takes the level of the last window before it, `look_back` windows at most; else it is null.
+    Windows meet in groups of look_back + 1, a group and the one before it, so no history is one task's work.
+    """
+    usable = F.col("rms").isNotNull() & ~F.isnan("rms") & (F.col("rms_ratio") > 1e-9)
+    both = compared.select("win", "sensor", "rms_ratio").join(metrics.select("win", "sensor", "rms"), ["win", "sensor"], "left")
+    own = both.groupBy("win").agg(F.min(F.when(usable, F.struct("sensor", F.round(F.col("rms") / F.col("rms_ratio"), 6).alias("level")))).alias("report"))
+    own = own.select("win", F.col("report.level").alias("level"))
+    step = look_back + 1
+    near = own.withColumn("at_", F.floor(F.col("win") / step)).withColumn("group_", F.explode(F.array("at_", F.col("at_") + 1)))
+    last = F.last(F.when(F.col("level").isNotNull(), F.struct("level", F.col("win").alias("of"))), ignorenulls=True).over(Window.partitionBy("group_").orderBy("win").rangeBetween(-look_back, 0))
+    told = near.withColumn("last_", last).filter("group_ = at_")
+    return told.select("win", F.col("last_.level").alias("ref_rms"), F.col("last_.of").alias("from_win"))
+
+
+# Bounds and units of the quality vector.
+SKEW_MS, RATE_HZ, WIDEBAND_HZ = 100.0, 26_700.0, 6000.0
+
+
+def quality_vector(valid: Column, missing: Column, clipped: Column, monotonic: Column, skew_ms: Column, axes: Column, usable_hz: Column, lost: Column, rate: Column, known: tuple[Column, Column], phase: Column, calibrated: Column) -> Column:
+    """The 13 quality figures of a board: shares, flags and scaled values.
+
+    axes: how many of three are there; known: the two flags of its geometry; lost packets and rates are scaled and bounded.
+    """
+    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    most = lambda c, high: F.least(c, F.lit(high))
+    return F.array(
+        valid, missing, clipped, flag(monotonic), most(F.abs(skew_ms) / SKEW_MS, 10.0), axes / F.lit(3.0), most(F.coalesce(usable_hz, F.lit(0.0)) / WIDEBAND_HZ, 1.0), most(F.log1p(lost) / 10, 10.0), most(rate / RATE_HZ, 4.0),
+        *map(flag, known), flag(phase), flag(calibrated),
+    )
+
+
 def sensor_label(c: DataFrame) -> tuple[Column, Column]:
     """Label and confidence by the sensor's ladder of rules; missing ratios count as 1, missing shape figures and distances as 0."""
     or_one, or_zero = (lambda x: F.coalesce(c[x], F.lit(1.0))), (lambda x: F.coalesce(c[x], F.lit(0.0)))
@@ -175,18 +209,17 @@ def combined_axes(labels: DataFrame) -> DataFrame:
     return worst.select("win", "sensor", F.col("w.label").alias("label"), F.array_join(axes, ",").alias("axes"))
 
 
-def history_scores(features: DataFrame, history: DataFrame, metric: str = "rms", least: int = 5, cells: int = 256) -> DataFrame:
+def history_scores(features: DataFrame, history: DataFrame, metric: str = "rms", least: int = 5, cells: int = 64) -> DataFrame:
     """Percentile and multiple of the median of each window's metric within its sensor's history; null while it is learnt.
 
-    The history is counted per distinct value. Values of a sensor lie in cells of its range: cells are summed first, then
-    counts run within a cell, so that neither a sensor's history nor its windows are one task's work.
+    The history is counted per distinct value. Values of a sensor lie in cells between its approximate quantiles: cells are
+    summed first, then counts run within a cell, so that neither a sensor's history nor its windows are one task's work.
     """
     h = history.groupBy("sensor", F.col(metric).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    middle = history.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.percentile(metric, 0.5).alias("median"), F.min(metric).alias("low"), F.max(metric).alias("high"))
+    middle = history.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.percentile(metric, 0.5).alias("median"), F.percentile_approx(metric, [k / cells for k in range(1, cells)]).alias("cuts"))
     both = h.select("sensor", "v", "k", F.lit(None).cast("long").alias("win")).unionByName(features.select("sensor", F.col(metric).alias("v"), F.lit(0).cast("long").alias("k"), "win"))
     both = both.join(middle, "sensor", "left")
-    at = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * cells)
-    both = both.withColumn("cell", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(cells), at)), F.lit(0)).cast("int"))
+    both = both.withColumn("cell", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("v"))), F.lit(0))).drop("cuts")
     run = lambda *by: Window.partitionBy("sensor", *by)
     before = both.groupBy("sensor", "cell").agg(F.sum("k").alias("held"))
     before = before.select("sensor", "cell", (F.sum("held").over(run().orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("before"))
@@ -282,12 +315,22 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return found.withColumn("m_", pick).select(*left.columns, F.col("m_.at").alias("matched_ts"), *(F.col(f"m_.{c}").alias(f"matched_{c}") for c in payload))
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: list[str]) -> DataFrame:
-    """Each left row with the first right row of its key at or after it, else null (pairs start tags with their end tags)."""
-    marks = right.select(*by, F.struct(F.col(right_ts).alias("at"), *payload).alias("m_"), F.col(right_ts).alias("t_"), F.lit(1).alias("s_"))
-    both = left.withColumns({"t_": F.col(left_ts), "s_": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
-    back = Window.partitionBy(*by).orderBy(F.col("t_").desc(), F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("m_", F.last("m_", ignorenulls=True).over(back)).filter("s_ = 0")
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, payload: list[str], cell_seconds: int = 86_400) -> DataFrame:
+    """Each left row with the first right row of its key at or after it, else null (pairs start tags with their end tags).
+
+    A window looks ahead within a cell of time; beyond the cell, it is the first right row of a later one, as in asof_nearest().
+    """
+    cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (cell_seconds * 1e6)).cast("long")
+    marks = right.select(*by, cell(right_ts).alias("cell_"), F.struct(F.col(right_ts).alias("at"), *payload).alias("m_"), F.col(right_ts).alias("t_"), F.lit(1).alias("s_"))
+    asks = left.withColumns({"cell_": cell(left_ts), "t_": F.col(left_ts), "s_": F.lit(0)})
+    back = Window.partitionBy(*by, "cell_").orderBy(F.col("t_").desc(), F.col("s_").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = asks.unionByName(marks, allowMissingColumns=True).withColumn("m_", F.last("m_", ignorenulls=True).over(back)).filter("s_ = 0")
+    edges = marks.groupBy(*by, "cell_").agg(F.min("m_").alias("first_"))
+    cells = asks.select(*by, "cell_").distinct().join(edges, [*by, "cell_"], "full")
+    key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    after = key.orderBy(F.col("cell_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "cell_", F.last("first_", ignorenulls=True).over(after).alias("later_"))
+    found = found.join(cells, [*by, "cell_"], "left").withColumn("m_", F.coalesce("m_", "later_"))
     return found.select(*left.columns, F.col("m_.at").alias("matched_ts"), *(F.col(f"m_.{c}").alias(f"matched_{c}") for c in payload))
 
 

@@ -82,7 +82,7 @@ def operational_scores(spark, d):
 
 
 def _margins(spark, d):
-    m = F.transform(F.slice("embedding", 1, 5), lambda v: F.round(v.cast("double"), 1))
+    m = F.expr("transform(sequence(0, 4), t -> round(aggregate(filter(embedding, (v, k) -> k % 5 = t), 0D, (s, v) -> s + v), 1))")  # each target has every fifth number
     return _t(spark, d, "embeddings").select(F.col("label").alias("dataset"), (F.col("vec_id") % 5 + 1).cast("int").alias("truth"), m.alias("margins"), F.col("vec_id").alias("episode"))
 
 
@@ -211,8 +211,8 @@ def thinned_windows(spark, d):
 
 
 def identical_feeds(spark, d):
-    e = _t(spark, d, "events").select(F.floor(F.col("event_id") / 50).alias("win"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("event_id") % 3 + 1).cast("int")).alias("sensor"), F.round(F.col("value") / 400).cast("int").alias("v"), "event_id")
-    x = e.filter("event_id % 50 < 9").groupBy("win", "sensor").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda s: s["v"]).alias("x"))
+    e = _t(spark, d, "events").select(F.floor(F.col("event_id") / 9).alias("win"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("event_id") % 3 + 1).cast("int")).alias("sensor"), F.round(F.col("value") / 400).cast("int").alias("v"), "event_id")
+    x = e.groupBy("win", "sensor").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda s: s["v"]).alias("x"))
     return selection.identical_feeds(x)
 
 
@@ -354,7 +354,7 @@ _WS = f"""p AS ({_PAIRS}), ls AS (SELECT truth AS l FROM p UNION SELECT predicte
 pl AS (SELECT l, count(*) FILTER (truth = l) AS s, count(*) FILTER (predicted = l) AS c, count(*) FILTER (truth = l AND predicted = l) AS tp FROM p, ls GROUP BY l),
 ws AS (SELECT sum(s)::BIGINT AS n, sum(tp) / sum(s) AS accuracy, avg(2 * tp / (s + c)) AS macro_f1, sum(2 * tp / (s + c) * s) / sum(s) AS weighted_f1 FROM pl)"""
 _SAME = "list_sort(truth) = list_sort(predicted)"
-_MARGIN = "mg AS (SELECT label AS dataset, (vec_id % 5 + 1)::INT AS truth, list_transform(embedding[1:5], lambda v: round(v::DOUBLE, 1)) AS margins FROM embeddings)"
+_MARGIN = "mg AS (SELECT label AS dataset, (vec_id % 5 + 1)::INT AS truth, list_transform(range(0, 5), lambda t: round(list_sum(list_transform(list_filter(range(0, 64), lambda k: k % 5 = t), lambda k: embedding[k + 1]::DOUBLE)), 1)) AS margins FROM embeddings)"
 
 ORACLE_SQL = {
     "target_localization": f"""WITH {_EPISODES} SELECT count(*) FILTER (truth IS NOT NULL) AS supervised, count(*) FILTER (truth IS NULL) AS unsupervised, round(avg(({_SAME})::INT) FILTER (truth IS NOT NULL), 6) AS exact_set_match,
@@ -431,7 +431,7 @@ b AS (SELECT *, count(*) FILTER (sec > e - 86400) OVER (PARTITION BY sensor) >=
 SELECT sensor, count(*) AS n, CASE WHEN any_value(byt) THEN 'timestamps' ELSE 'sample_count' END AS mode, round(CASE WHEN any_value(byt) THEN min(sec) ELSE max(e) - (count(*) - 1) / 0.0006::DOUBLE END, 3) AS first, round(max(e), 3) AS last, round(avg(value), 3) AS mean FROM k GROUP BY sensor""",
     "thinned_windows": """SELECT vec_id AS id, 64 AS n, 4 AS stride, 16 AS kept, round(embedding[61]::DOUBLE, 5) + 0 AS last, round(list_min(embedding)::DOUBLE, 5) + 0 AS low, round(list_max(embedding)::DOUBLE, 5) + 0 AS high, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / 64, 5) + 0 AS mean,
   round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / 64), 5) AS rms FROM embeddings""",
-    "identical_feeds": """WITH e AS (SELECT event_id // 50 AS win, ['a', 'b', 'c'][event_id % 3 + 1] AS sensor, round(value / 400)::INT AS v, event_id FROM events WHERE event_id % 50 < 9), x AS (SELECT win, sensor, list(v ORDER BY event_id) AS x FROM e GROUP BY win, sensor)
+    "identical_feeds": """WITH e AS (SELECT event_id // 9 AS win, ['a', 'b', 'c'][event_id % 3 + 1] AS sensor, round(value / 400)::INT AS v, event_id FROM events), x AS (SELECT win, sensor, list(v ORDER BY event_id) AS x FROM e GROUP BY win, sensor)
 SELECT win, string_agg(sensor, ',' ORDER BY sensor) AS sensors FROM x GROUP BY win, x HAVING count(*) > 1""",
     "sensor_selection": """WITH a AS (SELECT n_nationkey % 13 AS place, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE n_nationkey - 1 END AS k FROM nation)
 SELECT CASE WHEN n_name = 'FRANCE' THEN -1 ELSE min(place) END::BIGINT AS place, n_name AS sensor FROM a JOIN nation ON n_nationkey = k GROUP BY n_name""",

@@ -81,6 +81,22 @@ def reference_comparison(spark, d):
     return _rounded(_compared(spark, d), 5)
 
 
+def reference_levels(spark, d):
+    """The level of the reference sensor of every window; reports of sensors whose peak is as high as the reference's don't count."""
+    m = _metrics(spark, d)
+    both = windows.compare_to_reference(m, REFERENCE)
+    told = both.withColumn("rms_ratio", F.when(F.col("peak_ratio") < 1.0, F.col("rms_ratio")))
+    return windows.reference_levels(m, told, 3)
+
+
+def quality_vectors(spark, d):
+    """The quality vector of every sensor window: shares, order and rate as measured, gaps for lost packets, half the rate for the usable band."""
+    q = windows.window_quality(_samples(spark, d))
+    yes = F.lit(True)
+    v = windows.quality_vector(F.col("valid"), F.col("missing"), F.col("clipped"), F.col("monotonic"), F.lit(0.0), F.lit(1), F.col("rate") / 2, F.col("gaps"), F.col("rate"), (~yes, ~yes), F.col("usable"), yes)
+    return _rounded(q.select("sensor", "win", F.posexplode(v).alias("place", "value")), 12)
+
+
 def _labels(spark, d):
     both = _compared(spark, d)
     label, sure = windows.sensor_label(both)
@@ -362,7 +378,8 @@ def amplitude_scales(spark, d):
 
 
 def repeated_draw(spark, d):
-    return decisions.repeated_draw(_t(spark, d, "customer").filter("c_custkey % 9 = 0"), "c_nationkey", "c_custkey", 12, 6)
+    c = _t(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") * 20 + F.col("c_custkey") % 20).alias("grp"))
+    return decisions.repeated_draw(c, "grp", "c_custkey", 12, 6)
 
 
 def bound_devices(spark, d):
@@ -387,7 +404,7 @@ QUERIES = {
     for f in (
         anomaly_decisions, rederived_labels, quality_conflicts, result_envelopes, machine_classes, amplitude_scales, repeated_draw, bound_devices, board_coherence, dominant_peaks,
         spectral_summary, stft_summary, viewer_spectrogram, sensor_metrics, axis_labels, aligned_comparison, history_context, spectrum_plot, spectral_shape, nearest_bins, tag_pairs,
-        monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
+        reference_levels, quality_vectors, monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
         distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
         classification_metrics, calibration_error, auroc, routing_matrix, gate_checks, quota_draw, nearest_event, tagged_samples, alert_policy,
     )
@@ -598,7 +615,7 @@ v AS (SELECT *, greatest(0, least(1, 0.35 / (1 + exp(-(r - 1.25) / 0.25)) + 0.3
 SELECT sensor, win, CASE WHEN sv < 0.32 AND r < 1.35 AND k < 4.5 THEN 'healthy' WHEN flat > 0.65 AND r > 1.2 AND hz >= 80 THEN 'unknown_abnormal' WHEN r > 1.35 AND k < 4.8 AND hz < 120 THEN 'imbalance_or_looseness'
   WHEN k > 5 OR c > 4.5 OR r > 2 THEN CASE WHEN hz >= 200 THEN 'inner_race_fault' WHEN hz >= 80 THEN 'outer_race_fault' WHEN r > 1.35 THEN 'imbalance_or_looseness' ELSE 'unknown_abnormal' END ELSE 'unknown_abnormal' END AS label, round(sv, 4) AS severity FROM v""",
     "amplitude_scales": f"""WITH s AS ({_S}), m AS (SELECT win, quantile_cont(value, 0.5) AS med, quantile_cont(abs(value), 0.95) AS high FROM s GROUP BY win), d AS (SELECT win, any_value(high) AS high, quantile_cont(abs(value - med), 0.5) AS mad FROM s JOIN m USING (win) GROUP BY win) SELECT win, round(greatest(1.4826 * mad, high / 3, 1e-6), 4) AS scale FROM d""",
-    "repeated_draw": """WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('6' || chr(0) || c_custkey::VARCHAR), c_custkey) AS turn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 9 = 0) SELECT c_custkey, c_nationkey, ((12 - turn) // n + 1)::INT AS copies FROM r WHERE turn <= 12""",
+    "repeated_draw": """WITH c AS (SELECT c_custkey, c_nationkey * 20 + c_custkey % 20 AS grp FROM customer), r AS (SELECT c_custkey, grp, row_number() OVER (PARTITION BY grp ORDER BY sha256('6' || chr(0) || c_custkey::VARCHAR), c_custkey) AS turn, count(*) OVER (PARTITION BY grp) AS n FROM c) SELECT c_custkey, grp, ((12 - turn) // n + 1)::INT AS copies FROM r WHERE turn <= 12""",
     "bound_devices": "SELECT n_nationkey AS board, CASE n_nationkey WHEN 3 THEN NULL WHEN 5 THEN 'other' ELSE n_name END AS serial, CASE n_nationkey WHEN 3 THEN 'missing_device' WHEN 5 THEN 'wrong_device' WHEN 7 THEN 'unknown_board' ELSE 'bound' END AS status FROM nation",
     "board_coherence": """WITH c0 AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, f, j, embedding[f * 8 + j + 1]::DOUBLE AS x FROM embeddings, range(0, 7) AS a(f), range(0, 16) AS b(j)), c1 AS (SELECT *, (x - avg(x) OVER (PARTITION BY pair, side, f)) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS v FROM c0),
 ft AS (SELECT pair, side, f, k, sum(v * cos(2 * pi() * k * j / 16)) AS re, -sum(v * sin(2 * pi() * k * j / 16)) AS im FROM c1, range(0, 9) AS q(k) GROUP BY pair, side, f, k),
@@ -611,6 +628,12 @@ rt AS (SELECT pk.id, pk.bin, min(d.p) AS low FROM pk JOIN d ON d.id = pk.id AND
 pr AS (SELECT pk.id, pk.bin, pk.frequency, pk.p, pk.p - greatest(lf.low, rt.low) AS h FROM pk JOIN lf USING (id, bin) JOIN rt USING (id, bin)), ok AS (SELECT * FROM pr WHERE h >= 3 UNION ALL SELECT id, arg_max(bin, p), arg_max(frequency, p), max(p), 0 FROM d WHERE id NOT IN (SELECT id FROM pr WHERE h >= 3) GROUP BY id)
 SELECT id, (row_number() OVER (PARTITION BY id ORDER BY h + p * 1e-3 DESC, bin))::INT AS rank, frequency, round(h, 4) AS prominence_db FROM ok QUALIFY rank <= 3""",
 }
+ORACLE_SQL["reference_levels"] = f"""WITH {_CMP}, c AS (SELECT cmp.win, cmp.sensor, round(met.rms / rms_ratio, 6) AS level FROM cmp JOIN met ON met.win = cmp.win AND met.sensor = cmp.sensor WHERE peak_ratio < 1 AND rms_ratio > 1e-9),
+f AS (SELECT win, arg_min(level, sensor) AS level FROM c GROUP BY win), w AS (SELECT DISTINCT win FROM cmp)
+SELECT w.win, arg_max(level, f.win) AS ref_rms, max(f.win) AS from_win FROM w LEFT JOIN f ON f.win BETWEEN w.win - 3 AND w.win GROUP BY w.win"""
+ORACLE_SQL["quality_vectors"] = f"""WITH q AS ({ORACLE_SQL["window_quality"].replace("round(1 / step, 6)", "1 / step").replace("round(valid, 6)", "valid").replace("round(missing, 6)", "missing").replace("round(clipped, 6)", "clipped")}),
+v AS (SELECT sensor, win, [valid, missing, clipped, monotonic::INT, 0, 1 / 3::DOUBLE, least(coalesce(rate, 0) / 2 / 6000, 1), least(ln(1 + gaps) / 10, 10), CASE WHEN rate IS NOT NULL THEN least(rate / 26700, 4) END, 0, 0, usable::INT, 1] AS v FROM q)
+SELECT sensor, win, k::INT AS place, round(v[k + 1], 12) + 0 AS value FROM v, range(0, 13) AS r(k)"""
 QUERIES |= corpus_queries.QUERIES | signal_queries.QUERIES | source_queries.QUERIES | label_queries.QUERIES
 ORACLE_SQL |= corpus_queries.ORACLE_SQL | signal_queries.ORACLE_SQL | source_queries.ORACLE_SQL | label_queries.ORACLE_SQL
 ORACLE_SQL["stored_profile"] = ORACLE_SQL["healthy_profile"]

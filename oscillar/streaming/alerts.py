@@ -113,18 +113,27 @@ def new_samples(samples: DataFrame, late: str = "30 seconds") -> DataFrame:
     return samples.withWatermark("ts", late).dropDuplicatesWithinWatermark(["sensor", "ts"])
 
 
+#: parts of a store, by a hash of the key.
+STORE_PARTS = 64
+
+
 def stored(events: DataFrame, path: str, key: str, checkpoint: str):
-    """Starts a query that appends events to a Parquet store, a key once: what the store or the batch itself has is left out."""
+    """Starts a query that appends events to a Parquet store, a key once: what the store or the batch itself has is left out.
+
+    The store lies in parts by a hash of the key (column part_), and a batch reads the parts that its keys fall in. A batch
+    that is run again after a failure finds what it has already written.
+    """
 
     def insert(batch: DataFrame, _: int) -> None:
         from pyspark.errors import AnalysisException
 
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("part_", F.pmod(F.xxhash64(key), F.lit(STORE_PARTS)).cast("int"))
+        touched = [r[0] for r in fresh.select("part_").distinct().collect()]  # STORE_PARTS at most
         try:
-            there = batch.sparkSession.read.schema(batch.schema).parquet(path)
-            fresh = fresh.join(there.select(key), key, "left_anti")
+            there = batch.sparkSession.read.schema(fresh.schema).parquet(path).filter(F.col("part_").isin(touched))
+            fresh = fresh.join(there.select(key, "part_"), [key, "part_"], "left_anti")
         except AnalysisException:  # the store has no file yet
             pass
-        fresh.write.mode("append").parquet(path)
+        fresh.repartition("part_").write.mode("append").partitionBy("part_").parquet(path)
 
     return events.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
