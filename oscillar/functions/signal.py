@@ -122,11 +122,11 @@ def welch(x: np.ndarray, fs: float, resolution: float = 0.25, overlap: float = 0
     return f, p.mean(0)
 
 
-def distinct_peaks(f: np.ndarray, p: np.ndarray, limit: int = 5, distance: float | None = None, floor_db: float = 50.0, prominence_db: float = 3.0) -> list[tuple[float, float, float]]:
-    """(frequency, density, prominence in dB): local maxima, the strongest first, apart by the distance, above their neighbourhood."""
+def separated_peaks(f: np.ndarray, p: np.ndarray, limit: int, distance: float | None, floor_db: float) -> tuple[list[int], float, float]:
+    """Places of local maxima, the strongest first, apart by the distance (the highest place where there is none); the distance and the step of f."""
     ok = np.isfinite(f) & np.isfinite(p) & (f > 0) & (p > 0)
     if not ok.any():
-        return []
+        return [], 0.0, 0.0
     df = float(np.median(np.diff(f))) if len(f) > 1 else 1.0
     distance = max(0.25, 4 * df) if distance is None else distance
     inner = np.zeros(len(p), bool)
@@ -140,15 +140,45 @@ def distinct_peaks(f: np.ndarray, p: np.ndarray, limit: int = 5, distance: float
             break
         if all(abs(f[k] - f[j]) >= distance for j in kept):
             kept.append(int(k))
-    reach = max(12, round(max(distance, df) / df))
+    return kept, distance, df
+
+
+def gain_over_neighbours(p: np.ndarray, k: int, power: float, reach: int) -> float:
+    """A power at place k in decibels over the median of its neighbourhood, two places on either side left out."""
+    around = np.r_[p[max(0, k - reach) : max(0, k - 2)], p[k + 3 : k + reach + 1]]
+    around = around[np.isfinite(around) & (around > 0)]
+    return float(10 * np.log10(max(power, TINY) / max(np.median(around), TINY))) if len(around) else float("inf")
+
+
+def distinct_peaks(f: np.ndarray, p: np.ndarray, limit: int = 5, distance: float | None = None, floor_db: float = 50.0, prominence_db: float = 3.0) -> list[tuple[float, float, float]]:
+    """(frequency, density, prominence in dB): local maxima, the strongest first, apart by the distance, above their neighbourhood."""
+    kept, distance, df = separated_peaks(f, p, limit, distance, floor_db)
+    reach = max(12, round(max(distance, df) / df)) if kept else 0
+    out = ((float(f[k]), float(p[k]), gain_over_neighbours(p, k, p[k], reach)) for k in kept)
+    return [o for o in out if o[2] >= prominence_db]
+
+
+def refined_peaks(f: np.ndarray, p: np.ndarray, x: np.ndarray, fs: float, limit: int = 8, distance: float | None = None, floor_db: float = 50.0, prominence_db: float = 3.0) -> list[tuple[float, float, float, float, float, float]]:
+    """(frequency, bin frequency, density, prominence in dB, rms of the band, phase in degrees) of distinct peaks, frequency and density at the top of a parabola.
+
+    The phase is that of the nearest bin of the whole Hann-windowed record x.
+    """
+    kept, distance, df = separated_peaks(f, p, limit, distance, floor_db)
+    if not kept:
+        return []
+    whole = np.fft.rfft((x - x.mean()) * periodic_window("hann", len(x)))
+    reach, half = max(12, round(max(distance, df) / df)), max(2 * df, distance / 2)
     out = []
     for k in kept:
-        around = np.r_[p[max(0, k - reach) : max(0, k - 2)], p[k + 3 : k + reach + 1]]
-        around = around[around > 0]
-        gain = 10 * np.log10(p[k] / np.median(around)) if len(around) else np.inf
-        if gain >= prominence_db:
-            out.append((float(f[k]), float(p[k]), float(gain)))
-    return out
+        frequency, power = float(f[k]), float(p[k])
+        if 0 < k < len(p) - 1:
+            a, b, c = np.log(np.maximum(p[k - 1 : k + 2], TINY))
+            moved = float(parabolic_offset(*p[k - 1 : k + 2, None])[0])
+            frequency, power = float(f[k] + moved * (f[k + 1] - f[k])), float(np.exp(b - 0.25 * (a - c) * moved))
+        band = p[np.abs(f - frequency) <= half]
+        phase = np.angle(whole[np.argmin(np.abs(np.arange(len(whole)) * fs / len(x) - frequency))], deg=True)
+        out.append((frequency, float(f[k]), power, gain_over_neighbours(p, k, power, reach), float(np.sqrt(band.sum() * df)) if len(band) > 1 else 0.0, float(phase)))
+    return [o for o in out if o[3] >= prominence_db]
 
 
 def parabolic_offset(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:

@@ -225,22 +225,68 @@ def spectral_shape(spectra: DataFrame, low: float, high: float) -> DataFrame:
     return agg.select("id", "entropy", energy.alias("band_energy"), (F.col("all") * F.col("df")).alias("total_power"))
 
 
+PEAK = ["frequency", "bin_frequency", "power", "prominence_db", "band_rms", "phase_degrees"]
+
+
 def peaks_of(windows: DataFrame, id_col: str, array_col: str, fs: float, resolution: float = 0.25, limit: int = 5) -> DataFrame:
-    """id, rank, frequency, power, prominence_db: distinct peaks of each window's averaged density."""
+    """id, rank and PEAK of the distinct peaks of each window's averaged density, the strongest first (see signal.refined_peaks)."""
 
     def run(batches):
         for b in batches:
-            out = []
+            ids, out = [], []
+            for rows, x in _arrays(b.column(1)):
+                for i, row in zip(rows, x, strict=True):
+                    peaks = signal.refined_peaks(*signal.welch(row, fs, resolution), row, fs, limit=limit)
+                    ids += [i] * len(peaks)
+                    out += [(r, *p) for r, p in enumerate(peaks, 1)]
+            m = np.array(out, np.float64).reshape(-1, 1 + len(PEAK))
+            columns = [pa.array(np.ascontiguousarray(m[:, 1 + k])) for k in range(len(PEAK))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(m[:, 0].astype(np.int32)), *columns], names=["id", "rank", *PEAK])
+
+    rows = windows.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x"))
+    return rows.mapInArrow(run, "id long, rank int, " + ", ".join(f"{c} double" for c in PEAK))
+
+
+def spectrum_reports(windows: DataFrame, id_col: str, array_col: str, fs: float, resolution: float = 0.25, limit: int = 5, rival_db: float = 3.0) -> DataFrame:
+    """id, n, seconds, centred_rms, psd_rms, consistency, variance_consistency, peaks, lead_db, rival_hz, rival, effective_hz, effective_kind, reliable of each window.
+
+    consistency is the rms by the density over that of the samples without their mean (null for flat windows). lead_db is how far
+    the two strongest peaks are apart, rival whether that is less than rival_db. The effective peak is the strongest of the
+    averaged density, or else that of a ring-down, which counts as reliable if the ring-down says so.
+    """
+    from oscillar.functions import transients
+
+    names = ["n", "centred_rms", "psd_rms", "lead_db", "rival_hz", "effective_hz", "effective_kind", "reliable", "peaks"]
+    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.int32()]
+
+    def report(x: np.ndarray) -> tuple:
+        f, p = signal.welch(x, fs, resolution)
+        peaks = signal.refined_peaks(f, p, x, fs, limit=limit)
+        lead = abs(10 * np.log10(peaks[0][2] / peaks[1][2])) if len(peaks) > 1 else None
+        told = (peaks[0][0], "averaged_psd", True) if peaks else (None, None, False)
+        if not peaks and np.isfinite(x).all():
+            ring = transients.ringdown(x, fs)
+            if ring.frequency is not None:
+                told = (ring.frequency, "impact_ringdown", bool(ring.reliable))
+        return len(x), float(x.std()), float(np.sqrt(p.sum() * np.median(np.diff(f)))), lead, peaks[1][0] if len(peaks) > 1 else None, *told, len(peaks)
+
+    def run(batches):
+        for b in batches:
+            ids, out = [], []
             for rows, x in _arrays(b.column(1)):
-                for i, signal_row in zip(b.column(0).take(pa.array(rows)).to_pylist(), x, strict=True):
-                    peaks = signal.distinct_peaks(*signal.welch(signal_row, fs, resolution), limit=limit)
-                    out += [(i, r, *p) for r, p in enumerate(peaks, 1)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "rank", "frequency", "power", "prominence_db"])
+                if x.shape[1] >= 8:
+                    ids += rows.tolist()
+                    out += map(report, x)
+            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *columns], names=["id", *names])
 
     rows = windows.select(F.col(id_col).cast("long").alias("id"), F.col(array_col).cast("array<double>").alias("x"))
-    return rows.mapInArrow(run, "id long, rank int, frequency double, power double, prominence_db double")
+    found = rows.mapInArrow(run, "id long, n int, centred_rms double, psd_rms double, lead_db double, rival_hz double, effective_hz double, effective_kind string, reliable boolean, peaks int")
+    share = F.when(F.col("centred_rms") > 0, F.col("psd_rms") / F.col("centred_rms"))
+    return found.select(
+        "id", "n", (F.col("n") / fs).alias("seconds"), "centred_rms", "psd_rms", share.alias("consistency"), (share * share).alias("variance_consistency"), "peaks", "lead_db", "rival_hz",
+        F.coalesce(F.col("lead_db") < rival_db, F.lit(False)).alias("rival"), "effective_hz", "effective_kind", "reliable",
+    )
 
 
 def frames(windows: DataFrame, id_col: str, array_col: str, size: int, hop: int) -> DataFrame:

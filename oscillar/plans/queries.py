@@ -181,10 +181,6 @@ def nearest_bins(spark, d):
     return _rounded(spectra.nearest_bins(_spectra(spark, d), asked))
 
 
-def distinct_peaks(spark, d):
-    return spectra.peaks_of(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, resolution=4.0)
-
-
 def sliding_frames(spark, d):
     f = spectra.frames(_t(spark, d, "embeddings"), "vec_id", "embedding", 16, 8)
     rms = F.sqrt(F.aggregate("x", F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size("x"))
@@ -405,7 +401,7 @@ QUERIES = {
         anomaly_decisions, rederived_labels, quality_conflicts, result_envelopes, machine_classes, amplitude_scales, repeated_draw, bound_devices, board_coherence, dominant_peaks,
         spectral_summary, stft_summary, viewer_spectrogram, sensor_metrics, axis_labels, aligned_comparison, history_context, spectrum_plot, spectral_shape, nearest_bins, tag_pairs,
         reference_levels, quality_vectors, monitor, window_features, window_quality, reference_comparison, sensor_labels, network_labels, history_percentiles, block_rms, envelope, linear_detrend, power_spectrum, band_powers, spectral_peaks,
-        distinct_peaks, sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
+        sliding_frames, residual_codes, modal_assurance, ringdown_check, output_only_modes, unit_conversion, scalar_functions, axis_norm, healthy_profile, profile_scores, split_assignment, split_counts, split_leaks,
         classification_metrics, calibration_error, auroc, routing_matrix, gate_checks, quota_draw, nearest_event, tagged_samples, alert_policy,
     )
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oscillar.functions.wideband import Grid
-from oscillar.operators import clocks, modal, transients, wideband
+from oscillar.operators import clocks, modal, spectra, transients, wideband
 
 
 def _t(spark, sf_dir: str, name: str) -> DataFrame:
@@ -125,7 +125,17 @@ def complex_assurance(spark, d):
     return _rounded(modal.complex_assurance(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), 0.75))
 
 
-QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows, modal_peaks, physics_features, complex_assurance)}
+def distinct_peaks(spark, d):
+    """Peaks of every vector's averaged density, refined between bins, with the rms of their band and their phase."""
+    return _rounded(spectra.peaks_of(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, resolution=4.0), 4)
+
+
+def spectrum_report(spark, d):
+    """How far density and samples agree, whether two peaks compete and which one counts, for every vector."""
+    return _rounded(spectra.spectrum_reports(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, resolution=4.0), 5)
+
+
+QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows, modal_peaks, physics_features, complex_assurance, distinct_peaks, spectrum_report)}
 
 
 def _polyphase(name: str, source: str, up: int, down: int, n: int, ends: str) -> str:
@@ -173,6 +183,23 @@ lin AS (SELECT id, s, avg(x) AS m, sum((j - 31.5) * x) / sum((j - 31.5) ** 2) AS
 res AS (SELECT id, s, j, (x - m - b * (j - 31.5)) * (0.5 - 0.5 * cos(2 * pi() * j / 64)) AS v FROM seg JOIN lin USING (id, s)),
 den0 AS (SELECT id, s, k, (sum(v * cos(2 * pi() * k * j / 64)) ** 2 + sum(v * sin(2 * pi() * k * j / 64)) ** 2) / (32 * 24) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM res, range(0, 33) AS q(k) GROUP BY id, s, k),
 den AS (SELECT id, recording, board, axis, k, k * 0.5::DOUBLE AS hz, avg(p) AS p FROM den0 JOIN ax USING (id) GROUP BY ALL)"""
+_PEAKS = """
+x0 AS (SELECT vec_id AS id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, unnest(range(0, 64)) AS r(i)),
+sg AS (SELECT id, s, i - 8 * s AS j, (x - avg(x) OVER (PARTITION BY id, s)) * (0.5 - 0.5 * cos(2 * pi() * (i - 8 * s) / 16)) AS v FROM x0, range(0, 7) AS q(s) WHERE i >= 8 * s AND i < 8 * s + 16),
+dn AS (SELECT id, s, k, (sum(v * cos(2 * pi() * k * j / 16)) ** 2 + sum(v * sin(2 * pi() * k * j / 16)) ** 2) / (64 * 6) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END AS p FROM sg, range(0, 9) AS q(k) GROUP BY id, s, k),
+ps AS (SELECT id, k, 4.0::DOUBLE * k AS hz, avg(p) AS p FROM dn GROUP BY id, k),
+nb AS (SELECT *, lag(p) OVER w AS b, lead(p) OVER w AS a, max(p) FILTER (k > 0) OVER (PARTITION BY id) AS high FROM ps WINDOW w AS (PARTITION BY id ORDER BY k)),
+lo AS (SELECT * FROM nb WHERE p > b AND p >= a AND k > 0 AND p >= high * 1e-5),
+cd AS (SELECT * FROM lo UNION ALL SELECT * FROM nb WHERE k > 0 AND p = high AND id NOT IN (SELECT id FROM lo)),
+t1 AS (SELECT *, 1 AS turn FROM cd QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC, k) = 1),
+t2 AS (SELECT c.*, 2 AS turn FROM cd c JOIN t1 USING (id) WHERE abs(c.k - t1.k) >= 4 QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY c.p DESC, c.k) = 1),
+pk AS (SELECT *, CASE WHEN b IS NULL OR a IS NULL OR abs(ln(b) - 2 * ln(p) + ln(a)) <= 1e-15 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (ln(b) - ln(a)) / (ln(b) - 2 * ln(p) + ln(a)))) END AS moved FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2)),
+rf AS (SELECT *, hz + 4 * moved AS f, CASE WHEN moved = 0 THEN p ELSE exp(ln(p) - 0.25 * (ln(b) - ln(a)) * moved) END AS power FROM pk),
+ar AS (SELECT r.id, r.k, median(n.p) AS around FROM rf r JOIN ps n ON n.id = r.id AND n.p > 0 AND (n.k <= r.k - 3 OR n.k >= r.k + 3) GROUP BY r.id, r.k),
+bd AS (SELECT r.id, r.k, CASE WHEN count(*) > 1 THEN sqrt(sum(n.p) * 4) ELSE 0 END AS band FROM rf r JOIN ps n ON n.id = r.id AND abs(n.hz - r.f) <= 8 GROUP BY r.id, r.k),
+hw AS (SELECT id, i, (x - avg(x) OVER (PARTITION BY id)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS v FROM x0),
+ph AS (SELECT r.id, r.k, atan2(-sum(v * sin(2 * pi() * ceil(f - 0.5) * i / 64)), sum(v * cos(2 * pi() * ceil(f - 0.5) * i / 64))) * 180 / pi() AS phase FROM rf r JOIN hw USING (id) GROUP BY r.id, r.k),
+fin AS (SELECT id, turn, f, hz, power, 10 * log10(power / around) AS prominence, band, phase FROM rf JOIN ar USING (id, k) JOIN bd USING (id, k) JOIN ph USING (id, k) WHERE 10 * log10(power / around) >= 3)"""
 ORACLE_SQL = {
     "complex_grid": f"WITH {_GRID} SELECT recording, board, axis, f::INT AS bin, m::INT AS moment, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im FROM cell JOIN valid USING (vec_id)",
     "wideband_features": f"""WITH {_GRID},
@@ -242,4 +269,9 @@ SELECT recording, board, axis, feature, round(value, 4) + 0 AS value FROM f""",
     "complex_assurance": """WITH e AS (SELECT vec_id // 100 AS grp, vec_id AS id, (vec_id * 17 % 101) * 0.25::DOUBLE AS f, k, embedding[2 * k + 1]::DOUBLE AS re, embedding[2 * k + 2]::DOUBLE AS im FROM embeddings, unnest(range(0, 32)) AS r(k)),
 p AS (SELECT a.grp, a.id AS a, b.id AS b, sum(a.re * b.re + a.im * b.im) AS x, sum(a.re * b.im - a.im * b.re) AS y, sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im) AS w FROM e a JOIN e b ON a.grp = b.grp AND a.k = b.k AND a.id % 2 = 0 AND b.id % 2 = 1 AND abs(a.f - b.f) <= 0.75 GROUP BY ALL)
 SELECT grp, a, b, round(CASE WHEN w > 0 THEN least(1, (x * x + y * y) / w) ELSE 0 END, 6) + 0 AS mac FROM p""",
+    "distinct_peaks": f"""WITH {_PEAKS} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY turn))::INT AS rank, round(f, 4) AS frequency, hz AS bin_frequency, round(power, 4) + 0 AS power, round(prominence, 4) + 0 AS prominence_db, round(band, 4) + 0 AS band_rms, round(phase, 4) + 0 AS phase_degrees FROM fin""",
+    "spectrum_report": f"""WITH {_PEAKS}, a AS (SELECT id, stddev_pop(x) AS rms FROM x0 GROUP BY id), d AS (SELECT id, sqrt(sum(p) * 4) AS psd FROM ps GROUP BY id),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS r FROM fin), s AS (SELECT id, count(*) AS n, max(f) FILTER (r = 1) AS f1, max(f) FILTER (r = 2) AS f2, max(power) FILTER (r = 1) AS p1, max(power) FILTER (r = 2) AS p2 FROM o GROUP BY id)
+SELECT id, 64 AS n, 1.0::DOUBLE AS seconds, round(rms, 5) AS centred_rms, round(psd, 5) AS psd_rms, round(psd / rms, 5) AS consistency, round(psd * psd / (rms * rms), 5) AS variance_consistency, coalesce(s.n, 0)::INT AS peaks, round(abs(10 * log10(p1 / p2)), 5) AS lead_db, round(f2, 5) AS rival_hz,
+  coalesce(abs(10 * log10(p1 / p2)) < 3, false) AS rival, round(f1, 5) AS effective_hz, CASE WHEN s.n > 0 THEN 'averaged_psd' END AS effective_kind, coalesce(s.n > 0, false) AS reliable FROM a JOIN d USING (id) LEFT JOIN s USING (id)""",
 }
