@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.operators import labels, sampling
+from oscillar.operators import labels, requests, sampling, windows
 from oscillar.sources.shared import shared_dir
 
 
@@ -89,7 +89,54 @@ def task_draw(spark, d):
     return sampling.draw(w, "task", 500, 9).select("task", "family", "target")
 
 
-QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw)}
+HOUR = 3600.0
+
+
+def _registry(spark, d) -> DataFrame:
+    """Nations as sensors of the five kinds of events and others; some entries are unsound."""
+    kinds = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    n = _t(spark, d, "nation")
+    return n.select(
+        F.when(F.col("n_nationkey") < 5, F.element_at(kinds, F.col("n_nationkey").cast("int") + 1)).when(F.col("n_nationkey") == 9, F.lit(" ")).otherwise(F.when(F.col("n_nationkey") == 11, F.lit("CHINA")).otherwise(F.col("n_name"))).alias("sensor_id"),
+        F.when(F.col("n_nationkey") == 4, " Baseline").when(F.col("n_nationkey") == 13, "other").alias("role"), F.col("n_name").alias("location"), F.element_at(F.array(*map(F.lit, ("X", "1", "norm", "w"))), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("axis"),
+        F.when(F.col("n_nationkey") % 6 == 5, "-1").otherwise("100").alias("rate"),
+    )
+
+
+def registry_check(spark, d):
+    """Which entries of a registry are sound, and what is wrong with the others."""
+    return _rounded(requests.registry_faults(_registry(spark, d)))
+
+
+def window_reads(spark, d):
+    """Requests made of orders, read from the events; an hour stands for a second."""
+    k = "o_orderkey"
+    asked = _t(spark, d, "orders").select(
+        F.col(k).alias("request"), F.element_at(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view", "nobody", "CHINA"))), (F.col(k) % 7 + 1).cast("int")).alias("sensor"),
+        F.element_at(F.array(*map(F.lit, ("", "Z", "magnitude", "q"))), (F.col(k) % 4 + 1).cast("int")).alias("axis"), F.expr(f"CASE WHEN {k} % 31 = 0 THEN 'soon' WHEN {k} % 29 = 0 THEN '-5' WHEN {k} % 5 > 0 THEN CAST({k} % 700 AS STRING) END").alias("start"),
+        F.expr(f"CASE WHEN {k} % 37 = 0 THEN 'NaN' WHEN {k} % 41 = 0 THEN '0' ELSE CAST({k} % 62 AS STRING) || '.5' END").alias("duration"),
+    )
+    samples = _t(spark, d, "events").select(F.col("event_type").alias("sensor"), ((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / HOUR).alias("ts"), "value")
+    got = requests.read_windows(requests.normal_requests(asked, requests.registry_faults(_registry(spark, d))), samples, preview=3)
+    first = F.array_join(F.transform("preview", lambda v: F.round(v, 2).cast("decimal(12,2)").cast("string")), ",")
+    return _rounded(got.withColumn("preview", first), 9)
+
+
+def validation_export(spark, d):
+    """The rows of the exported file as they are read back, with the reports that lie beside it."""
+    from oscillar.plans import queries as monitoring
+
+    arrays = windows.window_arrays(windows.sample_windows(_t(spark, d, "events"))).select("sensor", "win", "x").withColumns({"rate": F.lit(monitoring.RATE), "flags": F.when(F.size("x") < 60, "short_window")})
+    reports = monitoring.sensor_labels(spark, d).filter("win % 5 <> 2").withColumn("rule_label", F.col("label"))
+    folder = shared_dir(spark, "export")
+    requests.export_validation(arrays, reports, monitoring.network_labels(spark, d), requests.registry_faults(_registry(spark, d)).filter("sensor_id IN ('click', 'error', 'purchase', 'signup', 'view')"), monitoring.REFERENCE, folder)
+    kinds = "window_id long, sensor_id string, location string, role string, axis string, sampling_rate_hz double, time_s double, acceleration_g double, small_agent_label string, small_agent_confidence double, python_rule_label string, network_label string, quality_flags string"
+    rows = spark.read.schema(kinds).option("header", True).csv(f"{folder}/validation_windows")
+    lines = spark.read.schema("sensor string, win long").json(f"{folder}/agent_reports").select(F.col("sensor").alias("sensor_id"), F.col("win").alias("window_id"), F.lit(True).alias("reported"))
+    return _rounded(rows.join(lines, ["sensor_id", "window_id"], "left").withColumns({"reported": F.coalesce("reported", F.lit(False)), "quality_flags": F.coalesce("quality_flags", F.lit("")), "network_label": F.coalesce("network_label", F.lit(""))}), 4)
+
+
+QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw, registry_check, window_reads, validation_export)}
 
 _DOCS = """
 o AS (SELECT o_orderkey AS k, o_orderkey AS key, o_custkey, o_orderstatus = 'F' AS healthy, o_orderkey % 37 <> 11 AS ok FROM orders),
@@ -101,6 +148,10 @@ _CUSTOMER = """
 c AS (SELECT c_custkey, c_mktsegment AS m, c_nationkey % 3 AS s, c_nationkey AS n FROM customer),
 d AS (SELECT count(DISTINCT m) AS d FROM c), g AS (SELECT m, count(DISTINCT n) AS g, count(DISTINCT s) AS t FROM c GROUP BY m), gs AS (SELECT m, s, count(DISTINCT n) AS gs FROM c GROUP BY m, s), r AS (SELECT m, s, n, count(*) AS r FROM c GROUP BY m, s, n),
 w AS (SELECT c_custkey, m, 1.0::DOUBLE / d / g / r AS u, 1.0::DOUBLE / d / t / gs / r AS b FROM c JOIN g USING (m) JOIN gs USING (m, s) JOIN r USING (m, s, n), d)"""
+_REGISTRY = """
+n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 5 THEN ['click', 'error', 'purchase', 'signup', 'view'][n_nationkey + 1] WHEN n_nationkey = 9 THEN NULL WHEN n_nationkey = 11 THEN 'CHINA' ELSE n_name END AS sensor_id, n_name, CASE n_nationkey WHEN 4 THEN 'baseline' WHEN 13 THEN 'other' ELSE 'target' END AS role,
+  ['x', 'y', 'norm', NULL][n_nationkey % 4 + 1] AS axis, CASE WHEN n_nationkey % 6 = 5 THEN -1 ELSE 100 END::DOUBLE AS rate FROM nation),
+reg AS (SELECT sensor_id, n_name AS location, role, axis, rate, CASE WHEN sensor_id IS NULL THEN 'no_id' WHEN count(*) OVER (PARTITION BY sensor_id) > 1 THEN 'duplicate_id' WHEN role = 'other' THEN 'unknown_role' WHEN axis IS NULL THEN 'unknown_axis' WHEN rate <= 0 THEN 'bad_rate' END AS fault FROM n)"""
 ORACLE_SQL = {
     "nested_fields": f"WITH {_DOCS} SELECT key, dataset_id, split, CASE WHEN ok THEN group_id END AS group_id, training_role, CASE WHEN ok THEN CASE WHEN training_role = 'representation_only' THEN training_role WHEN healthy THEN 'healthy' ELSE 'changed::' || coalesce(class_name, 'unknown_anomaly') END END AS stratum, CASE WHEN ok THEN '' ELSE 'dataset_id,split,group_id,training_role' END AS missing FROM f",
     "episode_labels": f"""WITH {_DOCS},
@@ -119,4 +170,14 @@ gl AS (SELECT *, 0.3 / (SELECT count(DISTINCT d) FROM l WHERE family = 'global')
 ta AS (SELECT *, 0.7 / (SELECT count(DISTINCT target) FROM l WHERE family = 'target') / (SELECT count(DISTINCT s) FROM l x WHERE x.family = 'target' AND x.target = l.target) / (SELECT count(DISTINCT d) FROM l x WHERE x.family = 'target' AND x.target = l.target AND x.s = l.s)
   / (SELECT count(DISTINCT g) FROM l x WHERE x.family = 'target' AND x.target = l.target AND x.s = l.s AND x.d = l.d) / count(*) OVER (PARTITION BY target, s, d, g) AS w FROM l WHERE family = 'target')
 SELECT task, family, target FROM (SELECT * FROM gl UNION ALL SELECT * FROM ta) ORDER BY -ln(1 - {_U.format(seed=9, key='task')}) / w::DOUBLE, task LIMIT 500""",
+    "registry_check": f"WITH {_REGISTRY} SELECT sensor_id, location, role, axis, rate, fault FROM reg",
+    "window_reads": f"""WITH {_REGISTRY},
+a AS (SELECT o_orderkey AS request, ['click', 'error', 'purchase', 'signup', 'view', 'nobody', 'CHINA'][o_orderkey % 7 + 1] AS sensor, ['', 'z', 'norm', NULL][o_orderkey % 4 + 1] AS axis, CASE WHEN o_orderkey % 31 = 0 THEN 'soon' WHEN o_orderkey % 29 = 0 THEN '-5' WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 700)::VARCHAR END AS st,
+  CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN 0 ELSE o_orderkey % 62 + 0.5 END::DOUBLE AS dur FROM orders),
+r AS (SELECT request, a.sensor, dur, try_cast(st AS DOUBLE) AS s, CASE WHEN dur IS NULL THEN 'duration_not_finite' WHEN st = 'soon' THEN 'start_not_finite' WHEN st = '-5' THEN 'start_negative' WHEN dur <= 0 THEN 'duration_not_positive' WHEN dur > 60 THEN 'duration_over_cap' WHEN reg.axis IS NULL THEN 'unknown_sensor' WHEN a.axis IS NULL THEN 'unknown_axis' END AS fault
+      FROM a LEFT JOIN reg ON reg.sensor_id = a.sensor AND reg.fault IS NULL),
+e AS (SELECT event_type AS sensor, (epoch_us(ts) / 1e6 - 1704067200) / 3600 AS t, value FROM events), l AS (SELECT sensor, max(t) AS last FROM e GROUP BY sensor),
+m AS (SELECT request, value, row_number() OVER (PARTITION BY request ORDER BY t, value) AS turn FROM r JOIN l USING (sensor) JOIN e ON e.sensor = r.sensor AND t >= coalesce(s, last - dur) AND (s IS NULL OR t < s + dur) WHERE fault IS NULL),
+g AS (SELECT request, count(*) AS n, avg(value) AS mean, sqrt(avg(value * value)) AS rms, min(value) AS low, max(value) AS high, string_agg(round(value, 2)::DECIMAL(12, 2)::VARCHAR, ',' ORDER BY turn) FILTER (turn <= 3) AS preview FROM m GROUP BY request)
+SELECT request, CASE WHEN fault IS NOT NULL THEN 'bad_request' WHEN n > 0 THEN 'ok' ELSE 'no_samples' END AS status, fault, coalesce(n, 0) AS n, round(mean, 9) + 0 AS mean, round(rms, 9) + 0 AS rms, round(low, 9) + 0 AS low, round(high, 9) + 0 AS high, preview, false AS thinned FROM r LEFT JOIN g USING (request)""",
 }

@@ -632,4 +632,8 @@ v AS (SELECT sensor, win, [valid, missing, clipped, monotonic::INT, 0, 1 / 3::DO
 SELECT sensor, win, k::INT AS place, round(v[k + 1], 12) + 0 AS value FROM v, range(0, 13) AS r(k)"""
 QUERIES |= corpus_queries.QUERIES | signal_queries.QUERIES | source_queries.QUERIES | label_queries.QUERIES
 ORACLE_SQL |= corpus_queries.ORACLE_SQL | signal_queries.ORACLE_SQL | source_queries.ORACLE_SQL | label_queries.ORACLE_SQL
+ORACLE_SQL["validation_export"] = f"""WITH {label_queries._REGISTRY}, {_CMP.strip()}, s AS (SELECT *, row_number() OVER (PARTITION BY sensor, win ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY sensor, win) AS n FROM ({_S})), told AS (SELECT sensor, win, label, [0.82, 0.96, 0.9, 0.74, 0.86, 0.88][s + 1]::DOUBLE AS confidence FROM sev WHERE win % 5 <> 2),
+u AS (SELECT s.*, reg.location, reg.role, reg.axis, told.label AS l, told.confidence AS confidence, CASE WHEN s.sensor = '{REFERENCE}' THEN 'normal_relative_to_baseline' ELSE 'insufficient_data' END AS d, net.label AS network_label FROM s LEFT JOIN told ON told.sensor = s.sensor AND told.win = s.win LEFT JOIN net ON net.win = s.win LEFT JOIN reg ON reg.sensor_id = s.sensor)
+SELECT win AS window_id, sensor AS sensor_id, location, role, axis, 100.0::DOUBLE AS sampling_rate_hz, k / 100.0::DOUBLE AS time_s, round(value, 4) AS acceleration_g, coalesce(l, d) AS small_agent_label, coalesce(confidence, CASE WHEN sensor = '{REFERENCE}' THEN 1 ELSE 0 END)::DOUBLE AS small_agent_confidence, coalesce(l, d) AS python_rule_label, coalesce(network_label, '') AS network_label,
+  CASE WHEN n < 60 THEN 'short_window' ELSE '' END AS quality_flags, l IS NOT NULL AS reported FROM u"""
 ORACLE_SQL["stored_profile"] = ORACLE_SQL["healthy_profile"]
