@@ -269,29 +269,3 @@ def prominences(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         high = p[k : (k + 1 + right[0] if len(right) else len(p))].min()
         out[i] = p[k] - max(low, high)
     return at, out
-
-
-def fft_filter(x: np.ndarray, fs: float, kind: str, low: float | None = None, high: float | None = None, order: int = 4) -> np.ndarray:
-    """Zero-phase filter in the frequency domain (highpass, lowpass, bandpass, notch, none) with reflected edges; Butterworth magnitudes."""
-    n, nyquist = len(x), fs / 2
-    x = x - x.mean()
-    if kind == "none" or n < 4:
-        return x
-    low = min(1.0, 0.1 * nyquist) if low is None else low
-    high = min(6000.0, 0.9 * nyquist) if high is None else high
-    if not 1 <= order <= 12 or not 0 < low < nyquist or not 0 < high < nyquist:
-        raise ValueError("order must be 1 to 12 and cutoffs inside (0, fs / 2)")
-    slowest = low if kind in ("highpass", "bandpass", "notch") else high
-    pad = min(max(256, int(np.ceil(8 * fs / slowest))), n - 1, 262_144)
-    padded = np.pad(x, pad, mode="reflect")
-    f = np.fft.rfftfreq(len(padded), 1 / fs)
-    with np.errstate(divide="ignore", over="ignore"):
-        up = 1 / np.sqrt(1 + (low / np.maximum(f, 1e-300)) ** (2 * order))
-        down = 1 / np.sqrt(1 + (f / high) ** (2 * order))
-    if kind == "notch":
-        width = 2.0
-        gain = 1 - 1 / (1 + ((f - low) / (width / 2)) ** (2 * order))
-    else:
-        gain = {"highpass": up, "lowpass": down, "bandpass": up * down}[kind]
-    out = np.fft.irfft(np.fft.rfft(padded) * gain, len(padded))[pad : pad + n]
-    return out - out.mean()

@@ -12,6 +12,8 @@ FILTER_NAMES = {
     "lowpass": ("lowpass", "low_pass", "lp"),
     "bandpass": ("bandpass", "band_pass", "bp"),
     "notch": ("notch", "bandstop", "band_stop"),
+    "notch_50": ("notch_50", "notch50", "mains_50", "50hz"),
+    "notch_60": ("notch_60", "notch60", "mains_60", "60hz"),
 }
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.functions import signal
+from oscillar.functions import filters, signal, text
 
 
 def _arrays(column: pa.Array):
@@ -379,3 +379,39 @@ def dominant_peaks(windows: DataFrame, keys: list[str], fs: float, most: int = 3
 
     kinds = dict(windows.dtypes)
     return windows.select(*keys, "x").mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", rank int, frequency double, prominence_db double")
+
+
+def filtered_windows(windows: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """keys, kind (canonical), fault and x of every window, through the filter that its row names.
+
+    windows: x, filter (a name or an alias, null: none), low_hz, high_hz, notch_hz, width_hz, filter_order (null: the usual). A
+    window whose filter is unknown or can't be made at this rate has the reason as fault and no x. Null and empty windows are
+    left out.
+    """
+    given = ["low_hz", "high_hz", "notch_hz", "width_hz", "filter_order"]
+    named = windows.withColumn("kind_", text.filter_name(F.col("filter"))).select(*keys, F.col("x").cast("array<double>").alias("x"), "kind_", *(F.col(c).cast("double").alias(c) for c in given))
+    k0 = len(keys)
+
+    def run(batches):
+        for b in batches:
+            told = list(zip(*(b.column(k0 + 1 + c).to_pylist() for c in range(1 + len(given))), strict=True))
+            for rows, x in _arrays(b.column(k0)):
+                out: list = [None] * len(rows)
+                faults: list = [None] * len(rows)
+                for asked in dict.fromkeys(told[r] for r in rows):
+                    same = np.array([i for i, r in enumerate(rows) if told[r] == asked])
+                    kind, low, high, centre, width, order = asked
+                    try:
+                        if kind is None:
+                            raise ValueError("unknown filter")
+                        for i, y in zip(same, filters.filtered(x[same], fs, filters.designed(kind, fs, low, high, centre, width, filters.ORDER if order is None else int(order))), strict=True):
+                            out[i] = y
+                    except ValueError as e:
+                        for i in same:
+                            faults[i] = str(e)
+                take = pa.array(rows)
+                columns = [*(b.column(k).take(take) for k in range(k0)), b.column(k0 + 1).take(take), pa.array(faults, pa.string()), pa.array(out, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "kind", "fault", "x"])
+
+    kinds = dict(windows.dtypes)
+    return named.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kind string, fault string, x array<double>")

@@ -135,7 +135,18 @@ def spectrum_report(spark, d):
     return _rounded(spectra.spectrum_reports(_t(spark, d, "embeddings"), "vec_id", "embedding", 64.0, resolution=4.0), 5)
 
 
-QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows, modal_peaks, physics_features, complex_assurance, distinct_peaks, spectrum_report)}
+def filtered_windows(spark, d):
+    """Vectors at 128 samples a second through filters of seven kinds, named in several ways; some can't be made."""
+    names = ["low pass", "HP", "bandpass", "notch", "50Hz", "mains-60", "raw", "comb", "lowpass"]
+    e = _t(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.element_at(F.array(*map(F.lit, names)), (F.col("vec_id") % 9 + 1).cast("int")).alias("filter"), F.lit(5.0).alias("low_hz"),
+        F.when(F.col("vec_id") % 9 == 8, 64.0).otherwise(20.0).alias("high_hz"), F.lit(30.0).alias("notch_hz"), F.lit(None).cast("double").alias("width_hz"), F.when(F.col("vec_id") % 2 == 0, 2.0).alias("filter_order"),
+    )
+    out = spectra.filtered_windows(e, ["id"], 128.0)
+    return _rounded(out.select("id", "kind", "fault", F.explode_outer(F.transform("x", lambda v, k: F.struct(k.alias("k"), v.alias("v")))).alias("s")).select("id", "kind", "fault", F.col("s.k").alias("k"), F.col("s.v").alias("value")))
+
+
+QUERIES = {f.__name__: f for f in (complex_grid, wideband_features, smoothed_grid, clock_windows, capture_alignment, board_clock, resampled_windows, modal_peaks, physics_features, complex_assurance, distinct_peaks, spectrum_report, filtered_windows)}
 
 
 def _polyphase(name: str, source: str, up: int, down: int, n: int, ends: str) -> str:
@@ -274,4 +285,14 @@ SELECT grp, a, b, round(CASE WHEN w > 0 THEN least(1, (x * x + y * y) / w) ELSE
 o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS r FROM fin), s AS (SELECT id, count(*) AS n, max(f) FILTER (r = 1) AS f1, max(f) FILTER (r = 2) AS f2, max(power) FILTER (r = 1) AS p1, max(power) FILTER (r = 2) AS p2 FROM o GROUP BY id)
 SELECT id, 64 AS n, 1.0::DOUBLE AS seconds, round(rms, 5) AS centred_rms, round(psd, 5) AS psd_rms, round(psd / rms, 5) AS consistency, round(psd * psd / (rms * rms), 5) AS variance_consistency, coalesce(s.n, 0)::INT AS peaks, round(abs(10 * log10(p1 / p2)), 5) AS lead_db, round(f2, 5) AS rival_hz,
   coalesce(abs(10 * log10(p1 / p2)) < 3, false) AS rival, round(f1, 5) AS effective_hz, CASE WHEN s.n > 0 THEN 'averaged_psd' END AS effective_kind, coalesce(s.n > 0, false) AS reliable FROM a JOIN d USING (id) LEFT JOIN s USING (id)""",
+    "filtered_windows": """WITH a AS (SELECT vec_id AS id, ['lowpass', 'highpass', 'bandpass', 'notch', 'notch_50', 'notch_60', 'none', NULL, 'lowpass'][vec_id % 9 + 1] AS kind, CASE vec_id % 9 WHEN 7 THEN 'unknown filter' WHEN 8 THEN 'cutoffs must be inside (0, fs / 2)' END AS fault, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 4 END AS o,
+  CASE vec_id % 9 WHEN 3 THEN 30 WHEN 4 THEN 50 ELSE 60 END AS c, embedding FROM embeddings),
+x0 AS (SELECT id, kind, o, c, i, embedding[i + 1]::DOUBLE - avg(embedding[i + 1]::DOUBLE) OVER (PARTITION BY id) AS x FROM a, unnest(range(0, 64)) AS r(i) WHERE fault IS NULL),
+w AS (SELECT id, kind, o, c, t, x FROM (SELECT t, CASE WHEN abs(t - 64) % 126 > 63 THEN 126 - abs(t - 64) % 126 ELSE abs(t - 64) % 126 END AS i FROM range(0, 192) AS q(t)) JOIN x0 USING (i) WHERE kind <> 'none'),
+s AS (SELECT id, kind, o, c, k, sum(x * cos(2 * pi() * k * t / 192)) AS re, -sum(x * sin(2 * pi() * k * t / 192)) AS im FROM w, range(0, 97) AS q(k) GROUP BY ALL),
+g AS (SELECT id, k, re, im, CASE WHEN k IN (0, 96) THEN 1 ELSE 2 END / 192::DOUBLE * CASE WHEN kind LIKE 'notch%' THEN sqrt(1 - pow(2, -pow(abs(k * 2 / 3::DOUBLE - c), 2 * o)))
+  ELSE CASE WHEN kind = 'lowpass' THEN 1 WHEN k = 0 THEN 0 ELSE 1 / sqrt(1 + pow(5 / (k * 2 / 3::DOUBLE), 2 * o)) END * CASE WHEN kind = 'highpass' THEN 1 ELSE 1 / sqrt(1 + pow(k * 2 / 3::DOUBLE / 20, 2 * o)) END END AS g FROM s),
+y0 AS (SELECT id, i, sum(g * (re * cos(2 * pi() * k * (i + 64) / 192) - im * sin(2 * pi() * k * (i + 64) / 192))) AS y FROM g, range(0, 64) AS q(i) GROUP BY id, i UNION ALL SELECT id, i, x FROM x0 WHERE kind = 'none'),
+y AS (SELECT id, i, y - avg(y) OVER (PARTITION BY id) AS y FROM y0)
+SELECT a.id, kind, fault, i::INT AS k, round(y, 6) + 0 AS value FROM a LEFT JOIN y ON y.id = a.id""",
 }

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oscillar.functions import signal
+from oscillar.functions import filters, signal
 from oscillar.operators import spectra
 
 
@@ -23,13 +23,32 @@ def test_peaks_of_a_flat_spectrum_are_none():
     assert signal.distinct_peaks(np.arange(101.0), np.ones(101)) == []
 
 
-@pytest.mark.parametrize(("kind", "low", "high", "passed", "stopped"), [("highpass", 50, None, 100, 5), ("lowpass", None, 50, 10, 300), ("bandpass", 30, 120, 80, 300), ("notch", 50, None, 10, 50)])
+@pytest.mark.parametrize(
+    ("kind", "low", "high", "passed", "stopped"),
+    [("highpass", 50, None, 100, 5), ("lowpass", None, 50, 10, 300), ("bandpass", 30, 120, 80, 300), ("notch", 50, None, 10, 50), ("notch_50", None, None, 60, 50), ("notch_60", None, None, 50, 60)],
+)
 def test_filters(kind, low, high, passed, stopped):
     t = np.arange(10_000) / 1000
-    gain = lambda f: np.std(signal.fft_filter(np.sin(2 * np.pi * f * t), 1000, kind, low, high)[1000:-1000]) * np.sqrt(2)
+    made = filters.designed(kind, 1000, low, high)
+    gain = lambda f: np.std(filters.filtered(np.sin(2 * np.pi * f * t)[None], 1000, made)[0, 1000:-1000]) * np.sqrt(2)
     assert gain(passed) > 0.75 and gain(stopped) < 0.03
 
 
+def test_filters_that_cannot_be_made():
+    for how in (("lowpass", 100, None, 50.0), ("highpass", 100, 0.0), ("bandpass", 100, 30, 20), ("notch", 100, None, None, 50.0), ("notch", 100, None, None, 10.0, 20.0), ("notch_60", 100), ("comb", 100), ("lowpass", 100, None, None, None, None, 13)):
+        with pytest.raises(ValueError):
+            filters.designed(*how)
+    assert filters.designed("none", 100) is None and filters.designed("highpass", 1e-3).low == pytest.approx(5e-5)
+    assert abs(filters.designed("notch", 200, centre=40, width=4).gain(np.array([38.0, 40.0, 42.0])) - [0.5**0.5, 0, 0.5**0.5]).max() < 1e-12
+
+
+def test_smooth_lengths():
+    smooth = lambda n: n == 1 or any(n % p == 0 and smooth(n // p) for p in (2, 3, 5))
+    assert [filters.smooth_length(n) for n in range(1, 400)] == [next(m for m in range(n, 2 * n + 1) if smooth(m)) for n in range(1, 400)]
+    x = np.array([[1.0, 2.0]])
+    assert np.allclose(filters.filtered(x, 10.0, filters.designed("lowpass", 10.0)).sum(), 0)
+
+
 def test_units_and_identifiers(spark):
     rows = spark.createDataFrame([("m/s²", 9.80665), ("MG", 1000.0), ("?", 1.0), (None, 1.0)], "u string, v double")
     got = [r[0] for r in rows.select(signal.to_g(F.col("v"), F.col("u"))).collect()]
