@@ -99,11 +99,3 @@ def compacted(history: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The newest `most` rows of each key: what a rolling history keeps."""
     turn = F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))
     return history.withColumn("turn_", turn).filter(F.col("turn_") <= most).drop("turn_")
-
-
-def components_of(status: DataFrame, kind: str | None = None, active: bool | None = None) -> DataFrame:
-    """device, name, kind, enabled of a status document's devices[].components[], filtered by kind and activity."""
-    c = status.select(F.explode("devices").alias("d")).select(F.col("d.name").alias("device"), F.explode("d.components").alias("c")).select("device", "c.name", "c.kind", "c.enabled")
-    if kind is not None:
-        c = c.filter(F.col("kind") == kind)
-    return c if active is None else c.filter(F.col("enabled") == active)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oscillar.operators import corpus
-from oscillar.sources import arrays, episodes, framed
+from oscillar.sources import arrays, catalog, episodes, framed
 from oscillar.sources.shared import shared_dir
 
 
@@ -110,7 +110,28 @@ def framed_stream(spark, d):
     return _rounded(spark.read.parquet(out), 5)
 
 
-QUERIES = {f.__name__: f for f in (npz_files, mat_files, episode_report, stored_episodes, stored_profile, framed_samples, framed_range, framed_stream)}
+def _devices(spark, d) -> DataFrame:
+    """Status documents, one for each supplier; in every third the components lie in a list of devices, some texts are torn."""
+    k = "s_suppkey"
+    acc = f"named_struct('c_type', 0, 'enable', {k} % 4 <> 1, 'dim', 3, 'odr', 26667D, 'measodr', IF({k} % 2 = 0, 26667D + {k}, 0D), 'samples_per_ts', named_struct('val', 1000 + {k} % 7), 'data_type', 'int16_t', 'sensitivity', 0.000488D, 'unit', 'g')"
+    fft = f"named_struct('c_type', 1, 'enable', true, 'fft_length', 512 * ({k} % 3 + 1), 'data_type', 'float')"
+    motor = f"named_struct('c_type', 3, 'enable', {k} % 5 = 0, 'dim', 4, 'odr', 10D, 'samples_per_ts', 0, 'data_type', IF({k} % 2 = 0, 'float', 'bits'))"
+    each = f"array(to_json(named_struct('iis3dwb_acc', {acc})), to_json(named_struct('iis3dwb_FFT', {fft})), to_json(named_struct('motor_ctrl', {motor})))"
+    doc = F.expr(f"concat(IF({k} % 3 = 0, '{{\"devices\": [{{\"components\": [', '{{\"components\": ['), array_join({each}, ', '), IF({k} % 3 = 0, ']}}]}}', ']}}'))")
+    return _t(spark, d, "supplier").select(k, F.when(F.col(k) % 11 == 7, F.substring(doc, 1, 40)).otherwise(doc).alias("json"))
+
+
+def component_catalog(spark, d):
+    """All components of the devices, with the size of their frames."""
+    return _rounded(catalog.components(_devices(spark, d), ["s_suppkey"]))
+
+
+def active_sensors(spark, d):
+    """The accelerometers that are on, by device."""
+    return catalog.listed(catalog.components(_devices(spark, d), ["s_suppkey"]), "sensor", "ACC", True).select("s_suppkey", "component", "frame_bytes")
+
+
+QUERIES = {f.__name__: f for f in (npz_files, mat_files, episode_report, stored_episodes, stored_profile, framed_samples, framed_range, framed_stream, component_catalog, active_sensors)}
 
 _NUMBERS = "SELECT vec_id AS id, k::INT AS k, embedding[k + 1]::DOUBLE AS value FROM embeddings, unnest(range(0, 64)) AS r(k)"
 _WHY = "CASE WHEN n % 11 = 5 THEN 'no_id' WHEN vectors < 18 THEN 'incomplete_boards' WHEN n % 13 = 2 THEN 'masks_do_not_match' WHEN n % 7 = 3 THEN 'no_sample_rate' WHEN n % 17 = 4 THEN 'metadata_no_object' ELSE 'stored' END"
@@ -124,6 +145,9 @@ h AS (SELECT *, coalesce(lag(fixed) OVER w, fixed - 1) AS before FROM g WINDOW w
 b AS (SELECT *, CASE WHEN t IS NULL OR fixed - before <= 1.33 THEN before ELSE fixed - 1 END AS begins FROM h),
 s AS (SELECT file, seq, begins + (fixed - begins) * (seq % 4 + 1) / 4 AS ts, x * (t IS NOT NULL)::INT * 4.88e-4 AS x, y * (t IS NOT NULL)::INT * 4.88e-4 AS y, z * (t IS NOT NULL)::INT * 4.88e-4 AS z FROM n JOIN b USING (file) WHERE seq // 4 = frame)"""
 _SAMPLES = f"WITH {_FRAMED} SELECT file, seq, {', '.join(f'round({c}, 5) + 0 AS {c}' for c in ('ts', 'x', 'y', 'z'))} FROM s"
+_COMPONENTS = """c AS (SELECT s_suppkey, 0 AS place, 'iis3dwb_acc' AS component, 'acc' AS subtype, 'sensor' AS kind, s_suppkey % 4 <> 1 AS active, 3 AS dim, CASE WHEN s_suppkey % 2 = 0 THEN 26667 + s_suppkey ELSE 26667 END::DOUBLE AS rate, 1000 + s_suppkey % 7 AS samples_per_stamp, 'int16_t' AS number, (1000 + s_suppkey % 7) * 6 + 8 AS frame_bytes, 0.000488::DOUBLE AS sensitivity, 'g' AS unit FROM supplier
+UNION ALL SELECT s_suppkey, 1, 'iis3dwb_FFT', 'fft', 'algorithm', true, 512 * (s_suppkey % 3 + 1), NULL, 0, 'float', 2048 * (s_suppkey % 3 + 1), NULL, NULL FROM supplier
+UNION ALL SELECT s_suppkey, 2, 'motor_ctrl', 'ctrl', 'actuator', s_suppkey % 5 = 0, 4, 10, 0, CASE WHEN s_suppkey % 2 = 0 THEN 'float' ELSE 'bits' END, CASE WHEN s_suppkey % 2 = 0 THEN 16 END, NULL, NULL FROM supplier)"""
 ORACLE_SQL = {
     "npz_files": _NUMBERS,
     "mat_files": _NUMBERS,
@@ -133,4 +157,6 @@ SELECT 'e' || n AS episode_id, n, board, axis, round(sum(v), 6) + 0 AS total, co
     "framed_samples": _SAMPLES,
     "framed_range": f"{_SAMPLES} WHERE s.ts >= 5.0 AND s.ts < 10.5",
     "framed_stream": _SAMPLES,
+    "component_catalog": f"WITH {_COMPONENTS} SELECT s_suppkey, place, component, subtype, kind, active, dim::INT AS dim, rate, samples_per_stamp::INT AS samples_per_stamp, number, frame_bytes::INT AS frame_bytes, sensitivity, unit FROM c WHERE s_suppkey % 11 <> 7",
+    "active_sensors": f"WITH {_COMPONENTS} SELECT s_suppkey, component, frame_bytes::INT AS frame_bytes FROM c WHERE s_suppkey % 11 <> 7 AND kind = 'sensor' AND active",
 }
