@@ -34,7 +34,7 @@ FILE_BYTES = 1 << 28
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
 #: words, and parts of words, that a Python worker remembers.
-CACHE = 150_000
+CACHE = 60_000
 
 
 def byte_alphabet() -> str:

@@ -90,9 +90,11 @@ def norms(codes: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(level.sum((1, 2)), 1e-12))
 
 
-def projected(segments: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Inner products of the normalised feature vectors with columns of weights (LETTERS ** 3 rows); short segments give 0."""
-    out = np.zeros((len(segments), weights.shape[1]))
+def projected(segments: list[bytes], weights: np.ndarray, more: int = 0) -> np.ndarray:
+    """Inner products of the normalised feature vectors with columns of weights (LETTERS ** 3 rows), and `more` columns of ones; short segments give 0."""
+    width = weights.shape[1]
+    out = np.zeros((len(segments), width + more))
+    out[:, width:] = 1
     length = np.array([len(s) for s in segments], np.int64)
     for n in np.unique(length):
         if n < 3:
@@ -105,18 +107,19 @@ def projected(segments: list[bytes], weights: np.ndarray) -> np.ndarray:
             codes = (np.frombuffer(b"".join(segments[i] for i in rows), np.uint8).reshape(len(rows), n) - 97).astype(np.int64)
             code = (codes[:, at[:, 0]] * LETTERS + codes[:, at[:, 1]]) * LETTERS + codes[:, at[:, 2]]
             sums = weights[:, 0][code] @ gap[:, None] if weights.shape[1] == 1 else np.einsum("rtm,t->rm", weights[code], gap)
-            out[rows] = sums / norms(codes)[:, None]
+            out[rows, :width] = sums / norms(codes)[:, None]
     return out
 
 
-def feature_columns(segments: list[bytes]) -> np.ndarray:
+def feature_columns(segments: list[bytes], kind=np.float64) -> np.ndarray:
     """The normalised feature vectors of a few segments as columns."""
-    out = np.zeros((LETTERS**3, len(segments)))
+    out = np.zeros((LETTERS**3, len(segments)), kind)
     for k, s in enumerate(segments):
         at, gap = triples(len(s))
         c = np.frombuffer(s, np.uint8).astype(np.int64) - 97
         np.add.at(out[:, k], (c[at[:, 0]] * LETTERS + c[at[:, 1]]) * LETTERS + c[at[:, 2]], gap)
-    return out / np.maximum(np.sqrt((out**2).sum(0)), 1e-12)
+    out /= np.maximum(np.sqrt(np.einsum("ij,ij->j", out, out)), 1e-12).astype(kind)
+    return out
 
 
 def squared_hinge(z: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -350,17 +353,18 @@ def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled:
     held, chosen = np.zeros((LANDMARKS, LETTERS**3), np.float32), []
     for words, most in ((marks, LANDMARKS // 2), (lures, LANDMARKS * 7 // 8)):
         for w in (BEGIN + w[:LONGEST] for w in words if len(w) >= 3):
-            column = feature_columns([w])[:, 0]  # one at a time: all of them would take much of the driver's memory
+            column = feature_columns([w], np.float32)[:, 0]  # one at a time: all of them would take much of the driver's memory
             if len(chosen) < most and (not chosen or (held[: len(chosen)] @ column).max() < ALIKE):
                 held[len(chosen)] = column
                 chosen.append(w)
     del held
     left = LANDMARKS - len(chosen)
     plain = [BEGIN + w[:LONGEST] for w in common[:: max(1, len(common) // left)]][:left]
-    columns = feature_columns(list(dict.fromkeys(chosen + plain)))
-    values, vectors = np.linalg.eigh(columns.T @ columns)
+    columns = feature_columns(list(dict.fromkeys(chosen + plain)), np.float32)  # single numbers, for the driver's memory
+    values, vectors = np.linalg.eigh((columns.T @ columns).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    basis = columns @ root  # features of a segment: its inner products with these columns
+    basis = columns @ root.astype(np.float32)  # features of a segment: its inner products with these columns
+    del columns
     x, cost = [], []
     for s, t, c in examples:
         lures = [v for v in variants(s) if len(v) <= LONGEST] if s in spelled else []
@@ -371,9 +375,7 @@ def fit(examples: list[tuple[bytes, float, float]], marks: list[bytes], spelled:
         cost += [(t / 2 / len(lures), c / 2 / len(lures)) for _ in lures]
     cost = np.array(cost)
     cost = cost / cost.sum(0) * COST
-    z = projected(x, np.column_stack([basis, np.zeros(LETTERS**3)]))
-    z[:, -1] = 1
-    w = squared_hinge(z, cost)
+    w = squared_hinge(projected(x, basis, 1), cost)
     return Model(basis @ w[:-1], float(w[-1]))
 
 
