@@ -84,13 +84,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     if plan.nodeName() not in ("LogicalRelation", "Relation") and not plan.nodeName().startswith("LogicalRelation"):
         docs = written(docs, "keyed")
     place = docs.metadataColumn("_metadata")  # a column of the table may have that name, too
-    path = place.getField("file_path")
-    files = written(docs.select(path.alias("path_")).distinct(), "files")
-    files = files.select("path_", (F.row_number().over(Window.orderBy(F.length("path_"), "path_")) - 1).cast("long").alias("file_"))
-    rows = docs.select("*", path.alias("path_"), place.getField("row_index").alias("at_"))
+    path, number, at = (n + "_" * (1 + max(map(len, docs.columns), default=0)) for n in ("path", "file", "at"))  # names that no column has
+    files = written(docs.select(place.getField("file_path").alias(path)).distinct(), "files")
+    files = files.select(path, (F.row_number().over(Window.orderBy(F.length(path), path)) - 1).cast("long").alias(number))
+    rows = docs.select("*", place.getField("file_path").alias(path), place.getField("row_index").alias(at))
     few = files.count() <= MOST_FILES
-    rows = rows.join(F.broadcast(files) if few else files, "path_")
-    out = rows.select(*(f"`{c}`" for c in docs.columns), (F.shiftleft("file_", 40) + F.col("at_")).alias("row"))
+    rows = rows.join(F.broadcast(files) if few else files, path)
+    out = rows.select(*(f"`{c}`" for c in docs.columns), (F.shiftleft(number, 40) + F.col(at)).alias("row"))
     out.is_keyed = True  # operators that are given this very table use its numbers
     return out
 

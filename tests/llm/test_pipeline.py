@@ -116,3 +116,26 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     taught.write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["n_chars"] for r in pipeline.toxicity(spark, docs, str(tmp_path)).collect()} == set(range(len(rows)))
+
+
+def test_stages_of_an_empty_table(spark):
+    """No rows come of none, and all stages but the last keep the columns of documents."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES[1:]:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "token_output" or out.columns == pipeline.COLUMNS)
+
+
+def test_stages_pass_over_columns_that_are_not_theirs(spark):
+    """A long text, a null one and extra columns with names of the operators' own go through the stages that judge single rows."""
+    import corpus_pipeline as pipeline
+
+    long = "word " * 200_000
+    rows = [(1, long, "en", "a", 1, "x", 2), (2, None, "en", "a", 0, "y", 3), (3, "short one", None, None, 9, "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, content string, at_ int")
+    out = dict(pipeline.STAGES)["decontamination"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3] and out.columns == pipeline.COLUMNS
+    mixed = dict(pipeline.STAGES)["mixing"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in mixed} <= {1, 3} and all(r["text"] in (long, "short one") for r in mixed)
