@@ -65,6 +65,39 @@ def join_counted(rows: DataFrame, live: DataFrame, on: list[str], share: int = 1
     return rows.join(few, on).unionByName(rows.join(F.broadcast(hot[0].select(*on)), on, "left_anti").join(hot[1].drop("n"), on))
 
 
+#: so many row numbers (8 MB) are broadcast; more of them meet their rows by a shuffle.
+MOST_NUMBERS = 1_000_000
+#: bits of a filter of row numbers: eight for each number, and no more than these (16 MB).
+MOST_BITS = 1 << 27
+
+
+def joined_numbers(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """rows (with row) left_semi or left_anti joined with numbers (row): rows with texts stay where they lie if the numbers are few."""
+    from pyspark.sql import functions as F
+
+    numbers = written(numbers.select("row"), "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= MOST_NUMBERS else numbers, "row", how)
+
+
+class RowFilter:
+    """Which rows may be among some: a bit for each hash of a row number, so that others don't cross a shuffle. Bounded by MOST_BITS."""
+
+    def __init__(self, numbers: DataFrame, most: int = MOST_BITS):
+        from pyspark.sql import functions as F
+
+        self.bits = min(most, 1 << max(6, (8 * numbers.count()).bit_length()))
+        slot = F.xxhash64("row").bitwiseAND(F.lit(self.bits - 1))
+        words = numbers.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(xxhash64(row) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
+        found = words.toArrow()  # a row for 64 bits at most
+        held = np.zeros(self.bits >> 6, np.int64)
+        held[found.column("word").to_numpy()] = found.column("held").to_numpy()
+        self.held = numbers.sparkSession.sparkContext.broadcast(held)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes & (self.bits - 1)
+        return (self.held.value[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -216,16 +249,23 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*columns, "row") if getattr(docs, "is_keyed", False) else keyed(docs.select(*columns))
 
 
-def packed_texts(rows: DataFrame) -> DataFrame:
-    """row, doc_id, frame, size: the texts of identified() rows as Zstandard frames, for a shuffle; size: bytes of the text."""
+def packed_texts(rows: DataFrame, among: RowFilter | None = None) -> DataFrame:
+    """row, doc_id, frame, size: the texts of identified() rows as Zstandard frames, for a shuffle; size: bytes of the text.
+
+    among: leaves out rows that it can't hold (some others may stay, too).
+    """
+    from pyspark.sql import functions as F
 
     def squeeze(batches):
         import zstandard
 
         squeezer = zstandard.ZstdCompressor(level=3)
         for b in sliced(batches):
+            if among is not None:
+                b = b.filter(pa.array(among.may_hold(b.column("hash").to_numpy())))
             texts = [t.encode() for t in b.column("content").to_pylist()]
             frames = pa.array([squeezer.compress(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), frames, pa.array([len(t) for t in texts], pa.int64())], names=["row", "doc_id", "frame", "size"])
 
-    return rows.select("row", "doc_id", "content").mapInArrow(squeeze, "row long, doc_id long, frame binary, size long")
+    columns = ["row", "doc_id", "content"] if among is None else ["row", "doc_id", "content", F.xxhash64("row").alias("hash")]
+    return rows.select(*columns).mapInArrow(squeeze, "row long, doc_id long, frame binary, size long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import U64, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, release_memory, sliced, table, unpacked, written
+from oscillar.llm.common import U64, RowFilter, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, release_memory, sliced, table, unpacked, written
 from oscillar.llm.components import components
 
 NGRAM = 3
@@ -408,7 +408,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike = classes.join(alone, "row", "left").filter(F.col("m") - F.coalesce("alone", F.lit(0)) >= F.col("c")).select("row", "copies")
     alike = written(alike, "jaccard-alike")
     discard(sets)
-    kept = written(signed_sets(packed_texts(rows).join(alike, "row"), percent, words), "jaccard-kept")
+    kept = written(signed_sets(packed_texts(rows, RowFilter(alike)).join(alike, "row"), percent, words), "jaccard-kept")
     signed = kept.select("node", F.col("node").alias("root"), F.explode(F.arrays_zip("kinds", "sigs")).alias("s")).select("node", "root", "s.kinds", F.col("s.sigs").alias("sig"))
     met = shared_signatures(signed, trim=count_links)
     if count_links:

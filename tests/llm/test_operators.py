@@ -617,3 +617,17 @@ def test_segments_tell_accents_alphabets_and_begins_apart():
     assert len({folded(w) for w in ("привет", "погода", "γειά", "καιρός", "天气", "你好")}) == 6
     alike = lambda a, b: float((toxicity.feature_columns([toxicity.windows_of(a)[0]]).T @ toxicity.feature_columns([toxicity.windows_of(b)[0]]))[0, 0])
     assert alike(b"stem", b"stemxy") > alike(b"stem", b"xystem") and toxicity.windows_of(b"a" * 50)[1][:1] == b"a"
+
+
+def test_row_filters_hold_their_rows(spark):
+    from oscillar.llm.common import RowFilter, joined_numbers
+
+    rows = spark.range(20_000).withColumnRenamed("id", "row")
+    some = rows.filter("row % 97 = 0")
+    for most in (64, 1 << 27):
+        kept = RowFilter(some, most)
+        hashes = np.array([r.h for r in rows.select(F.xxhash64("row").alias("h")).orderBy("row").collect()], np.int64)
+        held = kept.may_hold(hashes)
+        assert held[::97].all() and (most == 64 or held.sum() < 4000)
+    assert not RowFilter(some.limit(0)).may_hold(hashes).any()
+    assert joined_numbers(rows, some, "left_semi").count() == 207 and joined_numbers(rows, some, "left_anti").count() == 20_000 - 207
