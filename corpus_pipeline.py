@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import keyed, table, written
+from oscillar.llm.common import joined_numbers, keyed, table, written
 from oscillar.llm.decontamination import decontaminate
 from oscillar.llm.jaccard_join import jaccard_join
 from oscillar.llm.mixing import mix_documents
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows with a benchmark window go, each judged by its own text; null and empty texts stay."""
     rows = keyed(docs)
     found = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="row")
-    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
+    return joined_numbers(rows, found.filter("contaminated").select(F.col("doc_id").alias("row")), "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
