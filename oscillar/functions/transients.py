@@ -89,15 +89,17 @@ def ringdown(x: np.ndarray, fs: float, lowest: float = 0.5, highest: float = 200
     if not seen:
         return Ringdown("broadband_impact_no_ringdown_peak", hit.index, None, None, 0, False)
     clusters: list[list[tuple]] = []
-    for s in sorted(seen, reverse=True):
-        home = next((c for c in clusters if abs(s[1] - np.average([m[1] for m in c], weights=[m[2] for m in c])) <= max(1.0, 2 / s[3])), None)
+    reach = lambda c: max(max(1.0, 2 / m[3]) for m in c)
+    centre = lambda c: float(np.average([m[1] for m in c], weights=[max(1.0, m[2]) for m in c]))
+    for s in sorted(seen, reverse=True):  # a cluster reaches as far as the widest of its members
+        home = next((c for c in clusters if abs(s[1] - centre(c)) <= reach([*c, s])), None)
         clusters.append([s]) if home is None else home.append(s)
     best = max(clusters, key=lambda c: c[0][0] + 4 * (len({m[3] for m in c}) - 1))
     _, _, prominence, _, energy, decay, cycles = best[0]
     spans = len({m[3] for m in best})
     reliable = (spans >= 2 or (prominence >= 8 and energy >= 2)) and decay >= 1.1 and cycles >= 3 and not clipped
     status = "ringdown_peak" if reliable else "ringdown_peak_clipping_suspected" if clipped else "ringdown_peak_low_confidence"
-    return Ringdown(status, hit.index, float(np.average([m[1] for m in best], weights=[m[2] for m in best])), float(prominence), spans, bool(reliable))
+    return Ringdown(status, hit.index, centre(best), float(prominence), spans, bool(reliable))
 
 
 def singular_spectrum(channels: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -71,3 +71,11 @@ def test_resampled_windows_keep_nulls(spark):
     rows = spark.createDataFrame([(1, [1.0] * 100), (2, None), (3, [])], "i long, x array<double>")
     got = {r["id"]: r["x"] for r in ops.resampled_windows(rows, "i", "x", 100.0, 50.0).collect()}
     assert len(got[1]) == 50 and abs(got[1][25] - 1) < 1e-9 and got[2] is None and got[3] == []
+
+
+def test_clusters_reach_as_far_as_their_widest_member():
+    """A ringing that short records place less exactly is one cluster over all lengths."""
+    t = np.arange(12_000) / 1000
+    x = np.where(t > 1, np.exp(-np.maximum(t - 1, 0)) * np.sin(2 * np.pi * 31.3 * np.maximum(t - 1, 0)), 0) + 1e-4 * np.random.default_rng(9).normal(size=len(t))
+    got = transients.ringdown(x, 1000)
+    assert got.reliable and abs(got.frequency - 31.3) < 0.3 and got.durations >= 2
