@@ -117,3 +117,36 @@ def corpus_view(rows: DataFrame, wanted: list[tuple[str, str, int]], seed: int =
     order = F.sha2(F.concat(F.lit(f"{seed}\0"), F.col("episode").cast("string")), 256)
     turn = F.row_number().over(Window.partitionBy("split", "dataset").orderBy(order, "episode"))
     return rows.join(F.broadcast(w), ["split", "dataset"]).withColumn("turn", turn).filter("turn <= quota").drop("turn", "quota")
+
+
+#: fixed values: samples that a time base is told from, its bounds against the declared rate, and jitter as a share of a step.
+LEAST_TIMES, RATE_SHARE, RATE_HZ, JITTER_SHARE = 3, 0.01, 0.1, 0.01
+
+
+def timebase_faults(samples: DataFrame, keys: list[str], rate: Column) -> DataFrame:
+    """keys, n, rate (by the median step), jitter (the farthest step from it) and fault of each recording's times (column at, seconds; seq gives their order).
+
+    fault: too_few_times, not_increasing, rate_differs (from the declared one, by more than a hundredth and 0.1) or jitter (over a
+    hundredth of the step); null where sound. Times that are no finite number are not increasing; null ones are left out.
+    """
+    order = Window.partitionBy(*keys).orderBy("seq")
+    s = samples.filter("at IS NOT NULL").withColumn("declared_", rate).withColumn("step_", F.col("at") - F.lag("at").over(order))
+    per = s.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and((F.col("step_") > 0) & (F.col("step_") < float("inf")) & ~F.isnan("step_")), F.lit(False)).alias("rising_"), F.percentile("step_", 0.5).alias("median_"), F.min("step_").alias("low_"),
+        F.max("step_").alias("high_"), F.first("declared_").alias("declared_"),
+    )
+    inferred, jitter = 1 / F.col("median_"), F.greatest(F.col("high_") - F.col("median_"), F.col("median_") - F.col("low_"))
+    near = F.abs(inferred - F.col("declared_")) <= F.greatest(RATE_SHARE * F.greatest(F.abs(inferred), F.abs("declared_")), F.lit(RATE_HZ))
+    fault = (
+        F.when(F.col("n") < LEAST_TIMES, "too_few_times").when(~F.col("rising_"), "not_increasing").when(~F.coalesce(near, F.lit(False)), "rate_differs")
+        .when(jitter > F.greatest(F.lit(1e-9), JITTER_SHARE * F.col("median_")), "jitter")
+    )
+    sound = F.col("rising_")
+    return per.select(*keys, "n", F.when(sound, inferred).alias("rate"), F.when(sound, jitter).alias("jitter"), fault.alias("fault"))
+
+
+def unpopulated_columns(rows: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
+    """name, n of the text columns that hold fewer than `least` finite numbers."""
+    number = lambda c: F.trim(F.col(c).cast("string")).try_cast("double")
+    counts = rows.agg(*(F.count_if(~F.isnan(number(c)) & (F.abs(number(c)) < float("inf"))).alias(c) for c in columns))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in columns))).alias("c")).select("c.name", "c.n").filter(F.col("n") < least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.operators import labels, requests, sampling, windows
+from oscillar.operators import audits, labels, requests, sampling, windows
 from oscillar.sources.shared import shared_dir
 
 
@@ -136,7 +136,17 @@ def validation_export(spark, d):
     return _rounded(rows.join(lines, ["sensor_id", "window_id"], "left").withColumns({"reported": F.coalesce("reported", F.lit(False)), "quality_flags": F.coalesce("quality_flags", F.lit("")), "network_label": F.coalesce("network_label", F.lit(""))}), 4)
 
 
-QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw, registry_check, window_reads, validation_export)}
+def timebase_check(spark, d):
+    """Times of recordings of 64 samples, one for each vector: sound ones, and ones that stand still, run at another rate or jitter by the vector's numbers."""
+    k = F.col("vec_id")
+    e = _t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("seq", "v"))
+    shaken = F.when((k % 5 == 1) & (F.col("seq") == 40), -1.0).when(k % 5 == 3, F.col("v").cast("double") * 0.05).otherwise(F.col("v").cast("double") * 1e-4)
+    at = (F.col("seq") * F.when(k % 5 == 2, 1.02).otherwise(1.0) + shaken) / 100.0
+    rows = e.select("vec_id", "seq", at.alias("at")).filter((k % 5 != 4) | (F.col("seq") < 2))
+    return _rounded(audits.timebase_faults(rows, ["vec_id"], F.lit(100.0)), 7)
+
+
+QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw, registry_check, window_reads, validation_export, timebase_check)}
 
 _DOCS = """
 o AS (SELECT o_orderkey AS k, o_orderkey AS key, o_custkey, o_orderstatus = 'F' AS healthy, o_orderkey % 37 <> 11 AS ok FROM orders),
@@ -180,4 +190,9 @@ e AS (SELECT event_type AS sensor, (epoch_us(ts) / 1e6 - 1704067200) / 3600 AS t
 m AS (SELECT request, value, row_number() OVER (PARTITION BY request ORDER BY t, value) AS turn FROM r JOIN l USING (sensor) JOIN e ON e.sensor = r.sensor AND t >= coalesce(s, last - dur) AND (s IS NULL OR t < s + dur) WHERE fault IS NULL),
 g AS (SELECT request, count(*) AS n, avg(value) AS mean, sqrt(avg(value * value)) AS rms, min(value) AS low, max(value) AS high, string_agg(round(value, 2)::DECIMAL(12, 2)::VARCHAR, ',' ORDER BY turn) FILTER (turn <= 3) AS preview FROM m GROUP BY request)
 SELECT request, CASE WHEN fault IS NOT NULL THEN 'bad_request' WHEN n > 0 THEN 'ok' ELSE 'no_samples' END AS status, fault, coalesce(n, 0) AS n, round(mean, 9) + 0 AS mean, round(rms, 9) + 0 AS rms, round(low, 9) + 0 AS low, round(high, 9) + 0 AS high, preview, false AS thinned FROM r LEFT JOIN g USING (request)""",
+    "timebase_check": """WITH e AS (SELECT vec_id, i, (i * CASE WHEN vec_id % 5 = 2 THEN 1.02 ELSE 1 END::DOUBLE + CASE WHEN vec_id % 5 = 1 AND i = 40 THEN -1 WHEN vec_id % 5 = 3 THEN embedding[i + 1]::DOUBLE * 0.05::DOUBLE ELSE embedding[i + 1]::DOUBLE * 1e-4 END) / 100 AS t FROM embeddings, unnest(range(0, 64)) AS r(i) WHERE vec_id % 5 <> 4 OR i < 2),
+s AS (SELECT vec_id, t - lag(t) OVER (PARTITION BY vec_id ORDER BY i) AS step FROM e),
+p AS (SELECT vec_id, count(*) AS n, coalesce(bool_and(step > 0), false) AS rising, quantile_cont(step, 0.5) AS m, min(step) AS lo, max(step) AS hi FROM s GROUP BY vec_id),
+q AS (SELECT *, 1 / m AS rate, greatest(hi - m, m - lo) AS jitter FROM p)
+SELECT vec_id, n, round(CASE WHEN rising THEN rate END, 7) AS rate, round(CASE WHEN rising THEN jitter END, 7) + 0 AS jitter, CASE WHEN n < 3 THEN 'too_few_times' WHEN NOT rising THEN 'not_increasing' WHEN abs(rate - 100) > greatest(0.01 * greatest(abs(rate), 100), 0.1) THEN 'rate_differs' WHEN jitter > greatest(1e-9, 0.01 * m) THEN 'jitter' END AS fault FROM q""",
 }

@@ -55,3 +55,15 @@ def test_reports_and_filters_of_odd_windows(spark):
     asked = rows.withColumns({"filter": F.when(F.col("id") == 1, F.lit("60Hz")), **{c: F.lit(None).cast("double") for c in ("low_hz", "high_hz", "notch_hz", "width_hz", "filter_order")}})
     out = {r.id: r for r in spectra.filtered_windows(asked, ["id"], 64.0).collect()}
     assert set(out) == {1, 4, 5} and out[1].fault and out[1].x is None and out[4].kind == "none" and out[4].x == [0.0] * 4
+
+
+def test_time_bases_and_populated_columns(spark):
+    from oscillar.operators import audits
+
+    times = {"good": [k / 100 for k in range(20)], "few": [0.0, 0.1], "still": [0.0, 0.01, 0.01, 0.03], "fast": [k / 110 for k in range(20)], "shaken": [k / 100 + (k == 7) * 2e-4 for k in range(20)], "nan": [0.0, float("nan"), 0.02, 0.03], "one": [0.0]}
+    rows = spark.createDataFrame([(name, k, t) for name, ts in times.items() for k, t in enumerate(ts)] + [("good", 99, None)], "name string, seq int, at double")
+    got = {r.name: r for r in audits.timebase_faults(rows, ["name"], F.lit(100.0)).collect()}
+    assert {k: r.fault for k, r in got.items()} == {"good": None, "few": "too_few_times", "still": "not_increasing", "fast": "rate_differs", "shaken": "jitter", "nan": "not_increasing", "one": "too_few_times"}
+    assert got["good"].rate == pytest.approx(100) and got["still"].rate is None and got["good"].n == 20
+    texts = spark.createDataFrame([("1", "x", None), (" 2 ", "nan", ""), ("3e1", "4", "5")], "a string, b string, c string")
+    assert {(r.name, r.n) for r in audits.unpopulated_columns(texts, ["a", "b", "c"]).collect()} == {("b", 1), ("c", 1)}
