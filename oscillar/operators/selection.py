@@ -99,3 +99,71 @@ def compacted(history: DataFrame, by: str, order: str, most: int) -> DataFrame:
     """The newest `most` rows of each key: what a rolling history keeps."""
     turn = F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))
     return history.withColumn("turn_", turn).filter(F.col("turn_") <= most).drop("turn_")
+
+
+#: names of a time column, as column_key() gives them.
+TIME_KEYS = ("t", "time", "times", "timestamp", "timestamps")
+
+
+def column_key(name: str) -> str:
+    """Lower-case letters and digits of a column's name."""
+    return "".join(c for c in name.strip().lower() if c.isalnum())
+
+
+def layout_of(columns: list[str]) -> tuple[str | None, dict[str, str]]:
+    """The time column, if there is one, and the value columns by their keys; no keys where two are the same."""
+    time = next((c for c in columns if column_key(c) in TIME_KEYS), None)
+    values = [c for c in columns if c != time]
+    keys = {column_key(c): c for c in values}
+    return time, keys if len(keys) == len(values) else {}
+
+
+def reordered(frame: DataFrame, expected: list[str]) -> DataFrame:
+    """The value columns of a frame in the order and under the names that are expected; another layout is an error."""
+    keys = layout_of(frame.columns)[1]
+    wanted = [column_key(c) for c in expected]
+    if set(keys) != set(wanted):
+        raise ValueError(f"the columns are {sorted(keys)}, not {sorted(wanted)}")
+    return frame.select(*(F.col(f"`{keys[k]}`").alias(name) for k, name in zip(wanted, expected, strict=True)))
+
+
+def concatenated(frames: list[DataFrame]) -> DataFrame:
+    """at and the value columns of the first usable frame, with the rows of all frames that have the same columns in any order and spelling.
+
+    Frames without values, of another layout or with two columns of one key are passed over. Rows with a value that is no
+    finite number, or a negative or unsound time, are left out; at is null where any frame that is used has no time column.
+    Only column names decide, so no data are read for it.
+    """
+    used, names = [], None
+    for frame in frames:
+        time, keys = layout_of(frame.columns)
+        if keys and (names is None or set(keys) == {column_key(n) for n in names}):
+            names = names or list(keys.values())
+            used.append((frame, time, keys))
+    if not used:
+        raise ValueError("no frame has values")
+    timed = all(time for _, time, _ in used)
+    out = None
+    for frame, time, keys in used:
+        at = F.col(f"`{time}`").cast("double") if time else F.lit(None).cast("double")
+        part = frame.select(at.alias("at"), *(F.col(f"`{keys[column_key(n)]}`").cast("double").alias(n) for n in names))
+        sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf"))
+        for n in names:
+            part = part.filter(sound(f"`{n}`"))
+        part = part.filter(sound("at") & (F.col("at") >= 0)) if time else part
+        out = part if out is None else out.unionByName(part)
+    return out if timed else out.withColumn("at", F.lit(None).cast("double"))
+
+
+def axis_of(columns: list[str], axis: str) -> Column:
+    """An axis of named value columns: x, y, z or a place among them; norm is that of x, y and z, or of all columns where these are not all there."""
+    last = {column_key(c)[-1:]: c for c in columns}
+    at = lambda c: F.col(f"`{c}`")
+    if axis == "norm":
+        held = [last[k] for k in "xyz"] if all(k in last for k in "xyz") else columns
+        return F.sqrt(sum((at(c) * at(c) for c in held[1:]), at(held[0]) * at(held[0])))
+    if axis in last and axis in "xyz":
+        return at(last[axis])
+    if axis.isdigit() and int(axis) < len(columns):
+        return at(columns[int(axis)])
+    raise ValueError(f"no axis {axis!r} among {columns}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oscillar.operators import audits, labels, requests, sampling, windows
+from oscillar.operators import audits, labels, requests, sampling, selection, windows
 from oscillar.sources.shared import shared_dir
 
 
@@ -146,7 +146,20 @@ def timebase_check(spark, d):
     return _rounded(audits.timebase_faults(rows, ["vec_id"], F.lit(100.0)), 7)
 
 
-QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw, registry_check, window_reads, validation_export, timebase_check)}
+def frame_concat(spark, d):
+    """Lines of orders as frames of three layouts: two that differ in order and spelling, and one that is passed over; some values are no numbers."""
+    li = _t(spark, d, "lineitem").selectExpr("IF(l_orderkey % 50 = 0, -1D, CAST(l_orderkey AS DOUBLE)) AS t", "IF(l_partkey % 40 = 7, double('NaN'), CAST(l_quantity AS DOUBLE)) AS x", "CAST(l_discount AS DOUBLE) AS y", "CAST(l_tax AS DOUBLE) AS z", "l_linenumber AS k")
+    frames = [
+        li.filter("k % 3 = 0").select(F.col("t").alias("Time"), F.col("x").alias("Acc X"), F.col("y").alias("Acc Y"), F.col("z").alias("Acc Z")),
+        li.filter("k % 3 = 1").select(F.col("z").alias("acc_z"), F.col("x").alias("ACC-X"), F.col("t").alias("timestamp"), F.col("y").alias("accY")),
+        li.filter("k % 3 = 2").select(F.col("t").alias("time"), F.col("x").alias("acc_x")),
+    ]
+    rows = selection.concatenated(frames)
+    values = rows.columns[1:]
+    return _rounded(rows.select("at", *(F.col(f"`{c}`").alias(selection.column_key(c)) for c in values), selection.axis_of(values, "norm").alias("norm"), selection.axis_of(values, "y").alias("axis_y"), selection.axis_of(values, "2").alias("axis_2")))
+
+
+QUERIES = {f.__name__: f for f in (nested_fields, episode_labels, balanced_weights, balanced_draw, task_draw, registry_check, window_reads, validation_export, timebase_check, frame_concat)}
 
 _DOCS = """
 o AS (SELECT o_orderkey AS k, o_orderkey AS key, o_custkey, o_orderstatus = 'F' AS healthy, o_orderkey % 37 <> 11 AS ok FROM orders),
@@ -195,4 +208,5 @@ s AS (SELECT vec_id, t - lag(t) OVER (PARTITION BY vec_id ORDER BY i) AS step FR
 p AS (SELECT vec_id, count(*) AS n, coalesce(bool_and(step > 0), false) AS rising, quantile_cont(step, 0.5) AS m, min(step) AS lo, max(step) AS hi FROM s GROUP BY vec_id),
 q AS (SELECT *, 1 / m AS rate, greatest(hi - m, m - lo) AS jitter FROM p)
 SELECT vec_id, n, round(CASE WHEN rising THEN rate END, 7) AS rate, round(CASE WHEN rising THEN jitter END, 7) + 0 AS jitter, CASE WHEN n < 3 THEN 'too_few_times' WHEN NOT rising THEN 'not_increasing' WHEN abs(rate - 100) > greatest(0.01 * greatest(abs(rate), 100), 0.1) THEN 'rate_differs' WHEN jitter > greatest(1e-9, 0.01 * m) THEN 'jitter' END AS fault FROM q""",
+    "frame_concat": "SELECT l_orderkey::DOUBLE AS at, round(l_quantity::DOUBLE, 6) AS accx, round(l_discount::DOUBLE, 6) AS accy, round(l_tax::DOUBLE, 6) AS accz, round(sqrt(l_quantity::DOUBLE ** 2 + l_discount::DOUBLE ** 2 + l_tax::DOUBLE ** 2), 6) AS norm, round(l_discount::DOUBLE, 6) AS axis_y, round(l_tax::DOUBLE, 6) AS axis_2 FROM lineitem WHERE l_linenumber % 3 < 2 AND l_orderkey % 50 <> 0 AND l_partkey % 40 <> 7",
 }

@@ -67,3 +67,23 @@ def test_time_bases_and_populated_columns(spark):
     assert got["good"].rate == pytest.approx(100) and got["still"].rate is None and got["good"].n == 20
     texts = spark.createDataFrame([("1", "x", None), (" 2 ", "nan", ""), ("3e1", "4", "5")], "a string, b string, c string")
     assert {(r.name, r.n) for r in audits.unpopulated_columns(texts, ["a", "b", "c"]).collect()} == {("b", 1), ("c", 1)}
+
+
+def test_frames_of_several_layouts(spark):
+    from oscillar.operators import selection
+
+    a = spark.createDataFrame([(0.0, 1.0, 2.0), (-1.0, 1.0, 2.0), (1.0, None, 2.0)], "`T ` double, `Acc X` double, acc_y double")
+    b = spark.createDataFrame([(4.0, 2.0, 3.0)], "ACCY double, time double, accx double")
+    same = spark.createDataFrame([(1.0, 2.0)], "`a x` double, a_x double")
+    got = selection.concatenated([same.select("`a x`", "a_x"), a, same, b, spark.range(1)])
+    assert got.columns == ["at", "Acc X", "acc_y"] and sorted(map(tuple, got.collect())) == [(0.0, 1.0, 2.0), (2.0, 3.0, 4.0)]
+    untimed = selection.concatenated([a, b.drop("time")])
+    assert [r["at"] for r in untimed.collect()] == [None, None]
+    assert selection.reordered(b, ["Acc-X", "Acc-Y"]).collect() == [(3.0, 4.0)]
+    with pytest.raises(ValueError, match="the columns are"):
+        selection.reordered(b, ["x"])
+    with pytest.raises(ValueError, match="no frame"):
+        selection.concatenated([same])
+    with pytest.raises(ValueError, match="no axis"):
+        selection.axis_of(["a"], "x")
+    assert b.select(selection.axis_of(["ACCY", "accx"], "norm")).first()[0] == 5.0
