@@ -72,7 +72,7 @@ def stored_profile(spark, d):
     return _rounded(episodes.load_profile(spark, path))
 
 
-LAYOUT = framed.Layout(samples=4, packet=21)
+LAYOUT = framed.Layout(samples=4, packet=21, number="<i8")  # ids of any size are among the numbers
 
 
 def _frames(spark, d) -> DataFrame:
@@ -80,7 +80,7 @@ def _frames(spark, d) -> DataFrame:
     e = _t(spark, d, "events").withColumn("file", F.concat("event_type", F.lit("-"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 864_000), F.lit(".dat")))
     n = F.row_number().over(Window.partitionBy("file").orderBy("ts", "event_id")) - 1
     e = e.select("file", F.expr("event_id % 2000 - 1000").alias("x"), F.col("user_id").alias("y"), F.round("value").alias("z"), n.alias("n")).withColumn("frame", F.expr("CAST(n DIV 4 AS LONG)"))
-    frames = e.groupBy("file", "frame").agg(F.array_sort(F.collect_list(F.struct("n", F.array(*(F.col(c).cast("int") for c in "xyz")).alias("v")))).alias("s")).filter(F.size("s") == 4)
+    frames = e.groupBy("file", "frame").agg(F.array_sort(F.collect_list(F.struct("n", F.array(*(F.col(c).cast("long") for c in "xyz")).alias("v")))).alias("s")).filter(F.size("s") == 4)
     time = F.when(F.col("frame") % 11 == 5, float("nan")).otherwise(F.col("frame") + 1 + F.when(F.col("frame") % 7 == 3, 0.4).otherwise(0.0))
     return frames.select("file", "frame", time.cast("double").alias("time"), F.flatten(F.transform("s", lambda v: v["v"])).alias("data"))
 
@@ -89,14 +89,14 @@ def framed_samples(spark, d):
     """Samples of framed files, whose frames run on across packets."""
     path = shared_dir(spark, "framed")
     framed.write_framed(_frames(spark, d), path, LAYOUT).write.format("noop").mode("append").save()
-    return _rounded(framed.read_framed(spark, path, 4, packet=LAYOUT.packet), 5)
+    return _rounded(framed.read_framed(spark, path, 4, number=LAYOUT.number, packet=LAYOUT.packet), 5)
 
 
 def framed_range(spark, d):
     """The same, of the fifth to tenth second of each file."""
     path = shared_dir(spark, "framed")
     framed.write_framed(_frames(spark, d), path, LAYOUT).write.format("noop").mode("append").save()
-    return _rounded(framed.read_framed(spark, path, 4, packet=LAYOUT.packet, low=5.0, high=10.5), 5)
+    return _rounded(framed.read_framed(spark, path, 4, number=LAYOUT.number, packet=LAYOUT.packet, low=5.0, high=10.5), 5)
 
 
 def framed_stream(spark, d):
@@ -105,7 +105,7 @@ def framed_stream(spark, d):
     frames = _frames(spark, d)
     for half in (0, 1):
         framed.write_framed(frames.filter(F.pmod(F.xxhash64("file"), F.lit(2)) == half), path, LAYOUT).write.format("noop").mode("append").save()
-        stream = framed.stream_framed(spark, path, 4, packet=LAYOUT.packet)
+        stream = framed.stream_framed(spark, path, 4, number=LAYOUT.number, packet=LAYOUT.packet)
         stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
     return _rounded(spark.read.parquet(out), 5)
 

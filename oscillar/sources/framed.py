@@ -305,8 +305,11 @@ def write_framed(samples: DataFrame, path: str, layout: Layout) -> DataFrame:
     """file, frames: writes frames (file, frame, time, data: array of samples x axes numbers) as framed files, a file by one task.
 
     Frames lie in their order. A file has a hidden name until it is whole, so what a lost task has left is never read.
+    Numbers that the layout's number type can't hold are an error.
     """
     kind = layout.kind
+    whole = np.dtype(layout.number)
+    bounds = np.iinfo(whole) if whole.kind in "iu" else None
     if layout.packet >= kind.itemsize:
         raise ValueError("the rest of a last packet would read as a frame; packets must be smaller than a frame")
 
@@ -342,7 +345,10 @@ def write_framed(samples: DataFrame, path: str, layout: Layout) -> DataFrame:
                     name, hidden, frames = files[lo], f".{files[lo]}-{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(f"{folder}/{hidden}")
                 block = np.zeros(hi - lo, kind)
-                block["data"] = flat[at[lo] : at[hi]].reshape(hi - lo, layout.samples, layout.axes)
+                values = flat[at[lo] : at[hi]]
+                if bounds and len(values) and not (bounds.min <= values.min() and values.max() <= bounds.max):
+                    raise ValueError(f"{files[lo]}: numbers from {values.min()} to {values.max()} don't fit {layout.number}")
+                block["data"] = values.reshape(hi - lo, layout.samples, layout.axes)
                 block["time"] = times[lo:hi]
                 if layout.counter:
                     block["counter"] = numbers[lo:hi]
