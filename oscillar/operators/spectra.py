@@ -325,8 +325,9 @@ def nearest_codes(vectors: DataFrame, codebook: DataFrame, id_col: str, array_co
 def levels(windows: DataFrame, reference: str) -> DataFrame:
     """sensor, win, level_db, level_rel_db of arrays x: the RMS in decibels, and against the reference sensor's window of the same time (null without it)."""
     x = F.transform("x", lambda v: v.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size("x")
-    rms = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size("x"))
+    mean = F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size("x"))
+    begin = F.struct(mean.alias("mean"), F.lit(0.0).alias("total"))  # the mean is worked out once a window and not once a sample
+    rms = F.aggregate(x, begin, lambda a, v: F.struct(a["mean"].alias("mean"), (a["total"] + (v - a["mean"]) * (v - a["mean"])).alias("total")), lambda a: F.sqrt(F.try_divide(a["total"], F.size("x"))))
     own = windows.select("sensor", "win", (20 * F.log10(F.greatest(rms, F.lit(1e-12)))).alias("level_db"))
     base = own.filter(F.col("sensor") == reference).select("win", F.col("level_db").alias("ref_"))
     return own.join(base, "win", "left").select("sensor", "win", "level_db", (F.col("level_db") - F.col("ref_")).alias("level_rel_db"))

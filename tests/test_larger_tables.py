@@ -1,9 +1,14 @@
 """Queries on tables whose keys and groups are larger than those of the smallest tables."""
 
+import math
 import os
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from oscillar.operators import spectra
 from oscillar.plans import queries as monitoring
 from oscillar.sources import framed
 from tests.test_entry import SF, canonical
@@ -27,3 +32,13 @@ def test_numbers_that_do_not_fit_are_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="don't fit <i2"):
         framed.write_framed(rows, f"file://{tmp_path}/d", framed.Layout(1)).collect()
     assert framed.write_framed(rows, f"file://{tmp_path}/e", framed.Layout(1, number="<u2")).collect()[0].frames == 1
+
+
+def test_levels_of_long_windows_take_one_pass(spark):
+    """The mean of a window of 100,000 samples is not worked out for each of them; an empty window has the lowest level."""
+    rows = spark.range(100_000).agg(F.collect_list((F.col("id") % 7).cast("double")).alias("x")).select(F.lit("a").alias("sensor"), F.lit(0).alias("win"), "x")
+    rows = spark.createDataFrame([("b", 0, [1.0, 3.0]), ("c", 0, [])], "sensor string, win int, x array<double>").unionByName(rows)
+    began = time.time()
+    got = {r.sensor: r for r in spectra.levels(rows, "b").collect()}
+    assert time.time() - began < 60
+    assert got["a"].level_db == pytest.approx(20 * math.log10(np.std(np.arange(100_000) % 7))) and got["b"].level_rel_db == 0 and got["c"].level_db == pytest.approx(-240)
