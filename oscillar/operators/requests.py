@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oscillar.operators import windows
+
 #: axes of a request as they are written, and what they mean.
 AXES = {"x": "x", "y": "y", "z": "z", "0": "x", "1": "y", "2": "z", "norm": "norm", "magnitude": "norm", "vector_norm": "norm"}
 #: fixed values: the longest window of a request, seconds; samples of a preview and of an answer at most.
@@ -58,21 +60,16 @@ def read_windows(requests: DataFrame, samples: DataFrame, preview: int = PREVIEW
     """request, status, n, mean, rms, low, high, preview, thinned of normal requests: figures of all samples in [start, start + duration), the first ones as a preview.
 
     samples: sensor, ts (seconds), value. Without a start the window ends with the sensor's last sample. Requests and samples
-    meet in cells of time as long as the longest window, so a request touches two or three. A request is `bad_request` with a
-    fault, `no_samples` where there are none; thinned tells that an answer would hold every second, third ... sample only.
+    meet in cells of time as long as the longest window, so a request touches two or three, and takes its figures there from
+    sums that its cell has made once. A request is `bad_request` with a fault, `no_samples` where there are none; thinned tells
+    that an answer would hold every second, third ... sample only.
     """
     last = samples.groupBy("sensor").agg(F.max("ts").alias("last_"))
     r = requests.join(last, "sensor", "left").withColumn("low_", F.coalesce("start_s", F.col("last_") - F.col("duration_s")))
-    r = r.withColumn("high_", F.when(F.col("start_s").isNotNull(), F.col("low_") + F.col("duration_s")))
-    cell = lambda c: F.floor(c / longest)
-    sound = r.filter("fault IS NULL AND low_ IS NOT NULL").select("request", "sensor", "low_", "high_", F.explode(F.sequence(cell(F.col("low_")), cell(F.coalesce("high_", "last_")))).alias("cell_"))
-    met = samples.withColumn("cell_", cell(F.col("ts"))).join(sound, ["sensor", "cell_"]).filter((F.col("ts") >= F.col("low_")) & (F.col("high_").isNull() | (F.col("ts") < F.col("high_"))))
-    met = met.withColumn("turn_", F.row_number().over(Window.partitionBy("request").orderBy("ts", "value")))
-    v = F.col("value")
-    told = met.groupBy("request").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.sqrt(F.avg(v * v)).alias("rms"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("turn_") <= preview, F.struct("turn_", "value")))), lambda s: s["value"]).alias("preview"),
-    )
+    high = F.when(F.col("start_s").isNotNull(), F.col("low_") + F.col("duration_s")).otherwise(float("inf"))
+    sound = r.filter("fault IS NULL AND low_ IS NOT NULL").select("sensor", F.col("request").alias("id"), F.col("low_").alias("low"), high.alias("high"))
+    v = windows.interval_figures(samples.select("sensor", F.col("ts").alias("at"), "value"), sound, "sensor", longest, preview)
+    told = v.select(F.col("id").alias("request"), "n", F.try_divide("total", "held").alias("mean"), F.sqrt(F.try_divide("squares", "held")).alias("rms"), "low", "high", F.col("head").alias("preview"))
     status = F.when(F.col("fault").isNotNull(), "bad_request").when(F.col("n") > 0, "ok").otherwise("no_samples")
     out = requests.join(told, "request", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.select("request", status.alias("status"), "fault", "n", "mean", "rms", "low", "high", "preview", (F.col("n") > most).alias("thinned"))

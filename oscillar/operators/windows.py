@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -340,3 +342,111 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, low: str, high:
     p = points.withColumn("cell_", cell(at))
     s = spans.withColumn("cell_", F.explode(F.sequence(cell(low), cell(high))))
     return p.join(s, "cell_").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("cell_")
+
+
+class RangeFigures:
+    """Count, sums, extremes and first values of ranges of the samples of a cell, from sums over halves, quarters ... of it.
+
+    A range takes two parts of each level at most, so it costs the logarithm of the samples; no sum is the difference of larger
+    ones. Nulls are left out of all but the count; a value that is no number counts as the largest, as in Spark.
+    """
+
+    def __init__(self, at: np.ndarray, values: pa.Array):
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        v = values.cast(pa.float64()).fill_null(0.0).to_numpy()
+        order = np.lexsort((v, known, at))  # nulls stand first among samples of one time
+        self.at, self.known, self.v = at[order], known[order], v[order]
+        known, v = self.known, self.v
+        self.held = np.append(0, np.cumsum(known))
+        self.levels = []
+        parts = [(np.where(known, v, 0.0), np.add, 0.0), (np.where(known, v * v, 0.0), np.add, 0.0), (np.where(known, v, np.nan), np.fmin, np.nan), (np.where(known, v, -np.inf), np.maximum, -np.inf)]
+        self.kinds = [(join, none) for _, join, none in parts]
+        level = [x for x, _, _ in parts]
+        while True:
+            self.levels.append(level)
+            if len(level[0]) <= 1:
+                break
+            level = [join(np.append(x, none)[: len(x) + len(x) % 2][::2], np.append(x, none)[: len(x) + len(x) % 2][1::2]) for x, (join, none) in zip(level, self.kinds, strict=True)]
+
+    def ranges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the first sample in and the first behind each [low, high)."""
+        lo = np.searchsorted(self.at, low, "left")
+        return lo, np.maximum(lo, np.searchsorted(self.at, high, "left"))
+
+    def figures(self, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        """Sum, sum of squares, least and greatest of each range."""
+        out = [np.full(len(lo), none) for _, none in self.kinds]
+        lo, hi = lo.copy(), hi.copy()
+        for level in self.levels:
+            left, right = np.flatnonzero((lo < hi) & (lo % 2 == 1)), np.flatnonzero((lo < hi) & (hi % 2 == 1))
+            for x, got, (join, _) in zip(level, out, self.kinds, strict=True):
+                got[left] = join(got[left], x[lo[left]])
+            lo[left] += 1
+            right = right[lo[right] < hi[right]]
+            hi[right] -= 1
+            for x, got, (join, _) in zip(level, out, self.kinds, strict=True):
+                got[right] = join(got[right], x[hi[right]])
+            lo, hi = lo // 2, hi // 2
+        return out
+
+    def heads(self, lo: np.ndarray, hi: np.ndarray, most: int) -> pa.Array:
+        """The first values of each range, `most` at most."""
+        n = np.minimum(hi - lo, most)
+        ends = np.cumsum(n)
+        place = np.repeat(lo - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(self.v[place], pa.float64(), mask=~self.known[place]))
+
+
+def interval_figures(points: DataFrame, spans: DataFrame, key: str, step: float, head: int = 0) -> DataFrame:
+    """id, n, total, squares, low, high, held, head of spans (key, id, low, high) that hold points (key, at, value) in [low, high).
+
+    n counts all points and held those with a value; the other figures are of these, head the first values by at and value. at,
+    low and high are numbers; points at no finite place lie in no span. Points and spans meet in cells of `step`, a span in each
+    that it touches. A cell's points are held by one task, its spans pass by; the cost is that of sorting, however many pairs
+    there are.
+    """
+    cell = lambda c: F.floor(c / step).cast("long")
+    at, value, none = F.col("at").cast("double"), F.col("value").cast("double"), F.lit(None).cast("double")
+    finite = at.isNotNull() & ~F.isnan(at) & (F.abs(at) < float("inf"))
+    kinds = dict(spans.dtypes)
+    p = points.filter(finite & F.col(key).isNotNull()).select(F.col(key).alias("key"), cell(at).alias("cell"), F.lit(None).cast(kinds["id"]).alias("id"), at.alias("low"), none.alias("high"), value.alias("value"))
+    asked = spans.select(F.col(key).alias("key"), "id", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).filter("low < high")
+    ends = p.groupBy("key").agg(F.min("low").alias("first_"), F.max("low").alias("last_"))  # a span has no cells beyond them
+    asked = asked.join(ends, "key").filter("low <= last_ AND high > first_")
+    cells = F.explode(F.sequence(cell(F.greatest("low", "first_")), cell(F.least("high", "last_"))))
+    s = asked.select("key", cells.alias("cell"), "id", "low", "high", none.alias("value"))
+
+    def run(batches):
+        place, at, values, built = None, [], [], None
+        for b in batches:
+            cells, asks = b.column("cell").to_numpy(), b.column("id").is_valid().to_numpy(zero_copy_only=False)
+            keys = b.column("key").dictionary_encode()
+            codes, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            turns = np.flatnonzero((np.diff(cells) != 0) | (np.diff(codes) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+                if (names[codes[lo]], cells[lo]) != place:
+                    place, at, values, built = (names[codes[lo]], cells[lo]), [], [], None
+                rows = b.slice(lo, hi - lo)
+                if not asks[lo]:
+                    at.append(rows.column("low").to_numpy())
+                    values.append(rows.column("value"))
+                elif at:
+                    built = built or RangeFigures(np.concatenate(at), pa.concat_arrays(values))
+                    first, end = built.ranges(rows.column("low").to_numpy(), rows.column("high").to_numpy())
+                    met = np.flatnonzero(first < end)
+                    first, end = first[met], end[met]
+                    held = built.held[end] - built.held[first]
+                    figures = [pa.array(x, pa.float64(), mask=held == 0) for x in built.figures(first, end)]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("id").take(pa.array(met)), pa.array(np.full(len(met), cells[lo])), pa.array(end - first), *figures, pa.array(held), built.heads(first, end, head)],
+                        names=["id", "cell", "n", "total", "squares", "low", "high", "held", "head"],
+                    )
+
+    sides = p.unionByName(s).repartition("key", "cell").sortWithinPartitions("key", "cell", F.col("id").isNotNull())
+    kind = f"id {kinds['id']}, cell long, n long, total double, squares double, low double, high double, held long, head array<double>"
+    parts = sides.mapInArrow(run, kind)
+    heads = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "head"))), lambda x: x["head"]))
+    out = parts.groupBy("id").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held"), *([heads.alias("head")] if head else []),
+    )
+    return out.withColumn("head", F.slice("head", 1, head)) if head else out
