@@ -315,10 +315,9 @@ def tag_pairs(spark, d):
 
 def tagged_samples(spark, d):
     """Samples inside labelled intervals: an interval from each signup, an hour long."""
-    e = _t(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    spans = e.filter("event_type = 'signup'").select(F.col("event_id").alias("tag_id"), F.col("ts").alias("from_ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("to_ts"))
-    j = windows.interval_join(e.filter("event_type <> 'signup'"), spans, "ts", "from_ts", "to_ts", 3600)
-    return _rounded(j.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+    e = _t(spark, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value", F.lit(0).alias("key"))
+    spans = e.filter("event_type = 'signup'").select("key", F.col("event_id").alias("id"), F.col("at").alias("low"), (F.col("at") + 3_600_000_000).alias("high"))
+    return _rounded(windows.interval_figures(e.filter("event_type <> 'signup'"), spans, "key", 3.6e9).select(F.col("id").alias("tag_id"), "n", "total"))
 
 
 def alert_policy(spark, d):
