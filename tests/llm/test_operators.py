@@ -631,3 +631,36 @@ def test_row_filters_hold_their_rows(spark):
         assert held[::97].all() and (most == 64 or held.sum() < 4000)
     assert not RowFilter(some.limit(0)).may_hold(hashes).any()
     assert joined_numbers(rows, some, "left_semi").count() == 207 and joined_numbers(rows, some, "left_anti").count() == 20_000 - 207
+
+
+def test_common_words_are_remembered_beside_many_rare_ones(monkeypatch):
+    """A batch of many distinct words doesn't make the encoder forget those that recur, nor change any ids."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHE", 200)
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = token_output.WordEncoder(f.read())
+    asked = []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, part):
+            asked.append(part)
+            return self.model.tokenize(part)
+
+    own.model = Model(own.model)
+    rng = random.Random(6)
+    common = ["common", "Words", "don't", "straße"]
+    for _ in range(3):
+        asked.clear()
+        texts = [" ".join([*common, *("".join(rng.choices("abcdefgh", k=9)) for _ in range(20))]) for _ in range(40)]
+        ids, at = own.texts(pa.array(texts, pa.large_string()))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(asked) == 800 and not {"common", "words", "don"} & set(asked) and len(own.known) <= 101
