@@ -102,6 +102,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes of the batches that cross to Python workers where small_batches() is asked for.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts cross to Python workers of this session in batches of BATCH_BYTES or less: both sides hold whole batches beside what they work on, the JVM outside of its heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).lower().rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with row: a number of its own for each row, which grows in the order of the files.
 

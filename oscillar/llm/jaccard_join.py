@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscillar.llm.common import U64, RowFilter, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, release_memory, sliced, table, unpacked, written
+from oscillar.llm.common import U64, RowFilter, WordHashes, discard, identified, join_counted, mix, packed_texts, pair_hash, release_memory, sliced, table, unpacked, worker_memo, written
 from oscillar.llm.components import components
 
 NGRAM = 3
@@ -32,6 +32,8 @@ PERCENT = 90
 BLOCK_ROWS, BLOCK_ELEMENTS = 1024, 1 << 19
 #: rounds of pivots where links are not counted.
 PIVOTS = 1
+#: bytes of the texts whose sets a task makes at a time; sets hold some fifty times as much while they are made.
+SLICE_BYTES = 1 << 20
 #: columns of a column block.
 BLOCK_COLUMNS = 2048
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,7 +152,8 @@ def set_rows(rows: DataFrame, percent: int = PERCENT, words: int = NGRAM) -> Dat
     """doc_id, row, n, fp (128-bit fingerprint of the set; null without words), prefix, m and c of prefix_sizes()."""
 
     def run(batches):
-        for b in sliced(batches):
+        worker_memo("jaccard")  # nothing of the stage before is remembered beside the sets
+        for b in sliced(batches, most_bytes=SLICE_BYTES):
             grams, at = ngram_sets(b.column("content"), words)
             n = np.diff(at)
             fps = [hashlib.md5(grams[lo:hi].tobytes()).digest() if hi > lo else None for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -169,7 +172,7 @@ def signed_sets(texts: DataFrame, percent: int = PERCENT, words: int = NGRAM) ->
     """node, copies, n, grams, sigs and kinds of packed texts."""
 
     def run(batches):
-        for b in sliced(batches, "size"):
+        for b in sliced(batches, "size", SLICE_BYTES):
             grams, at = ngram_sets(pa.array([t.decode() for t in unpacked(b.column("frame"))], pa.large_string()), words)
             sigs, kinds, first = signatures(grams, at, percent)
             yield pa.RecordBatch.from_arrays(

@@ -139,3 +139,24 @@ def test_stages_pass_over_columns_that_are_not_theirs(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3] and out.columns == pipeline.COLUMNS
     mixed = dict(pipeline.STAGES)["mixing"](spark, docs, SF).collect()
     assert {r["doc_id"] for r in mixed} <= {1, 3} and all(r["text"] in (long, "short one") for r in mixed)
+
+
+def test_texts_cross_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+    from oscillar.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        common.small_batches(spark)
+        got = [r.n for r in spark.range(3000, numPartitions=1).selectExpr("repeat(CAST(id % 10 AS STRING), 5000) AS text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 15_000_000 and max(got) < common.BATCH_BYTES + 100_000
+        spark.conf.set(name, "1000000")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, before)
