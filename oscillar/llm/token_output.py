@@ -8,6 +8,7 @@ file touches only the pages it needs. Files are named anew by every attempt; the
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import uuid
@@ -34,8 +35,8 @@ SEQUENCE = 1024
 FILE_BYTES = 1 << 28
 SEQUENCES_PER_BATCH = 256
 END_ID = 2
-#: words, and parts of words, that a Python worker remembers from batch to batch.
-CACHE = 200_000
+#: parts of words, and whole words, that a Python worker remembers from batch to batch, and the most characters of one.
+CACHE, LONGEST = 300_000, 64
 
 
 def byte_alphabet() -> str:
@@ -52,12 +53,89 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+
+
+def byte_kinds() -> np.ndarray:
+    """The kind of each byte of UTF-8. The apostrophe is OTHER, as it may begin a contraction; lead and following bytes of two-byte letters are LETTER."""
+    kinds = np.full(256, OTHER, np.uint8)
+    for b in range(0x21, 0x7F):
+        kinds[b] = LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN
+    kinds[ord("'")] = OTHER
+    kinds[[*range(9, 14), 32]] = SPACE
+    kinds[0x80:0xC0] = kinds[0xC3:0xCA] = LETTER
+    return kinds
+
+
+def lower_letters() -> np.ndarray:
+    """The lower case of each code point below U+0280 that is a letter from U+00C0 to U+024F, if both take two bytes; else 0."""
+    out = np.zeros(0x280, np.uint16)
+    for c in range(0xC0, 0x250):
+        low = chr(c).lower()
+        if chr(c).isalpha() and len(low) == 1 and ord(low) < 0x800:
+            out[c] = ord(low)
+    return out
+
+
+KINDS, LOWER_LETTERS = byte_kinds(), lower_letters()
+LOWER_BYTES = np.array([b + 32 * (0x41 <= b <= 0x5A) for b in range(256)], np.uint8)
+
+
+def word_parts(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """Parts of all words of the texts, by STEPS, which of them are whole words, and the place of each text's first.
+
+    Words of other characters than basic Latin letters, digits and signs, or with an apostrophe or "<|", stay whole and as they
+    are; no part equals one of them.
+    """
+    if not texts.buffers()[2]:
+        return pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(len(texts) + 1, np.int64)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    kinds = KINDS[data]
+    full = kinds != SPACE
+    begins = bounds[:-1][bounds[:-1] < len(data)]
+    word, part = full.copy(), kinds == DIGIT  # where one begins
+    word[1:] &= ~full[:-1]
+    word[begins] = full[begins]
+    part[1:] |= kinds[1:] != kinds[:-1]
+    at = np.flatnonzero(part & full | word)
+    first = word[at]
+    words = at[first]
+
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+    low = LOWER_LETTERS[(data[lead].astype(np.uint16) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    less = np.flatnonzero(data[:-1] == ord("<"))
+    others = np.concatenate([np.flatnonzero(kinds == OTHER), lead[low == 0], less[data[less + 1] == ord("|")]])
+    whole = np.zeros(len(words), bool)
+    whole[np.searchsorted(words, others, side="right") - 1] = True
+    lowered = LOWER_BYTES[data]
+    lowered[lead] = 0xC0 | low >> 6
+    lowered[lead + 1] = 0x80 | low & 0x3F
+    of_whole = np.zeros(len(at), bool)
+    if len(others):
+        of_whole = whole[np.cumsum(first) - 1]
+        at, of_whole = at[first | ~of_whole], of_whole[first | ~of_whole]
+        turns = np.zeros(len(data) + 1, np.int8)
+        turns[words[whole]] += 1
+        turns[np.append(words[1:], len(data))[whole]] -= 1
+        kept = np.cumsum(turns[:-1], dtype=np.int8) > 0
+        lowered[kept] = data[kept]
+
+    sizes = np.add.reduceat(full, at, dtype=np.int64) if len(at) else []
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(lowered[full]))
+    return parts, of_whole, np.searchsorted(at, bounds)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer.
 
     If its steps are STEPS, it drops white space and works word by word: what a word becomes depends on the word alone. Words
     of basic Latin letters then go to the vocabulary's model by the tokenizer's own steps (lower case, split, bytes), part by
     part and remembered; any other word goes through the whole tokenizer. With other steps the whole text goes through it.
+    A batch is lower-cased and split at once (word_parts), so that only distinct parts are looked up, not words in every case
+    and with every sign beside them.
     Ids are remembered as bytes (of unsigned 32-bit integers): a fifth of what lists of them hold, and joined at once.
     """
 
@@ -71,7 +149,7 @@ class WordEncoder:
         plain_model = steps["model"].get("type", "BPE") == "BPE" and not any(steps["model"].get(k) for k in ("dropout", "ignore_merges", "byte_fallback"))
         added = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in steps.get("added_tokens", []))
         self.by_word = plain_model and added and all(steps.get(k) == v for k, v in STEPS.items()) and not steps.get("truncation")
-        self.table = {b: c for b, c in enumerate(byte_alphabet()) if ord(c) != b}
+        self.alphabet = byte_alphabet()
         self.plain = regex.compile("[\x21-\x7eÀ-įı-ɏ]+")
         self.split = regex.compile(SPLIT)
         self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
@@ -81,48 +159,46 @@ class WordEncoder:
         if "<|" in word:
             return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if word.isascii() and word.isprintable():
-            word = word.lower()
-            if word.isalpha():
-                return self.part(word)
-            parts = self.split_ascii(word)
+            parts = self.split_ascii(word.lower())
         elif self.plain.fullmatch(word):
             parts = self.split.findall(word.lower())
         else:
             return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return self.part(parts[0]) if len(parts) == 1 else b"".join([self.part(p) for p in parts])
+        return b"".join([self.part(p) for p in parts])
 
     def part(self, part: str) -> bytes:
         ids = self.known.get(part)
         if ids is None:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
-            ids = self.known[part] = packed([t.id for t in self.model.tokenize(mapped)])
+            mapped = part if part.isascii() else codecs.charmap_decode(part.encode(), "strict", self.alphabet)[0]
+            ids = self.remember(part, packed([t.id for t in self.model.tokenize(mapped)]))
+        return ids
+
+    def remember(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST:
+            self.known[word] = ids
         return ids
 
     def forget(self, words: list[str], counts: np.ndarray) -> None:
         """Keeps the commonest words of the last batch, half of CACHE at most, if more than CACHE are remembered."""
         if len(self.known) > CACHE:
             often = np.argsort(-counts, kind="stable")[: CACHE // 2].tolist()
-            self.known = {words[k]: self.known[words[k]] for k in often} | {"": b""}
+            self.known = {words[k]: self.known[words[k]] for k in often if words[k] in self.known} | {"": b""}
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, flat, and each text's first."""
-        import pyarrow.compute as pc
-
         if not self.by_word:
             own = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
             return np.fromiter(chain.from_iterable(own), np.uint32, int(ends[-1]) if len(own) else 0), np.append(0, ends)
-        lists = pc.ascii_split_whitespace(texts)
-        flat = lists.flatten()
-        starts = np.asarray(lists.offsets).astype(np.int64)
-        starts = starts - starts[0]
-        coded = flat.dictionary_encode()
-        own, known, words = [], self.known, coded.dictionary.to_pylist()
-        for w in words:
-            found = known.get(w)
+        parts, of_whole, starts = word_parts(texts)
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        whole = np.zeros(len(words), bool)
+        whole[np.asarray(coded.indices)[of_whole]] = True
+        own = list(map(self.known.get, words))
+        for k, (w, found) in enumerate(zip(words, own)):
             if found is None:
-                found = known[w] = self.word(w)
-            own.append(found)
+                own[k] = self.remember(w, self.word(w)) if whole[k] else self.part(w)
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) // 4)
         ids = np.frombuffer(b"".join(own), "<u4")
         self.forget(words, np.bincount(np.asarray(coded.indices), minlength=len(words)))
@@ -208,7 +284,7 @@ def write_sequences(rows: DataFrame, folder: str, tokenizer_json: str, end_id: i
         part, at = TaskContext.get().partitionId(), 0
         own = encoder(shared.value)
         kind = np.uint16 if own.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        for b in sliced(batches, most_bytes=4 << 20):
+        for b in sliced(batches):
             if out is None:
                 fs, root = filesystem(folder)
                 fs.create_dir(root, recursive=True)

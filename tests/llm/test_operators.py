@@ -664,3 +664,45 @@ def test_common_words_are_remembered_beside_many_rare_ones(monkeypatch):
         for k, t in enumerate(texts):
             assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
     assert len(asked) == 800 and not {"common", "words", "don"} & set(asked) and len(own.known) <= 101
+
+
+def test_words_in_other_cases_and_beside_signs_are_no_new_words():
+    """What the encoder looks up are parts of words: cases and signs around a word don't make it another one, nor change any ids."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = token_output.WordEncoder(f.read())
+    words = ["word", "Été", "ǅungla"]
+    texts = [f"{a}{w}{b}" for w in words for v in (w, w.upper(), w.lower()) for a in ("", "(", "--") for b in ("", ",", "!?", ")") for w in (v, f"{v}-{v}")]
+    ids, at = own.texts(pa.array([*texts, ""], pa.large_string()))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert set(own.known) == {"", "word", "été", "ǆungla", "(", "--", "-", ",", "!?", ")"}
+
+
+def test_parts_of_odd_batches():
+    """Slices, empty texts, marks that compose, added tokens, contractions and white space of all kinds give the tokenizer's own ids."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        own = token_output.WordEncoder(f.read())
+    odd = ["", " ", "A", "J\u030c j\u030c", "I\u0307 İ", "Ⱥx ȺX", "×3÷2", "don't DON'T ''s 'sT x'", "a<|endoftext|>B <|ENDOFTEXT|>", "a<", "|b", "A\x0bB\x0cC\rD\x1cE\x00F\x85G\u3000H", "中文 Ab😀c", "é", "É" * 100, "ɏɐ", "9É9"]
+    rng = random.Random(12)
+    for n in (0, 1, 2, 40):
+        texts = rng.choices(odd, k=n)
+        ids, at = own.texts(pa.array(["zz", *texts, "É y"], pa.large_string()).slice(1, n))
+        assert at.tolist()[:1] == [0] and len(at) == n + 1 and at[-1] == len(ids)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+    for t in odd:
+        ids, _ = own.texts(pa.array([t], pa.large_string()))
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert all(len(w) <= token_output.LONGEST for w in own.known)
